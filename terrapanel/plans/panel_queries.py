@@ -1,0 +1,29 @@
+"""Panel queries over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrapanel.plans.registry import register, table
+
+
+@register(
+    "A1_unit_mean_std",
+    """
+    SELECT o_custkey AS unit_id, round(avg(o_totalprice), 6) AS mean_value,
+           round(stddev_samp(o_totalprice), 6) AS std_value, CAST(count(*) AS BIGINT) AS n
+    FROM orders GROUP BY o_custkey
+    """,
+)
+def a1_unit_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and sample standard deviation of a score per unit."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("unit_id"))
+        .agg(
+            F.round(F.avg("o_totalprice"), 6).alias("mean_value"),
+            F.round(F.stddev_samp("o_totalprice"), 6).alias("std_value"),
+            F.count("*").alias("n"),
+        )
+    )
