@@ -12,7 +12,7 @@ from terrapanel.llm.bpe import encode_texts
 from terrapanel.llm.exact_dedup import exact_dedup
 from terrapanel.llm.licenses import scan_licenses
 from terrapanel.llm.simhash import near_duplicates
-from terrapanel.llm.url_filter import RULE_SCHEMA, filter_urls
+from terrapanel.llm.url_filter import filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,17 +36,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-URL_RULES = (
-    ("block", "com", "/en/"),
-    ("allow", "example.com", "/en/7"),
-    ("allow", "net", "/de/"),
-    ("block", "example.net", "/de/8"),
-    ("block", "org", "/es/"),
-)
+URL_RULES = """
+SELECT * FROM VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+                     ('block', 'example.net', '/de/8'), ('block', 'org', '/es/') AS rules(verdict, host, path)
+"""
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_read(spark, sf_dir, "pages", "page_id", "url"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
+    return filter_urls(_read(spark, sf_dir, "pages", "page_id", "url"), spark.sql(URL_RULES))
 
 
 OP3_SQL = r"""

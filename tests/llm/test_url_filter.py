@@ -39,6 +39,7 @@ def test_ties_no_rules_and_empty_tables(spark):
 
 
 def test_no_python_in_the_plan(spark):
-    pages = spark.createDataFrame([(1, "http://a/x")], "page_id long, url string")
-    plan = filter_urls(pages, spark.range(1).selectExpr("'block' verdict", "'a' host", "'/' path"))._jdf.queryExecution().toString()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rules = spark.sql("SELECT * FROM VALUES ('block', 'a', '/'), ('allow', 'b', '/') AS r(verdict, host, path)")
+    plan = filter_urls(pages, rules)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
