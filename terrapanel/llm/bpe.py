@@ -23,7 +23,6 @@ import sys
 import unicodedata
 from array import array
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,8 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Entries after which a worker's cache of encoded chunks is emptied.
-CACHE_ENTRIES = 100_000
+#: Entries of a worker's caches before the older half is given up.
+CACHE_ENTRIES = 150_000
+#: Bytes of the longest word that is remembered.
+LONGEST_KEPT = 64
 #: Bytes of results after which a batch is handed on.
 OUTPUT_BYTES = 16 << 20
 
@@ -45,6 +46,26 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+class Recent:
+    """The latest entries of a mapping: at least ``entries``, at most twice as many."""
+
+    def __init__(self, entries: int):
+        self.entries, self.new, self.old = entries, {}, {}
+
+    def find(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(key) > LONGEST_KEPT:
+            return
+        if len(self.new) >= self.entries:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class PrefixBpe:
     """A vocabulary with merges by rank and a mark on the last byte of a word.
 
@@ -76,16 +97,56 @@ class PrefixBpe:
             left, right, whole = ids[inner(a)], ids[inner(b)], model["vocab"][a + b]
             self.pairs[left, right] = rank
             self.parts[whole] = rank, left, right
-        self.trie = ahocorasick.Automaton()
-        for text, i in ids.items():
-            if self._reachable(i):  # what is no encoding of its own text ends no prefix
-                self.trie.add_word(text, (len(text), i))
-        self.trie.make_automaton()
-        self.compatible = functools.lru_cache(CACHE_ENTRIES)(self._compatible)
+        # What is no encoding of its own text ends no prefix.
+        self._automaton({text: i for text, i in ids.items() if self._reachable(i)})
+        self.known: dict[int, bool] = {}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.words: dict[str, list[int]] = {}
+        self.words = Recent(CACHE_ENTRIES)
+
+    def _automaton(self, tokens: dict[str, int]) -> None:
+        """Aho-Corasick states: for each the longest token that is a suffix; for each token the next shorter one."""
+        size = max(self.names) + 1
+        self.length, self.shorter = [0] * size, [-1] * size
+        self.edges: dict[int, int] = {}
+        self.fail, self.longest, below = [0], [-1], [[]]
+        for text, i in tokens.items():
+            state = 0
+            for c in map(ord, text):
+                to = self.edges.get(state << 9 | c)
+                if to is None:
+                    to = self.edges[state << 9 | c] = len(self.fail)
+                    self.fail.append(0)
+                    self.longest.append(-1)
+                    below.append([])
+                    below[state].append((c, to))
+                state = to
+            self.longest[state] = i
+            self.length[i] = len(text)
+        self.steps: dict[int, int] = {}
+        level = [to for _, to in below[0]]
+        while level:
+            for state in level:
+                for c, to in below[state]:
+                    self.fail[to] = self._step(self.fail[state], c)
+                suffix = self.longest[self.fail[state]]
+                if self.longest[state] < 0:
+                    self.longest[state] = suffix
+                else:
+                    self.shorter[self.longest[state]] = suffix
+            level = [to for state in level for _, to in below[state]]
+        self.steps.clear()
+
+    def _step(self, state: int, c: int) -> int:
+        """The state for the longest suffix that continues with c; remembered."""
+        at = state
+        while (to := self.edges.get(at << 9 | c)) is None and at:
+            at = self.fail[at]
+        if len(self.steps) > 2 * CACHE_ENTRIES:
+            self.steps.clear()
+        self.steps[state << 9 | c] = to = to or 0
+        return to
 
     def _reachable(self, token: int) -> bool:
         """Whether the token's text is encoded as that token."""
@@ -118,22 +179,45 @@ class PrefixBpe:
             else:
                 end_b, b = rank_b, left_b
 
-    def encode_word(self, word: str) -> list[int]:
+    def _test(self, a: int, b: int) -> bool:
+        if len(self.known) > 2 * CACHE_ENTRIES:
+            self.known.clear()
+        found = self.known[a << 20 | b] = self._compatible(a, b)
+        return found
+
+    def encode_word(self, word: bytes) -> list[int]:
         """Ids of one piece of normalised text."""
-        raw = word.encode()
-        text = raw[:-1].decode("latin-1") + chr(raw[-1] + self.mark)
-        last: list[tuple[int, int]] = [(-1, 0)] * len(text)  # of each prefix: its last token and that token's length
-        for end, (length, token) in self.trie.iter(text):
-            start = end - length
-            if last[end][0] < 0 and (start < 0 or (last[start][0] >= 0 and self.compatible(last[start][0], token))):
-                last[end] = token, length
-        ids, at = [], len(text) - 1
+        steps, longest, length, shorter, known = self.steps, self.longest, self.length, self.shorter, self.known
+        last: list[int] = []  # of each prefix
+        state, final = 0, len(word) - 1
+        for end, c in enumerate(word):
+            if end == final:
+                c += self.mark
+            to = steps.get(state << 9 | c)
+            state = self._step(state, c) if to is None else to
+            token = longest[state]
+            start = end - length[token]
+            while start >= 0:
+                a = last[start]
+                fits = known.get(a << 20 | token)
+                if self._test(a, token) if fits is None else fits:
+                    break
+                token = shorter[token]
+                start = end - length[token]
+            last.append(token)
+        ids, at = [], final
         while at >= 0:
-            token, length = last[at]
-            ids.append(token)
-            at -= length
+            ids.append(last[at])
+            at -= length[last[at]]
         return ids[::-1]
 
+    def _word(self, word: bytes) -> list[int]:
+        found = self.words.find(word)
+        if found is None:
+            found = self.encode_word(word)
+            self.words.keep(word, found)
+        return found
+
     def split(self, text: str) -> list[str]:
         """The normalised pieces of a text; letters beyond the Latin ones by the library's own Unicode tables."""
         if not text or max(text) < "\u0250":
@@ -143,19 +227,16 @@ class PrefixBpe:
 
     def encode_chunk(self, chunk: bytes) -> list[int]:
         """Ids of a text without ASCII white space."""
+        if chunk.isalpha():
+            return self._word(chunk.lower())
         text = chunk.decode()
         ids: list[int] = []
-        for n, part in enumerate(self.added_pattern.split(text) if self.added_pattern else [text]):
+        for n, part in enumerate(self.added_pattern.split(text) if self.added_pattern and "<" in text else [text]):
             if n % 2:
                 ids.append(self.added[part])
-                continue
-            for word in self.split(part):
-                found = self.words.get(word)
-                if found is None:
-                    if len(self.words) >= CACHE_ENTRIES:
-                        self.words.clear()
-                    found = self.words[word] = self.encode_word(word)
-                ids += found
+            else:
+                for word in self.split(part):
+                    ids += self._word(word.encode())
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -173,20 +254,23 @@ def vocabulary(path: str) -> PrefixBpe:
 
 
 class _Chunks(dict):
-    """From a chunk's bytes to its packed ids and its decoded bytes."""
+    """From a chunk's bytes to its packed ids and its decoded bytes; the latest entries, as in Recent."""
 
     def __init__(self, bpe: PrefixBpe):
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = self.bpe.encode_chunk(chunk)
-        packed = array("I", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        found = packed.tobytes(), self.bpe.decode(ids).encode()
-        if len(chunk) <= 64:
+        found = self.older.get(chunk)
+        if found is None:
+            ids = self.bpe.encode_chunk(chunk)
+            packed = array("I", ids)
+            if sys.byteorder == "big":
+                packed.byteswap()
+            found = packed.tobytes(), self.bpe.decode(ids).encode()
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = found
         return found
 
