@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.bpe import encode_texts
 from terrapanel.llm.exact_dedup import exact_dedup
+from terrapanel.llm.language_id import fit_languages, label_languages
 from terrapanel.llm.licenses import scan_licenses
+from terrapanel.llm.samples import fold
 from terrapanel.llm.simhash import near_duplicates
+from terrapanel.llm.toxicity import fit_toxicity, score_toxicity
 from terrapanel.llm.url_filter import filter_urls
 
 
@@ -36,6 +39,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    model = fit_languages(docs.where(~held_out), "doc_id", "text", "lang")
+    found = label_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "runs")
+
+
 URL_RULES = """
 SELECT * FROM VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
                      ('block', 'example.net', '/de/8'), ('block', 'org', '/es/') AS rules(verdict, host, path)
@@ -98,13 +109,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    labels = _read(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
+    model = fit_toxicity(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_language_id": op2_language_id,
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_bpe": op6_bpe,
         "op9_simhash": op9_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 
