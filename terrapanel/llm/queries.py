@@ -12,6 +12,7 @@ from terrapanel.llm.bpe import encode_texts
 from terrapanel.llm.exact_dedup import exact_dedup
 from terrapanel.llm.language_id import fit_languages, label_languages
 from terrapanel.llm.licenses import scan_licenses
+from terrapanel.llm.media import store_texts
 from terrapanel.llm.samples import fold
 from terrapanel.llm.simhash import near_duplicates
 from terrapanel.llm.toxicity import fit_toxicity, score_toxicity
@@ -105,6 +106,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_texts(_read(spark, sf_dir, "documents", "doc_id", "text"), read_back=True)
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -125,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_bpe": op6_bpe,
+        "op8_media": op8_media,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
     }
