@@ -13,6 +13,7 @@ from terrapanel.llm.exact_dedup import exact_dedup
 from terrapanel.llm.language_id import fit_languages, label_languages
 from terrapanel.llm.licenses import scan_licenses
 from terrapanel.llm.media import store_texts
+from terrapanel.llm.mixing import Mix, count_words, mix_sources
 from terrapanel.llm.samples import fold
 from terrapanel.llm.simhash import near_duplicates
 from terrapanel.llm.toxicity import fit_toxicity, score_toxicity
@@ -94,6 +95,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+#: Which sources make up a domain; others are "other".
+DOMAINS = {f"src{n}": ("web", "news", "books", "reference")[n // 5] for n in range(20)}
+MIX = Mix(
+    budget=0.6,
+    domain={"web": 0.4, "news": 0.2, "books": 0.3, "reference": 0.1},
+    lang={"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+    source={"src0": 2.0},
+    max_epochs=2.0,
+    seed=17,
+)
+
+
+def domain_of(source: F.Column) -> F.Column:
+    names = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
+    return F.coalesce(names[F.coalesce(source, F.lit(""))], F.lit("other"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    taken = mix_sources(docs, MIX, domain_of(F.col("source")))
+    return taken.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__epoch").alias("epoch"), count_words(F.col("text")).alias("n_tokens"))
+
+
 #: Files come with the environment and are read where they are.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -139,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_mixing": op5_mixing,
         "op6_bpe": op6_bpe,
         "op8_media": op8_media,
         "op9_simhash": op9_simhash,
