@@ -152,7 +152,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     held_out = fold("doc_id", 5) == 0
     labels = _read(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
-    model = fit_toxicity(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    model = fit_toxicity(docs, labels)
     found = score_toxicity(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
+from terrapanel.llm.linear import logistic, sigmoid
 from terrapanel.llm.samples import LONGEST_TRAINING_TEXT, by_label
 
 TEXTS_PER_LABEL = 1500
@@ -62,38 +63,32 @@ class ToxicityModel:
     offset: float
 
     def score(self, summary: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(summary @ self.slope + self.offset)))
+        return sigmoid(summary @ self.slope + self.offset)
 
 
 def summaries(marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of each text: the largest marginal, the log of their sum, and their share of the words."""
+    """Of each text: the largest marginal; of the words in spans, the log of the marginals' sum and their share.
+
+    Words outside of spans don't add up, so a text is not toxic for being long.
+    """
     out = np.zeros((len(lengths), 3))
     some = np.flatnonzero(lengths > 0)
     if len(some):
         starts = (np.cumsum(lengths) - lengths)[some]
-        total = np.add.reduceat(marginal, starts)
+        total = np.add.reduceat(np.where(marginal >= SPAN_MARGINAL, marginal, 0.0), starts)
         out[some] = np.stack([np.maximum.reduceat(marginal, starts), np.log1p(total), total / lengths[some]], axis=1)
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method."""
-    z = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (y - p) - 0.01 * w
-        w += np.linalg.solve((z.T * (p * (1 - p))) @ z + 0.01 * np.eye(len(w)), grad)
-    return w[:-1], float(w[-1])
-
-
-def fit_toxicity(labelled: DataFrame, id_col: str, text_col: str, toxic_col: str, texts_per_label: int = TEXTS_PER_LABEL) -> ToxicityModel:
-    """A model from (id, text, toxic) rows; nulls are not learned from."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(toxic_col) != 0).cast("int").alias("toxic"))
-    rows = rows.where(F.length("text").between(1, LONGEST_TRAINING_TEXT))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", texts_per_label: int = TEXTS_PER_LABEL) -> ToxicityModel:
+    """A model from texts and the labels of some of them; null labels are not learned from."""
+    marks = labels.select(F.col(id_col).alias("id"), (F.col(toxic_col) != 0).cast("int").alias("toxic"))
+    chosen = by_label(marks, "toxic", "id", texts_per_label).dropDuplicates(["id"])  # bounded, so it can be broadcast
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, LONGEST_TRAINING_TEXT))
+    rows = rows.join(F.broadcast(chosen), "id")
     shared: dict[bytes, bytes] = {}  # one copy of each word
     sample = []
-    for r in by_label(rows, "toxic", "id", texts_per_label).toLocalIterator():
+    for r in rows.toLocalIterator():
         sample.append((r.id, r.toxic, [shared.setdefault(w, w) for w in words_of(r.text.encode())]))
     sample.sort(key=lambda x: (x[0] is None, x[0], x[2]))
     toxic = np.array([t for _, t, _ in sample], bool)
@@ -123,7 +118,7 @@ def fit_toxicity(labelled: DataFrame, id_col: str, text_col: str, toxic_col: str
     if len(set(toxic[learn])) < 2 or len(set(toxic[held])) < 2:
         held, learn = np.arange(len(texts)), np.ones(len(texts), bool)
     model = fit(learn)
-    slope, offset = _logistic(summary(model, held), toxic[held].astype(float))
+    slope, offset = logistic(summary(model, held), toxic[held].astype(float))
     return ToxicityModel(model, slope, offset)
 
 
