@@ -14,6 +14,7 @@ from terrapanel.llm.language_id import fit_languages, label_languages
 from terrapanel.llm.licenses import scan_licenses
 from terrapanel.llm.media import store_texts
 from terrapanel.llm.mixing import Mix, count_words, mix_sources
+from terrapanel.llm.quality import fit_quality, score_quality
 from terrapanel.llm.samples import fold
 from terrapanel.llm.simhash import near_duplicates
 from terrapanel.llm.toxicity import fit_toxicity, score_toxicity
@@ -130,6 +131,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "n_chars")
+    held_out = fold("doc_id", 5) == 0
+    labels = _read(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out)
+    found = score_quality(docs, fit_quality(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(_read(spark, sf_dir, "documents", "doc_id", "text"), read_back=True)
     return stored.select(
@@ -157,6 +166,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -165,9 +180,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
         "op6_bpe": op6_bpe,
+        "op7_quality": op7_quality,
         "op8_media": op8_media,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
