@@ -67,23 +67,37 @@ def payload_of(frames: list[jpeg.Frame | None]) -> bytes | None:
     return b"".join(out) if out else None
 
 
-def tensor_of(frames: list[jpeg.Frame | None]) -> np.ndarray | None:
-    """(height, width, 3) bytes; images of one payload stand one below the other."""
-    if not frames or any(f is None for f in frames) or len({f.width for f in frames}) > 1:
-        return None
-    return np.concatenate([jpeg.to_rgb(f) for f in frames])
+def tensors_of(media: list[list[jpeg.Frame | None]]) -> list[np.ndarray | None]:
+    """(height, width, 3) bytes of each; images of one payload stand one below the other."""
+    tensors = iter(jpeg.to_rgb([f for frames in media for f in frames]))
+    out: list[np.ndarray | None] = []
+    for frames in media:
+        own = [next(tensors) for _ in frames]
+        readable = own and all(t is not None for t in own) and len({t.shape[1] for t in own}) == 1
+        out.append((own[0] if len(own) == 1 else np.concatenate(own)) if readable else None)
+    return out
 
 
-def feature_of(rgb: np.ndarray) -> str:
+def features_of(tensors: list[np.ndarray | None]) -> list[str | None]:
     """Mean red, green and blue, and an average hash of 8 x 8 fields' brightness; made of whole numbers only."""
-    height, width = rgb.shape[:2]
-    mean = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // (height * width)
-    bright = rgb.sum(axis=2, dtype=np.int64)
-    rows, columns = np.arange(8) * height // 8, np.arange(8) * width // 8
-    fields = np.add.reduceat(np.add.reduceat(bright, rows, axis=0), columns, axis=1)
-    area = np.outer(np.maximum(1, np.diff(np.append(rows, height))), np.maximum(1, np.diff(np.append(columns, width))))
-    bits = np.packbits((fields // area * 3 * 1000 > mean.sum() * 3).reshape(-1))
-    return ",".join(f"{m / 1000:.3f}" for m in mean) + ":" + bits.tobytes().hex()
+    groups: dict[tuple, list[int]] = {}
+    for n, t in enumerate(tensors):
+        if t is not None:
+            groups.setdefault(t.shape, []).append(n)
+    out: list[str | None] = [None] * len(tensors)
+    for (height, width, _), members in groups.items():
+        rows, columns = np.arange(8) * height // 8, np.arange(8) * width // 8
+        area = np.outer(np.maximum(1, np.diff(np.append(rows, height))), np.maximum(1, np.diff(np.append(columns, width))))
+        for at in range(0, len(members), 64):
+            own = members[at : at + 64]
+            rgb = np.stack([tensors[n] for n in own])
+            by_row = np.add.reduceat(rgb, rows, axis=1, dtype=np.int64)
+            fields = np.add.reduceat(by_row, columns, axis=2).sum(axis=3)
+            mean = rgb.reshape(len(own), -1, 3).sum(axis=1, dtype=np.int64) * 1000 // (height * width)
+            bits = np.packbits((fields // area * 1000 > mean.sum(axis=1)[:, None, None]).reshape(len(own), -1), axis=1)
+            for n, m, b in zip(own, mean.tolist(), bits, strict=True):
+                out[n] = ",".join(f"{x / 1000:.3f}" for x in m) + ":" + b.tobytes().hex()
+    return out
 
 
 def _grouped(sizes, most: int):
@@ -124,15 +138,16 @@ _READ_FIELDS = [
 
 
 def _read_columns(media: list[bytes | None], tensors: bool) -> list[pa.Array]:
-    payload, height, width, feature, rgb = [], [], [], [], []
-    for frames in _read(media):
-        tensor = tensor_of(frames)
-        payload.append(payload_of(frames))
-        height.append(None if tensor is None else tensor.shape[0])
-        width.append(None if tensor is None else tensor.shape[1])
-        feature.append(None if tensor is None else feature_of(tensor))
-        rgb.append(tensor.tobytes() if tensors and tensor is not None else None)
-    return [pa.array(payload, pa.binary()), pa.array(height, pa.int32()), pa.array(width, pa.int32()), pa.array(feature, pa.string()), pa.array(rgb, pa.binary())]
+    frames = _read(media)
+    rgb = tensors_of(frames)
+    size = lambda axis: pa.array([None if t is None else t.shape[axis] for t in rgb], pa.int32())
+    return [
+        pa.array([payload_of(f) for f in frames], pa.binary()),
+        size(0),
+        size(1),
+        pa.array(features_of(rgb), pa.string()),
+        pa.array([t.tobytes() if tensors and t is not None else None for t in rgb], pa.binary()),
+    ]
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", read_back: bool = False) -> DataFrame:

@@ -137,10 +137,38 @@ def _dc_first(blocks: np.ndarray, firsts: np.ndarray, component: np.ndarray, low
     return codes[size] << size.astype(np.uint64) | extra.astype(np.uint64), lengths[size] + size, np.full(len(value), n)
 
 
+def _joined(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each two columns as one item."""
+    if codes.shape[1] % 2:
+        codes, lengths = np.pad(codes, ((0, 0), (0, 1))), np.pad(lengths, ((0, 0), (0, 1)))
+    return codes[:, ::2] << lengths[:, 1::2].astype(np.uint64) | codes[:, 1::2], lengths[:, ::2] + lengths[:, 1::2]
+
+
+@functools.cache
+def _without_run() -> tuple[np.ndarray, np.ndarray]:
+    """Code and length of each value, from -1023 to 1023, that follows another one."""
+    codes, lengths = _canonical(*AC_TABLE)
+    value = np.arange(-1023, 1024)
+    size = SIZE_OF[np.abs(value)]
+    extra = np.where(value < 0, (1 << size) - 1 + value, value)
+    return codes[size] << size.astype(np.uint64) | extra.astype(np.uint64), lengths[size] + size
+
+
 def _ac_first(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, lengths = _canonical(*AC_TABLE)
     n, width = band.shape
     size_of = np.abs(band) >> low
+    filled = np.count_nonzero(size_of, axis=1)
+    full = filled == width
+    if (full | (filled == 0)).all():
+        value = np.where(band[full] < 0, -size_of[full], size_of[full]) + 1023
+        code, length = _without_run()
+        code, length = _joined(code[value], length[value])
+        items = np.where(full, code.shape[1], 1)
+        dense = np.repeat(full, items)
+        out, out_length = np.full(items.sum(), codes[0]), np.full(items.sum(), lengths[0])
+        out[dense], out_length[dense] = code.reshape(-1), length.reshape(-1)
+        return out, out_length, items
     row, column = np.nonzero(size_of)
     value = size_of[row, column]
     first = np.ones(len(row), bool)
@@ -170,7 +198,29 @@ def _ac_refine(band: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.n
     """Events (a newly nonzero value, 16 zeros, the end of a block), each followed by the bits of older values that it passes."""
     codes, lengths = _canonical(*AC_TABLE)
     n, width = band.shape
-    value = (np.abs(band) >> low).reshape(-1)
+    value = np.abs(band) >> low
+    if not (value == 1).any():
+        # No value is new: each block ends at once, and the bits of its older values follow.
+        old = value > 1
+        count = np.count_nonzero(old, axis=1)
+        groups = -(-count // 16)
+        items = groups + 1
+        start = np.cumsum(items) - items
+        out, out_length = np.zeros(items.sum(), np.uint64), np.full(items.sum(), 16)
+        out[start], out_length[start] = codes[0], lengths[0]
+        bits = np.zeros((n, -(-width // 16) * 16), bool)
+        bits[np.arange(bits.shape[1]) < count[:, None]] = (value & 1)[old]
+        packed = np.packbits(bits, axis=1).view(">u2")
+        place = np.arange(packed.shape[1]) < groups[:, None]
+        rest = np.ones(len(out), bool)
+        rest[start] = False
+        out[rest] = packed[place]
+        some = count % 16 > 0
+        at = (start + groups)[some]
+        out[at] >>= (16 - count[some] % 16).astype(np.uint64)
+        out_length[at] = count[some] % 16
+        return out, out_length, items
+    value = value.reshape(-1)
     old = np.flatnonzero(value > 1)
     new = np.flatnonzero(value == 1)
     zero = np.flatnonzero(value == 0)
@@ -213,7 +263,7 @@ def encode(frames: list[Frame]) -> list[bytes]:
         return []
     places = [geometry(f.width, f.height, f.sampling) for f in frames]
     base = np.cumsum([0, *(len(f.blocks) for f in frames)])
-    blocks = np.concatenate([f.blocks for f in frames]).astype(np.int64)
+    blocks = np.concatenate([f.blocks for f in frames]).astype(np.int32)
     parts: list[list[bytes]] = []
     for f in frames:
         sof = struct.pack(">BHHB", 8, f.height, f.width, len(f.sampling)) + b"".join(bytes([c + 1, h << 4 | v, c]) for c, (h, v) in enumerate(f.sampling))
@@ -593,29 +643,68 @@ _BASIS = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np
 
 def inverse_transform(blocks: np.ndarray, quant: np.ndarray) -> np.ndarray:
     """8 x 8 samples of 0-255 of each block; added up in a fixed order, so equal blocks give equal samples."""
-    natural = np.zeros((len(blocks), 64), np.float32)
-    natural[:, ZIGZAG] = blocks * quant.astype(np.float32)
-    by_row = natural.reshape(-1, 8, 8)
-    half = sum(by_row[:, :, u, None] * _BASIS[u] for u in range(8))
-    full = sum(half[:, v, None, :] * _BASIS[v][:, None] for v in range(8))
-    return np.clip(np.rint(full + np.float32(128)), 0, 255).astype(np.uint8)
+    # Frequencies come first and blocks last, so that each step works on long rows.
+    natural = np.empty((64, len(blocks)), np.float32)
+    natural[ZIGZAG] = (blocks * quant).T
+    by_row = natural.reshape(8, 8, -1)
+    half = np.zeros((8, 8, len(blocks)), np.float32)  # vertical frequency, column
+    full = np.zeros((8, 8, len(blocks)), np.float32)
+    for u in range(8):
+        for x in range(8):
+            half[:, x] += by_row[:, u] * _BASIS[u, x]
+    for v in range(8):
+        for y in range(8):
+            full[y] += half[v] * _BASIS[v, y]
+    full += np.float32(128)
+    np.rint(full, out=full)
+    return np.ascontiguousarray(np.clip(full, 0, 255).astype(np.uint8).reshape(64, -1).T).reshape(-1, 8, 8)
+
+
+def _plane(samples: np.ndarray, place: Geometry, c: int, sampling: tuple[int, int], height: int, width: int) -> np.ndarray:
+    """Images x rows x columns of a component, at the size of the image."""
+    rows, columns = place.grid[c]
+    plane = samples.reshape(-1, rows, columns, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, rows * 8, columns * 8)
+    for axis, (own, most) in ((2, (sampling[0], place.hmax)), (1, (sampling[1], place.vmax))):
+        if most % own == 0:
+            plane = np.repeat(plane, most // own, axis=axis) if most > own else plane
+        else:
+            plane = np.take(plane, np.arange(plane.shape[axis] * most // own) * own // most, axis=axis)
+    return plane[:, :height, :width]
 
 
-def to_rgb(frame: Frame) -> np.ndarray:
-    """The full-resolution tensor (height, width, 3); chroma is repeated up to the size of luma."""
-    place = geometry(frame.width, frame.height, frame.sampling)
+def stack_to_rgb(frames: list[Frame]) -> np.ndarray:
+    """Tensors (image, height, width, 3) of frames of one size and sampling; chroma is repeated up to the size of luma."""
+    first = frames[0]
+    place = geometry(first.width, first.height, first.sampling)
     planes = []
-    for c, ((h, v), (rows, columns)) in enumerate(zip(frame.sampling, place.grid, strict=True)):
-        samples = inverse_transform(frame.blocks[place.base[c] : place.base[c + 1]], frame.quant[c])
-        plane = samples.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
-        y = np.arange(frame.height) * v // place.vmax
-        x = np.arange(frame.width) * h // place.hmax
-        planes.append(plane if (h, v) == (place.hmax, place.vmax) and plane.shape == (frame.height, frame.width) else plane[y][:, x])
+    for c, sampling in enumerate(first.sampling):
+        own = slice(place.base[c], place.base[c + 1])
+        blocks = np.stack([f.blocks[own] for f in frames])
+        quant = np.stack([f.quant[c] for f in frames])[:, None, :]
+        planes.append(_plane(inverse_transform((blocks * quant).reshape(-1, 64), np.ones(64)), place, c, sampling, first.height, first.width))
     if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, axis=2)
-    y, cb, cr = planes[0].astype(np.int32), planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+        return np.repeat(planes[0][..., None], 3, axis=3)
+    y, cb, cr = (p.astype(np.int32) for p in planes)
+    cb -= 128
+    cr -= 128
     out = np.empty((*y.shape, 3), np.uint8)
-    out[:, :, 0] = np.clip(y + ((91881 * cr + 32768) >> 16), 0, 255)
-    out[:, :, 1] = np.clip(y - ((22554 * cb + 46802 * cr + 32768) >> 16), 0, 255)
-    out[:, :, 2] = np.clip(y + ((116130 * cb + 32768) >> 16), 0, 255)
+    out[..., 0] = np.clip(y + ((91881 * cr + 32768) >> 16), 0, 255)
+    out[..., 1] = np.clip(y - ((22554 * cb + 46802 * cr + 32768) >> 16), 0, 255)
+    out[..., 2] = np.clip(y + ((116130 * cb + 32768) >> 16), 0, 255)
+    return out
+
+
+def to_rgb(frames: list[Frame | None], most: int = 1 << 22) -> list[np.ndarray | None]:
+    """The full-resolution tensor (height, width, 3) of each frame; frames of one size are transformed together, up to ``most`` pixels."""
+    groups: dict[tuple, list[int]] = {}
+    for n, f in enumerate(frames):
+        if f is not None:
+            groups.setdefault((f.width, f.height, f.sampling), []).append(n)
+    out: list[np.ndarray | None] = [None] * len(frames)
+    for (width, height, _), members in groups.items():
+        step = max(1, most // (width * height))
+        for at in range(0, len(members), step):
+            own = members[at : at + step]
+            for n, tensor in zip(own, stack_to_rgb([frames[n] for n in own]), strict=True):
+                out[n] = tensor
     return out

@@ -5,7 +5,7 @@ import numpy as np
 
 from terrapanel.llm import media
 from terrapanel.llm import progressive_jpeg as jpeg
-from terrapanel.llm.media import decode_media, feature_of, frames_of, padded, payload_of, store_texts, tensor_of
+from terrapanel.llm.media import decode_media, features_of, frames_of, padded, payload_of, store_texts, tensors_of
 
 SCHEMA = "doc_id long, text string, payload string, rgb int"
 
@@ -37,8 +37,8 @@ def test_what_is_stored_does_not_depend_on_its_neighbours():
     raw = [(t or "").encode() for t in texts()[:40]]
     together = media._store(raw)
     assert together == [media._store([t])[0] for t in raw]
-    alone = [feature_of(tensor_of(media._read([m])[0])) for m in together]
-    assert alone == [feature_of(tensor_of(f)) for f in media._read(together)]
+    alone = [features_of(tensors_of(media._read([m])))[0] for m in together]
+    assert alone == features_of(tensors_of(media._read(together)))
 
 
 def test_unreadable_media_and_empty_tables(spark):
@@ -94,7 +94,7 @@ def test_a_flat_colour_is_that_colour():
     blocks = np.zeros((int(place.base[-1]), 64), np.int64)
     blocks[: place.base[1], 0], blocks[place.base[1] : place.base[2], 0], blocks[place.base[2] :, 0] = (100 - 128) * 8, (90 - 128) * 8, (200 - 128) * 8
     frame = jpeg.decode(jpeg.encode([jpeg.Frame(20, 10, ((2, 2), (1, 1), (1, 1)), blocks)]))[0]
-    rgb = jpeg.to_rgb(frame)
+    rgb = jpeg.to_rgb([frame])[0]
     assert rgb.shape == (10, 20, 3)
     assert np.abs(rgb[0, 0].astype(int) - [100 + 1.402 * 72, 100 - 0.344136 * -38 - 0.714136 * 72, 100 + 1.772 * -38]).max() <= 1
 
