@@ -1 +1 @@
-
+"""Operators over DataFrames: relational, panel, spatial, raster, statistics, splits, scoring."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PANEL_SQL = """panel AS (
+  SELECT o_custkey AS unit_id, CAST(year(o_orderdate) AS INT) AS year, avg(o_totalprice) AS value, CAST(count(*) AS BIGINT) AS n
+  FROM orders GROUP BY 1, 2)"""
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units (customers) by years: mean order value and number of orders."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(F.col("o_custkey").alias("unit_id"), F.year("o_orderdate").alias("year")).agg(F.avg("o_totalprice").alias("value"), F.count("*").alias("n"))
+
+
 def _load() -> None:
-    from terrapanel.plans import panel_queries  # noqa: F401
+    from terrapanel.plans import aggregates, columns, joins, sampling, spatial, statistics, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1 +1 @@
-
+"""Streaming forms of batch operators."""
