@@ -7,10 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _shares(bins: int) -> Column:
+    return F.array(*[F.lit(k / bins) for k in range(bins + 1)])
+
+
 def quantile_edges(c: str | Column, bins: int) -> Column:
     """Aggregate: the bins + 1 linearly interpolated quantiles, repeated ones once."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    return F.array_distinct(F.percentile(c, shares))
+    return F.array_distinct(F.percentile(c, _shares(bins)))
 
 
 def inner(edges: Column) -> Column:
@@ -43,8 +46,8 @@ def qcut(df: DataFrame, value: str, bins: int, by: list[str] | None = None, name
 
 def qcut_window(df: DataFrame, value: str, bins: int, by: list[str], name: str = "bin") -> DataFrame:
     """As qcut, by a window; for groups that are small."""
-    edges = quantile_edges(value, bins).over(W.partitionBy(*by))
-    return df.withColumn("__edges", edges).withColumn(name, right_closed(F.col(value), F.col("__edges"))).drop("__edges")
+    edges = F.percentile(value, _shares(bins)).over(W.partitionBy(*by))
+    return df.withColumn("__edges", F.array_distinct(edges)).withColumn(name, right_closed(F.col(value), F.col("__edges"))).drop("__edges")
 
 
 def cut_stretched(x: Column, edges: Column) -> Column:

@@ -19,7 +19,9 @@ _lgamma = np.vectorize(math.lgamma, otypes=[float])
 @F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """P(|N| > |z|); null for null."""
-    return pd.Series(np.where(z.isna(), np.nan, _erfc(np.abs(z.fillna(0.0)) / math.sqrt(2)))).where(z.notna())
+    value = z.to_numpy(float, na_value=np.nan)
+    known = ~np.isnan(value)
+    return pd.Series(_erfc(np.abs(np.where(known, value, 0.0)) / math.sqrt(2))).where(known)
 
 
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -91,7 +93,7 @@ def gb2_ppf(u, c, p, q, b) -> np.ndarray:
 def _udf(f):
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, c: pd.Series, p: pd.Series, q: pd.Series, b: pd.Series) -> pd.Series:
-        args = [s.to_numpy(float) for s in (x, c, p, q, b)]
+        args = [s.to_numpy(float, na_value=np.nan) for s in (x, c, p, q, b)]
         ok = ~np.isnan(np.stack(args)).any(axis=0)
         out = np.full(len(x), np.nan)
         if ok.any():

@@ -103,5 +103,5 @@ def test_special_functions(spark):
     c, p, q, b, _ = special.fit_gb2(50 * (grid / (1 - grid)) ** (1 / 3))
     assert special.gb2_ppf(np.array([0.1, 0.5, 0.9]), c, p, q, b) == pytest.approx(50 * (np.array([1 / 9, 1, 9])) ** (1 / 3), rel=0.01)
     special.register(spark)
-    row = spark.sql("select two_sided_p(1.959963984540054) as p, gb2_cdf(7D, 3D, 1D, 1D, 7D) as c, two_sided_p(null) as n").first()
+    row = spark.sql("select two_sided_p(1.959963984540054) as p, gb2_cdf(7D, 3D, 1D, 1D, 7D) as c, two_sided_p(cast(null as double)) as n").first()
     assert (row.p, row.c, row.n) == (pytest.approx(0.05), pytest.approx(0.5), None)
