@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrapanel.functions.quantiles import group_quantiles
+
 
 def _shares(bins: int) -> Column:
     return F.array(*[F.lit(k / bins) for k in range(bins + 1)])
 
 
 def quantile_edges(c: str | Column, bins: int) -> Column:
-    """Aggregate: the bins + 1 linearly interpolated quantiles, repeated ones once."""
+    """Aggregate: the bins + 1 linearly interpolated quantiles, repeated ones once; for groups that fit into a task."""
     return F.array_distinct(F.percentile(c, _shares(bins)))
 
 
@@ -33,14 +35,11 @@ def left_closed(x: Column, edges: Column) -> Column:
 def qcut(df: DataFrame, value: str, bins: int, by: list[str] | None = None, name: str = "bin") -> DataFrame:
     """Quantile bins of a value within groups (or over all rows).
 
-    Edges are a small aggregate that is joined back, so no group has to be
-    sorted in one task; NULL values get no bin.
+    Edges are a small table that is joined back; it comes from bucket counts,
+    so no group has to fit into one task.  NULL values get no bin.
     """
-    if by:
-        edges = df.groupBy(*by).agg(quantile_edges(value, bins).alias("__edges"))
-        joined = df.join(edges, by)
-    else:
-        joined = df.crossJoin(F.broadcast(df.agg(quantile_edges(value, bins).alias("__edges"))))  # one row
+    quantiles = group_quantiles(df, value, [k / bins for k in range(bins + 1)], by or (), "__edges").withColumn("__edges", F.array_distinct("__edges"))
+    joined = df.join(quantiles, by, "left") if by else df.join(F.broadcast(quantiles), F.lit(True), "left")  # one row
     return joined.withColumn(name, right_closed(F.col(value), F.col("__edges"))).drop("__edges")
 
 

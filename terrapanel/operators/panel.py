@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import log_positive, ratio
+from terrapanel.functions.quantiles import group_quantiles
 from terrapanel.functions.special import Z_95
 
 #: 90 % margins of error to standard errors.
@@ -76,7 +77,7 @@ def before_and_after(df: DataFrame, unit: str, year: str, value: str, event: str
 
 def winsorise(df: DataFrame, value: str, by: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values beyond the group's quantiles become those quantiles; the quantiles are a small aggregate."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = group_quantiles(df, value, [low, high], by, "__q")
     bounded = F.greatest(F.least(F.col(value), F.col("__q")[1]), F.col("__q")[0])
     return df.join(q, by).withColumn(value, bounded).drop("__q")
 

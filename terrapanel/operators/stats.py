@@ -113,13 +113,14 @@ def group_time_effects(df: DataFrame, unit: str, time: str, outcome: str, group:
     periods = df.select(time).distinct()
     before = periods.alias("p").join(periods.alias("q"), F.col(f"q.{time}") < F.col(f"p.{time}")).groupBy(F.col(f"p.{time}").alias("t")).agg(F.max(f"q.{time}").alias("prev"))
     groups = df.where(F.col(group) > 0).select(F.col(group).alias("g")).distinct()
-    g_base = groups.join(F.broadcast(periods), F.col(time) < F.col("g")).groupBy("g").agg(F.max(time).alias("g_base"))
-    cells = g_base.join(F.broadcast(before), F.lit(True)).withColumn("base", F.when(F.col("t") >= F.col("g"), F.col("g_base")).otherwise(F.col("prev"))).select("g", "t", "base")
+    # Periods and groups are the few distinct values of two columns; Spark picks the join by their size.
+    g_base = groups.join(periods, F.col(time) < F.col("g")).groupBy("g").agg(F.max(time).alias("g_base"))
+    cells = g_base.crossJoin(before).withColumn("base", F.when(F.col("t") >= F.col("g"), F.col("g_base")).otherwise(F.col("prev"))).select("g", "t", "base")
     own = df.select(F.col(unit).alias("u"), F.col(time).alias("time"), F.col(outcome).alias("y"), F.col(group).alias("grp"))
     now, then = own.alias("n"), own.alias("b")
     steps = cells.select("t", "base").distinct()
     change = (
-        now.join(F.broadcast(steps), F.col("n.time") == F.col("t"))
+        now.join(steps, F.col("n.time") == F.col("t"))
         .join(then, (F.col("n.u") == F.col("b.u")) & (F.col("b.time") == F.col("base")))
         .groupBy("t", "base", F.col("n.grp").alias("grp"))
         .agg(F.avg(F.col("n.y") - F.col("b.y")).alias("d"), F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.bins import histogram_bin
 from terrapanel.functions.moments import excess_kurtosis, r_squared, skew
 from terrapanel.functions.numeric import first_at_or_after
+from terrapanel.functions.quantiles import group_quantiles
 from terrapanel.operators import panel as panel_ops
 from terrapanel.operators import relational, stats
 from terrapanel.plans.registry import PANEL_SQL, panel, register, table
@@ -75,8 +76,8 @@ def a10(spark, d):
 
 @register("A11_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY 1")
 def a11(spark, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.9)))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(q[0], 6).alias("q10"), F.round(q[1], 6).alias("q90"))
+    q = group_quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.1, 0.9], ["l_returnflag"], "q")
+    return q.select("l_returnflag", F.round(F.col("q")[0], 6).alias("q10"), F.round(F.col("q")[1], 6).alias("q90"))
 
 
 @register(
@@ -221,8 +222,8 @@ def a28(spark, d):
 
 @register("A29_year_bands", f"WITH {PANEL_SQL} SELECT year, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS low, round(quantile_cont(value, 0.75), 6) AS high FROM panel GROUP BY 1")
 def a29(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    return panel(spark, d).groupBy("year").agg(F.round(q[0], 6).alias("median"), F.round(q[1], 6).alias("low"), F.round(q[2], 6).alias("high"))
+    q = group_quantiles(panel(spark, d), "value", [0.5, 0.25, 0.75], ["year"], "q")
+    return q.select("year", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(("median", "low", "high"))])
 
 
 @register(

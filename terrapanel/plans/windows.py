@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import bins, ranks
 from terrapanel.functions.numeric import interpolate
+from terrapanel.functions.quantiles import group_quantiles
 from terrapanel.operators import panel as panel_ops
 from terrapanel.operators import relational
 from terrapanel.plans.registry import PANEL_SQL, panel, register, table
@@ -42,7 +43,7 @@ def w2(spark, d):
 def w3(spark, d):
     """Deciles by the edges of another year; outer bins take what lies beyond."""
     p = panel(spark, d)
-    edges = p.where("year = 1996").agg(bins.quantile_edges("value", 10).alias("edges"))  # one row
+    edges = group_quantiles(p.where("year = 1996"), "value", [k / 10 for k in range(11)], name="edges")  # one row
     return p.where("year = 2000").crossJoin(F.broadcast(edges)).select("unit_id", bins.cut_stretched(F.col("value"), F.col("edges")).alias("decile"))
 
 
@@ -53,7 +54,7 @@ def w3(spark, d):
 )
 def w4(spark, d):
     p = panel(spark, d)
-    edges = p.agg(bins.quantile_edges("value", 10).alias("edges"))
+    edges = group_quantiles(p, "value", [k / 10 for k in range(11)], name="edges")
     own = p.crossJoin(F.broadcast(edges)).withColumn("bin", bins.left_closed(F.col("value"), F.col("edges")))
     return own.groupBy("bin").agg(F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"))
 

@@ -61,6 +61,21 @@ def test_qcut_matches_its_definition(spark, values, q):
         assert sorted((r.v, r.bin) for r in out.collect()) == want
 
 
+def test_exact_quantiles_match_numpy(spark):
+    from terrapanel.functions.quantiles import group_quantiles
+
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), np.round(rng.exponential(5, 900), 1), strict=True)] + [(7, 2.0), (8, None), (0, 1e9)]
+    df, shares = spark.createDataFrame(rows, "g int, v double"), [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.g: r.q for r in group_quantiles(df, "v", shares, ["g"], "q").collect()}
+    assert set(got) == {0, 1, 2, 7}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([v for k, v in rows if k == g], shares).tolist())
+    whole = group_quantiles(df, "v", shares).first().quantiles
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], shares).tolist())
+    assert group_quantiles(df.limit(0), "v", shares).count() == 0
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, 3.0), (1, None), (2, 5.0)], "g int, v double")
     want = {(1, 3.0): 2.5, (1, 1.0): 1.0, (1, None): None, (2, 5.0): 1.0}
