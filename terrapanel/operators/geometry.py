@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrapanel.functions.seeded import uniform
+
 RINGS = "array<array<struct<x: double, y: double>>>"
 
 
@@ -260,3 +262,28 @@ def max_overlap(pairs: DataFrame, base_id: str, other_id: str, overlap: str) ->
     """For each base the other one with the largest overlap; ties go to the smaller id."""
     best = F.max_by(F.struct(other_id, overlap), F.struct(F.col(overlap), F.col("__rank")))
     return pairs.withColumn("__rank", -F.col(other_id)).groupBy(base_id).agg(best.alias("__b")).select(base_id, f"__b.{other_id}", f"__b.{overlap}")
+
+
+def square_around(box: dict[str, Column]) -> dict[str, Column]:
+    """The square with the box's centre and its longer side."""
+    half = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"]) / 2
+    cx, cy = (box["minx"] + box["maxx"]) / 2, (box["miny"] + box["maxy"]) / 2
+    return {"minx": cx - half, "miny": cy - half, "maxx": cx + half, "maxy": cy + half}
+
+
+def box_difference_area(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Area of a that is not in b."""
+    return (a["maxx"] - a["minx"]) * (a["maxy"] - a["miny"]) - box_overlap_area(a, b)
+
+
+def random_point(rings: Column, key: Column, seed: int, tries: int = 64) -> Column:
+    """A point {x, y} inside the polygon: the first of ``tries`` seeded points of its box that is; NULL if none is."""
+    box = bounds(rings)
+    draws = F.transform(
+        F.sequence(F.lit(1), F.lit(tries)),
+        lambda i: F.struct(
+            (box["minx"] + (box["maxx"] - box["minx"]) * uniform(seed, key, i, F.lit("x"))).alias("x"),
+            (box["miny"] + (box["maxy"] - box["miny"]) * uniform(seed, key, i, F.lit("y"))).alias("y"),
+        ),
+    )
+    return F.try_element_at(F.filter(draws, lambda p: point_in_rings(p["x"], p["y"], rings)), F.lit(1))

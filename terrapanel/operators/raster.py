@@ -134,3 +134,38 @@ def mosaic(chunks: DataFrame, priority: str) -> DataFrame:
     rest = [c for c in chunks.columns if c not in ("chunk_row", "chunk_col")]
     best = F.max_by(F.struct(*rest), F.struct(F.col(priority), -F.xxhash64("dataset")))
     return chunks.groupBy("chunk_row", "chunk_col").agg(best.alias("b")).select("chunk_row", "chunk_col", "b.*")
+
+
+def tile_position(name: Column) -> tuple[Column, Column]:
+    """Row and column of a tile from a file name such as ``x_R3_C12.tif``."""
+    return F.regexp_extract(name, r"R(\d+)", 1).try_cast("int"), F.regexp_extract(name, r"C(\d+)", 1).try_cast("int")
+
+
+def multi_scale(tiles: list[DataFrame], tile_id: str) -> DataFrame:
+    """Tiles of equal height and width, from windows of several sizes and strides, stacked on the band axis."""
+    out = tiles[0].withColumn("parts", F.array("data")).select(tile_id, "h", "w", F.col("bands").alias("bands0"), "parts")
+    for n, t in enumerate(tiles[1:], 1):
+        own = t.select(tile_id, F.col("h").alias("h1"), F.col("w").alias("w1"), F.col("bands").alias(f"bands{n}"), F.col("data").alias("d1"))
+        out = out.join(own, tile_id).where("h = h1 AND w = w1").withColumn("parts", F.concat("parts", F.array("d1"))).drop("h1", "w1", "d1")
+
+    @F.pandas_udf(T.BinaryType())
+    def stack(parts: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        layers = [[np.frombuffer(p, np.uint8).reshape(a, b, -1) for p in ps] for ps, a, b in zip(parts, h, w, strict=True)]
+        return pd.Series([np.concatenate(x, axis=2).tobytes() for x in layers])
+
+    total = sum((F.col(f"bands{n}") for n in range(1, len(tiles))), F.col("bands0"))
+    return out.select(tile_id, "h", "w", total.cast("int").alias("bands"), stack("parts", "h", "w").alias("data"))
+
+
+def resize_nearest(df: DataFrame, height: int, width: int) -> DataFrame:
+    """Tiles (h, w, bands, data) at another size, by the nearest pixel."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for d, a, b in zip(data, h, w, strict=True):
+            x = np.frombuffer(d, np.uint8).reshape(a, b, -1)
+            out.append(x[np.arange(height) * a // height][:, np.arange(width) * b // width].tobytes())
+        return pd.Series(out)
+
+    return df.withColumn("data", run("data", "h", "w")).withColumns({"h": F.lit(height), "w": F.lit(width)})

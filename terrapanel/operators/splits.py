@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import last_label_wins
-from terrapanel.functions.seeded import weighted_key
+from terrapanel.functions.seeded import order_key, weighted_key
 from terrapanel.operators.geometry import box_distance, spatial_join
 
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -34,8 +35,6 @@ def hold_out(tracts: DataFrame, pairs: DataFrame, id_col: str, stratum: str, wei
     seeds = keyed.select(F.col(id_col).alias("a"), F.col(stratum).alias("stratum"), "__key")
     reach = pairs.join(seeds, "a").join(open_.select(F.col(id_col).alias("b"), F.col(stratum).alias("own")), "b")
     first = reach.where("own = stratum").groupBy("stratum", "b").agg(F.min("__key").alias("__key"))
-    from pyspark.sql import Window as W
-
     need = open_.groupBy(F.col(stratum).alias("stratum")).agg((F.count("*") * share).alias("need"))
     gain = first.groupBy("stratum", "__key").agg(F.count("*").alias("gain"))
     before = F.coalesce(F.sum("gain").over(W.partitionBy("stratum").orderBy("__key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -74,3 +73,26 @@ def building_type(in_test: Column, in_val: Column, touches_held_out: Column, tes
     train = ~touches_held_out & ~test & ~in_val
     rules = [(train, "train"), (test, "test"), (val_spatial, "val_spatial"), (val_time, "val_time")]
     return last_label_wins([*rules, (~test & ~in_val, "dead_zone")] if legacy else rules, "dead_zone")
+
+
+def box_hold_out(tracts: DataFrame, id_col: str, boxes: DataFrame, share: float, seed: int) -> DataFrame:
+    """Ids of tracts in random boxes, taken in a seeded order until they hold the share of all tracts.
+
+    ``boxes`` has box_id, minx, miny, maxx, maxy.  A tract counts with the first
+    box that touches it, so one running sum over the boxes tells where to stop.
+    """
+    own = tracts.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"t_{c}") for c in BOX])
+    placed = boxes.withColumn("__order", order_key(seed, F.col("box_id")))
+    hits = spatial_join(own, placed.select("box_id", "__order", *[F.col(c).alias(f"b_{c}") for c in BOX]), "id", "box_id", tuple(f"t_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), _cell(boxes))
+    first = hits.groupBy("id").agg(F.min("__order").alias("__order"))
+    gain = first.groupBy("__order").agg(F.count("*").alias("gain"))
+    before = F.coalesce(F.sum("gain").over(W.orderBy("__order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # as many rows as boxes
+    need = tracts.agg((F.count("*") * share).alias("need"))
+    used = gain.withColumn("before", before).crossJoin(F.broadcast(need)).where("before < need").select("__order")
+    return first.join(used, "__order", "left_semi").select("id")
+
+
+def _cell(boxes: DataFrame) -> float:
+    """A grid cell of about a box's size: the mean longer side."""
+    side = boxes.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
+    return float(side or 1.0)

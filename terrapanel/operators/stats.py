@@ -154,3 +154,18 @@ def polynomial_fit(df: DataFrame, by: list[str], x: str, y: str, degree: int) ->
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
     return df.select(*by, x, y).groupBy(*by).applyInPandas(fit, f"{kinds}, coef array<double>")
+
+
+def smooth_parameters(df: DataFrame, year: str, names: list[str], degree: int = 3) -> DataFrame:
+    """Positive parameters by year, smoothed by a polynomial of their logarithms: a handful of rows, so one small group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[year] - pdf[year].mean()
+        for c in names:
+            ok = pdf[c] > 0
+            k = min(degree, max(0, int(ok.sum()) - 1))
+            pdf[c] = np.exp(np.polyval(np.polyfit(x[ok], np.log(pdf.loc[ok, c]), k), x)) if ok.any() else None
+        return pdf[[year, *names]]
+
+    kinds = f"`{year}` {df.schema[year].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in names)
+    return df.select(year, *names).withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, kinds)

@@ -180,3 +180,49 @@ def new_building_extract(df: DataFrame, built: str, after: int, upto: int, colum
 def log_parameters(spark: SparkSession, path: str, parameters: dict) -> None:
     """A run's parameters as one line of JSON."""
     spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def shapefile_polygons(content: bytes) -> list[list | None]:
+    """Rings of each record of a ``.shp`` file with polygons; None for empty records and other shapes."""
+    at, out = 100, []
+    while at + 12 <= len(content):
+        size = struct.unpack_from(">i", content, at + 4)[0] * 2
+        body = content[at + 8 : at + 8 + size]
+        at += 8 + size
+        if struct.unpack_from("<i", body)[0] != 5:
+            out.append(None)
+            continue
+        n_parts, n_points = struct.unpack_from("<2i", body, 36)
+        parts = [*struct.unpack_from(f"<{n_parts}i", body, 44), n_points]
+        values = struct.unpack_from(f"<{2 * n_points}d", body, 44 + 4 * n_parts)
+        out.append([[{"x": values[2 * i], "y": values[2 * i + 1]} for i in range(a, z)] for a, z in zip(parts, parts[1:], strict=False)])
+    return out
+
+
+def shapefile_records(content: bytes, encoding: str = "latin-1") -> list[dict[str, str]]:
+    """Fields of each record of a ``.dbf`` file, as text without the padding."""
+    count, header, width = struct.unpack_from("<IHH", content, 4)
+    fields = [(content[at : at + 11].split(b"\0")[0].decode(encoding), content[at + 16]) for at in range(32, header - 1, 32)]
+    out = []
+    for n in range(count):
+        at, row = header + n * width + 1, {}
+        for name, size in fields:
+            row[name] = content[at : at + size].decode(encoding).strip()
+            at += size
+        out.append(row)
+    return out
+
+
+def read_shapefile(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """Polygon shapefiles of a folder (``.shp`` with its ``.dbf``): the fields as text, and rings."""
+    stem = F.regexp_replace("path", r"\.(shp|dbf)$", "")
+    shapes, tables = (_files(spark, path, f"*.{kind}").select(stem.alias("stem"), F.col("content").alias(kind)) for kind in ("shp", "dbf"))
+    schema = T.StructType([*[T.StructField(f, T.StringType()) for f in fields], T.StructField("rings", RINGS)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shp, dbf in zip(pdf["shp"], pdf["dbf"], strict=True):
+                polygons, rows = shapefile_polygons(shp), shapefile_records(dbf)
+                yield pd.DataFrame({**{f: [r.get(f) for r in rows] for f in fields}, "rings": polygons})
+
+    return shapes.join(tables, "stem").select("shp", "dbf").mapInPandas(run, schema)

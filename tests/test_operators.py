@@ -191,3 +191,35 @@ def test_scoring(spark):
     assert head(rng.normal(size=(3, 2)), np.ones((3, 1))).shape == (3,)
     with pytest.raises(KeyError):
         scoring.scorer("absent")
+
+
+def test_points_squares_and_box_hold_outs(spark):
+    df = spark.createDataFrame([(i, L) for i in range(40)], f"id int, rings {geometry.RINGS}")
+    p = geometry.random_point(F.col("rings"), F.col("id"), 3)
+    rows = df.select(p.alias("p"), geometry.point_in_rings(p["x"], p["y"], F.col("rings")).alias("inside")).collect()
+    assert all(r.inside for r in rows) and len({r.p.x for r in rows}) == 40
+    box, other = dict(zip(("minx", "miny", "maxx", "maxy"), map(F.lit, (0.0, 0.0, 4.0, 2.0)), strict=True)), dict(zip(("minx", "miny", "maxx", "maxy"), map(F.lit, (3.0, 0.0, 9.0, 9.0)), strict=True))
+    sq = geometry.square_around(box)
+    row = spark.range(1).select(sq["miny"].alias("a"), sq["maxy"].alias("b"), geometry.box_difference_area(box, other).alias("d")).first()
+    assert tuple(row) == (-1.0, 3.0, 6.0)
+    tracts = spark.createDataFrame([(i, i % 20 * 1.0, i // 20 * 1.0, i % 20 + 0.9, i // 20 + 0.9) for i in range(400)], "id int, minx double, miny double, maxx double, maxy double")
+    boxes = spark.createDataFrame([(k, float(k * 7 % 18), float(k * 5 % 18), k * 7 % 18 + 2.0, k * 5 % 18 + 2.0) for k in range(60)], "box_id int, minx double, miny double, maxx double, maxy double")
+    held = splits.box_hold_out(tracts, "id", boxes, 0.2, 1)
+    assert 80 <= held.count() <= 95 and held.distinct().count() == held.count()
+
+
+def test_tile_names_scales_and_sizes(spark):
+    row, col = raster.tile_position(F.col("n"))
+    assert [tuple(r) for r in spark.createDataFrame([("a_R3_C12.tif",), ("b",)], "n string").select(row, col).collect()] == [(3, 12), (None, None)]
+    tile = lambda v, b: spark.createDataFrame([(1, 2, 2, b, bytearray([v] * 4 * b))], "id int, h int, w int, bands int, data binary")
+    out = raster.multi_scale([tile(5, 1), tile(7, 2)], "id").first()
+    assert out.bands == 3 and list(out.data) == [5, 7, 7] * 4
+    grown = raster.resize_nearest(spark.createDataFrame([(1, 1, 2, 1, bytearray([1, 2]))], "id int, h int, w int, bands int, data binary"), 2, 4).first()
+    assert (grown.h, grown.w, list(grown.data)) == (2, 4, [1, 1, 2, 2] * 2)
+
+
+def test_smoothed_parameters(spark):
+    rows = [(y, float(np.exp(0.1 * (y - 2015))), 2.0) for y in range(2010, 2020)]
+    out = stats.smooth_parameters(spark.createDataFrame(rows, "year int, a double, b double"), "year", ["a", "b"])
+    for r in out.collect():
+        assert r.a == pytest.approx(np.exp(0.1 * (r.year - 2015))) and r.b == pytest.approx(2.0)

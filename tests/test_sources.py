@@ -106,3 +106,40 @@ def test_stream_of_scores(spark, tmp_path):
         assert query.awaitTermination(60)
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 20 and out.where("id = 4").first().predicted_value == 3.01
+
+
+def test_shapefile(spark, tmp_path):
+    points = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2i1i", 5, 0, 0, 2, 2, 1, len(points), 0) + b"".join(struct.pack("<2d", *p) for p in points)
+    null = struct.pack("<i", 0)
+    records = b"".join(struct.pack(">2i", n + 1, len(b) // 2) + b for n, b in enumerate((body, null)))
+    (tmp_path / "t.shp").write_bytes(bytes(100) + records)
+    field = b"GEOID".ljust(11, b"\0") + b"C" + bytes(4) + bytes([5]) + bytes(15)
+    (tmp_path / "t.dbf").write_bytes(bytes(4) + struct.pack("<IHH", 2, 65, 6) + bytes(20) + field + b"\r" + b" 36061" + b" 36005")
+    got = files.read_shapefile(spark, str(tmp_path), ["GEOID"]).collect()
+    assert {r.GEOID: r.rings and [(p.x, p.y) for p in r.rings[0]] for r in got} == {"36061": points, "36005": None}
+
+
+def test_chunked_requests(spark):
+    from terrapanel.sources import rest
+
+    codes = [f"v{n}" for n in range(100)]
+    assert [len(c) for c in rest.variable_chunks(codes)] == [45, 45, 10]
+
+    def fetch(vintage, wanted):
+        if "v99" in wanted:
+            raise rest.BadRequest
+        return [{"geoid": g, **{c: f"{vintage}{c}" for c in wanted}} for g in ("a", "b")]
+
+    df = rest.read_vintage(spark, fetch, 2014, codes)
+    rows = {r.geoid: r for r in df.collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].v7 == "2014v7" and rows["b"].v98 == "2014v98" and rows["a"].v99 is None
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return [{}]
+
+    assert rest.with_retry(flaky, 3, 0.5, waits.append) == [{}] and waits == [0.5, 1.0]
