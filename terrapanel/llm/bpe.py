@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from terrapanel.llm.storage import bounded_batches
+
 #: Entries of a worker's caches before the older half is given up.
 CACHE_ENTRIES = 150_000
 #: Bytes of the longest word that is remembered.
 LONGEST_KEPT = 64
 #: Bytes of results after which a batch is handed on.
-OUTPUT_BYTES = 16 << 20
+OUTPUT_BYTES = 4 << 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -79,7 +81,7 @@ class PrefixBpe:
         model = spec["model"]
         suffix = model["end_of_word_suffix"] or ""
         self.to_byte = to_byte = byte_characters()
-        self.library = Tokenizer.from_file(path)  # for its normaliser and its splitting, never for merges
+        self.path = path
 
         def inner(token: str) -> str:
             ends = bool(suffix) and token.endswith(suffix)
@@ -218,6 +220,11 @@ class PrefixBpe:
             self.words.keep(word, found)
         return found
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """Used for its normaliser and its splitting, never for merges."""
+        return Tokenizer.from_file(self.path)
+
     def split(self, text: str) -> list[str]:
         """The normalised pieces of a text; letters beyond the Latin ones by the library's own Unicode tables."""
         if not text or max(text) < "\u0250":
@@ -275,22 +282,19 @@ class _Chunks(dict):
         return found
 
 
-@functools.cache
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(vocabulary(path))
-
-
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = True) -> DataFrame:
     """docs with ``ids`` (packed little-endian unsigned 32-bit integers), ``n_tokens`` and, if asked for, ``decoded``.
 
     The three columns replace columns of these names.
     """
+    bounded_batches(docs.sparkSession)
     carried = docs.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")])
     source = carried.withColumn("__raw", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     names = [*carried.columns, "ids", "n_tokens", *["decoded"] * decoded]
 
     def run(batches):
-        known = _chunks(path)
+        known = _Chunks(vocabulary(path))  # given up with the task, like the words below
+        known.bpe.words = Recent(CACHE_ENTRIES)
         for batch in batches:
             raw = batch.column(batch.num_columns - 1)
             at = 0
@@ -309,6 +313,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", decoded: bo
                     new.append(pa.array(texts, pa.binary()).cast(pa.string()))
                 old = [c.slice(first, at - first) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*old, *new], names=names)
+        known.bpe.words = Recent(CACHE_ENTRIES)
 
     schema = T.StructType([*carried.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded])
     return source.mapInArrow(run, schema)

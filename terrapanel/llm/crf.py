@@ -19,8 +19,8 @@ import numpy as np
 
 #: Words of a segment.
 SEGMENT = 256
-#: Words that a worker remembers scores of.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers scores of, and whose features are made at a time.
+CACHE_WORDS, WORD_BLOCK = 100_000, 10_000
 
 #: A-Z to a-z, digits to 0, other ASCII characters to a blank.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 48 if 48 <= b <= 57 else 32 for b in range(256))
@@ -156,8 +156,13 @@ class Crf:
     begin: np.ndarray
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        rows, found = self.space.features(words)
-        return _sums(rows, self.weights[found], len(words))
+        out = np.empty((len(words), len(self.labels)))
+        for at in range(0, len(words), WORD_BLOCK):
+            own = words[at : at + WORD_BLOCK]
+            rows, found = self.space.features(own)
+            for k in range(len(self.labels)):
+                out[at : at + len(own), k] = np.bincount(rows, self.weights[found, k], len(own))
+        return out
 
     def marginals(self, score: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if not len(score):
@@ -207,7 +212,7 @@ def train(labels: list[str], space: FeatureSpace, texts: list[list[bytes]], gold
     inner = np.flatnonzero(inner)
     squares = [np.full(x.shape, 1e-8) for x in (model.weights, model.transitions, model.begin)]
     for _ in range(rounds):
-        score = _sums(rows, model.weights[found], len(number))[ids]
+        score = np.stack([np.bincount(rows, model.weights[found, c], len(number)) for c in range(k)], axis=1)[ids]
         forward, backward = forward_backward(score, lengths, model.transitions, model.begin)
         marginal = _scaled(forward * backward)
         after = np.exp(score[inner + 1] - score[inner + 1].max(axis=1, keepdims=True)) * backward[inner + 1]
@@ -218,7 +223,7 @@ def train(labels: list[str], space: FeatureSpace, texts: list[list[bytes]], gold
         np.add.at(seen, (y[inner], y[inner + 1]), 1)
         by_word = _sums(ids, once - marginal, len(number))
         steps = (
-            _sums(found, by_word[rows], space.size) / n - l2 * model.weights,
+            np.stack([np.bincount(found, by_word[rows, c], space.size) for c in range(k)], axis=1) / n - l2 * model.weights,
             (seen - expected) / n,
             (once[starts] - marginal[starts]).sum(axis=0) / n,
         )

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
 from terrapanel.llm.samples import LONGEST_TRAINING_TEXT, by_label
+from terrapanel.llm.storage import bounded_batches
 
 UNKNOWN = "und"
 TEXTS_PER_LANGUAGE = 120
 #: A word is in a language's lexicon if it is in that many of its sample's texts.
 LEXICON_TEXTS = 5
 #: Words that are labelled together.
-GROUP_WORDS = 200_000
+GROUP_WORDS = 100_000
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -80,8 +81,8 @@ def _runs(labels: np.ndarray, names: list[str]) -> list[dict]:
 
 def label_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
     """One row per document: id, lang_pred, score and, if asked for, runs: the stretches of one language."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of fixed size: the feature space times the languages
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the feature space times the languages
     names = [id_col, "lang_pred", "score", *["runs"] * runs]
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
 
@@ -123,6 +124,7 @@ def keep_known_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_
     """
     if model is None:
         return docs
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):

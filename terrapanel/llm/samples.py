@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Texts with more code points are not learned from (they are scored like all others).
 LONGEST_TRAINING_TEXT = 20_000
+#: Labels beyond so many most frequent ones are not learned.
+MOST_LABELS = 256
 
 
 def fold(id_col, folds: int) -> F.Column:
@@ -19,12 +21,15 @@ def by_label(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame
 
     Rows are taken by a hash of ``key``, with a threshold for each label that
     follows from its count over all rows; so this needs no sort and gives the
-    same rows each time.  ``1.2 * per_label`` rows of each label are expected.
+    same rows each time.  ``1.2 * per_label`` rows of each label are expected;
+    should one key (say NULL) hold many rows, the bound of ``2 * per_label``
+    for each label in the mean still holds.
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
-    shares = {r["__label"]: min(1.0, 1.2 * per_label / r["__n"]) for r in counts.collect()}  # a row for each label
+    most = counts.orderBy(F.desc("__n"), "__label").limit(MOST_LABELS)
+    shares = {r["__label"]: min(1.0, 1.2 * per_label / r["__n"]) for r in most.collect()}
     point = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for value, share in shares.items():
         chosen = F.when(F.col(label) == value, point < share).otherwise(chosen)
-    return rows.where(F.col(label).isNotNull() & chosen)
+    return rows.where(F.col(label).isNotNull() & chosen).limit(2 * per_label * len(shares))

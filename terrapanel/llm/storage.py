@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints/terrapanel"
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +31,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB from here on, unless the session already has smaller ones.
+
+    Texts differ in length by orders of magnitude, so a number of rows bounds
+    no memory; batches of this size cost nothing measurable.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key, "64m").lower().rstrip("b")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1:], 1)
+    if not size.rstrip("kmg").isdigit() or int(size.rstrip("kmg")) * factor > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
