@@ -32,6 +32,8 @@ from terrapanel.llm.storage import materialise
 
 LEVELS = ("domain", "lang", "source")
 BUCKET_BITS = 10
+#: Leaves up to which their table is broadcast, and salts of the join beyond that.
+LARGEST_BROADCAST, SALTS = 20_000, 64
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,20 @@ def _same_leaf(a: str, b: str) -> F.Column:
     return out
 
 
+def _with_leaf(rows: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (alias s) joined with leaf rows (alias b).
+
+    Leaf rows are broadcast if there are at most LARGEST_BROADCAST of them.
+    Otherwise rows are salted and leaf rows repeated, since one leaf may hold a
+    third of all rows.
+    """
+    if leaves.count() <= LARGEST_BROADCAST:
+        return rows.alias("s").join(F.broadcast(leaves).alias("b"), _same_leaf("s", "b"), how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)))
+    repeated = leaves.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.alias("s").join(repeated.alias("b"), _same_leaf("s", "b") & (F.col("s.__salt") == F.col("b.__salt")), how)
+
+
 def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that are taken, once for each epoch, with all their columns and ``__epoch`` and ``__domain``."""
     keyed = docs.withColumns(
@@ -133,7 +149,7 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_
         "mix-budgets",
     )
     # The last epoch's order, in buckets.
-    placed = slim.alias("s").join(budgets.where("rest > 0").alias("b"), _same_leaf("s", "b")).select("s.*", "whole", "rest")
+    placed = _with_leaf(slim, budgets.where("rest > 0")).select(*[f"s.{c}" for c in slim.columns], "whole", "rest")
     placed = placed.withColumn("place", _order(mix, F.col("whole"), F.col("__key"))).withColumn("bucket", F.shiftrightunsigned("place", 63 - BUCKET_BITS))
     sums = placed.groupBy(*own, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(W.partitionBy(*own).orderBy("bucket"))
@@ -141,7 +157,8 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_
         sums.withColumn("upto", upto).where("upto > rest").groupBy(*own, "rest").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("at")).select(*own, "rest", "at.*"),
         "mix-ends",
     )
-    inside = placed.drop("rest").alias("s").join(ends.alias("b"), _same_leaf("s", "b") & (F.col("s.bucket") == F.col("b.bucket"))).select("s.*", "b.rest", "b.before")
+    placed = placed.drop("rest")
+    inside = _with_leaf(placed, ends).where("s.bucket = b.bucket").select(*[f"s.{c}" for c in placed.columns], "b.rest", "b.before")
     peers = W.partitionBy(*own).orderBy(F.struct("place", "__key"))
     running = F.col("before") + F.sum("tokens").over(peers)
     cut = inside.withColumn("running", running).where("running <= rest").groupBy(*own).agg(F.max(F.struct("place", "__key")).alias("cut"))
@@ -149,12 +166,12 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_
     first = F.struct(F.shiftleft(F.col("b.bucket"), 63 - BUCKET_BITS).alias("place"), F.lit("").alias("__key"))
     cuts = ends.alias("b").join(cut.alias("c"), _same_leaf("b", "c"), "left").select(*[f"b.{c}" for c in own], F.coalesce(F.col("c.cut"), first).alias("cut"), F.col("c.cut").isNotNull().alias("has"))
     plan = materialise(budgets.alias("b").join(cuts.alias("c"), _same_leaf("b", "c"), "left").select("b.*", "cut", "has"), "mix-plan")
-    place = _order(mix, F.col("p.whole"), F.col("s.__key"))
+    place = _order(mix, F.col("b.whole"), F.col("s.__key"))
     here = F.struct(place.alias("place"), F.col("s.__key").alias("__key"))
-    in_last = (F.col("p.rest") > 0) & (F.col("p.cut").isNull() | (here < F.col("p.cut")) | (F.col("p.has") & (here == F.col("p.cut"))))
+    in_last = (F.col("b.rest") > 0) & (F.col("b.cut").isNull() | (here < F.col("b.cut")) | (F.col("b.has") & (here == F.col("b.cut"))))
     epochs = F.concat(
-        F.when(F.col("p.whole") > 0, F.sequence(F.lit(0), F.col("p.whole") - 1)).otherwise(F.array().cast("array<int>")),
-        F.when(F.coalesce(in_last, F.lit(False)), F.array("p.whole")).otherwise(F.array().cast("array<int>")),
+        F.when(F.col("b.whole") > 0, F.sequence(F.lit(0), F.col("b.whole") - 1)).otherwise(F.array().cast("array<int>")),
+        F.when(F.coalesce(in_last, F.lit(False)), F.array("b.whole")).otherwise(F.array().cast("array<int>")),
     )
-    chosen = keyed.alias("s").join(plan.alias("p"), _same_leaf("s", "p")).select(*[F.col(f"s.`{c}`") for c in docs.columns], F.col("s.__domain"), epochs.alias("__epochs"))
+    chosen = _with_leaf(keyed, plan).select(*[F.col(f"s.`{c}`") for c in docs.columns], F.col("s.__domain"), epochs.alias("__epochs"))
     return chosen.withColumn("__epoch", F.explode("__epochs")).drop("__epochs")

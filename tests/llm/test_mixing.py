@@ -94,6 +94,16 @@ def test_budgets_and_prefixes(spark, mix):
     assert all(c in docs.columns or c.startswith("__") for c in mix_sources(docs, mix, domain()).columns)
 
 
+def test_many_leaves_are_joined_by_salts(spark, monkeypatch):
+    from terrapanel.llm import mixing
+
+    docs, mix = spark.createDataFrame(corpus(), SCHEMA), Mix(0.9, {"web": 5.0}, {"fr": 2.0}, max_epochs=1.5, seed=3)
+    rows = lambda: sorted((r.doc_id is None, r.doc_id or 0, r["__epoch"]) for r in mix_sources(docs, mix, domain()).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "LARGEST_BROADCAST", 0)
+    assert rows() == want
+
+
 def test_prefix_is_maximal_in_the_seeded_order(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "a", 0, "") for i in range(400)]
     mix = Mix(0.37, seed=5)
