@@ -88,14 +88,14 @@ def test_ids_chunks_and_absent_columns(spark):
 
 
 def test_raster_chunks(spark, tmp_path):
-    folder = tmp_path / "nyc"
+    folder = tmp_path / "city"
     folder.mkdir()
     (folder / "grid.json").write_text(json.dumps({"height": 5, "width": 4, "bands": 1, "chunk": 4}))
     (folder / "0.0.bin").write_bytes(bytes(range(16)))
     (folder / "1.0.bin").write_bytes(bytes(4))
     spark.dataSource.register(ChunkSource)
     rows = spark.read.format("raster_chunks").option("root", str(tmp_path)).load().orderBy("chunk_row").collect()
-    assert [(r.dataset, r.chunk_row, r.chunk_col, r.h, r.w, len(r.data)) for r in rows] == [("nyc", 0, 0, 4, 4, 16), ("nyc", 1, 0, 1, 4, 4)]
+    assert [(r.dataset, r.chunk_row, r.chunk_col, r.h, r.w, len(r.data)) for r in rows] == [("city", 0, 0, 4, 4, 16), ("city", 1, 0, 1, 4, 4)]
 
 
 def test_stream_of_scores(spark, tmp_path):
