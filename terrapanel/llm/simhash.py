@@ -31,19 +31,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.llm.components import connected_components
-from terrapanel.llm.storage import materialise
+from terrapanel.llm.storage import bounded_batches, materialise
 
 
 class Segment(NamedTuple):
-    """Bits ``shift`` to ``shift + width - 1`` of a fingerprint, probed up to ``radius`` flips."""
+    """Bits ``shift`` to ``shift + width - 1`` of a fingerprint's 64-bit word, probed up to ``radius`` flips."""
 
     shift: int
     width: int
     radius: int
+    word: int = 0
 
 
 #: Distance 2 in two halves: either one differs by at most one bit, or the other by none.
 HALVES = (Segment(32, 32, 1), Segment(0, 32, 0))
+#: Nodes of a bucket beyond which its candidates are verified inside the join.
+LARGE_BUCKET = 8
+#: Neighbours in a bucket's order that are compared first.
+STEPS_AHEAD = (1, 2, 4, 8)
 #: More shingles than this are hashed and added up in several steps, to bound memory.
 BLOCK = 1 << 16
 
@@ -86,24 +91,28 @@ def fingerprint(text: bytes, size: int, words: int = 1, distinct: bool = False)
     return np.packbits(2 * ones > len(found), axis=1).view(">i8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, verify_size: int = 0, verify_words: int = 0, distinct: bool = False) -> DataFrame:
-    """Rows (doc_id, fp) and, if asked for, check: the longer fingerprint that verifies a candidate."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, words: int = 1, verify_size: int = 0, verify_words: int = 0, distinct: bool = False) -> DataFrame:
+    """Rows (doc_id, fp, more, check): the fingerprint's first word, its other ones, and the longer one that verifies a candidate."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            fp, check = [], []
+            fp, more, check = [], [], []
             for t in texts:
                 t = t.as_py() or b""
-                fp.append(fingerprint(t, size, 1, distinct)[0])
+                own = fingerprint(t, size, words, distinct)
+                fp.append(own[0])
+                more.append(own[1:])
                 check.append(fingerprint(t, verify_size, verify_words) if verify_words else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fp, pa.int64()), pa.array(check, pa.list_(pa.int64()))], names=["doc_id", "fp", "check"]
+                [batch.column(0), pa.array(fp, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(check, pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "more", "check"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long, check array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long, more array<long>, check array<long>")
 
 
 def _ball(segment: Segment) -> list[int]:
@@ -117,8 +126,13 @@ def _ball(segment: Segment) -> list[int]:
     return masks
 
 
-def _value(segment: Segment) -> F.Column:
-    return F.shiftrightunsigned(F.col("fp"), segment.shift).bitwiseAND((1 << segment.width) - 1)
+def _word(segment: Segment) -> F.Column:
+    return F.col("more")[segment.word - 1] if segment.word else F.col("fp")
+
+
+def _value(number: int, segment: Segment) -> F.Column:
+    """The segment's bits, with its number above them."""
+    return F.shiftrightunsigned(_word(segment), segment.shift).bitwiseAND((1 << segment.width) - 1) + F.lit(number << 32)
 
 
 def _near(max_distance: int, check: int, a: str, b: str) -> F.Column:
@@ -129,21 +143,33 @@ def _near(max_distance: int, check: int, a: str, b: str) -> F.Column:
     return far <= max_distance
 
 
-def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], near) -> DataFrame:
-    """Links of each fingerprint to the next one in its buckets, where they are near."""
-    parts = []
+def _verified(pairs: DataFrame, nodes: DataFrame, near, check: int) -> DataFrame:
+    """Distinct pairs (a, b) whose longer fingerprints are near as well, if there are such."""
+    if not check:
+        return pairs.distinct()
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("check").alias(f"{side}_check"))
+    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(near("a_", "b_")).select("a", "b")
+
+
+def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], near, check: int, coarse: int) -> DataFrame:
+    """Links of each fingerprint to some of the next ones in its buckets, where they are near.
+
+    Only the short fingerprints are sorted; the longer ones verify what is left.
+    """
+    rows = None
     for k, segment in enumerate(segments):
-        rows = nodes.withColumns({"seg": F.lit(k), "value": _value(segment)})
-        # Rows of a bucket come in the order of the bits beside the segment, turned round.
-        rows = rows.withColumn("turned", F.shiftleft("fp", 64 - segment.shift).bitwiseOR(F.shiftrightunsigned("fp", segment.shift + segment.width)) if segment.shift else F.shiftrightunsigned("fp", segment.width))
-        parts.append(rows)
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
+        # Rows of a bucket come in the order of the word's bits beside the segment, turned round.
+        above = F.shiftrightunsigned(_word(segment), segment.shift + segment.width) if segment.shift + segment.width < 64 else F.lit(0).cast("long")
+        below = F.shiftleft(_word(segment), 64 - segment.shift) if segment.shift else F.lit(0).cast("long")
+        own = nodes.select("node", "fp", _value(k, segment).alias("value"), below.bitwiseOR(above).alias("turned"))
+        rows = own if rows is None else rows.unionByName(own)
     # Four bits of the turned fingerprint salt the bucket: a hot one is spread over 16 tasks.
-    order = W.partitionBy("seg", "value", F.pmod("turned", F.lit(16))).orderBy("turned", "node")
-    ahead = {f"next_{c}": F.lead(c).over(order) for c in nodes.columns}
-    return rows.withColumns(ahead).where(F.col("next_node").isNotNull() & near("", "next_")).select(F.col("node").alias("a"), F.col("next_node").alias("b"))
+    order = W.partitionBy("value", F.pmod("turned", F.lit(16))).orderBy("turned", "node")
+    ahead = {f"next{n}_{c}": F.lead(c, n).over(order) for n in STEPS_AHEAD for c in ("node", "fp")}
+    close = lambda n: F.bit_count(F.col("fp").bitwiseXOR(F.col(f"next{n}_fp"))) <= coarse
+    linked = F.array(*[F.when(close(n), F.col(f"next{n}_node")) for n in STEPS_AHEAD])
+    pairs = rows.withColumns(ahead).select(F.col("node").alias("a"), F.explode(F.array_compact(linked)).alias("b"))
+    return _verified(pairs, nodes, near, check)
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -153,24 +179,40 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _probe_links(nodes: DataFrame, segments: tuple[Segment, ...], near, check: int, coarse: int) -> DataFrame:
-    """Verified links between nodes of different components, found by probing Hamming balls."""
-    slim = nodes.select("node", "fp", "root")
+    """Verified links between nodes of different components, found by probing Hamming balls.
+
+    Probes are many and slim.  Where a longer fingerprint verifies, candidates
+    of ordinary buckets are verified after the join.  In a bucket of more than
+    LARGE_BUCKET nodes candidates would be many, so there the few nodes around
+    it bring their longer fingerprints along and the join itself verifies.
+    """
     table, probes = None, None
     for k, segment in enumerate(segments):
-        own = slim.withColumns({"seg": F.lit(k), "value": _value(segment)})
+        own = nodes.select("node", "fp", "root", _value(k, segment).alias("value"))
         flips = F.explode(F.array(*[F.lit(m).cast("long") for m in _ball(segment)]))
         probe = own.withColumn("flip", flips).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
         table = own if table is None else table.unionByName(own)
         probes = probe if probes is None else probes.unionByName(probe)
-    p, t = probes.alias("p"), table.alias("t")
     first = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= coarse
-    found = p.join(
-        t, (F.col("p.seg") == F.col("t.seg")) & (F.col("p.value") == F.col("t.value")) & (F.col("p.root") < F.col("t.root")) & first
-    ).select(F.col("p.node").alias("a"), F.col("t.node").alias("b"))
+    joins = (F.col("p.value") == F.col("t.value")) & (F.col("p.root") < F.col("t.root")) & first
     if not check:
-        return found
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("check").alias(f"{side}_check"))
-    return found.distinct().join(of("a"), "a").join(of("b"), "b").where(near("a_", "b_")).select("a", "b")
+        return probes.alias("p").join(table.alias("t"), joins).select(F.col("p.node").alias("a"), F.col("t.node").alias("b"))
+    large = materialise(table.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_BUCKET).select("value"), "large-buckets")
+    marked = table.join(large.withColumn("large", F.lit(True)), "value", "left")
+    found = probes.alias("p").join(marked.alias("t"), joins & F.col("t.large").isNull()).select(F.col("p.node").alias("a"), F.col("t.node").alias("b"))
+    plain = _verified(found, nodes, near, check)
+    balls = None
+    for k, segment in enumerate(segments):
+        flips = F.explode(F.array(*[F.lit(m).cast("long") for m in _ball(segment)]))
+        own = large.where(F.shiftright("value", 32) == k).withColumn("flip", flips).select(F.col("value").alias("bucket"), F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        balls = own if balls is None else balls.unionByName(own)
+    checks = nodes.select("node", "check")
+    around = table.join(balls, "value").drop("value").join(checks, "node")
+    within = table.join(large, "value").withColumnRenamed("value", "bucket").join(checks, "node")
+    p, t = (x.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "fp", "root", "check")]) for side, x in (("p", around), ("t", within)))
+    pair = (F.col("p_root") < F.col("t_root")) & (F.bit_count(F.col("p_fp").bitwiseXOR(F.col("t_fp"))) <= coarse) & near("p_", "t_")
+    dense = p.join(t.withColumnRenamed("bucket", "own_bucket"), (F.col("bucket") == F.col("own_bucket")) & pair)
+    return plain.unionByName(dense.select(F.col("p_node").alias("a"), F.col("t_node").alias("b"))).distinct()
 
 
 def near_duplicates(
@@ -182,22 +224,24 @@ def near_duplicates(
     segments: tuple[Segment, ...] = HALVES,
     verify: tuple[int, int, int] | None = None,
     distinct: bool = False,
+    words: int = 1,
 ) -> DataFrame:
     """One row per input row: id, fingerprint (hex), component_id (the smallest id reachable).
 
     ``verify``: shingle size, number of 64-bit words and greatest distance of a
-    longer fingerprint.  If given, a candidate within ``max_distance`` counts
-    as a link only if the longer fingerprints are near as well.
+    longer fingerprint.  If given, a candidate within ``max_distance`` (of the
+    first word of a fingerprint of several ``words``) counts as a link only if
+    the longer fingerprints are near.
     """
     v_size, v_words, v_distance = verify or (0, 0, 0)
-    rows = materialise(fingerprints(docs, id_col, text_col, size, v_size, v_words, distinct), "fingerprints")
-    key = ["fp", "check"] if verify else ["fp"]
+    rows = materialise(fingerprints(docs, id_col, text_col, size, words, v_size, v_words, distinct), "fingerprints")
+    key = ["fp", "more", "check"] if verify else ["fp"]
     # A node is a distinct fingerprint; its number is that of the fingerprint, or a hash of both.
-    node = F.xxhash64("fp", "check") if verify else F.col("fp")
+    node = F.xxhash64("fp", "more", "check") if verify else F.col("fp")
     nodes = materialise(rows.groupBy(*key).agg(F.min("doc_id").alias("least_id")).withColumn("node", node), "nodes")
     near = lambda a, b: _near(v_distance if verify else max_distance, v_words, a, b)
     plain = nodes.drop("least_id")
-    first = materialise(_bucket_links(plain, segments, near), "bucket-links")
+    first = materialise(_bucket_links(plain, segments, near, v_words, max_distance), "bucket-links")
     labelled = materialise(_labelled(plain, first), "labelled")
     more = _probe_links(labelled, segments, near, v_words, max_distance)
     stars = labelled.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -218,10 +262,11 @@ def distance_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-#: For the drop of near copies: candidates by the distinct words' fingerprint, in three segments, each probed
-#: up to one flip; they are verified by 256 bits over shingles of five words, at a similarity of 0.8.
-WORD_SEGMENTS = (Segment(43, 21, 1), Segment(22, 21, 1), Segment(0, 22, 1))
-VERIFY_SLACK = 4
+#: For the drop of near copies: candidates by a fingerprint of 128 bits of the distinct words, in six segments, each
+#: probed up to one flip; they are verified by 512 bits over shingles of five words.  The slack is about one standard
+#: deviation of the distance, so that few pairs with the given similarity are missed.
+WORD_SEGMENTS = tuple(Segment(shift, width, 1, word) for word in (0, 1) for shift, width in ((43, 21), (22, 21), (0, 22)))
+COARSE_DISTANCE, VERIFY_BITS, VERIFY_SLACK = 12, 512, 10
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -229,7 +274,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of a group the row with the smallest id stays.  Rows without an id stay.
     """
-    verify = (5, 4, distance_for(similarity, 256) + VERIFY_SLACK)
-    groups = near_duplicates(docs, id_col, text_col, 1, 64, WORD_SEGMENTS, verify, distinct=True)
+    verify = (5, VERIFY_BITS // 64, distance_for(similarity, VERIFY_BITS) + VERIFY_SLACK)
+    groups = near_duplicates(docs, id_col, text_col, 1, COARSE_DISTANCE, WORD_SEGMENTS, verify, distinct=True, words=2)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

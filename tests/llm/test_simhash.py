@@ -62,7 +62,7 @@ def test_every_pair_within_distance_two_is_linked(spark):
 
     base = 0x0123456789ABCDEF
     prints = [base] + [base ^ (1 << i) ^ (1 << j) for i, j in ((0, 1), (0, 40), (33, 60), (31, 32), (5, 5), (63, 0))]
-    nodes = spark.createDataFrame([((p - 2**64 if p >= 2**63 else p),) for p in prints], "fp long").selectExpr("fp", "fp as node", "fp as root")
+    nodes = spark.createDataFrame([((p - 2**64 if p >= 2**63 else p),) for p in prints], "fp long").selectExpr("fp", "array(0L) as more", "fp as node", "fp as root")
     links = simhash._probe_links(nodes, HALVES, None, 0, 2).collect()
     found = {frozenset((r.a % 2**64, r.b % 2**64)) for r in links}
     want = {frozenset((a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 2}
