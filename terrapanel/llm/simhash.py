@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, near, check: int) -> DataFrame
     return pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(near("a_", "b_")).select("a", "b")
 
 
-def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], near, check: int, coarse: int) -> DataFrame:
+def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], near, check: int, coarse: int, steps: tuple[int, ...] = STEPS_AHEAD) -> DataFrame:
     """Links of each fingerprint to some of the next ones in its buckets, where they are near.
 
     Only the short fingerprints are sorted; the longer ones verify what is left.
@@ -165,9 +165,9 @@ def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], near, check:
         rows = own if rows is None else rows.unionByName(own)
     # Four bits of the turned fingerprint salt the bucket: a hot one is spread over 16 tasks.
     order = W.partitionBy("value", F.pmod("turned", F.lit(16))).orderBy("turned", "node")
-    ahead = {f"next{n}_{c}": F.lead(c, n).over(order) for n in STEPS_AHEAD for c in ("node", "fp")}
+    ahead = {f"next{n}_{c}": F.lead(c, n).over(order) for n in steps for c in ("node", "fp")}
     close = lambda n: F.bit_count(F.col("fp").bitwiseXOR(F.col(f"next{n}_fp"))) <= coarse
-    linked = F.array(*[F.when(close(n), F.col(f"next{n}_node")) for n in STEPS_AHEAD])
+    linked = F.array(*[F.when(close(n), F.col(f"next{n}_node")) for n in steps])
     pairs = rows.withColumns(ahead).select(F.col("node").alias("a"), F.explode(F.array_compact(linked)).alias("b"))
     return _verified(pairs, nodes, near, check)
 
@@ -262,19 +262,139 @@ def distance_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-#: For the drop of near copies: candidates by a fingerprint of 128 bits of the distinct words, in six segments, each
-#: probed up to one flip; they are verified by 512 bits over shingles of five words.  The slack is about one standard
-#: deviation of the distance, so that few pairs with the given similarity are missed.
-WORD_SEGMENTS = tuple(Segment(shift, width, 1, word) for word in (0, 1) for shift, width in ((43, 21), (22, 21), (0, 22)))
-COARSE_DISTANCE, VERIFY_BITS, VERIFY_SLACK = 12, 512, 10
+#: For the drop of near copies: fingerprints of 512 bits over the distinct shingles of five words, in 24 segments, each
+#: probed up to one flip.  At a similarity of 0.8 a bit differs with probability 0.15; so some segment of a pair agrees
+#: up to one bit with probability 0.977 there, and 0.998 at 0.85.  Candidates may differ in 20 bits of the first word and
+#: in four standard deviations more than expected of all 512.
+SHINGLE, WORDS = 5, 8
+SHINGLE_SEGMENTS = tuple(Segment(shift, width, 1, word) for word in range(WORDS) for shift, width in ((43, 21), (22, 21), (0, 22)))
+COARSE_DISTANCE, SLACK = 20, 33
+#: Rows of a task that looks for candidates; they are held in memory.
+ROWS_A_TASK = 400_000
+
+
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the text's distinct shingles, sorted."""
+    found = shingles(text, size, distinct=True)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found)))
+
+
+def set_fingerprint(hashes: np.ndarray, words: int = WORDS) -> list[int]:
+    """``words`` signed 64-bit integers: each bit that is set in over half of the hashes."""
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        for n in range(words):
+            ones[n] += np.unpackbits(_mix(hashes[at : at + BLOCK], n).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">i8")[:, 0].tolist()
+
+
+def _digested(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")).cast("binary")).withColumn("__digest", F.xxhash64("__text"))
+
+
+def _shingle_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, digest, node, fp, more): the text's digest, that of its shingle set, the set's fingerprint."""
+    bounded_batches(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType
+
+    def run(batches):
+        for batch in batches:
+            node, fp, more = [], [], []
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py())
+                own = set_fingerprint(hashes)
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63)
+                fp.append(own[0])
+                more.append(own[1:])
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "fp", "more"])
+
+    rows = _digested(docs, text_col).select(F.col(id_col).alias("doc_id"), F.col("__digest").alias("digest"), F.col("__text").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, digest long, node long, fp long, more array<long>")
+
+
+def _flip_pairs(half: np.ndarray, rest: np.ndarray, first: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, width: int, coarse: int):
+    """Arrays (a, b) of the nodes of different roots whose halves are equal and whose rests differ in one bit at most.
+
+    Equal rests count only where ``first`` holds, as both halves find them.
+    """
+    key = half << 16 | rest
+    order = np.lexsort((root, key))
+    key, first, node, fp, root = key[order], first[order], node[order], fp[order], root[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    end = np.r_[start[1:], len(key)]
+    keys, least, most = key[start], root[start], root[end - 1]
+    for flip in [0] + [1 << i for i in range(width)]:
+        at = np.minimum(np.searchsorted(keys, keys ^ flip), len(keys) - 1)
+        # Of a bucket and its neighbour, one pair of roots has to differ: the hot groups that are linked already do not.
+        ok = (keys[at] == keys ^ flip) & (least < most[at])
+        if not flip:
+            ok &= first[start]
+        left = np.flatnonzero(ok)
+        sizes = (end - start)[left]
+        rows = np.repeat(start[left], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        other = np.repeat(at[left], sizes)
+        counts = (end - start)[other]
+        upto = np.cumsum(counts)
+        done = 0
+        while done < len(rows):  # in parts, to bound memory
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + BLOCK * 16)))
+            c = counts[done:stop]
+            p = np.repeat(rows[done:stop], c)
+            t = np.repeat(start[other[done:stop]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            near = (root[p] < root[t]) & (np.bitwise_count((fp[p] ^ fp[t]).view(np.uint64)) <= coarse)
+            yield node[p[near]], node[t[near]]
+            done = stop
+
+
+def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], near, check: int, coarse: int) -> DataFrame:
+    """Verified links between nodes of different components whose value agrees in some segment up to one bit.
+
+    One half of the segment then agrees as a whole.  Rows are dealt out by
+    each half, and the other half's flips are made where the rows are, so
+    flips are never shuffled.
+    """
+    parts = []
+    for k, segment in enumerate(segments):
+        value = _value(0, segment)
+        width = segment.width // 2
+        low, high = value.bitwiseAND((1 << width) - 1), F.shiftright(value, width)
+        parts += [F.struct((own + F.lit(2 * k + side << 16)).alias("half"), rest.alias("rest"), F.lit(side == 0).alias("first")) for side, own, rest in ((0, low, high), (1, high, low))]
+    tasks = 1 + nodes.count() * len(parts) // ROWS_A_TASK
+    rows = nodes.select("node", "fp", "root", F.explode(F.array(*parts)).alias("part")).select("part.*", "node", "fp", "root").repartition(tasks, "half")
+    widest = max(s.width - s.width // 2 for s in segments)
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            columns = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("half", "rest", "first", "node", "fp", "root")]
+            for a, b in _flip_pairs(*columns, widest, coarse):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _verified(rows.mapInArrow(run, "a long, b long"), nodes, near, check)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near copies, with all their columns.
 
-    Of a group the row with the smallest id stays.  Rows without an id stay.
+    Two texts are near copies if the sets of their shingles of five words have
+    that Jaccard similarity; groups are the components of these links.  Of a
+    group the row with the smallest id stays.  Rows without an id stay.
     """
-    verify = (5, VERIFY_BITS // 64, distance_for(similarity, VERIFY_BITS) + VERIFY_SLACK)
-    groups = near_duplicates(docs, id_col, text_col, 1, COARSE_DISTANCE, WORD_SEGMENTS, verify, distinct=True, words=2)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    rows = materialise(_shingle_prints(docs, id_col, text_col), "shingle-prints")
+    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("digest").alias("digest")), "nodes")
+    nodes = nodes.withColumn("check", F.concat(F.array("fp"), "more"))
+    near = lambda a, b: _near(distance_for(similarity, 64 * WORDS) + SLACK, WORDS, a, b)
+    kept = lambda pairs: materialise(pairs, "similar")
+    first = kept(_bucket_links(nodes, SHINGLE_SEGMENTS, near, WORDS, COARSE_DISTANCE, (1,)))
+    labelled = materialise(_labelled(nodes, first), "labelled")
+    more = kept(_half_links(labelled, SHINGLE_SEGMENTS, near, WORDS, COARSE_DISTANCE))
+    roots = connected_components(first.unionByName(more))
+    placed = rows.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed, "placed")
+    who = F.struct("doc_id", "digest")
+    least = placed.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(who).alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone = placed.join(least, "root").where(who != F.col("least")).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
+    same = (F.col(id_col) == F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == F.col("__gone_digest"))
+    return docs.join(gone, same, "left_anti")

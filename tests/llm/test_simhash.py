@@ -104,3 +104,28 @@ def test_components_of_a_chain_and_a_hub(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(101, 161)) and all(got[j] == 5 for j in range(500, 560))
     assert len(got) == 120
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_block_edits_are_found_from_a_similarity_of_0_8(spark):
+    """Paragraphs appended, cut off or replaced change few shingles but many distinct words."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], {}
+    for kind in ("appended", "cut off", "replaced") * 60:
+        base = fresh(rng.randrange(80, 600))
+        n = len(base)
+        size = rng.randrange(n // 12, n // 5)
+        copy = base + fresh(size) if kind == "appended" else base[: n - size] if kind == "cut off" else base[:20] + fresh(size // 2) + base[20 + size // 2 :]
+        if 0.8 <= similarity(base, copy):
+            pairs[len(rows) + 1] = kind
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows[::2]} <= kept
+    for kind in ("appended", "cut off", "replaced"):
+        of = [i for i, k in pairs.items() if k == kind]
+        assert len(of) > 20 and sum(i not in kept for i in of) >= 0.95 * len(of)
