@@ -265,7 +265,7 @@ def distance_for(similarity: float, bits: int) -> int:
 #: For the drop of near copies: fingerprints of 512 bits over the distinct shingles of five words, in 24 segments, each
 #: probed up to one flip.  At a similarity of 0.8 a bit differs with probability 0.15; so some segment of a pair agrees
 #: up to one bit with probability 0.977 there, and 0.998 at 0.85.  Candidates may differ in 20 bits of the first word and
-#: in four standard deviations more than expected of all 512.
+#: in four standard deviations more than expected of all 512; they are then compared by their shingle sets.
 SHINGLE, WORDS = 5, 8
 SHINGLE_SEGMENTS = tuple(Segment(shift, width, 1, word) for word in range(WORDS) for shift, width in ((43, 21), (22, 21), (0, 22)))
 COARSE_DISTANCE, SLACK = 20, 33
@@ -313,6 +313,25 @@ def _shingle_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, digest long, node long, fp long, more array<long>")
 
 
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the given Jaccard similarity, by the sets themselves."""
+    pairs = materialise(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = nodes.join(wanted, "node").select("node", F.col("digest").alias("__digest"))
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = _digested(docs, text_col).select("__digest", "__text").join(chosen, "__digest").select("node", "__text")
+    sets = materialise(texts.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    alike = both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b")
+
+
 def _flip_pairs(half: np.ndarray, rest: np.ndarray, first: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, width: int, coarse: int):
     """Arrays (a, b) of the nodes of different roots whose halves are equal and whose rests differ in one bit at most.
 
@@ -386,10 +405,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("digest").alias("digest")), "nodes")
     nodes = nodes.withColumn("check", F.concat(F.array("fp"), "more"))
     near = lambda a, b: _near(distance_for(similarity, 64 * WORDS) + SLACK, WORDS, a, b)
-    kept = lambda pairs: materialise(pairs, "similar")
-    first = kept(_bucket_links(nodes, SHINGLE_SEGMENTS, near, WORDS, COARSE_DISTANCE, (1,)))
+    exact = lambda pairs: materialise(_similar(pairs, nodes, docs, text_col, similarity), "similar")
+    first = exact(_bucket_links(nodes, SHINGLE_SEGMENTS, near, WORDS, COARSE_DISTANCE, (1,)))
     labelled = materialise(_labelled(nodes, first), "labelled")
-    more = kept(_half_links(labelled, SHINGLE_SEGMENTS, near, WORDS, COARSE_DISTANCE))
+    more = exact(_half_links(labelled, SHINGLE_SEGMENTS, near, WORDS, COARSE_DISTANCE))
     roots = connected_components(first.unionByName(more))
     placed = rows.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
     placed = materialise(placed, "placed")

@@ -129,3 +129,21 @@ def test_block_edits_are_found_from_a_similarity_of_0_8(spark):
     for kind in ("appended", "cut off", "replaced"):
         of = [i for i, k in pairs.items() if k == kind]
         assert len(of) > 20 and sum(i not in kept for i in of) >= 0.95 * len(of)
+
+
+def test_texts_below_the_similarity_and_other_texts_of_an_id_stay(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(80):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(base)
+        for k in rng.sample(range(300), 10):
+            copy[k] = "other"
+        if 0.65 <= similarity(base, copy) < 0.8:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    assert len(rows) > 100
+    base = [f"x{k}" for k in range(200)]
+    near, other = " ".join(base[:-1] + ["end"]), " ".join(f"y{k}" for k in range(200))
+    rows += [(9000, " ".join(base)), (9001, near), (9001, other)]
+    kept = {tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(rows) - {(9001, near)}
