@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from terrapanel.llm.storage import bounded_batches
 
 #: Entries of a worker's caches before the older half is given up.
 CACHE_ENTRIES = 150_000
@@ -287,7 +286,6 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", decoded: bo
 
     The three columns replace columns of these names.
     """
-    bounded_batches(docs.sparkSession)
     carried = docs.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")])
     source = carried.withColumn("__raw", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     names = [*carried.columns, "ids", "n_tokens", *["decoded"] * decoded]

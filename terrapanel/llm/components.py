@@ -1,28 +1,33 @@
-"""Connected components of a link table, by alternating stars."""
+"""Connected components of a link table, by alternating stars.
+
+A node with very many links (a hub) is a hot key of every join here; its part
+of each table is broadcast, see ``join_hot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.storage import materialise
+from terrapanel.llm.joins import join_hot
+from terrapanel.llm.storage import Tables
 
 
 def _smaller_neighbour(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("m"))
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Hang every larger neighbour of a node under the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _smaller_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = _smaller_neighbour(both).select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Hang the smaller neighbours of a node, and the node, under the smallest of them."""
     least = _smaller_neighbour(links)
-    hung = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = join_hot(links, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,12 +44,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Links with a null end and links of a node to itself are ignored; no links
     give no rows.
     """
-    now = materialise(
-        links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
-        "links",
-    )
-    before, state = None, _state(now)
-    while state != before:
-        now = materialise(_small_star(_large_star(now)), "stars")
-        before, state = state, _state(now)
+    tables = Tables(links.sparkSession, "components")
+    given = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    now = tables.write(given, "stars-0")
+    before, state, n = None, _state(now), 0
+    while state != before and state[0]:
+        large = tables.write(_large_star(now, state[0]), "large")
+        now = tables.write(_small_star(large, state[0]), f"stars-{n + 1}")
+        tables.remove("large", f"stars-{n}")
+        before, state, n = state, _state(now), n + 1
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

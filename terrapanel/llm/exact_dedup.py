@@ -8,7 +8,8 @@ never meet in one task.  All other digests go through an ordinary shuffle.
 Defined results: a null text counts as empty; texts that are white space only
 are equal to the empty text; a null id sorts after every other id; rows that
 repeat both id and text are one group, of which one row is kept; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; a very long text is digested where it is, whole; other
+columns are ignored, or kept where rows are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrapanel.llm.storage import materialise
+from terrapanel.llm.joins import text_mark, without
+from terrapanel.llm.storage import Tables
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -69,16 +70,13 @@ def misra_gries(keys: DataFrame, column: str, counters: int = COUNTERS) -> DataF
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts the row with the most code points in the original text, then
-    with the smallest id, is kept.
-    """
-    digests = materialise(
+def _decided(docs: DataFrame, id_col: str, text_col: str, counters: int, tables: Tables) -> DataFrame:
+    """Slim rows, one per document: doc_id, mark, keep_id, group_size, kept, text_sha256."""
+    digests = tables.write(
         docs.select(
             F.col(id_col).alias("doc_id"),
             text_digest(F.col(text_col)).alias("text_sha256"),
+            text_mark(F.col(text_col)).alias("mark"),
             F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
             F.monotonically_increasing_id().alias("row_no"),
         ),
@@ -91,36 +89,49 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(
         (-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row_no").alias("d")
     )
-    winners = materialise(
-        digests.join(F.broadcast(candidates.select("text_sha256")), "text_sha256", "left_semi")
-        .groupBy("text_sha256")
-        .agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
-        .where(F.col("group_size") * counters >= 2 * rows)
-        .select("text_sha256", "group_size", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_row")),
-        "winners",
-    )
+    groups = lambda rows: rows.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
+    named = lambda groups: groups.select("text_sha256", "group_size", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_row"))
+    frequent = digests.join(F.broadcast(candidates.select("text_sha256")), "text_sha256", "left_semi")
+    winners = tables.write(named(groups(frequent).where(F.col("group_size") * counters >= 2 * rows)), "winners")
     heavy = digests.join(F.broadcast(winners), "text_sha256")
     light = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    group = W.partitionBy("text_sha256")
-    light = light.withColumns({"best": F.min(order).over(group), "group_size": F.count("*").over(group)}).select(
-        *digests.columns, "group_size", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_row")
-    )
-    return heavy.select(*light.columns).unionByName(light).select(
-        F.col("doc_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("row_no") == F.col("keep_row")).alias("kept"),
-        "text_sha256",
+    # Counts are combined before the shuffle; most texts stand alone and are in no group.
+    repeated = named(groups(light).where("group_size > 1"))
+    light = light.join(repeated, "text_sha256", "left")
+    alone = F.col("keep_row").isNull()
+    light = light.select(
+        *digests.columns,
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("keep_row", "row_no").alias("keep_row"),
     )
+    both = heavy.select(*light.columns).unionByName(light)
+    return both.select("doc_id", "mark", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the most code points in the original text, then
+    with the smallest id, is kept.
+    """
+    found = _decided(docs, id_col, text_col, counters, Tables(docs.sparkSession, "exact-dedup"))
+    return found.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, counters).where("kept")
-    one = docs.withColumn("__digest", text_digest(F.col(text_col))).alias("d").join(
-        kept.select(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_digest")),
-        F.expr(f"d.`{id_col}` <=> __keep_id") & (F.col("__digest") == F.col("__keep_digest")),
-        "left_semi",
-    )
-    longest = W.partitionBy(id_col, "__digest").orderBy(F.length(text_col).desc_nulls_last())
-    return one.withColumn("__n", F.row_number().over(longest)).where("__n = 1").drop("__n", "__digest")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    What goes is found from digests; the wide rows are shuffled only where
+    they may go.  Of rows that repeat both id and text but differ in other
+    columns, the one with the smallest hash of all columns stays.
+    """
+    tables = Tables(docs.sparkSession, "exact-dedup")
+    decided = tables.write(_decided(docs, id_col, text_col, counters, tables), "decided")
+    tables.remove("digests", "winners")
+    gone = decided.where("NOT kept").select("doc_id", "mark").distinct()
+    # Kept rows of which an equal one goes.
+    kept = decided.where("kept AND group_size > 1").select("doc_id", "mark").alias("k")
+    once = kept.join(gone.alias("g"), F.expr("k.doc_id <=> g.doc_id AND k.mark = g.mark"), "left_semi")
+    once = tables.write(once.distinct(), "repeated")
+    return without(docs, gone, id_col, text_col, once if once.count() else None)

@@ -10,8 +10,11 @@ The model is fitted on a bounded sample of labelled texts: about
 code-switched training sequences, which teach the transitions.
 
 Defined results: a text that is null or has no letter gets ``und`` with score
-0; so does every text if no labelled text is given; repeated rows are labelled
-alike; an empty table gives an empty result; other columns are ignored.
+0; so does every text if no labelled text is given; of languages with equal
+shares of a text the first in alphabetical order is given; repeated rows are
+labelled alike; a very long text is labelled whole, by itself, in one pass
+whose memory grows with its words; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
 from terrapanel.llm.samples import LONGEST_TRAINING_TEXT, by_label
-from terrapanel.llm.storage import bounded_batches
 
 UNKNOWN = "und"
 TEXTS_PER_LANGUAGE = 120
@@ -81,7 +83,6 @@ def _runs(labels: np.ndarray, names: list[str]) -> list[dict]:
 
 def label_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
     """One row per document: id, lang_pred, score and, if asked for, runs: the stretches of one language."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the feature space times the languages
     names = [id_col, "lang_pred", "score", *["runs"] * runs]
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
@@ -116,15 +117,16 @@ def label_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_id",
     return rows.mapInArrow(label, f"`{id_col}` {kind}, lang_pred string, score double" + ", runs array<struct<lang: string, start: long, words: long>>" * runs)
 
 
-def keep_known_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.4) -> DataFrame:
-    """The rows whose text is in a known language, with all their columns.
+def keep_known_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", least_confidence: float = 0.5) -> DataFrame:
+    """The rows whose text is in known languages, with all their columns.
 
-    A text is rejected if it has no letter, or if no language reaches
-    ``least_score`` of its words.  Without a model nothing is rejected.
+    A text is rejected if it has no letter, or if its words can't be told: the
+    mean of each word's largest marginal is below ``least_confidence``.  A text
+    that switches between known languages is thus kept, whatever its mixture.
+    Without a model nothing is rejected.
     """
     if model is None:
         return docs
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
@@ -137,7 +139,7 @@ def keep_known_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_
                 marginals = shared.value.marginals(scores.of([w for t in group for w in t]), lengths)
                 at = 0
                 for n, size in enumerate(lengths):
-                    known = size and marginals[at : at + size].mean(axis=0).max() >= least_score
+                    known = size and marginals[at : at + size].max(axis=1).mean() >= least_confidence
                     wanted.append(bool(known) and has_letter(texts[first + n].as_py()))
                     at += size
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(wanted, pa.bool_()))

@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.storage import bounded_batches
 
 
 class Template(NamedTuple):
@@ -74,7 +73,6 @@ def words_of(text: bytes) -> list[bytes]:
 
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> tuple[int, dict[bytes, int]]:
     """The number of documents, and of those with each word of the vocabulary; counted over all documents."""
-    bounded_batches(docs.sparkSession)
     vocabulary = frozenset(vocabulary)
 
     def count(batches):

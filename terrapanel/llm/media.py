@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapanel.llm import progressive_jpeg as jpeg
-from terrapanel.llm.storage import bounded_batches
 
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 UNIT = 64
@@ -153,7 +152,6 @@ def _read_columns(media: list[bytes | None], tensors: bool) -> list[pa.Array]:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", read_back: bool = False) -> DataFrame:
     """One row per document: id, n_bytes and media; with ``read_back`` also what decoding the stored bytes gives."""
-    bounded_batches(docs.sparkSession)
     fields = [docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), *(_READ_FIELDS if read_back else [])]
     names = [f.name for f in fields]
 
@@ -164,7 +162,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, z in _grouped(sizes, GROUP_BYTES):
                 media = _store([texts[n].as_py() for n in range(a, z)])
                 columns = [batch.column(0).slice(a, z - a), pa.array(sizes[a:z], pa.int64()), pa.array(media, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(_read_columns(media, False) if read_back else [])], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *(_read_columns(media, True) if read_back else [])], names=names)
 
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__raw"))
     return rows.mapInArrow(run, T.StructType(fields))
@@ -175,7 +173,6 @@ def decode_media(rows: DataFrame, media_col: str = "media", tensors: bool = True
 
     Columns of these names are replaced.
     """
-    bounded_batches(rows.sparkSession)
     carried = rows.select(*[c for c in rows.columns if c not in {f.name for f in _READ_FIELDS}])
     at = carried.columns.index(media_col)
     fields = [*carried.schema.fields, *_READ_FIELDS]

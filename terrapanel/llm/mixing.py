@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrapanel.llm.storage import materialise
+from terrapanel.llm.storage import Tables
 
 LEVELS = ("domain", "lang", "source")
 BUCKET_BITS = 10
@@ -137,25 +137,25 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_
     keyed = docs.withColumns(
         {"__domain": domain, "__lang": F.col(lang_col), "__source": F.col(source_col), "__key": F.coalesce(F.col(id_col).cast("string"), F.lit(""))}
     )
-    own = ["__domain", "__lang", "__source"]
-    slim = materialise(keyed.select(*own, "__key", count_words(F.col(text_col)).alias("tokens")), "mix-tokens")
+    own, tables = ["__domain", "__lang", "__source"], Tables(docs.sparkSession, "mix")
+    slim = tables.write(keyed.select(*own, "__key", count_words(F.col(text_col)).alias("tokens")), "tokens")
     leaves = slim.groupBy(*[F.col(f"__{c}").alias(c) for c in LEVELS]).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, mix).where("tokens > 0 AND given > 0")
     whole = F.floor(F.col("given") / F.col("tokens") + F.lit(1e-12)).cast("int")
-    budgets = materialise(
+    budgets = tables.write(
         budgets.withColumn("whole", whole)
         .withColumn("rest", F.greatest(F.lit(0.0), F.col("given") - F.col("whole") * F.col("tokens")))
         .select(*[F.col(c).alias(f"__{c}") for c in LEVELS], "whole", "rest"),
-        "mix-budgets",
+        "budgets",
     )
     # The last epoch's order, in buckets.
     placed = _with_leaf(slim, budgets.where("rest > 0")).select(*[f"s.{c}" for c in slim.columns], "whole", "rest")
     placed = placed.withColumn("place", _order(mix, F.col("whole"), F.col("__key"))).withColumn("bucket", F.shiftrightunsigned("place", 63 - BUCKET_BITS))
     sums = placed.groupBy(*own, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(W.partitionBy(*own).orderBy("bucket"))
-    ends = materialise(
+    ends = tables.write(
         sums.withColumn("upto", upto).where("upto > rest").groupBy(*own, "rest").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("at")).select(*own, "rest", "at.*"),
-        "mix-ends",
+        "ends",
     )
     placed = placed.drop("rest")
     inside = _with_leaf(placed, ends).where("s.bucket = b.bucket").select(*[f"s.{c}" for c in placed.columns], "b.rest", "b.before")
@@ -165,7 +165,8 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_
     # A leaf without a row in its last bucket that fits ends at the bucket's begin.
     first = F.struct(F.shiftleft(F.col("b.bucket"), 63 - BUCKET_BITS).alias("place"), F.lit("").alias("__key"))
     cuts = ends.alias("b").join(cut.alias("c"), _same_leaf("b", "c"), "left").select(*[f"b.{c}" for c in own], F.coalesce(F.col("c.cut"), first).alias("cut"), F.col("c.cut").isNotNull().alias("has"))
-    plan = materialise(budgets.alias("b").join(cuts.alias("c"), _same_leaf("b", "c"), "left").select("b.*", "cut", "has"), "mix-plan")
+    plan = tables.write(budgets.alias("b").join(cuts.alias("c"), _same_leaf("b", "c"), "left").select("b.*", "cut", "has"), "plan")
+    tables.remove("tokens", "budgets", "ends")
     place = _order(mix, F.col("b.whole"), F.col("s.__key"))
     here = F.struct(place.alias("place"), F.col("s.__key").alias("__key"))
     in_last = (F.col("b.rest") > 0) & (F.col("b.cut").isNull() | (here < F.col("b.cut")) | (F.col("b.has") & (here == F.col("b.cut"))))

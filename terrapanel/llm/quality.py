@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.linear import logistic, sigmoid
 from terrapanel.llm.samples import by_label
-from terrapanel.llm.storage import bounded_batches
 
 TEXTS_PER_LABEL = 1500
 POOL = 3000
@@ -157,7 +156,6 @@ _COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def _prepared(docs: DataFrame, columns: tuple[str, str, str, str], *keys: str) -> DataFrame:
-    bounded_batches(docs.sparkSession)
     text, source, lang, n_chars = columns
     return docs.select(
         *[F.col(k) for k in keys],

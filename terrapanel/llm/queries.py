@@ -17,6 +17,7 @@ from terrapanel.llm.mixing import Mix, count_words, mix_sources
 from terrapanel.llm.quality import fit_quality, score_quality
 from terrapanel.llm.samples import fold
 from terrapanel.llm.simhash import near_duplicates
+from terrapanel.llm.storage import bounded_batches
 from terrapanel.llm.toxicity import fit_toxicity, score_toxicity
 from terrapanel.llm.url_filter import filter_urls
 
@@ -88,11 +89,12 @@ WITH d AS (
          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
   FROM documents
 ), g AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id,
+  SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept,
          count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM d
+  WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id NULLS LAST)
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """
 
 
@@ -150,6 +152,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        F.length("rgb").cast("long").alias("rgb_bytes"),
+        F.sha2("rgb", 256).alias("rgb_sha256"),
     )
 
 
@@ -172,8 +178,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_license_scan": op1_license_scan,
         "op2_language_id": op2_language_id,
         "op3_url_filter": op3_url_filter,
@@ -186,6 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "pipeline": pipeline,
     }
+    return {name: _bounded(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

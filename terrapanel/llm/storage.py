@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_DEFAULT = "/tmp/checkpoints/terrapanel"
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one where that is unset."""
-    return (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or LOCAL_DEFAULT
-    ).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a new temporary folder is set if the session runs in
+    local mode (one machine, as in tests); on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-terrapanel-")
+        spark.sparkContext.setCheckpointDir(found)
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+class Tables:
+    """The intermediate tables of one run of an operator.
 
-    This cuts the lineage: an executor that is lost afterwards costs a reread,
-    not a recomputation of everything before.
+    Writing a table cuts the lineage: an executor that is lost afterwards costs
+    a reread, not a recomputation of everything before.  Tables that a result
+    still reads are left; the others are removed as soon as they are used up.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as Parquet in the shared folder, read back."""
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        """On whatever file system the folder is."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 4 MB from here on, unless the session already has smaller ones.
 
     Texts differ in length by orders of magnitude, so a number of rows bounds
-    no memory; batches of this size cost nothing measurable.
+    no memory; batches of this size cost nothing measurable.  Queries and
+    pipeline stages call this; operators leave the session as it is.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     size = spark.conf.get(key, "64m").lower().rstrip("b")

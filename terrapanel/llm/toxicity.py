@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
 from terrapanel.llm.linear import logistic, sigmoid
 from terrapanel.llm.samples import LONGEST_TRAINING_TEXT, by_label
-from terrapanel.llm.storage import bounded_batches
 
 TEXTS_PER_LABEL = 1500
 #: Bytes of the beginnings that may be evidence, beside whole words.
@@ -143,7 +142,6 @@ def _spans(text: str, flags: np.ndarray, marginal: np.ndarray) -> list[dict]:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """One row per document: id, score and, if asked for, spans: offending offsets in code points, end exclusive."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     names = [id_col, "score", *["spans"] * spans]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))

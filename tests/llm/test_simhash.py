@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import xxhash
 
 from terrapanel.llm.components import connected_components
-from terrapanel.llm.simhash import HALVES, drop_near_duplicates, fingerprint, near_duplicates
+from terrapanel.llm.simhash import HALVES, bits_of, covered, drop_near_duplicates, near_duplicates, shingle_hashes
+from terrapanel.llm.storage import Tables
 
 
 def slow_fingerprint(text):
@@ -63,7 +65,7 @@ def test_every_pair_within_distance_two_is_linked(spark):
     base = 0x0123456789ABCDEF
     prints = [base] + [base ^ (1 << i) ^ (1 << j) for i, j in ((0, 1), (0, 40), (33, 60), (31, 32), (5, 5), (63, 0))]
     nodes = spark.createDataFrame([((p - 2**64 if p >= 2**63 else p),) for p in prints], "fp long").selectExpr("fp", "array(0L) as more", "fp as node", "fp as root")
-    links = simhash._probe_links(nodes, HALVES, None, 0, 2).collect()
+    links = simhash._probe_links(nodes, HALVES, 2, Tables(spark, "test")).collect()
     found = {frozenset((r.a % 2**64, r.b % 2**64)) for r in links}
     want = {frozenset((a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 2}
     assert found == want
@@ -95,8 +97,8 @@ def test_near_copies_go_and_others_stay(spark):
 
 
 def test_fingerprint_words_are_distinct():
-    a = fingerprint(b"some words in a row here", 2, 4)
-    assert len(set(a)) == 4
+    a = bits_of([shingle_hashes(b"some words in a row here", 2)], 4)
+    assert len(set(a)) == 4 and bits_of([], 4) == [0] * 4
 
 
 def test_components_of_a_chain_and_a_hub(spark):
@@ -111,6 +113,36 @@ def similarity(a, b):
     return len(a & b) / len(a | b)
 
 
+def slow_covered(a, b):
+    """Words of each text that stand in a common shingle, marked one by one."""
+
+    def share(x, y):
+        if not x:
+            return float(not y)
+        size = min(5, len(x))
+        there = {tuple(y[k : k + size]) for k in range(len(y) - size + 1)} if size == 5 or len(y) < 5 else set()
+        there = there if size == 5 else {t for t in there if t == tuple(y)}
+        marked = {k + i for k in range(len(x) - size + 1) if tuple(x[k : k + size]) in there for i in range(size)}
+        return len(marked) / len(x)
+
+    return min(share(a, b), share(b, a))
+
+
+def test_covered_words_by_marking_them(spark):
+    rng = random.Random(17)
+    texts = [[], ["a"], ["a", "b"], ["a"] * 9, ["b"] * 9]
+    for _ in range(30):
+        base = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))]
+        copy = list(base)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(len(copy))] = "x"
+        texts += [base, copy, base[: rng.randrange(1, 60)]]
+    for a in texts:
+        for b in texts:
+            x, y = (shingle_hashes(" ".join(t).encode()) for t in (a, b))
+            assert np.isclose(covered(x, y), slow_covered(a, b)), (a, b)
+
+
 def test_block_edits_are_found_from_a_similarity_of_0_8(spark):
     """Paragraphs appended, cut off or replaced change few shingles but many distinct words."""
     rng = random.Random(11)
@@ -145,5 +177,51 @@ def test_texts_below_the_similarity_and_other_texts_of_an_id_stay(spark):
     base = [f"x{k}" for k in range(200)]
     near, other = " ".join(base[:-1] + ["end"]), " ".join(f"y{k}" for k in range(200))
     rows += [(9000, " ".join(base)), (9001, near), (9001, other)]
-    kept = {tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), measure="jaccard").collect()}
     assert kept == set(rows) - {(9001, near)}
+
+
+def test_near_copies_of_the_test_documents(spark):
+    """Pair recall and precision against brute force over the shingles of five words (those in at most 60 texts)."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    texts = {}
+    for i, t in docs.collect():
+        texts.setdefault("".join(t.split()), (i, t.lower().split()))
+    words = dict(texts.values())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    common = {}
+    for of in where.values():
+        if 1 < len(of) <= 60:
+            for n, j in enumerate(of):
+                for i in of[:n]:
+                    common[i, j] = common.get((i, j), 0) + 1
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for (i, j), n in common.items() if n >= 0.1 * max(len(sets[i]), len(sets[j]))}
+    near = [p for p, s in alike.items() if s >= 0.4]
+    same = [p for p in near if slow_covered(words[p[0]], words[p[1]]) >= 0.8]
+    distinct = docs.join(spark.createDataFrame([(i,) for i in words], "doc_id long"), "doc_id")
+    kept = {r.doc_id for r in drop_near_duplicates(distinct).collect()}
+    lost = lambda pairs: sum(i in kept and j in kept for i, j in pairs) / len(pairs)
+    assert len(near) > 1000 and lost(near) <= 0.05
+    assert len(same) > 1000 and lost(same) <= 0.02
+    best = {}
+    for (i, j), s in alike.items():
+        best[i], best[j] = max(s, best.get(i, 0)), max(s, best.get(j, 0))
+    assert all(best.get(i, 0) >= 0.3 for i in set(words) - kept)
+
+
+def test_columns_of_any_names_are_carried(spark):
+    rows = [(1, "a b c d e f g", "x", 1.0), (2, "a  b c d e f g", "y", 2.0), (None, "a b c d e f g", "z", 3.0), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, mark double").withColumn("g", docs_name()).withColumn("fp.x", docs_name())
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.node or "") for r in kept.collect()) == [(0, "z"), (1, "x"), (3, "")]
+
+
+def docs_name():
+    from pyspark.sql import functions as F
+
+    return F.lit("n")
