@@ -1,6 +1,6 @@
 import re
 
-from terrapanel.llm.licenses import BASE, TEMPLATES, scan_licenses
+from terrapanel.llm.licenses import BASE, SLACK, TEMPLATES, WORDINGS, RareWordIndex, scan_licenses, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, spans string, n_words int"
@@ -53,6 +53,60 @@ def test_every_template_finds_its_own_text(spark):
         assert any(s.label == TEMPLATES[r.doc_id].label and s.score > 0.999 for s in r.spans)
 
 
+def every_place(text):
+    """(label, start) of all templates, by trying every word of the text."""
+    words = words_of((text or "").encode())
+    found = set()
+    for t in TEMPLATES:
+        whole, keys, at = words_of(t.text.encode()), [words_of(k.encode()) for k in t.keys], []
+        for k in keys:
+            at.append(next(i for i in range(at[-1] if at else 0, len(whole)) if whole[i : i + len(k)] == k))
+        for s in range(len(words)):
+            stands = lambda i, k: words[i : i + len(k)] == k
+            others = ((s + a - at[0], k) for a, k in zip(at[1:], keys[1:], strict=True))
+            if stands(s, keys[0]) and all(any(stands(i, k) for i in range(max(0, b - SLACK), b + SLACK + 1)) for b, k in others):
+                found.add((t.label, s))
+    return found
+
+
+def licence_texts():
+    import random
+
+    rng = random.Random(23)
+    wordings = [t.text.split() for t in TEMPLATES]
+    out = [*TEXTS[:15], *TEXTS[16:]]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            own = list(rng.choice(wordings))
+            for _ in range(rng.randrange(4)):  # words are changed, go, or come
+                k = rng.randrange(len(own))
+                own[k : k + rng.randrange(2)] = rng.choice(([], ["some"], ["license", "software"], ["x"] * rng.randrange(20)))
+                own = own or ["x"]
+            words += own[rng.randrange(3) :] + ["y"] * rng.randrange(3)
+        out.append(" ".join(words))
+    return out
+
+
+def test_all_templates_by_brute_force(spark):
+    texts = licence_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {(s.label, s.start) for s in r.spans} for r in scan_licenses(docs).collect()}
+    want = {i: every_place(t) for i, t in enumerate(texts)}
+    assert got == want
+    assert {t.label for t in WORDINGS} <= {label for places in want.values() for label, _ in places}
+
+
+def test_two_rare_words_must_agree_on_the_place():
+    index = RareWordIndex(TEMPLATES, 100, {})
+    compared = []
+    index._stands = lambda words, n, start: compared.append(n)
+    apart = "merchantability x sublicense y apache z license 2 0 version".encode()
+    assert index.scan(words_of(apart)) == [] and not compared
+    # Both words of "apache license" are there, but not as far apart as in the phrase: nothing is compared.
+    assert index.scan(words_of(b"license apache x license")) == [] and not compared
+
+
 def test_query_columns_match_brute_force(spark):
     from terrapanel.llm.queries import op1_license_scan
 
