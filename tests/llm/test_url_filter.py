@@ -23,7 +23,7 @@ def test_matches_brute_force(spark):
     urls += [f"http://{'.'.join(rng.choice(labels) for _ in range(rng.randrange(1, 5)))}{rng.choice(parts)}{rng.choice(parts)}{rng.choice(parts)}" for _ in range(1500)]
     urls += ["http://a.com/" + "a" * 50_000, "http://a.com/ab", "http://a.com/ab"]
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, kind int")
-    got = {r.page_id: r for r in filter_urls(pages, spark.createDataFrame(rules, RULE_SCHEMA), salts=3).collect()}
+    got = {r.page_id: r for r in filter_urls(pages, spark.createDataFrame(rules, RULE_SCHEMA), urls_a_salt=600).collect()}
     assert len(got) == len(urls)
     for i, u in enumerate(urls):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == brute(u, rules), u
@@ -38,6 +38,16 @@ def test_ties_no_rules_and_empty_tables(spark):
     assert filter_urls(pages.limit(0), both).count() == 0
 
 
+def test_a_host_of_many_labels_is_one_row(spark):
+    long = ".".join(["x"] * 20_000)
+    rules = [("block", "x.com", "/a"), ("allow", f"{long}.com", "/a/b"), ("block", f"x.{long}.com", "/"), ("allow", "com", "/a/b/c/d/e")]
+    urls = [f"http://{long}.com/a/b/c", f"http://x.{long}.com/a", f"http://y.{long}.com/a/b", "http://com/a/b/c/d/e/f", f"http://{long}.org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in filter_urls(pages, spark.createDataFrame(rules, RULE_SCHEMA)).collect()}
+    for i, u in enumerate(urls):
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == brute(u, rules)
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rules = spark.sql("SELECT * FROM VALUES ('block', 'a', '/'), ('allow', 'b', '/') AS r(verdict, host, path)")
