@@ -223,6 +223,8 @@ FIRST_WORD, FIRST_TWO, ALL_WORDS = 24, 42, 136
 ROWS_A_TASK = 400_000
 #: Probed rows that are compared in one step, to bound memory.
 PAIRS_A_STEP = 1 << 20
+#: Candidates between two components, of one bucket and one neighbour, that are tried at first.
+FIRST_TRIED = 8
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -329,11 +331,13 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray, width: int):
+def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray, width: int, tried: int | None):
     """Arrays (a, b) of the nodes of different roots whose halves are equal and whose rests differ in one bit at most.
 
     key: the half with its number, the rest in its lowest 16 bits.  Equal rests
     count for halves of even numbers only, as both halves of a segment find them.
+    With ``tried``, so many of the nearest pairs of two roots are given, and the
+    nodes of those that are left out as pairs of a node with itself.
     """
     order = np.lexsort((root, key))
     key, node, fp, fp2, root = key[order], node[order], fp[order], fp2[order], root[order]
@@ -361,12 +365,22 @@ def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarr
             t = np.repeat(start[other[done:stop]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             new = root[p] < root[t]
             p, t = p[new], t[new]
-            near = np.bitwise_count((fp[p] ^ fp[t]).view(np.uint64)) + np.bitwise_count((fp2[p] ^ fp2[t]).view(np.uint64)) <= FIRST_TWO
-            yield node[p[near]], node[t[near]]
+            far = np.bitwise_count((fp[p] ^ fp[t]).view(np.uint64)) + np.bitwise_count((fp2[p] ^ fp2[t]).view(np.uint64))
+            near = far <= FIRST_TWO
+            p, t, far = p[near], t[near], far[near]
+            if tried is not None and len(p) > tried:
+                by_roots = np.lexsort((node[t], node[p], far, root[t], root[p]))
+                p, t = p[by_roots], t[by_roots]
+                begins = np.flatnonzero(np.r_[True, (root[p][1:] != root[p][:-1]) | (root[t][1:] != root[t][:-1])])
+                place = np.arange(len(p)) - np.repeat(begins, np.diff(np.r_[begins, len(p)]))
+                later = np.unique(np.r_[node[p[place >= tried]], node[t[place >= tried]]])
+                yield later, later
+                p, t = p[place < tried], t[place < tried]
+            yield node[p], node[t]
             done = stop
 
 
-def _half_links(nodes: DataFrame, segments: tuple[Segment, ...]) -> DataFrame:
+def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | None) -> DataFrame:
     """Distinct candidates (a, b) of different components whose value agrees in some segment up to one bit.
 
     One half of the segment then agrees as a whole.  Rows are dealt out by
@@ -389,7 +403,7 @@ def _half_links(nodes: DataFrame, segments: tuple[Segment, ...]) -> DataFrame:
         if held:
             table = pa.Table.from_batches(held)
             columns = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "node", "fp", "fp2", "root")]
-            for a, b in _flip_pairs(*columns, widest):
+            for a, b in _flip_pairs(*columns, widest, tried):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -417,13 +431,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     first = exact(_bucket_links(nodes, PRINT_SEGMENTS, FIRST_WORD, (1,)), "neighbours")
     labelled = tables.write(_labelled(nodes, first), "labelled")
-    more = exact(_half_links(labelled, PRINT_SEGMENTS), "probed")
-    roots = connected_components(first.unionByName(more))
+    # Two groups that have not met may have very many candidates between them.  The nearest ones are tried first; what
+    # is left of them is tried all, but by then most such groups have been joined.
+    probed = tables.write(_half_links(labelled, PRINT_SEGMENTS, FIRST_TRIED), "probed")
+    links = first.unionByName(exact(probed.where("a <> b"), "nearest"))
+    later = tables.write(probed.where("a = b").select(F.col("a").alias("node")), "later")
+    if later.count():
+        joined = tables.write(_labelled(nodes.join(later, "node", "left_semi"), links), "joined")
+        links = links.unionByName(exact(_half_links(joined, PRINT_SEGMENTS, None), "others"))
+    roots = connected_components(links)
     placed = rows.join(roots, "node", "left").where("doc_id IS NOT NULL")
     placed = tables.write(placed.select("doc_id", "mark", F.coalesce("root", "node").alias("root")), "placed")
     who = F.struct("doc_id", "mark")
     least = tables.write(placed.groupBy("root").agg(F.min(who).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
     gone = join_hot(placed, least, "root", placed.count()).where(who != F.col("least")).select("doc_id", "mark").distinct()
     gone = tables.write(gone, "gone")
-    tables.remove("word-prints", "nodes", "neighbours", "labelled", "probed", "placed", "least")
+    tables.remove("word-prints", "nodes", "neighbours", "labelled", "probed", "nearest", "later", "joined", "others", "placed", "least")
     return without(docs, gone, id_col, text_col)

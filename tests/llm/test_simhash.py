@@ -213,6 +213,24 @@ def test_near_copies_of_the_test_documents(spark):
     assert all(best.get(i, 0) >= 0.3 for i in set(words) - kept)
 
 
+def test_few_pairs_of_two_groups_are_tried_at_first():
+    from terrapanel.llm.simhash import _flip_pairs
+
+    rng = np.random.default_rng(2)
+    n = 400
+    key, node, root = np.zeros(n, np.int64), np.arange(n), np.where(np.arange(n) < 390, 0, np.arange(n))
+    fp = fp2 = rng.integers(0, 1 << 10, n)  # all are near
+    pairs = lambda tried: [(a, b) for x, y in _flip_pairs(key, node, fp, fp2, root, 11, tried) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    every = {frozenset(p) for p in pairs(None)}
+    assert every == {frozenset((i, j)) for i in range(n) for j in range(i) if root[i] != root[j]}
+    some = pairs(3)
+    links = {frozenset(p) for p in some if p[0] != p[1]}
+    assert links <= every and len(links) == 10 * 3 + 45
+    # Nodes of what was left out come again; together they have all the pairs left.
+    later = {a for a, b in some if a == b}
+    assert all(p <= later for p in every - links)
+
+
 def test_columns_of_any_names_are_carried(spark):
     rows = [(1, "a b c d e f g", "x", 1.0), (2, "a  b c d e f g", "y", 2.0), (None, "a b c d e f g", "z", 3.0), (3, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string, mark double").withColumn("g", docs_name()).withColumn("fp.x", docs_name())
