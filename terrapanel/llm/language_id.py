@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
-from terrapanel.llm.samples import LONGEST_TRAINING_TEXT, by_label
+from terrapanel.llm.samples import LONGEST_TEXT, MOST_LABELS, by_label, window_of
 
 UNKNOWN = "und"
 TEXTS_PER_LANGUAGE = 120
@@ -44,11 +44,24 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
-def fit_languages(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Crf | None:
-    """A model from (id, text, language) rows; None if there is nothing to learn from."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.length("text").between(1, LONGEST_TRAINING_TEXT))
-    sample = sorted((r.lang, words_of(r.text.encode())) for r in by_label(rows, "lang", "id", texts_per_language).select("lang", "text").collect() if has_letter(r.text))
+def fit_languages(
+    labelled: DataFrame,
+    id_col: str,
+    text_col: str,
+    lang_col: str,
+    texts_per_language: int = TEXTS_PER_LANGUAGE,
+    most_languages: int = MOST_LABELS,
+    longest_text: int = LONGEST_TEXT,
+) -> Crf | None:
+    """A model from (id, text, language) rows; None if there is nothing to learn from.
+
+    The sample's bounds: about ``texts_per_language`` texts of each of the
+    ``most_languages`` most frequent languages, and of a longer text a stretch
+    of ``longest_text`` code points.
+    """
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.length("text") > 0)
+    chosen = by_label(rows, "lang", "id", texts_per_language, most_languages).select("lang", window_of("text", "id", longest_text).alias("text"))
+    sample = sorted((r.lang, words_of(r.text.encode())) for r in chosen.collect() if has_letter(r.text))
     if not sample:
         return None
     languages = sorted({lang for lang, _ in sample})

@@ -1,20 +1,24 @@
 """Quality by co-training: a text view and a page-metadata view teach each other.
 
-The text view sees measures of a text's content: shares of symbols, capitals,
-digits and repeated words, word lengths and variety, line structure.  The
-metadata view sees a document's source, language and size, never its text.
+The text view sees a text's content: its words and its byte trigrams, hashed to
+shares of WORD_BUCKETS and TRIGRAM_BUCKETS buckets, and measures of symbols,
+capitals, digits, repeated words, word lengths and variety, line structure.
+The metadata view sees a document's source, language and size, never its text.
 Each view's logistic classifier starts from labelled rows.  In each round each
 view labels the unlabelled rows of which it is surest, and the other view
 learns from them as well.  Finally the views are calibrated and combined on
-labelled rows that neither learned from, and all documents are scored.
+labelled rows that neither learned from, in which each row counts for as many as
+it stands for in the sample; and all documents are scored.
 
 The model is fitted on bounded samples: about ``texts_per_label`` labelled rows
 of each label and ``pool`` unlabelled rows.
 
 Defined results: a null text counts as empty and null metadata are values of
 their own; every text if no labelled row is given, or rows of one label only,
-gets that label's score, or 0.5; repeated rows are scored alike; an empty table
-gives an empty result; other columns are ignored.
+gets that label's score, or 0.5; an id with both labels counts as good;
+repeated rows are scored alike; a very long text is measured whole, in blocks
+of bytes; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.linear import logistic, sigmoid
-from terrapanel.llm.samples import by_label
+from terrapanel.llm.samples import by_label, one_label
 
 TEXTS_PER_LABEL = 1500
 POOL = 3000
@@ -37,6 +41,11 @@ ROUNDS = 5
 #: Rows that a view labels in a round, at most, for each label; and how sure it must be.
 PER_ROUND, SURE = 100, 0.95
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
+WORD_BUCKETS, TRIGRAM_BUCKETS = 128, 128
+#: Penalty on the squares of a view's weights.
+RIDGE = {"text": 20.0, "meta": 1.0}
+#: Bytes of a text whose trigrams are hashed in one step, to bound memory.
+BLOCK = 1 << 20
 
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-?")
 CAPITALS = bytes(range(65, 91))
@@ -44,17 +53,30 @@ DIGITS = bytes(range(48, 58))
 ENDS = b".!?"
 
 
+def trigram_counts(text: bytes) -> np.ndarray:
+    """How many byte trigrams, lower-cased, fall into each bucket."""
+    counts = np.zeros(TRIGRAM_BUCKETS, np.int64)
+    for at in range(0, len(text) - 2, BLOCK):
+        b = np.frombuffer(text[at : at + BLOCK + 2].lower(), np.uint8).astype(np.uint32)
+        h = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(9)
+        counts += np.bincount(h % TRIGRAM_BUCKETS, minlength=TRIGRAM_BUCKETS)
+    return counts
+
+
 def text_features(text: bytes) -> list[float]:
-    """Measures of a whole text; zeros for an empty one."""
+    """Measures of a whole text, then roots of the shares of its words and trigrams by bucket; zeros for an empty one."""
     words = text.split()
     n, size = len(words), len(text)
     if not n:
-        return [0.0] * 13
+        return [0.0] * (13 + WORD_BUCKETS + TRIGRAM_BUCKETS)
     counts = Counter(words)
     adjacent = sum(a == b for a, b in zip(words, words[1:], strict=False))
     symbols = size - len(text.translate(None, SYMBOLS))
     lines = text.count(b"\n") + 1
     letters = size - n
+    in_bucket = np.zeros(WORD_BUCKETS)
+    for word, times in counts.items():
+        in_bucket[zlib.crc32(word.lower()) % WORD_BUCKETS] += times
     return [
         np.log1p(n),
         symbols / size,
@@ -69,6 +91,8 @@ def text_features(text: bytes) -> list[float]:
         (size - len(text.translate(None, ENDS))) / n,
         lines / n,
         np.log1p(adjacent),
+        *np.sqrt(in_bucket / n),
+        *np.sqrt(trigram_counts(text) / max(1, size - 2)),
     ]
 
 
@@ -111,15 +135,16 @@ class QualityModel:
         return both, sigmoid(own[0]), sigmoid(own[1])
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray) -> View:
+def _fit_view(x: np.ndarray, y: np.ndarray, ridge: float) -> View:
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    slope, offset = logistic((x - mean) / scale, y, ridge=1.0)
+    slope, offset = logistic((x - mean) / scale, y, ridge=ridge)
     return View(mean, scale, slope, offset)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
-    """y: 0 or 1 for each labelled row; the pool's rows have no labels."""
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, weight: np.ndarray | None = None) -> QualityModel:
+    """y: 0 or 1 for each labelled row, weight: the rows it stands for; the pool's rows have no labels."""
+    weight = np.ones(len(y)) if weight is None else weight
     if len(set(y.tolist())) < 2:
         return QualityModel(None, [], (np.zeros(2), 0.0), float(y[0]) * 0.98 + 0.01 if len(y) else 0.5)
     held = np.arange(len(y)) % 4 == 0
@@ -133,7 +158,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
     def fit(v: int) -> View:
         rows = list(extra[v])
-        return _fit_view(np.concatenate([labelled[v], pool[v][rows]]), np.concatenate([y[learn], [extra[v][r] for r in rows]]))
+        return _fit_view(np.concatenate([labelled[v], pool[v][rows]]), np.concatenate([y[learn], [extra[v][r] for r in rows]]), (RIDGE["text"], RIDGE["meta"])[v])
 
     views = [fit(0), fit(1)]
     for _ in range(rounds):
@@ -144,12 +169,13 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
                 extra[1 - v].update(dict.fromkeys(open_[:PER_ROUND], label))
         views = [fit(0), fit(1)]
     logits = [views[v].logit((text, meta)[v][held]) for v in (0, 1)]
+    own_weight = weight[held] / weight[held].mean()
     calibration = []
     for x in logits:
-        slope, offset = logistic(x[:, None], y[held], ridge=0.1)
+        slope, offset = logistic(x[:, None], y[held], ridge=0.1, weight=own_weight)
         calibration.append((max(0.0, float(slope[0])), offset))
     own = np.stack([a * x + b for x, (a, b) in zip(logits, calibration, strict=True)], axis=1)
-    return QualityModel((views[0], views[1]), calibration, logistic(own, y[held], ridge=0.1))
+    return QualityModel((views[0], views[1]), calibration, logistic(own, y[held], ridge=0.1, weight=own_weight))
 
 
 _COLUMNS = ("text", "source", "lang", "n_chars")
@@ -174,17 +200,17 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(rows: DataFrame) -> list:
-    """(id, label, features of both views) of a bounded sample, in the order of the ids."""
+    """(id, label, weight, features of both views) of a bounded sample, in the order of the ids."""
 
     def run(batches):
         for batch in batches:
             content, meta = _features(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(content.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64()))],
-                names=["id", "y", "content", "meta"],
+                [*batch.columns[:3], pa.array(content.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64()))],
+                names=["id", "y", "weight", "content", "meta"],
             )
 
-    found = rows.mapInArrow(run, "id string, y int, content array<double>, meta array<double>").collect()
+    found = rows.mapInArrow(run, "id string, y int, weight double, content array<double>, meta array<double>").collect()
     return sorted(found, key=lambda r: (zlib.crc32((r.id or "").encode()), r.id or "", r.content))
 
 
@@ -199,13 +225,13 @@ def fit_quality(
 ) -> QualityModel:
     """A model from documents and the labels of some of them; null labels are not learned from."""
     marks = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y"))
-    chosen = by_label(marks, "y", "id", texts_per_label).dropDuplicates(["id"])  # bounded, so it can be broadcast
+    chosen = by_label(one_label(marks, "id", "y"), "y", "id", texts_per_label)  # bounded, so it can be broadcast
     keyed = _prepared(docs.withColumn("__id", F.col(id_col)), columns, "__id")
-    own = keyed.join(F.broadcast(chosen), F.col("__id") == F.col("id")).select(F.col("id").cast("string").alias("id"), "y", *keyed.columns[1:])
+    own = keyed.join(F.broadcast(chosen), F.col("__id") == F.col("id")).select(F.col("id").cast("string").alias("id"), "y", "weight", *keyed.columns[1:])
     sample = _sampled(own)
-    rest = by_label(keyed.withColumn("__all", F.lit(1)), "__all", "__id", pool).drop("__all")
+    rest = by_label(keyed.withColumn("__all", F.lit(1)), "__all", "__id", pool).drop("__all", "weight")
     rest = rest.join(F.broadcast(chosen), F.col("__id") == F.col("id"), "left_anti")
-    extra = _sampled(rest.select(F.col("__id").cast("string").alias("id"), F.lit(None).cast("int").alias("y"), *keyed.columns[1:]))
+    extra = _sampled(rest.select(F.col("__id").cast("string").alias("id"), F.lit(None).cast("int").alias("y"), F.lit(1.0).alias("weight"), *keyed.columns[1:]))
     shape = lambda rows, of, n: np.array([of(r) for r in rows]).reshape(-1, n)
     n_text, n_meta = len(text_features(b"")), len(meta_features(None, None, None))
     return co_train(
@@ -214,6 +240,7 @@ def fit_quality(
         np.array([r.y for r in sample], float),
         shape(extra, lambda r: r.content, n_text),
         shape(extra, lambda r: r.meta, n_meta),
+        weight=np.array([r.weight for r in sample], float),
     )
 
 

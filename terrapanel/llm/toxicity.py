@@ -5,15 +5,20 @@ are those of toxic texts whose word, or whose beginning, occurs in toxic texts
 far more often than in clean ones; all words of clean texts are labelled clean.
 The field learns from them which words, by affixes, n-grams and neighbours, are
 toxic.  A text's score comes from its words' marginals through a logistic
-function fitted on texts that the field did not learn from.
+function fitted on texts that the field did not learn from, in which each text
+counts for as many labelled ones as it stands for in the sample; so scores are
+probabilities at the labels' own rates, however many labels there are.
 
 The model is fitted on a bounded sample: about ``texts_per_label`` of each
-label.
+label, of texts up to ``longest_text`` code points (a longer one has too many
+words for its label to say much about any of them).
 
 Defined results: a null text counts as empty; a text without words, and every
 text if no labelled text is given, gets the score of a text without evidence;
-repeated rows are scored alike; an empty table gives an empty result; other
-columns are ignored.
+an id with both labels counts as toxic; repeated rows are scored alike; a very
+long text is scored whole, by itself, in memory that grows with its words; an
+empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
 from terrapanel.llm.linear import logistic, sigmoid
-from terrapanel.llm.samples import LONGEST_TRAINING_TEXT, by_label
+from terrapanel.llm.samples import LONGEST_TEXT, by_label, one_label
 
 TEXTS_PER_LABEL = 1500
 #: Bytes of the beginnings that may be evidence, beside whole words.
@@ -80,19 +85,20 @@ def summaries(marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", texts_per_label: int = TEXTS_PER_LABEL) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", texts_per_label: int = TEXTS_PER_LABEL, longest_text: int = LONGEST_TEXT) -> ToxicityModel:
     """A model from texts and the labels of some of them; null labels are not learned from."""
     marks = labels.select(F.col(id_col).alias("id"), (F.col(toxic_col) != 0).cast("int").alias("toxic"))
-    chosen = by_label(marks, "toxic", "id", texts_per_label).dropDuplicates(["id"])  # bounded, so it can be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, LONGEST_TRAINING_TEXT))
+    chosen = by_label(one_label(marks, "id", "toxic"), "toxic", "id", texts_per_label)  # bounded, so it can be broadcast
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, longest_text))
     rows = rows.join(F.broadcast(chosen), "id")
     shared: dict[bytes, bytes] = {}  # one copy of each word
     sample = []
     for r in rows.toLocalIterator():
-        sample.append((r.id, r.toxic, [shared.setdefault(w, w) for w in words_of(r.text.encode())]))
+        sample.append((r.id, r.toxic, [shared.setdefault(w, w) for w in words_of(r.text.encode())], r.weight))
     sample.sort(key=lambda x: (x[0] is None, x[0], x[2]))
-    toxic = np.array([t for _, t, _ in sample], bool)
-    texts = [w for _, _, w in sample]
+    toxic = np.array([x[1] for x in sample], bool)
+    texts = [x[2] for x in sample]
+    weight = np.array([x[3] for x in sample])
     if not toxic.any() or toxic.all():
         return ToxicityModel(None, np.zeros(3), 0.0 if not len(toxic) else (4.0 if toxic.all() else -4.0))
     learn = np.arange(len(texts)) % 3 != 0
@@ -118,7 +124,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if len(set(toxic[learn])) < 2 or len(set(toxic[held])) < 2:
         held, learn = np.arange(len(texts)), np.ones(len(texts), bool)
     model = fit(learn)
-    slope, offset = logistic(summary(model, held), toxic[held].astype(float))
+    slope, offset = logistic(summary(model, held), toxic[held].astype(float), weight=weight[held] / weight[held].mean())
     return ToxicityModel(model, slope, offset)
 
 
