@@ -337,7 +337,7 @@ def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarr
     key: the half with its number, the rest in its lowest 16 bits.  Equal rests
     count for halves of even numbers only, as both halves of a segment find them.
     With ``tried``, so many of the nearest pairs of two roots are given, and the
-    nodes of those that are left out as pairs of a node with itself.
+    halves of those that are left out, as pairs of a half with itself.
     """
     order = np.lexsort((root, key))
     key, node, fp, fp2, root = key[order], node[order], fp[order], fp2[order], root[order]
@@ -370,22 +370,23 @@ def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarr
             p, t, far = p[near], t[near], far[near]
             if tried is not None and len(p) > tried:
                 by_roots = np.lexsort((node[t], node[p], far, root[t], root[p]))
+                at_key = key[p[by_roots]]
                 p, t = p[by_roots], t[by_roots]
                 begins = np.flatnonzero(np.r_[True, (root[p][1:] != root[p][:-1]) | (root[t][1:] != root[t][:-1])])
                 place = np.arange(len(p)) - np.repeat(begins, np.diff(np.r_[begins, len(p)]))
-                later = np.unique(np.r_[node[p[place >= tried]], node[t[place >= tried]]])
+                later = np.unique(at_key[place >= tried] >> 16)
                 yield later, later
                 p, t = p[place < tried], t[place < tried]
             yield node[p], node[t]
             done = stop
 
 
-def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | None) -> DataFrame:
+def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | None, halves: DataFrame | None = None) -> DataFrame:
     """Distinct candidates (a, b) of different components whose value agrees in some segment up to one bit.
 
     One half of the segment then agrees as a whole.  Rows are dealt out by
     each half, and the other half's flips are made where the rows are, so
-    flips are never shuffled.
+    flips are never shuffled.  With ``halves``, only these are looked into.
     """
     parts = []
     for k, segment in enumerate(segments):
@@ -395,7 +396,9 @@ def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | No
         for side, own, rest in ((0, low, high), (1, high, low)):
             parts.append(F.shiftleft(F.lit(2 * k + side).cast("long"), 32).bitwiseOR(F.shiftleft(own, 16)).bitwiseOR(rest))
     tasks = 1 + nodes.count() * len(parts) // ROWS_A_TASK
-    rows = nodes.select(F.explode(F.array(*parts)).alias("key"), "node", "fp", F.col("more")[0].alias("fp2"), "root").repartition(tasks, F.shiftright("key", 16))
+    rows = nodes.select(F.explode(F.array(*parts)).alias("key"), "node", "fp", F.col("more")[0].alias("fp2"), "root").withColumn("half", F.shiftright("key", 16))
+    rows = rows if halves is None else rows.join(halves, "half", "left_semi")
+    rows = rows.repartition(tasks, "half")
     widest = max(s.width - s.width // 2 for s in segments)
 
     def run(batches):
@@ -435,10 +438,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # is left of them is tried all, but by then most such groups have been joined.
     probed = tables.write(_half_links(labelled, PRINT_SEGMENTS, FIRST_TRIED), "probed")
     links = first.unionByName(exact(probed.where("a <> b"), "nearest"))
-    later = tables.write(probed.where("a = b").select(F.col("a").alias("node")), "later")
+    later = tables.write(probed.where("a = b").select(F.col("a").alias("half")), "later")
     if later.count():
-        joined = tables.write(_labelled(nodes.join(later, "node", "left_semi"), links), "joined")
-        links = links.unionByName(exact(_half_links(joined, PRINT_SEGMENTS, None), "others"))
+        joined = tables.write(_labelled(nodes, links), "joined")
+        links = links.unionByName(exact(_half_links(joined, PRINT_SEGMENTS, None, later), "others"))
     roots = connected_components(links)
     placed = rows.join(roots, "node", "left").where("doc_id IS NOT NULL")
     placed = tables.write(placed.select("doc_id", "mark", F.coalesce("root", "node").alias("root")), "placed")
