@@ -1,41 +1,67 @@
-"""Exact quantiles of large groups.
+"""Order statistics of large groups: running counts of distinct values, and exact quantiles.
 
-Spark's ``percentile`` keeps a group's values in one task's memory.  Here a
-group is counted in equal buckets, and only the buckets that hold a wanted rank
-are looked into; so the work is spread over tasks, and what is sorted spills.
+A window over a group sorts all of it in one task, and Spark's ``percentile``
+keeps a group's values in one task's memory.  Here a group's distinct values
+are counted first and dealt into buckets, between splitters of about equal
+rank; the buckets' counts, a bounded number, are added up, and values are
+sorted within their bucket only.  So the work of a hot group is spread over
+BUCKETS tasks, whatever the values' distribution.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 256
+#: Of the sketch that finds the splitters; results don't depend on it, only the buckets' sizes do.
+ACCURACY = 2000
 
 
-def group_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
-    """Rows (by..., name): linearly interpolated quantiles of the non-null values, in the order of the shares."""
+def with_bucket(df: DataFrame, value: str, by: Sequence[str], name: str = "__bucket") -> DataFrame:
+    """df with the number of its group's splitters that are not above the (non-null) value."""
+    shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    splitters = df.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(ACCURACY)).alias("__splitters"))
+    splitters = splitters.withColumn("__splitters", F.array_distinct("__splitters"))
+    return df.join(splitters, list(by)).withColumn(name, F.size(F.filter("__splitters", lambda s: s <= F.col(value)))).drop("__splitters")
+
+
+def ordered_counts(df: DataFrame, value: str, by: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """Rows (by..., value, __n, __before, __total) for each distinct non-null value of each group.
+
+    ``__n`` rows (or their weight) have the value, ``__before`` have a smaller
+    one, ``__total`` are in the group.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n")).where("__n > 0")
+    placed = with_bucket(counts, value, by)
+    sums = placed.groupBy(*by, "__bucket").agg(F.sum("__n").alias("__in_bucket"))
+    of_group = W.partitionBy(*by)
+    # At most BUCKETS rows of each group.
+    sums = sums.withColumns({"__offset": F.sum("__in_bucket").over(of_group.orderBy("__bucket")) - F.col("__in_bucket"), "__total": F.sum("__in_bucket").over(of_group)})
+    inside = W.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = placed.withColumn("__upto", F.sum("__n").over(inside))
+    found = running.join(sums.drop("__in_bucket"), [*by, "__bucket"])
+    return found.select(*by, value, "__n", (F.col("__offset") + F.col("__upto") - F.col("__n")).alias("__before"), "__total")
+
+
+def group_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), name: str = "quantiles", weight: Column | None = None) -> DataFrame:
+    """Rows (by..., name): linearly interpolated quantiles of the non-null values, in the order of the shares.
+
+    With a whole-number ``weight`` each row counts as so many.
+    """
     keys = list(by) or ["__all"]
     own = df if by else df.withColumn("__all", F.lit(1))
-    own = own.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    ends = own.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__n"))
-    part = F.try_divide(F.col("__v") - F.col("__low"), F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)))
-    bucket = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    placed = own.join(ends, keys).select(*keys, "__v", bucket.alias("__b"))
-    counts = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__b"))
-    counts = counts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__c"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])
-    at = ends.select(*keys, "__n", F.explode(wanted).alias("w")).select(*keys, F.col("w.i").alias("__i"), (F.col("w.s") * (F.col("__n") - 1)).alias("__h"))
-    ranks = at.select(*keys, "__i", "__h", F.explode(F.array(F.floor("__h"), F.ceil("__h"))).alias("__r")).distinct()
-    ranks = ranks.join(counts, keys).where("__r >= __before AND __r < __upto").select(*keys, "__i", "__h", "__r", "__b", "__before")
-    inside = placed.join(ranks.select(*keys, "__b", "__before").distinct(), [*keys, "__b"])
-    rank = F.col("__before") + F.row_number().over(W.partitionBy(*keys, "__b").orderBy("__v")) - 1
-    found = inside.withColumn("__r", rank).join(ranks.drop("__before"), [*keys, "__b", "__r"])
-    low, high = F.min("__v"), F.max("__v")
-    each = found.groupBy(*keys, "__i", "__h").agg((low + (F.col("__h") - F.floor("__h")) * (high - low)).alias("__q"))
-    out = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda x: x["__q"]).alias(name))
+    own = own.select(*keys, F.col(value).cast("double").alias("__v"), *([] if weight is None else [weight.alias("__w")]))
+    counts = ordered_counts(own, "__v", keys, None if weight is None else F.col("__w"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("__total") - 1)).alias("h")) for i, s in enumerate(shares)])
+    there = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n"))
+    hits = counts.withColumn("__hit", F.explode(F.filter(wanted, lambda w: there(F.floor(w["h"])) | there(F.ceil(w["h"])))))
+    h = F.col("__hit.h")
+    each = hits.groupBy(*keys, F.col("__hit.i").alias("__i"), h.alias("__h")).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    between = F.col("__low") + (F.col("__h") - F.floor("__h")) * (F.col("__high") - F.col("__low"))
+    out = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", between.alias("__q")))), lambda x: x["__q"]).alias(name))
     return out if by else out.drop("__all")

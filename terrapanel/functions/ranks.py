@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrapanel.functions.quantiles import ordered_counts
+
 
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank from 1 within groups, ties share the mean of their ranks; NULL for NULL."""
@@ -15,17 +17,22 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 
 def with_average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """df with the average rank, from counts of distinct values.
+    """df with the average rank from 1 within groups; ties share the mean of their ranks, NULL for NULL.
 
-    Only one row for each distinct value and group is sorted; the ranks are
-    joined back by value.
+    Ranks come from running counts of distinct values, which are sorted in
+    buckets (see ``ordered_counts``), and are joined back by value.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
-    ranks = counts.withColumn(name, before + (F.col("__n") + 1) / 2).drop("__n")
+    ranks = ordered_counts(df, value, by).select(*by, value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value], "left")
 
 
+def with_place(df: DataFrame, value: str, key: str, by: list[str], name: str) -> DataFrame:
+    """df with the place from 1 in the order of value, then key; rows without a value are left out."""
+    before = ordered_counts(df, value, by).select(*by, value, "__before")
+    ties = W.partitionBy(*by, value).orderBy(key)
+    return df.join(before, [*by, value]).withColumn(name, F.col("__before") + F.row_number().over(ties)).drop("__before")
+
+
 def hazen(rank: Column, n: Column, margin: float = 1e-6) -> Column:
     """Plotting position (rank - 1/2) / n, kept off 0 and 1."""
     return F.greatest(F.least((rank - F.lit(0.5)) / n, F.lit(1 - margin)), F.lit(margin))

@@ -24,6 +24,15 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return pd.Series(_erfc(np.abs(np.where(known, value, 0.0)) / math.sqrt(2))).where(known)
 
 
+@F.pandas_udf(T.DoubleType())
+def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """P(|T| > |t|) of Student's t with ``df`` degrees of freedom; null for null or df <= 0."""
+    x, k = t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)
+    known = ~np.isnan(x) & (k > 0)
+    x, k = np.where(known, x, 0.0), np.where(known, k, 1.0)
+    return pd.Series(beta_inc(k / 2, np.full(len(k), 0.5), k / (k + x * x))).where(known)
+
+
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300
@@ -107,31 +116,76 @@ gb2_logpdf_udf, gb2_cdf_udf, gb2_sf_udf, gb2_ppf_udf = map(_udf, (gb2_logpdf, gb
 
 
 def register(spark) -> None:
-    """The distribution as SQL functions gb2_logpdf, gb2_cdf, gb2_sf, gb2_ppf(x, c, p, q, b) and two_sided_p(z)."""
-    for name, f in (("gb2_logpdf", gb2_logpdf_udf), ("gb2_cdf", gb2_cdf_udf), ("gb2_sf", gb2_sf_udf), ("gb2_ppf", gb2_ppf_udf), ("two_sided_p", two_sided_p)):
+    """The distribution as SQL functions gb2_logpdf, gb2_cdf, gb2_sf, gb2_ppf(x, c, p, q, b) two_sided_p(z), student_two_sided_p(t, df)."""
+    for name, f in (("gb2_logpdf", gb2_logpdf_udf), ("gb2_cdf", gb2_cdf_udf), ("gb2_sf", gb2_sf_udf), ("gb2_ppf", gb2_ppf_udf), ("two_sided_p", two_sided_p), ("student_two_sided_p", student_two_sided_p)):
         spark.udf.register(name, f)
 
 
-def fit_gb2(x: np.ndarray, rounds: int = 600) -> tuple[float, float, float, float, float]:
+#: Starts of the fit: shapes c, p, q and the scale in medians.
+STARTS = ((2.0, 1.0, 1.0, 1.0), (1.0, 2.0, 2.0, 1.0), (3.0, 0.5, 0.5, 1.0), (1.5, 1.0, 3.0, 2.0))
+
+
+def fit_gb2(x: np.ndarray, weight: np.ndarray | None = None, rounds: int = 600) -> tuple[float, float, float, float, float]:
     """(c, p, q, b, negative log-likelihood) by maximum likelihood from four starts (Nelder-Mead on logs)."""
     x = np.asarray(x, float)
-    x = x[np.isfinite(x) & (x > 0)]
-    if len(x) < 5:
+    weight = np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    ok = np.isfinite(x) & (x > 0) & (weight > 0)
+    x, weight = x[ok], weight[ok]
+    if weight.sum() < 5:
         return (math.nan,) * 5
-    scale = float(np.median(x))
+    order = np.argsort(x)
+    scale = float(x[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
 
     def loss(w: np.ndarray) -> float:
         if np.abs(w).max() > 25:
             return math.inf
         c, p, q, b = np.exp(w)
-        value = -float(gb2_logpdf(x, c, p, q, b * scale).sum())
+        value = -float((weight * gb2_logpdf(x, c, p, q, b * scale)).sum())
         return value if math.isfinite(value) else math.inf
 
-    best = min((_nelder_mead(loss, np.log(s), rounds) for s in ((2.0, 1.0, 1.0, 1.0), (1.0, 2.0, 2.0, 1.0), (3.0, 0.5, 0.5, 1.0), (1.5, 1.0, 3.0, 2.0))), key=lambda r: r[1])
+    best = min((_nelder_mead(loss, np.log(s), rounds) for s in STARTS), key=lambda r: r[1])
     c, p, q, b = np.exp(best[0])
     return float(c), float(p), float(q), float(b * scale), best[1]
 
 
+def _digamma(x: float) -> tuple[float, float]:
+    """First and second derivative of log-gamma: recurrence up to 10, then the asymptotic series."""
+    first = second = 0.0
+    while x < 10:
+        first -= 1 / x
+        second += 1 / x**2
+        x += 1
+    r = 1 / x**2
+    first += math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    second += 1 / x + r / 2 + r / x * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+    return first, second
+
+
+def gb2_slopes(w: np.ndarray, sums: dict[str, float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and second derivatives in w = log(c, p, q, b), from a group's sums.
+
+    With z = log(x / b), s = logistic(c z), v = s (1 - s): sums of 1 (n), z, the
+    softplus of c z (soft), s, z s (zs), v, z v (zv), z z v (zzv).
+    """
+    c, p, q, _ = np.exp(w)
+    n, z, soft, s, zs, v, zv, zzv = (sums[k] for k in ("n", "z", "soft", "s", "zs", "v", "zv", "zzv"))
+    (dp, tp), (dq, tq), (d, t) = _digamma(p), _digamma(q), _digamma(p + q)
+    value = n * (math.log(c) - w[3] - math.lgamma(p) - math.lgamma(q) + math.lgamma(p + q)) + (c * p - 1) * z - (p + q) * soft
+    gradient = np.array([n + c * p * z - (p + q) * c * zs, p * (n * (d - dp) + c * z - soft), q * (n * (d - dq) - soft), -n * c * p + (p + q) * c * s])
+    h = np.zeros((4, 4))
+    h[0, 0] = c * p * z - (p + q) * c * (zs + c * zzv)
+    h[1, 1] = gradient[1] + p * p * n * (t - tp)
+    h[2, 2] = gradient[2] + q * q * n * (t - tq)
+    h[3, 3] = -(p + q) * c * c * v
+    h[0, 1] = p * c * (z - zs)
+    h[0, 2] = -q * c * zs
+    h[0, 3] = -n * c * p + (p + q) * c * (s + c * zv)
+    h[1, 2] = p * q * n * t
+    h[1, 3] = p * c * (s - n)
+    h[2, 3] = q * c * s
+    return value, gradient, h + np.triu(h, 1).T
+
+
 def _nelder_mead(loss, start: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     """Simplex search with reflection, expansion, contraction and shrinking."""
     points = np.vstack([start, start + 0.3 * np.eye(len(start))])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrapanel.functions.quantiles import group_quantiles
+
 
 class Grid(NamedTuple):
     x0: float
@@ -54,8 +56,8 @@ def point_window(grid: Grid, x: Column, y: Column, size: int) -> tuple[dict[str,
 def squareness(df: DataFrame, lower: float = 0.005, upper: float = 0.995, slack: float = 0.05) -> DataFrame:
     """One row: quantiles of width over height of windows, and whether they are near 1."""
     shape = F.try_divide((F.col("col_stop") - F.col("col_start")).cast("double"), F.nullif((F.col("row_stop") - F.col("row_start")).cast("double"), F.lit(0.0)))
-    q = F.percentile(shape, F.array(F.lit(lower), F.lit(upper)))
-    return df.agg(q[0].alias("low"), q[1].alias("high")).withColumn("square", (F.col("low") >= 1 - slack) & (F.col("high") <= 1 + slack))
+    q = group_quantiles(df.select(shape.alias("shape")), "shape", [lower, upper], name="q")
+    return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high")).withColumn("square", (F.col("low") >= 1 - slack) & (F.col("high") <= 1 + slack))
 
 
 def chunk_keys(df: DataFrame, size: int) -> DataFrame:

@@ -88,13 +88,11 @@ def a11(spark, d):
 def a12(spark, d):
     own = table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
     mean = own.groupBy("p").agg(F.avg("v").alias("mean"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    return own.join(mean, "p").groupBy("p").agg(
-        F.round(F.median("v"), 6).alias("median"),
-        F.round(F.median(F.abs(F.col("v") - F.col("mean"))), 6).alias("mad"),
-        F.round(q[1] - q[0], 6).alias("iqr"),
-        F.round(F.avg((F.col("v") - F.col("mean") > 0).cast("int")), 6).alias("share_positive"),
-    )
+    far = own.join(mean, "p").withColumns({"far": F.abs(F.col("v") - F.col("mean")), "up": (F.col("v") - F.col("mean") > 0).cast("int")})
+    q = group_quantiles(own, "v", [0.25, 0.5, 0.75], ["p"], "q").join(group_quantiles(far, "far", [0.5], ["p"], "m"), "p")
+    share = far.groupBy("p").agg(F.round(F.avg("up"), 6).alias("share_positive"))
+    value = lambda c: F.round(c, 6)
+    return q.join(share, "p").select("p", value(F.col("q")[1]).alias("median"), value(F.col("m")[0]).alias("mad"), value(F.col("q")[2] - F.col("q")[0]).alias("iqr"), "share_positive")
 
 
 @register(

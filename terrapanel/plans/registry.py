@@ -40,6 +40,23 @@ PANEL_SQL = """panel AS (
   FROM orders GROUP BY 1, 2)"""
 
 
+def two_sided_p_sql(z: str) -> str:
+    """P(|N| > |z|) in SQL: the series of the error function that has positive terms only."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    term = f"exp(2 * k * ln(2.0) + (2 * k + 1) * ln({x}) + lgamma(k + 1.0) - lgamma(2 * k + 2.0) - {x} * {x})"
+    return f"CASE WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 10 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum([{term} FOR k IN range(0, 400)])) END"
+
+
+def student_two_sided_p_sql(t: str, df: str) -> str:
+    """P(|T| > |t|) in SQL: Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+
+    def simpson(low: str) -> str:
+        return f"list_sum([CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos({low} + (pi() / 2 - {low}) * i / 1000), {df} - 1) FOR i IN range(0, 1001)]) * (pi() / 2 - {low})"
+
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    return f"({simpson(angle)}) / ({simpson('0.0')})"
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units (customers) by years: mean order value and number of orders."""
     orders = table(spark, sf_dir, "orders")

@@ -66,7 +66,8 @@ def w5(spark, d):
 
 @register("W6_rank_first", f"WITH {PANEL_SQL} SELECT unit_id, year, CAST(row_number() OVER (PARTITION BY year ORDER BY value DESC, unit_id) AS INT) AS place FROM panel")
 def w6(spark, d):
-    return panel(spark, d).select("unit_id", "year", F.row_number().over(W.partitionBy("year").orderBy(F.desc("value"), "unit_id")).alias("place"))
+    p = panel(spark, d).withColumn("down", -F.col("value"))
+    return ranks.with_place(p, "down", "unit_id", ["year"], "place").select("unit_id", "year", F.col("place").cast("int").alias("place"))
 
 
 @register(
