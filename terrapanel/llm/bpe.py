@@ -12,7 +12,9 @@ parameter; it belongs to the environment, like the library that ships it.
 
 Defined results: a null text counts as empty; an empty text or one of white
 space only has no ids and decodes to the empty text; repeated rows are encoded
-alike; an empty table gives an empty result; other columns are ignored.
+alike; a very long text is encoded whole, word by word, and a very long word
+in one array of its length; an empty table gives an empty result; other columns
+are carried along, but for those of the results' names, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-
 #: Entries of a worker's caches before the older half is given up.
 CACHE_ENTRIES = 150_000
 #: Bytes of the longest word that is remembered.

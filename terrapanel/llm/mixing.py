@@ -17,7 +17,9 @@ Defined results: null and unlisted domains, languages and sources are children
 like any other, with the default weight; texts that are null or have no words
 have no tokens and are taken with any epoch that is taken as a whole, or up to
 the end of the prefix; repeated rows stand together in the order and are taken
-or left together; an empty table or a budget of 0 gives an empty result.
+or left together; a very long text is one row with its count of words, which is
+taken only if it fits as a whole; an empty table or a budget of 0 gives an empty
+result; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
