@@ -2,19 +2,16 @@
 
 A polygon is an array of rings, a ring an array of points {x, y}; the first
 ring is the outer one, the others are holes; orientation doesn't matter.  A box
-is four doubles.  All measures are column expressions; what needs clipping of
-general polygons is a vectorised pandas function.
+is four doubles.  All measures are column expressions; polygons of several
+parts, predicates between polygons and clipping are in ``polygons``.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrapanel.functions.seeded import uniform
 
@@ -27,13 +24,14 @@ def ring(points: Column) -> Column:
     return F.when(closed, points).otherwise(F.concat(points, F.slice(points, F.lit(1), F.lit(1))))
 
 
-def _edges(points: Column) -> Column:
+def edges(points: Column) -> Column:
+    """Segments {a, b} of a closed ring."""
     shifted = F.slice(points, F.lit(2), F.greatest(F.lit(0), F.size(points) - 1))
     return F.filter(F.arrays_zip(points.alias("a"), shifted.alias("b")), lambda e: e["b"].isNotNull())
 
 
 def signed_area(points: Column) -> Column:
-    return F.aggregate(_edges(points), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+    return F.aggregate(edges(points), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
 
 
 def area(rings: Column) -> Column:
@@ -51,7 +49,7 @@ def bounds(rings: Column) -> dict[str, Column]:
 def centroid(points: Column) -> tuple[Column, Column]:
     """Centre of mass of a ring; NULL for one without area."""
     cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
-    moment = lambda k: F.aggregate(_edges(points), F.lit(0.0), lambda s, e: s + (e["a"][k] + e["b"][k]) * cross(e))
+    moment = lambda k: F.aggregate(edges(points), F.lit(0.0), lambda s, e: s + (e["a"][k] + e["b"][k]) * cross(e))
     six = F.nullif(signed_area(points) * 6, F.lit(0.0))
     return F.try_divide(moment("x"), six), F.try_divide(moment("y"), six)
 
@@ -67,7 +65,7 @@ def point_in_rings(x: Column, y: Column, rings: Column) -> Column:
         rings,
         lambda r: F.size(
             F.filter(
-                _edges(r),
+                edges(r),
                 lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < e["a"]["x"] + (y - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])),
             )
         ),
@@ -106,7 +104,7 @@ def segment_distance(x: Column, y: Column, edge: Column) -> Column:
 
 def distance_to_rings(x: Column, y: Column, rings: Column) -> Column:
     """0 inside, else the distance from the nearest edge."""
-    nearest = F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(_edges(r), lambda e: segment_distance(x, y, e)))))
+    nearest = F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(edges(r), lambda e: segment_distance(x, y, e)))))
     return F.when(point_in_rings(x, y, rings), 0.0).otherwise(nearest)
 
 
@@ -170,56 +168,9 @@ def tile_half_width(radius_m: float, size: int, metres_per_pixel: float) -> tupl
     return n, n * size * metres_per_pixel / 2
 
 
-def _clip(polygon: np.ndarray, triangle: np.ndarray) -> float:
-    """Area of a convex polygon within a counter-clockwise triangle."""
-    for k in range(3):
-        a, b = triangle[k], triangle[(k + 1) % 3]
-        if not len(polygon):
-            return 0.0
-        side = (b[0] - a[0]) * (polygon[:, 1] - a[1]) - (b[1] - a[1]) * (polygon[:, 0] - a[0])
-        out = []
-        for i in range(len(polygon)):
-            j = (i + 1) % len(polygon)
-            if side[i] >= 0:
-                out.append(polygon[i])
-            if side[i] * side[j] < 0:
-                out.append(polygon[i] + (polygon[j] - polygon[i]) * side[i] / (side[i] - side[j]))
-        polygon = np.array(out).reshape(-1, 2)
-    x, y = polygon[:, 0], polygon[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2 if len(polygon) else 0.0
-
-
-def _fans(rings) -> list[tuple[float, np.ndarray]]:
-    """Signed triangles that add up to the polygon."""
-    out = []
-    for n, r in enumerate(rings):
-        p = np.array([(q["x"], q["y"]) for q in r], float)
-        if len(p) < 4:
-            continue
-        whole = float(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[:-1, 1], p[1:, 0]))
-        turn = (1.0 if whole > 0 else -1.0) * (1.0 if n == 0 else -1.0)
-        for i in range(1, len(p) - 2):
-            t = np.array([p[0], p[i], p[i + 1]])
-            s = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[1, 1] - t[0, 1]) * (t[2, 0] - t[0, 0])
-            if s:
-                out.append((turn * math.copysign(1.0, s), t if s > 0 else t[::-1]))
-    return out
-
-
-def rings_intersection_area(a, b) -> float:
-    """Area common to two polygons, holes included, by clipping signed triangles."""
-    fb = _fans(b)
-    return sum(sa * sb * _clip(ta, tb) for sa, ta in _fans(a) for sb, tb in fb)
-
-
-def intersection_area(a: Column, b: Column) -> Column:
-    """As an Arrow function over two ring columns; NULL for NULL."""
-
-    @F.pandas_udf(T.DoubleType())
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else rings_intersection_area(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return run(a, b)
+def metres_to_pixels(metres: float, metres_per_pixel: float) -> int:
+    """Whole pixels, at least 1; halves are rounded to the even number."""
+    return max(1, round(metres / metres_per_pixel))
 
 
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -243,18 +194,33 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     """Pairs of rows whose boxes intersect (and for which ``exact`` holds), as an equi-join on grid cells.
 
     a and b name the box columns minx, miny, maxx, maxy, which must differ
-    between the sides.  Each pair is emitted by one cell only: the one with the
-    lower left corner of the common box.  So no pair has to be de-duplicated,
-    and the plan has no nested loop.
+    between the sides.  Cells double in size from level to level; a box's own
+    level is the first whose cells are not smaller than the box, so it touches
+    four of them at most.  It is entered at its own and at all coarser levels
+    there are, and two boxes meet at the coarser one of their levels.  There, a
+    pair is emitted by one cell only: the one with the lower left corner of the
+    common box.  So no pair has to be de-duplicated, the plan has no nested
+    loop, and a box much larger than ``cell`` makes a few rows.  Cells that
+    hold very many boxes are split by the skew handling of the adaptive join.
     """
-
-    def cells(df: DataFrame, box: tuple[str, ...]) -> DataFrame:
-        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-        return df.withColumn("__cx", F.explode(span(box[0], box[2]))).withColumn("__cy", F.explode(span(box[1], box[3])))
-
-    ca, cb = {k: F.col(c) for k, c in zip(("minx", "miny", "maxx", "maxy"), a, strict=True)}, {k: F.col(c) for k, c in zip(("minx", "miny", "maxx", "maxy"), b, strict=True)}
-    owner = (F.col("__cx") == F.floor(F.greatest(ca["minx"], cb["minx"]) / cell)) & (F.col("__cy") == F.floor(F.greatest(ca["miny"], cb["miny"]) / cell))
-    pairs = cells(left, a).join(cells(right, b), ["__cx", "__cy"]).where(boxes_intersect(ca, cb) & owner).drop("__cx", "__cy")
+    ca, cb = ({k: F.col(c) for k, c in zip(("minx", "miny", "maxx", "maxy"), names, strict=True)} for names in (a, b))
+    extent = lambda c: F.greatest(c["maxx"] - c["minx"], c["maxy"] - c["miny"], F.lit(0.0))
+    sizes = left.select(extent(ca).alias("s")).unionByName(right.select(extent(cb).alias("s")))
+    largest = sizes.agg(F.max("s")).first()[0] or 0.0
+    top = max(0, math.ceil(math.log2(largest / cell))) if largest > 0 else 0
+
+    def cells(df: DataFrame, box: dict[str, Column], own: str) -> DataFrame:
+        level = F.when(extent(box) > cell, F.ceil(F.log2(extent(box) / cell))).otherwise(0).cast("int")
+        df = df.withColumn(own, level).withColumn("__level", F.explode(F.sequence(F.least(F.col(own), F.lit(top)), F.lit(top))))
+        size = F.pow(F.lit(2.0), "__level") * cell
+        span = lambda lo, hi: F.sequence(F.floor(box[lo] / size), F.floor(box[hi] / size))
+        return df.withColumn("__cx", F.explode(span("minx", "maxx"))).withColumn("__cy", F.explode(span("miny", "maxy")))
+
+    size = F.pow(F.lit(2.0), "__level") * cell
+    meet = F.col("__level") == F.greatest("__left_level", "__right_level")
+    owner = (F.col("__cx") == F.floor(F.greatest(ca["minx"], cb["minx"]) / size)) & (F.col("__cy") == F.floor(F.greatest(ca["miny"], cb["miny"]) / size))
+    both = cells(left, ca, "__left_level").join(cells(right, cb, "__right_level"), ["__level", "__cx", "__cy"])
+    pairs = both.where(meet & boxes_intersect(ca, cb) & owner).drop("__level", "__cx", "__cy", "__left_level", "__right_level")
     return pairs if exact is None else pairs.where(exact)
 
 
@@ -277,7 +243,12 @@ def box_difference_area(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def random_point(rings: Column, key: Column, seed: int, tries: int = 64) -> Column:
-    """A point {x, y} inside the polygon: the first of ``tries`` seeded points of its box that is; NULL if none is."""
+    """A point {x, y} inside the polygon: the first of ``tries`` seeded points of its box that is.
+
+    If none is, as in a sliver, a seeded point of the stretch inside on the
+    line half-way between the two lowest heights of corners.  NULL only for a
+    polygon without area.
+    """
     box = bounds(rings)
     draws = F.transform(
         F.sequence(F.lit(1), F.lit(tries)),
@@ -286,4 +257,11 @@ def random_point(rings: Column, key: Column, seed: int, tries: int = 64) -> Colu
             (box["miny"] + (box["maxy"] - box["miny"]) * uniform(seed, key, i, F.lit("y"))).alias("y"),
         ),
     )
-    return F.try_element_at(F.filter(draws, lambda p: point_in_rings(p["x"], p["y"], rings)), F.lit(1))
+    hit = F.try_element_at(F.filter(draws, lambda p: point_in_rings(p["x"], p["y"], rings)), F.lit(1))
+    heights = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
+    y = (F.try_element_at(heights, F.lit(1)) + F.try_element_at(heights, F.lit(2))) / 2
+    across = F.filter(F.flatten(F.transform(rings, edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    xs = F.array_sort(F.transform(across, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * F.try_divide(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
+    first, second = F.try_element_at(xs, F.lit(1)), F.try_element_at(xs, F.lit(2))
+    line = F.when(second.isNotNull(), F.struct((first + (second - first) * uniform(seed, key, F.lit("line"))).alias("x"), y.alias("y")))
+    return F.coalesce(hit, line)

@@ -8,8 +8,8 @@ from terrapanel.functions.bins import histogram_bin
 from terrapanel.functions.moments import excess_kurtosis, r_squared, skew
 from terrapanel.functions.numeric import first_at_or_after
 from terrapanel.functions.quantiles import group_quantiles
+from terrapanel.operators import geometry, polygons, relational, stats
 from terrapanel.operators import panel as panel_ops
-from terrapanel.operators import relational, stats
 from terrapanel.plans.registry import PANEL_SQL, panel, register, table
 
 YEARS = list(range(1995, 2002))
@@ -135,9 +135,22 @@ def a17(spark, d):
     return c.join(stats_, "c_nationkey").select("c_custkey", "m", "s")
 
 
-@register("A18_dissolve", "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n_parts, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+@register(
+    "A18_dissolve",
+    """WITH p AS (SELECT n_nationkey AS k, n_regionkey AS r, n_name, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation),
+       shared AS (SELECT a.r, count(*) AS m FROM p a JOIN p b ON a.r = b.r AND (a.x + 1 = b.x AND a.y = b.y OR a.x = b.x AND a.y + 1 = b.y) GROUP BY 1)
+       SELECT p.r AS n_regionkey, CAST(count(*) AS BIGINT) AS n_parts, string_agg(n_name, ',' ORDER BY n_name) AS names, CAST(count(*) AS DOUBLE) AS area, CAST(4 * count(*) - 2 * coalesce(any_value(m), 0) AS DOUBLE) AS perimeter
+       FROM p LEFT JOIN shared ON shared.r = p.r GROUP BY 1""",
+)
 def a18(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n_parts"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    """Nations as squares of a lattice: their regions' parts, area and outer boundary."""
+    x, y = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
+    n = table(spark, d, "nation").withColumn("shape", polygons.as_parts(F.array(geometry.box_ring(x, y, x + 1, y + 1))))
+    names = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    length = F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by_"), F.lit(2)))
+    around = polygons.dissolved_edges(n, ["n_regionkey"], "shape").groupBy("n_regionkey").agg(F.sum(length).alias("perimeter"))
+    whole = polygons.dissolve(n, ["n_regionkey"], "shape").select("n_regionkey", F.size("parts").cast("long").alias("n_parts"), "area")
+    return whole.join(names, "n_regionkey").join(around, "n_regionkey").select("n_regionkey", "n_parts", "names", "area", "perimeter")
 
 
 @register("A19_any_all", "SELECT o_custkey, bool_or(o_totalprice > 490000) AS any_big, bool_and(o_totalprice > 20000) AS all_big FROM orders GROUP BY 1")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrapanel.operators import geometry, raster, scoring, splits
+from terrapanel.operators import geometry, polygons, raster, scoring, splits
 from terrapanel.plans.registry import register, table
 from terrapanel.plans.sampling import tracts
 
@@ -47,35 +47,145 @@ def j8(spark, d):
     return p.join(hits, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_boxes"))
 
 
-_PAIRS = "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round((least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)), 4) AS overlap FROM box a JOIN box b ON a.s_suppkey <> b.s_suppkey AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy"
+#: Polygons: each box without its upper right quarter and without a hole; every third one has a second part in that quarter.
+SHAPE_SQL = f"""{BOX_SQL}, q AS (SELECT *, maxx - minx AS w, maxy - miny AS h, (minx + maxx) / 2 AS midx, (miny + maxy) / 2 AS midy FROM box),
+  signed AS (SELECT s_suppkey AS id, 1 AS sgn, minx AS x0, miny AS y0, maxx AS x1, midy AS y1 FROM q UNION ALL SELECT s_suppkey, 1, minx, midy, midx, maxy FROM q
+    UNION ALL SELECT s_suppkey, -1, minx + w / 8, miny + h / 8, minx + w / 4, miny + h / 4 FROM q
+    UNION ALL SELECT s_suppkey, 1, midx + w / 8, midy + h / 8, maxx - w / 8, maxy - h / 8 FROM q WHERE s_suppkey % 3 = 0),
+  closed AS (SELECT id, x0, y0, x1, y1 FROM signed WHERE sgn = 1 AND NOT EXISTS (SELECT 1 FROM q WHERE s_suppkey = id AND signed.y0 = miny) UNION ALL
+    SELECT s_suppkey, minx, miny, minx + w / 8, midy FROM q UNION ALL SELECT s_suppkey, minx + w / 4, miny, maxx, midy FROM q
+    UNION ALL SELECT s_suppkey, minx + w / 8, miny, minx + w / 4, miny + h / 8 FROM q UNION ALL SELECT s_suppkey, minx + w / 8, miny + h / 4, minx + w / 4, midy FROM q)"""
 
 
-def _overlaps(spark, d):
+def shapes(spark, d):
+    """The polygons of SHAPE_SQL as parts, with their boxes."""
     b = boxes(spark, d)
-    left = b.select(F.col("s_suppkey").alias("a"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    right = b.select(F.col("s_suppkey").alias("b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    area = geometry.box_overlap_area({c: F.col(f"a_{c}") for c in BOX}, {c: F.col(f"b_{c}") for c in BOX})
-    return geometry.spatial_join(left, right, "a", "b", _cols("a_"), _cols("b_"), 100.0, F.col("a") != F.col("b")).select("a", "b", F.round(area, 4).alias("overlap"))
+    at = lambda c, share: F.col(f"min{c}") + (F.col(f"max{c}") - F.col(f"min{c}")) * share
+    ring = lambda *points: F.array(*[F.struct(at("x", x).alias("x"), at("y", y).alias("y")) for x, y in [*points, points[0]]])
+    outer = ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))
+    hole = ring((0.125, 0.125), (0.125, 0.25), (0.25, 0.25), (0.25, 0.125))
+    second = ring((0.625, 0.625), (0.875, 0.625), (0.875, 0.875), (0.625, 0.875))
+    one = F.array(outer, hole)
+    return b.withColumn("parts", F.when(F.col("s_suppkey") % 3 == 0, F.array(one, F.array(second))).otherwise(F.array(one)))
+
+
+_COMMON = "greatest(0, least(p.x1, r.x1) - greatest(p.x0, r.x0)) * greatest(0, least(p.y1, r.y1) - greatest(p.y0, r.y0))"
+_MEET = "SELECT DISTINCT p.id AS a, r.id AS b FROM closed p JOIN closed r ON p.id <> r.id AND p.x0 <= r.x1 AND r.x0 <= p.x1 AND p.y0 <= r.y1 AND r.y0 <= p.y1"
+_PAIRS = f"SELECT m.a, m.b, round(sum(p.sgn * r.sgn * {_COMMON}), 4) AS overlap FROM meet m JOIN signed p ON p.id = m.a JOIN signed r ON r.id = m.b GROUP BY 1, 2"
+
+
+def _overlaps(spark, d):
+    s = shapes(spark, d)
+    left = s.select(F.col("s_suppkey").alias("a"), F.col("parts").alias("pa"), *[F.col(c).alias(f"a_{c}") for c in BOX])
+    right = s.select(F.col("s_suppkey").alias("b"), F.col("parts").alias("pb"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+    exact = (F.col("a") != F.col("b")) & polygons.intersects(F.col("pa"), F.col("pb"))
+    pairs = geometry.spatial_join(left, right, "a", "b", _cols("a_"), _cols("b_"), 100.0, exact)
+    return pairs.select("a", "b", F.round(polygons.intersection_area(F.col("pa"), F.col("pb")), 4).alias("overlap"))
 
 
-@register("J7_polygon_intersects", f"WITH {BOX_SQL} {_PAIRS}")
+@register("J7_polygon_intersects", f"WITH {SHAPE_SQL}, meet AS ({_MEET}) {_PAIRS}")
 def j7(spark, d):
+    """Polygons with holes and several parts that touch, with the area that they have in common."""
     return _overlaps(spark, d)
 
 
-@register("J12_max_overlap", f"WITH {BOX_SQL}, o AS ({_PAIRS}) SELECT a, b, overlap FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) = 1")
+@register("J12_max_overlap", f"WITH {SHAPE_SQL}, meet AS ({_MEET}), o AS ({_PAIRS}) SELECT a, b, overlap FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) = 1")
 def j12(spark, d):
     return geometry.max_overlap(_overlaps(spark, d), "a", "b", "overlap")
 
 
-@register("G10_intersection_area", f"WITH {BOX_SQL}, o AS ({_PAIRS}) SELECT a, b, round(overlap, 3) AS area FROM o WHERE a < b")
+@register(
+    "J9_point_in_polygon",
+    f"WITH {PTS_SQL}, {SHAPE_SQL} SELECT vec_id, id AS s_suppkey FROM pts JOIN signed ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2 HAVING sum(sgn) > 0",
+)
+def j9_polygon(spark, d):
+    exact = polygons.contains_point(F.col("parts"), F.col("x"), F.col("y"))
+    return geometry.spatial_join(_point_boxes(points(spark, d)), shapes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0, exact).select("vec_id", "s_suppkey")
+
+
+@register(
+    "G9_predicates",
+    f"""WITH {PTS_SQL}, {SHAPE_SQL}, tile AS (SELECT vec_id, x - 8 AS x0, y - 8 AS y0, x + 8 AS x1, y + 8 AS y1 FROM pts),
+        near AS (SELECT r.vec_id, q.s_suppkey AS id, r.x0, r.y0, r.x1, r.y1 FROM tile r JOIN q ON r.x0 <= maxx AND minx <= r.x1 AND r.y0 <= maxy AND miny <= r.y1),
+        o AS (SELECT r.vec_id, r.id, sum(p.sgn * {_COMMON}) AS area FROM near r JOIN signed p ON p.id = r.id GROUP BY 1, 2),
+        i AS (SELECT DISTINCT r.vec_id, r.id FROM near r JOIN closed p ON p.id = r.id AND p.x0 <= r.x1 AND r.x0 <= p.x1 AND p.y0 <= r.y1 AND r.y0 <= p.y1)
+        SELECT o.vec_id, o.id AS s_suppkey, i.id IS NOT NULL AS intersects, i.id IS NULL AS is_disjoint, area >= 256 * (1 - 1e-9) AS is_within FROM o LEFT JOIN i ON i.vec_id = o.vec_id AND i.id = o.id""",
+)
+def g9(spark, d):
+    """Tiles against polygons whose boxes they meet: intersects, disjoint, within (the polygon contains the tile)."""
+    tiles = _point_boxes(points(spark, d), 8.0).withColumn("tile", polygons.as_parts(F.array(geometry.box_ring(*[F.col(c) for c in _cols("p_")]))))
+    pairs = geometry.spatial_join(tiles, shapes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0)
+    pairs = pairs.withColumn("common", polygons.intersection_area(F.col("tile"), F.col("parts")))
+    meet = polygons.intersects(F.col("tile"), F.col("parts"))
+    return pairs.select("vec_id", "s_suppkey", meet.alias("intersects"), (~meet).alias("is_disjoint"), polygons.within(F.col("common"), F.col("tile")).alias("is_within"))
+
+
+@register(
+    "G8_shapes",
+    f"""WITH {SHAPE_SQL}, big AS (SELECT 120.0 AS x0, 120.0 AS y0, 480.0 AS x1, 480.0 AS y1), own AS (SELECT id, sum(sgn * (x1 - x0) * (y1 - y0)) AS area FROM signed GROUP BY 1),
+        cut AS (SELECT p.id, sum(p.sgn * {_COMMON}) AS common FROM signed p, big r GROUP BY 1)
+        SELECT s_suppkey, round(own.area, 4) AS area, round(w * h, 4) AS envelope, round(w * h * CASE WHEN s_suppkey % 3 = 0 THEN 0.9375 ELSE 0.875 END, 4) AS hull, round(own.area - common, 4) AS difference, 1 + CAST(s_suppkey % 3 = 0 AS INT) AS n_parts
+        FROM q JOIN own ON own.id = s_suppkey JOIN cut ON cut.id = s_suppkey""",
+)
+def g8(spark, d):
+    """Areas of polygons, envelopes, hulls, of what lies outside a square, and of what is left of points on edges."""
+    square = polygons.as_parts(F.array(geometry.box_ring(*map(F.lit, (120.0, 120.0, 480.0, 480.0)))))
+    s = shapes(spark, d).withColumn("common", polygons.intersection_area(F.col("parts"), square))
+    parts, box = polygons.simplify(F.col("parts"), 1e-6), polygons.bounds(F.col("parts"))
+    s = s.withColumns({"thin": parts, "hull": polygons.hull(F.col("parts"))})
+    return s.select(
+        "s_suppkey", F.round(polygons.area(F.col("thin")), 4).alias("area"), F.round((box["maxx"] - box["minx"]) * (box["maxy"] - box["miny"]), 4).alias("envelope"),
+        F.round(geometry.signed_area(F.col("hull")), 4).alias("hull"), F.round(polygons.area(F.col("parts")) - F.col("common"), 4).alias("difference"), F.size("thin").alias("n_parts"),
+    )
+
+
+@register("G11_make_valid", f"WITH {BOX_SQL} SELECT s_suppkey, 2 AS n_parts, round((maxx - minx) * (maxy - miny) / 2, 4) AS area FROM box")
+def g11(spark, d):
+    """Rings that cross themselves once, cut into two triangles."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    bow = F.array(corner("minx", "miny"), corner("maxx", "maxy"), corner("maxx", "miny"), corner("minx", "maxy"))
+    b = boxes(spark, d).withColumn("parts", polygons.valid(F.array(F.array(bow))))
+    return b.select("s_suppkey", F.size("parts").alias("n_parts"), F.round(polygons.area(F.col("parts")), 4).alias("area"))
+
+
+@register("G12_square", f"WITH {BOX_SQL} SELECT s_suppkey, (minx + maxx) / 2 - greatest(maxx - minx, maxy - miny) / 2 AS minx, (miny + maxy) / 2 - greatest(maxx - minx, maxy - miny) / 2 AS miny, (minx + maxx) / 2 + greatest(maxx - minx, maxy - miny) / 2 AS maxx, (miny + maxy) / 2 + greatest(maxx - minx, maxy - miny) / 2 AS maxy FROM box")
+def g12(spark, d):
+    square = geometry.square_around({c: F.col(c) for c in BOX})
+    return boxes(spark, d).select("s_suppkey", *[square[c].alias(c) for c in BOX])
+
+
+@register("G2_units", "SELECT srid, metres, round(radius * 1200.0 / 3937, 6) AS radius_m, round(radius, 6) AS radius FROM (SELECT unnest([6539, 3857]) AS srid, CAST(100 AS DOUBLE) AS metres, CAST(100 AS DOUBLE) * 3937 / 1200 AS radius)")
+def g2(spark, d):
+    """Lengths in a system's unit, from metres and back."""
+    foot = geometry.metres_per_unit(6539)
+    rows = spark.createDataFrame([(6539, 100.0), (3857, 100.0)], "srid int, metres double")
+    return rows.select("srid", "metres", F.round(F.col("metres") / foot * foot, 6).alias("radius_m"), F.round(F.col("metres") / foot, 6).alias("radius"))
+
+
+@register("G3_half_width", "SELECT radius, CAST(greatest(1, round_even(2 * radius / (0.5 * 1200 / 3937) / 224, 0)) AS INT) AS n, round(greatest(1, round_even(2 * radius / (0.5 * 1200 / 3937) / 224, 0)) * 224 * (0.5 * 1200 / 3937) / 2, 6) AS half FROM (SELECT CAST(unnest([10.0, 50.0, 100.0, 200.0]) AS DOUBLE) AS radius)")
+def g3(spark, d):
+    """Whole strides and half widths for radii in metres, tiles of 224 pixels of half a foot."""
+    pixel = 0.5 * geometry.US_FOOT
+    rows = [(r, *geometry.tile_half_width(r, 224, pixel)) for r in (10.0, 50.0, 100.0, 200.0)]
+    return spark.createDataFrame(rows, "radius double, n int, half double").withColumn("half", F.round("half", 6))
+
+
+@register("G4_pixels", "SELECT metres, CAST(greatest(1, round_even(metres / (0.5 * 1200 / 3937), 0)) AS INT) AS pixels FROM (SELECT CAST(unnest([0.01, 1.0, 100.0]) AS DOUBLE) AS metres)")
+def g4(spark, d):
+    return spark.createDataFrame([(m, geometry.metres_to_pixels(m, 0.5 * geometry.US_FOOT)) for m in (0.01, 1.0, 100.0)], "metres double, pixels int")
+
+
+@register(
+    "G10_intersection_area",
+    f"WITH {BOX_SQL} SELECT a.s_suppkey AS a, b.s_suppkey AS b, round((least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)), 3) AS area FROM box a JOIN box b ON a.s_suppkey < b.s_suppkey AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy",
+)
 def g10(spark, d):
     """The general polygon clipper, on rectangles, whose overlap has a closed form."""
     b = boxes(spark, d).withColumn("rings", F.array(geometry.box_ring(*map(F.col, BOX))))
     left = b.select(F.col("s_suppkey").alias("a"), F.col("rings").alias("ra"), *[F.col(c).alias(f"a_{c}") for c in BOX])
     right = b.select(F.col("s_suppkey").alias("b"), F.col("rings").alias("rb"), *[F.col(c).alias(f"b_{c}") for c in BOX])
     pairs = geometry.spatial_join(left, right, "a", "b", _cols("a_"), _cols("b_"), 100.0, F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(geometry.intersection_area(F.col("ra"), F.col("rb")), 3).alias("area"))
+    return pairs.select("a", "b", F.round(polygons.intersection_area(polygons.as_parts(F.col("ra")), polygons.as_parts(F.col("rb"))), 3).alias("area"))
 
 
 @register("J23_top_overlaps", f"WITH {BOX_SQL} SELECT s_suppkey, (least(maxx, 480) - greatest(minx, 120)) * (least(maxy, 480) - greatest(miny, 120)) AS area FROM box WHERE minx <= 480 AND maxx >= 120 AND miny <= 480 AND maxy >= 120 ORDER BY area DESC, s_suppkey LIMIT 3")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrapanel.operators import geometry, panel, raster, relational, scoring, splits, stats
+from terrapanel.operators import geometry, panel, polygons, raster, relational, scoring, splits, stats
 
 SQUARE = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}, {"x": 0.0, "y": 0.0}]]
 L = [[{"x": x, "y": y} for x, y in ((0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0), (0.0, 0.0))]]
@@ -13,12 +13,77 @@ HOLED = [
 
 
 def test_intersection_areas():
-    assert geometry.rings_intersection_area(L, SQUARE) == pytest.approx(3.0)
-    assert geometry.rings_intersection_area(HOLED, SQUARE) == pytest.approx(3.0)
-    assert geometry.rings_intersection_area(L, HOLED) == pytest.approx(5.0)
+    common = lambda a, b: polygons.common_areas([[a]], [[b]])[0]
+    assert common(L, SQUARE) == pytest.approx(3.0)
+    assert common(HOLED, SQUARE) == pytest.approx(3.0)
+    assert common(L, HOLED) == pytest.approx(5.0)
     far = [[{"x": p["x"] + 9, "y": p["y"]} for p in SQUARE[0]]]
-    assert geometry.rings_intersection_area(far, SQUARE) == 0
-    assert geometry.rings_intersection_area([SQUARE[0][::-1]], SQUARE) == pytest.approx(4.0)
+    assert common(far, SQUARE) == 0
+    assert common([SQUARE[0][::-1]], SQUARE) == pytest.approx(4.0)
+    two = polygons.common_areas([[SQUARE, far], [SQUARE, far]], [[HOLED], [far]])
+    assert two == pytest.approx([3.0, 4.0])
+
+
+def test_common_areas_by_counting_points(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(polygons, "TRIANGLE_PAIRS", 5)
+    blob = lambda n: (lambda t, r: [[{"x": float(x), "y": float(y)} for x, y in zip(np.r_[r * np.cos(t), r[0] * np.cos(t[0])], np.r_[r * np.sin(t), r[0] * np.sin(t[0])], strict=True)]])(np.sort(rng.uniform(0, 6.28, n)), rng.uniform(0.3, 1, n))
+    a, b = [[blob(9)] for _ in range(6)], [[blob(7)] for _ in range(6)]
+    p = rng.uniform(-1, 1, (40_000, 2))
+
+    def inside(rings):
+        c = np.array([(q["x"], q["y"]) for q in rings[0]])
+        u, v = c[:-1], c[1:]
+        spans = (u[None, :, 1] > p[:, None, 1]) != (v[None, :, 1] > p[:, None, 1])
+        x = u[None, :, 0] + (p[:, None, 1] - u[None, :, 1]) * (v[:, 0] - u[:, 0]) / (v[:, 1] - u[:, 1])
+        return ((p[:, None, 0] < x) & spans).sum(axis=1) % 2 == 1
+
+    for x, y, area in zip(a, b, polygons.common_areas(a, b), strict=True):
+        assert area == pytest.approx(4 * (inside(x[0]) & inside(y[0])).mean(), abs=0.03)
+
+
+def test_predicates_of_polygons(spark):
+    move = lambda rings, dx, dy: [[{"x": p["x"] + dx, "y": p["y"] + dy} for p in r] for r in rings]
+    small = [[{"x": x * 0.2 + 1.2, "y": y * 0.2 + 1.2} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]]
+    cases = [  # a, b, intersects, a within b
+        ([SQUARE], [L], True, False),
+        ([small], [HOLED], False, False),  # in the hole
+        ([small], [SQUARE], True, True),
+        ([SQUARE], [small], True, False),
+        ([small], [L], False, False),  # in the notch
+        ([move(SQUARE, 2, 2)], [SQUARE], True, False),  # corners touch
+        ([move(SQUARE, 2.5, 0)], [SQUARE], False, False),
+        ([SQUARE, move(SQUARE, 9, 9)], [move(SQUARE, 9.5, 9.5)], True, False),
+        ([small, move(small, 9, 9)], [SQUARE, move(SQUARE, 9, 9)], True, True),
+        ([HOLED], [HOLED], True, True),
+    ]
+    df = spark.createDataFrame([(n, a, b) for n, (a, b, *_) in enumerate(cases)], f"id int, a {polygons.PARTS}, b {polygons.PARTS}")
+    found = df.withColumn("common", polygons.intersection_area(F.col("a"), F.col("b"))).select("id", polygons.intersects(F.col("a"), F.col("b")).alias("i"), polygons.within(F.col("common"), F.col("a")).alias("w"))
+    assert {r.id: (r.i, r.w) for r in found.collect()} == {n: c[2:] for n, c in enumerate(cases)}
+
+
+def test_valid_hull_and_simplify(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    bow = [[ring((0, 0), (2, 2), (2, 0), (0, 2))]]
+    dotted = [[ring((0, 0), (1, 0.001), (2, 0), (2, 1), (2, 2), (0, 2), (0, 0), (0, 0))]]
+    df = spark.createDataFrame([(1, bow), (2, dotted), (3, [HOLED]), (4, None), (5, [[ring((0, 0), (1, 1))]])], f"id int, p {polygons.PARTS}")
+    p = F.col("p")
+    rows = {r.id: r for r in df.select("id", polygons.valid(p).alias("v"), polygons.simplify(p, 0.01).alias("s"), polygons.hull(p).alias("h"), polygons.area(polygons.valid(p)).alias("a")).collect()}
+    assert len(rows[1].v) == 2 and rows[1].a == pytest.approx(2.0)
+    assert [len(r) for r in rows[2].s[0]] == [5] and rows[2].a == pytest.approx(4 - 0.001)
+    assert rows[3].a == 15.0 and len(rows[3].h) == 5
+    assert rows[4].v is None and rows[5].v == [] and rows[5].h is None
+
+
+def test_spatial_join_of_boxes_of_all_sizes(spark):
+    rng = np.random.default_rng(2)
+    box = lambda: (lambda x, y, s: (x, y, x + s * rng.uniform(), y + s * rng.uniform()))(*rng.uniform(-50, 50, 2), 10 ** rng.uniform(-2, 3))
+    a, b = [tuple(map(float, box())) for _ in range(120)], [tuple(map(float, box())) for _ in range(120)]
+    left = spark.createDataFrame([(i, *x) for i, x in enumerate(a)], "i int, a0 double, a1 double, a2 double, a3 double")
+    right = spark.createDataFrame([(j, *x) for j, x in enumerate(b)], "j int, b0 double, b1 double, b2 double, b3 double")
+    got = sorted((r.i, r.j) for r in geometry.spatial_join(left, right, "i", "j", ("a0", "a1", "a2", "a3"), ("b0", "b1", "b2", "b3"), 0.5).collect())
+    meet = lambda x, y: x[0] <= y[2] and y[0] <= x[2] and x[1] <= y[3] and y[1] <= x[3]
+    assert got == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if meet(x, y))
 
 
 def test_polygon_measures(spark):
@@ -30,7 +95,7 @@ def test_polygon_measures(spark):
         for r in df.select(
             "id", geometry.area(F.col("rings")).alias("a"), inside(1.5, 1.5).alias("i"), inside(0.5, 2.5).alias("j"), cx.alias("cx"), cy.alias("cy"),
             geometry.distance_to_rings(F.lit(5.0), F.lit(0.5), F.col("rings")).alias("d"), geometry.bounds(F.col("rings"))["maxx"].alias("mx"),
-            geometry.intersection_area(F.col("rings"), F.col("rings")).alias("self"),
+            polygons.intersection_area(polygons.as_parts(F.col("rings")), polygons.as_parts(F.col("rings"))).alias("self"),
         ).collect()
     }
     assert [got[k].a for k in (1, 2, 3)] == [5.0, 15.0, 4.0] and [got[k].self for k in (1, 2, 3)] == pytest.approx([5.0, 15.0, 4.0])
