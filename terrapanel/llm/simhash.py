@@ -136,19 +136,26 @@ def _distance(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], max_distance: int, steps: tuple[int, ...] = STEPS_AHEAD) -> DataFrame:
+def _prints(words: int) -> dict[str, F.Column]:
+    """The fingerprint's first words as columns: fp, fp2, fp3..."""
+    return {f"fp{n + 1}" if n else "fp": F.col("more")[n - 1] if n else F.col("fp") for n in range(words)}
+
+
+def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], max_distance: int, steps: tuple[int, ...] = STEPS_AHEAD, words: int = 1) -> DataFrame:
     """Distinct links of each fingerprint to some of the next ones in its buckets, where their first words are near."""
+    prints = _prints(words)
     rows = None
     for k, segment in enumerate(segments):
         # Rows of a bucket come in the order of the word's bits beside the segment, turned round.
         above = F.shiftrightunsigned(_word(segment), segment.shift + segment.width) if segment.shift + segment.width < 64 else F.lit(0).cast("long")
         below = F.shiftleft(_word(segment), 64 - segment.shift) if segment.shift else F.lit(0).cast("long")
-        own = nodes.select("node", "fp", _value(k, segment).alias("value"), below.bitwiseOR(above).alias("turned"))
+        own = nodes.select("node", *[c.alias(name) for name, c in prints.items()], _value(k, segment).alias("value"), below.bitwiseOR(above).alias("turned"))
         rows = own if rows is None else rows.unionByName(own)
     # Four bits of the turned fingerprint salt the bucket: a hot one is spread over 16 tasks.
     order = W.partitionBy("value", F.pmod("turned", F.lit(16))).orderBy("turned", "node")
-    ahead = {f"next{n}_{c}": F.lead(c, n).over(order) for n in steps for c in ("node", "fp")}
-    linked = F.array(*[F.when(_distance("fp", f"next{n}_fp") <= max_distance, F.col(f"next{n}_node")) for n in steps])
+    ahead = {f"next{n}_{c}": F.lead(c, n).over(order) for n in steps for c in ("node", *prints)}
+    far = lambda n: sum((_distance(c, f"next{n}_{c}") for c in prints), F.lit(0))
+    linked = F.array(*[F.when(far(n) <= max_distance, F.col(f"next{n}_node")) for n in steps])
     return rows.withColumns(ahead).select(F.col("node").alias("a"), F.explode(F.array_compact(linked)).alias("b")).distinct()
 
 
@@ -212,19 +219,19 @@ def near_duplicates(
 # both.  Candidates come from fingerprints of 512 bits over the distinct pairs of neighbouring words, whose bits flip
 # less than those of longer shingles: if every tenth word is changed, four fifths of the words still stand in common
 # shingles of five, and a bit flips with probability 0.2.  Of 24 segments, probed up to one flip each, some one agrees
-# then with probability 0.74, at 0.15 with 0.98; README has the recall as measured.  A candidate's distance is bounded
-# on its first two words and on all eight, three to four standard deviations above 0.2.  Links are then verified on the
-# shingles themselves.
+# then with probability 0.74, at 0.15 with 0.98; README has the recall as measured.  A candidate's whole
+# distance is bounded 2.5 standard deviations above 0.2 (that of neighbours in a bucket's order on four words first);
+# links are then verified on the shingles themselves.
 SHINGLE, SIMILARITY = 5, 0.8
 PAIR, WORDS = 2, 8
 PRINT_SEGMENTS = tuple(Segment(shift, width, 1, word) for word in range(WORDS) for shift, width in ((43, 21), (22, 21), (0, 22)))
-FIRST_WORD, FIRST_TWO, ALL_WORDS = 24, 42, 136
+FIRST_WORDS, FIRST_DISTANCE, ALL_DISTANCE = 4, 70, 128
 #: Rows of a task that looks for candidates; they are held in memory.
 ROWS_A_TASK = 400_000
 #: Probed rows that are compared in one step, to bound memory.
 PAIRS_A_STEP = 1 << 20
 #: Candidates between two components, of one bucket and one neighbour, that are tried at first.
-FIRST_TRIED = 8
+FIRST_TRIED = 2
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -295,52 +302,46 @@ def _word_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _marked(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, mark long, node long, fp long, more array<long>")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole fingerprints are near."""
-    of = lambda side: nodes.select(F.col("node").alias(side), F.concat(F.array("fp"), "more").alias(f"{side}_all"))
-    far = sum((_distance_at("a_all", "b_all", i) for i in range(WORDS)), F.lit(0))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(far <= ALL_WORDS).select("a", "b")
-
-
-def _distance_at(a: str, b: str, i: int) -> F.Column:
-    return F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
-
-
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, measure: str, tables: Tables) -> DataFrame:
-    """The pairs (a, b) whose shingles have the similarity, by the shingles themselves."""
+    """The pairs (a, b) whose whole fingerprints are near and whose shingles have the similarity, by the shingles themselves."""
     pairs = tables.write(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = nodes.join(wanted, "node").select("node", "mark")
+    chosen = nodes.join(wanted, "node").select("node", "mark", F.concat(F.array("fp"), "more").alias("words"))
     alike = MEASURES[measure]
 
     def hashes(batches):
         for batch in batches:
-            own = [shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "hashes"])
+            own = [np.concatenate([w.values.to_numpy(), shingle_hashes(t.as_py()).view(np.int64)]) for w, t in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "sequence"])
 
     def verify(batches):
         for batch in batches:
-            values = lambda c, batch=batch: [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(c)]
-            keep = [alike(x, y) >= similarity for x, y in zip(values(2), values(3), strict=True)]
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+                near = np.bitwise_count(x[:WORDS] ^ y[:WORDS]).sum() <= ALL_DISTANCE
+                keep.append(bool(near) and alike(x[WORDS:], y[WORDS:]) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = _marked(docs, id_col, text_col).select("mark", "text").join(chosen, "mark").dropDuplicates(["node"]).select("node", "text")
-    sequences = tables.write(texts.mapInArrow(hashes, "node long, hashes array<long>"), "sequences")
-    of = lambda side: sequences.select(F.col("node").alias(side), F.col("hashes").alias(f"{side}_hashes"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes")
+    texts = _marked(docs, id_col, text_col).select("mark", "text").join(chosen, "mark").dropDuplicates(["node"]).select("node", "words", "text")
+    # The whole fingerprint, then the shingles' hashes.
+    sequences = tables.write(texts.mapInArrow(hashes, "node long, sequence array<long>"), "sequences")
+    of = lambda side: sequences.select(F.col("node").alias(side), F.col("sequence").alias(f"{side}_sequence"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sequence", "b_sequence")
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, root: np.ndarray, width: int, tried: int | None):
+def _flip_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray, width: int, tried: int | None):
     """Arrays (a, b) of the nodes of different roots whose halves are equal and whose rests differ in one bit at most.
 
-    key: the half with its number, the rest in its lowest 16 bits.  Equal rests
+    key: the half with its number, the rest in its lowest 16 bits; prints: the
+    fingerprints, one row for each word.  Equal rests
     count for halves of even numbers only, as both halves of a segment find them.
     With ``tried``, so many of the nearest pairs of two roots are given, and the
     halves of those that are left out, as pairs of a half with itself.
     """
     order = np.lexsort((root, key))
-    key, node, fp, fp2, root = key[order], node[order], fp[order], fp2[order], root[order]
+    key, node, root, prints = key[order], node[order], root[order], prints[:, order].view(np.uint64)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[start[1:], len(key)]
     keys, least, most = key[start], root[start], root[end - 1]
@@ -365,8 +366,8 @@ def _flip_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, fp2: np.ndarr
             t = np.repeat(start[other[done:stop]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             new = root[p] < root[t]
             p, t = p[new], t[new]
-            far = np.bitwise_count((fp[p] ^ fp[t]).view(np.uint64)) + np.bitwise_count((fp2[p] ^ fp2[t]).view(np.uint64))
-            near = far <= FIRST_TWO
+            far = sum(np.bitwise_count(word[p] ^ word[t]).astype(np.int64) for word in prints)
+            near = far <= ALL_DISTANCE
             p, t, far = p[near], t[near], far[near]
             if tried is not None and len(p) > tried:
                 by_roots = np.lexsort((node[t], node[p], far, root[t], root[p]))
@@ -395,18 +396,18 @@ def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | No
         low, high = value.bitwiseAND((1 << width) - 1), F.shiftright(value, width)
         for side, own, rest in ((0, low, high), (1, high, low)):
             parts.append(F.shiftleft(F.lit(2 * k + side).cast("long"), 32).bitwiseOR(F.shiftleft(own, 16)).bitwiseOR(rest))
-    tasks = 1 + nodes.count() * len(parts) // ROWS_A_TASK
-    rows = nodes.select(F.explode(F.array(*parts)).alias("key"), "node", "fp", F.col("more")[0].alias("fp2"), "root").withColumn("half", F.shiftright("key", 16))
+    tasks, prints = 1 + nodes.count() * len(parts) // ROWS_A_TASK, _prints(WORDS)
+    rows = nodes.select(F.explode(F.array(*parts)).alias("key"), "node", "root", *[c.alias(name) for name, c in prints.items()]).withColumn("half", F.shiftright("key", 16))
     rows = rows if halves is None else rows.join(halves, "half", "left_semi")
     rows = rows.repartition(tasks, "half")
-    widest = max(s.width - s.width // 2 for s in segments)
+    widest, names = max(s.width - s.width // 2 for s in segments), ["key", "node", "root", *prints]
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if held:
             table = pa.Table.from_batches(held)
-            columns = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "node", "fp", "fp2", "root")]
-            for a, b in _flip_pairs(*columns, widest, tried):
+            columns = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+            for a, b in _flip_pairs(*columns[:3], np.stack(columns[3:]), widest, tried):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -428,11 +429,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = tables.write(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("mark").alias("mark")), "nodes")
 
     def exact(pairs: DataFrame, name: str) -> DataFrame:
-        found = tables.write(_similar(_near(pairs, nodes), nodes, docs, id_col, text_col, similarity, measure, tables), name)
+        found = tables.write(_similar(pairs, nodes, docs, id_col, text_col, similarity, measure, tables), name)
         tables.remove("candidates", "sequences")
         return found
 
-    first = exact(_bucket_links(nodes, PRINT_SEGMENTS, FIRST_WORD, (1,)), "neighbours")
+    first = exact(_bucket_links(nodes, PRINT_SEGMENTS, FIRST_DISTANCE, (1,), FIRST_WORDS), "neighbours")
     labelled = tables.write(_labelled(nodes, first), "labelled")
     # Two groups that have not met may have very many candidates between them.  The nearest ones are tried first; what
     # is left of them is tried all, but by then most such groups have been joined.

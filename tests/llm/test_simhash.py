@@ -219,8 +219,8 @@ def test_few_pairs_of_two_groups_are_tried_at_first():
     rng = np.random.default_rng(2)
     n = 400
     key, node, root = np.zeros(n, np.int64), np.arange(n), np.where(np.arange(n) < 390, 0, np.arange(n))
-    fp = fp2 = rng.integers(0, 1 << 10, n)  # all are near
-    pairs = lambda tried: [(a, b) for x, y in _flip_pairs(key, node, fp, fp2, root, 11, tried) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    prints = rng.integers(0, 1 << 10, (4, n))  # all are near
+    pairs = lambda tried: [(a, b) for x, y in _flip_pairs(key, node, root, prints, 11, tried) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
     every = {frozenset(p) for p in pairs(None)}
     assert every == {frozenset((i, j)) for i in range(n) for j in range(i) if root[i] != root[j]}
     some = pairs(3)
