@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_SCHEMA = "verdict string, host string, path string"
-#: Urls that are swept in one task, about.
-URLS_A_SALT = 500_000
+#: Urls that share a salt, about; and the least number of salts, so that a hot host is spread in small tables as well.
+URLS_A_SALT, LEAST_SALTS = 500_000, 64
 #: Top labels up to this number are broadcast, to leave out other urls; more are joined.
 LARGEST_BROADCAST = 10_000
 #: Behind every key that begins so.
@@ -103,7 +103,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     n_tops = tops.count()
     if not n_tops:
         return output(urls, none)
-    salts = 1 + pages.count() // urls_a_salt
+    salts = max(LEAST_SALTS, 1 + pages.count() // urls_a_salt)
     tops = F.broadcast(tops) if n_tops <= LARGEST_BROADCAST else tops
     keyed = urls.withColumn("at", _host_key(F.col("host"))).withColumn("under", _top(F.col("at")))
     active = _swept(keyed.join(tops, "under", "left_semi"), _events(hosts, "top", F.col("at"), F.col("host")), salts)
