@@ -11,6 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,41 +68,57 @@ def chunk_keys(df: DataFrame, size: int) -> DataFrame:
     return some.withColumn("chunk_row", F.explode(span("row_start", "row_stop"))).withColumn("chunk_col", F.explode(span("col_start", "col_stop")))
 
 
+def crop_windows(grid: Grid, box: dict[str, Column], margin: float, most: int) -> dict[str, Column]:
+    """The pixel window of a box grown by a margin, and the stride that brings its longer side to ``most`` pixels at most."""
+    w = pixel_window(grid, box["minx"] - margin, box["miny"] - margin, box["maxx"] + margin, box["maxy"] + margin)
+    longer = F.greatest(w["row_stop"] - w["row_start"], w["col_stop"] - w["col_start"])
+    return {**w, "stride": F.greatest(F.lit(1), F.ceil(longer / most)).cast("int")}
+
+
 def link_datasets(points: DataFrame, catalog: DataFrame, x: str, y: str, year: str) -> DataFrame:
-    """points with the raster of their year whose extent holds them, edges included; of several the last in the catalog.
+    """points with ``dataset``: the raster of their year whose extent holds them, edges included; of several the last in the catalog.
 
-    catalog: name, position, year, minx, miny, maxx, maxy; a handful of rows for each year.
+    catalog: name, position, year, minx, miny, maxx, maxy; a handful of rows for
+    each year, which travel to the points as one array a year.  Every point
+    stays, repeated ones too; NULL where no raster holds it.
     """
-    c = catalog.select(F.col("year").alias("__year"), "name", "position", *[F.col(k).alias(f"__{k}") for k in ("minx", "miny", "maxx", "maxy")])
-    inside = F.col(x).between(F.col("__minx"), F.col("__maxx")) & F.col(y).between(F.col("__miny"), F.col("__maxy"))
-    hits = points.join(c, (F.col(year) == F.col("__year")) & inside)
-    return hits.groupBy(*points.columns).agg(F.max_by("name", "position").alias("dataset"))
+    extents = catalog.groupBy(F.col("year").alias("__year")).agg(F.collect_list(F.struct("position", "name", "minx", "miny", "maxx", "maxy")).alias("__extents"))
+    holds = lambda e: F.col(x).between(e["minx"], e["maxx"]) & F.col(y).between(e["miny"], e["maxy"])
+    last = F.array_max(F.filter("__extents", holds))
+    return points.join(extents, F.col(year) == F.col("__year"), "left").withColumn("dataset", last["name"]).drop("__year", "__extents")
 
 
 def assemble_tiles(windows: DataFrame, chunks: DataFrame, chunk: int, tile_id: str, stride: int = 1) -> DataFrame:
     """Tiles from chunks: rows (tile_id, h, w, bands, data).
 
     Windows and chunks meet by an equi-join on the chunk's key; each tile's
-    pieces, a bounded number, are pasted in one call.  Missing chunks leave 0.
+    pieces, a bounded number, are pasted in one call.  Missing chunks leave 0,
+    also where a tile has none at all (its bands are then those of its dataset,
+    or 1); empty windows give empty tiles.
     """
-    keyed = chunk_keys(windows, chunk)
-    pieces = keyed.join(chunks, ["dataset", "chunk_row", "chunk_col"])
+    keyed = chunk_keys(windows, chunk).select(tile_id, "dataset", "row_start", "row_stop", "col_start", "col_stop", "chunk_row", "chunk_col")
+    bands = chunks.groupBy("dataset").agg(F.max("bands").alias("__bands"))  # a row for each dataset
+    pieces = keyed.join(chunks.select("dataset", "chunk_row", "chunk_col", F.col("h").alias("__h"), F.col("w").alias("__w"), F.col("data").alias("__data")), ["dataset", "chunk_row", "chunk_col"], "left")
+    pieces = pieces.join(F.broadcast(bands), "dataset", "left").withColumn("__bands", F.coalesce("__bands", F.lit(1)))
 
     def paste(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        h, w, bands = int(first.row_stop - first.row_start), int(first.col_stop - first.col_start), int(first.bands)
-        out = np.zeros((h, w, bands), np.uint8)
-        for r in pdf.itertuples():
-            data = np.frombuffer(r.data, np.uint8).reshape(int(r.h), int(r.w), bands)
-            y, x = int(r.chunk_row) * chunk - int(r.row_start), int(r.chunk_col) * chunk - int(r.col_start)
+        h, w, depth = int(first.row_stop - first.row_start), int(first.col_stop - first.col_start), int(first["__bands"])
+        out = np.zeros((h, w, depth), np.uint8)
+        for row in pdf[pdf["__data"].notna()].to_dict("records"):
+            data = np.frombuffer(row["__data"], np.uint8).reshape(int(row["__h"]), int(row["__w"]), depth)
+            y, x = int(row["chunk_row"]) * chunk - int(row["row_start"]), int(row["chunk_col"]) * chunk - int(row["col_start"])
             ya, xa, yb, xb = max(0, y), max(0, x), min(h, y + data.shape[0]), min(w, x + data.shape[1])
             if yb > ya and xb > xa:
                 out[ya:yb, xa:xb] = data[ya - y : yb - y, xa - x : xb - x]
         out = np.ascontiguousarray(out[::stride, ::stride])
-        return pd.DataFrame([{tile_id: first[tile_id], "h": out.shape[0], "w": out.shape[1], "bands": bands, "data": out.tobytes()}])
+        return pd.DataFrame([{tile_id: first[tile_id], "h": out.shape[0], "w": out.shape[1], "bands": depth, "data": out.tobytes()}])
 
     kind = windows.schema[tile_id].dataType.simpleString()
-    return pieces.groupBy(tile_id).applyInPandas(paste, f"`{tile_id}` {kind}, h int, w int, bands int, data binary")
+    pasted = pieces.groupBy(tile_id).applyInPandas(paste, f"`{tile_id}` {kind}, h int, w int, bands int, data binary")
+    empty = windows.where("row_stop <= row_start OR col_stop <= col_start")
+    size = lambda a, b: F.greatest(F.lit(0), F.ceil((F.col(a) - F.col(b)) / stride)).cast("int")
+    return pasted.unionByName(empty.select(tile_id, size("row_stop", "row_start").alias("h"), size("col_stop", "col_start").alias("w"), F.lit(1).alias("bands"), F.lit(b"").alias("data")))
 
 
 def not_blank(data: Column) -> Column:
@@ -116,28 +133,74 @@ def mask_low_bits(data: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.BinaryType())
-def stretch(data: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    """Bytes between two percentiles, spread over 0-255."""
+def delta_bytes(data: pd.Series) -> pd.Series:
+    """Each byte less the one before it, modulo 256: runs of like pixels compress better so."""
+    return data.map(lambda b: None if b is None else np.diff(np.frombuffer(b, np.uint8), prepend=np.uint8(0)).tobytes())
+
+
+@F.pandas_udf(T.BinaryType())
+def undelta_bytes(data: pd.Series) -> pd.Series:
+    """The bytes that ``delta_bytes`` was given."""
+    return data.map(lambda b: None if b is None else np.cumsum(np.frombuffer(b, np.uint8), dtype=np.uint8).tobytes())
+
 
-    def one(b, lo, hi):
-        if b is None:
-            return None
-        v = np.frombuffer(b, np.uint8).astype(float)
-        if not len(v):
-            return b""
-        a, z = np.percentile(v, [lo, hi])
-        return np.clip((v - a) / max(z - a, 1e-9) * 255, 0, 255).astype(np.uint8).tobytes()
+def stretch(data: Column, bands: Column, low: float, high: float) -> Column:
+    """Bytes (band last) between two percentiles of their own band, spread over 0-255."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(data: pd.Series, bands: pd.Series) -> pd.Series:
+        def one(b, k):
+            if b is None or not len(b):
+                return b
+            v = np.frombuffer(b, np.uint8).astype(float).reshape(-1, int(k))
+            a, z = np.percentile(v, [low, high], axis=0)
+            return np.clip((v - a) / np.maximum(z - a, 1.0) * 255, 0, 255).astype(np.uint8).tobytes()
 
-    return pd.Series([one(b, lo, hi) for b, lo, hi in zip(data, low, high, strict=True)])
+        return pd.Series([one(b, k) for b, k in zip(data, bands, strict=True)])
+
+    return run(data, bands)
 
 
 def mosaic(chunks: DataFrame, priority: str) -> DataFrame:
     """One row for each chunk place, from the dataset with the highest priority (ties: smaller name)."""
     rest = [c for c in chunks.columns if c not in ("chunk_row", "chunk_col")]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(priority), -F.xxhash64("dataset")))
+    best = F.min_by(F.struct(*rest), F.struct(-F.col(priority), F.col("dataset")))
     return chunks.groupBy("chunk_row", "chunk_col").agg(best.alias("b")).select("chunk_row", "chunk_col", "b.*")
 
 
+def crop_overlap(tiles: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Tiles (tile_row, tile_col, x0, y0, h, w, bands, data) without the pixels that the next ones to the right and below have as well.
+
+    x0 and y0 are a tile's upper left corner; dy < 0.  Tiles of a row and of a
+    column are as many as the matrix is wide and high.
+    """
+    right = F.lead("x0").over(W.partitionBy("tile_row").orderBy("tile_col"))
+    below = F.lead("y0").over(W.partitionBy("tile_col").orderBy("tile_row"))
+    ends = {"__w": F.least("w", F.coalesce(F.round((right - F.col("x0")) / dx).cast("int"), F.col("w"))), "__h": F.least("h", F.coalesce(F.round((below - F.col("y0")) / dy).cast("int"), F.col("h")))}
+
+    @F.pandas_udf(T.BinaryType())
+    def cut(data: pd.Series, h: pd.Series, w: pd.Series, h2: pd.Series, w2: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(d, np.uint8).reshape(a, b, -1)[:c, :e].tobytes() for d, a, b, c, e in zip(data, h, w, h2, w2, strict=True)])
+
+    return tiles.withColumns(ends).withColumn("data", cut("data", "h", "w", "__h", "__w")).withColumns({"h": F.col("__h"), "w": F.col("__w")}).drop("__h", "__w")
+
+
+def overview(chunks: DataFrame, chunk: int, stride: int) -> DataFrame:
+    """Chunk rows with every ``stride``-th pixel of the whole raster in both directions; chunks without such a pixel go."""
+
+    @F.pandas_udf(T.StructType([T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), T.StructField("data", T.BinaryType())]))
+    def thin(data: pd.Series, h: pd.Series, w: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, a, b, r, c in zip(data, h, w, row, col, strict=True):
+            x = np.frombuffer(d, np.uint8).reshape(a, b, -1)[-r * chunk % stride :: stride, -c * chunk % stride :: stride]
+            out.append((x.shape[0], x.shape[1], x.tobytes()))
+        return pd.DataFrame(out, columns=["h", "w", "data"])
+
+    rest = [c for c in chunks.columns if c not in ("h", "w", "data")]
+    thinned = chunks.withColumn("__thin", thin("data", "h", "w", "chunk_row", "chunk_col"))
+    return thinned.select(*rest, "__thin.h", "__thin.w", "__thin.data").where("h > 0 AND w > 0")
+
+
 def tile_position(name: Column) -> tuple[Column, Column]:
     """Row and column of a tile from a file name such as ``x_R3_C12.tif``."""
     return F.regexp_extract(name, r"R(\d+)", 1).try_cast("int"), F.regexp_extract(name, r"C(\d+)", 1).try_cast("int")
@@ -159,15 +222,40 @@ def multi_scale(tiles: list[DataFrame], tile_id: str) -> DataFrame:
     return out.select(tile_id, "h", "w", total.cast("int").alias("bands"), stack("parts", "h", "w").alias("data"))
 
 
-def resize_nearest(df: DataFrame, height: int, width: int) -> DataFrame:
-    """Tiles (h, w, bands, data) at another size, by the nearest pixel."""
+def _cubic(size: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each wanted pixel, the four around it (edges repeated) and their weights; convolution with a = -0.75, pixel centres aligned."""
+    at = (np.arange(wanted) + 0.5) * size / wanted - 0.5
+    first = np.floor(at).astype(int)
+    t = at - first
+    far = lambda d: -0.75 * (d**3 - 5 * d**2 + 8 * d - 4)
+    near = lambda d: 1.25 * d**3 - 2.25 * d**2 + 1
+    weight = np.stack([far(t + 1), near(t), near(1 - t), far(2 - t)], axis=1)
+    return np.clip(first[:, None] + np.arange(-1, 3), 0, size - 1), weight
+
+
+def resize_bicubic(df: DataFrame, height: int, width: int) -> DataFrame:
+    """Tiles (h, w, bands, data) at another size, rounded and kept within bytes; tiles of that size stay as they are."""
 
     @F.pandas_udf(T.BinaryType())
     def run(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
         out = []
         for d, a, b in zip(data, h, w, strict=True):
-            x = np.frombuffer(d, np.uint8).reshape(a, b, -1)
-            out.append(x[np.arange(height) * a // height][:, np.arange(width) * b // width].tobytes())
+            x = np.frombuffer(d, np.uint8).reshape(a, b, -1).astype(float)
+            if (a, b) != (height, width):
+                for axis, wanted in ((0, height), (1, width)):
+                    index, weight = _cubic(x.shape[axis], wanted)
+                    x = np.moveaxis((np.moveaxis(x, axis, 0)[index] * weight[:, :, None, None]).sum(axis=1), 0, axis)
+            out.append(np.clip(np.rint(x), 0, 255).astype(np.uint8).tobytes())
         return pd.Series(out)
 
     return df.withColumn("data", run("data", "h", "w")).withColumns({"h": F.lit(height), "w": F.lit(width)})
+
+
+def band_first(df: DataFrame) -> DataFrame:
+    """Tiles with the band as the first axis of data in place of the last."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([np.moveaxis(np.frombuffer(d, np.uint8).reshape(a, b, -1), 2, 0).tobytes() for d, a, b in zip(data, h, w, strict=True)])
+
+    return df.withColumn("data", run("data", "h", "w"))

@@ -219,7 +219,7 @@ CATALOG_SQL = "cat(name, position, cy, minx, miny, maxx, maxy) AS (VALUES " + ",
 @register("J13_raster_link", f"WITH {PTS_SQL}, {CATALOG_SQL} SELECT vec_id, arg_max(name, position) AS dataset FROM pts JOIN cat ON year = cy AND x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy GROUP BY 1")
 def j13(spark, d):
     catalog = spark.createDataFrame(CATALOG, "name string, position int, year int, minx double, miny double, maxx double, maxy double")
-    return raster.link_datasets(points(spark, d), catalog, "x", "y", "year").select("vec_id", "dataset")
+    return raster.link_datasets(points(spark, d), catalog, "x", "y", "year").where("dataset IS NOT NULL").select("vec_id", "dataset")
 
 
 @register("J14_spatial_semi", f"WITH {PTS_SQL}, {BOX_SQL} SELECT vec_id FROM pts WHERE EXISTS (SELECT 1 FROM box WHERE x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy)")

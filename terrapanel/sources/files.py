@@ -9,18 +9,23 @@ from __future__ import annotations
 import io
 import json
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.feather
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from terrapanel.functions.numeric import normalise
 
+PARTS = "array<array<array<struct<x: double, y: double>>>>"
 RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 
 
@@ -49,21 +54,21 @@ def read_matching(spark: SparkSession, path: str, pattern: str, fmt: str = "parq
 
 
 def read_geojson(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
-    """Polygon features as rows: the named properties with their types, and rings (of the first polygon of a multi-polygon)."""
+    """Polygon features as rows: the named properties with their types, and parts, an array of polygons."""
     point = "array<double>"
     schema = f"features array<struct<properties: struct<{', '.join(f'`{k}`: {v}' for k, v in properties.items())}>, geometry: struct<type: string, coordinates: string>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     ring = f"array<array<{point}>>"
-    flat = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", f"array<{ring}>")[0]).otherwise(F.from_json("f.geometry.coordinates", ring))
-    rings = F.transform(flat, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return rows.select(*[F.col(f"f.properties.`{k}`").alias(k) for k in properties], rings.alias("rings"))
+    polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", f"array<{ring}>")).otherwise(F.array(F.from_json("f.geometry.coordinates", ring)))
+    parts = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))))
+    return rows.select(*[F.col(f"f.properties.`{k}`").alias(k) for k in properties], parts.alias("parts"))
 
 
-def to_geojson(df: DataFrame, rings: str, properties: Sequence[str], style: dict[str, str] | None = None) -> DataFrame:
-    """One JSON text for each row, a feature; to be written as lines."""
-    coordinates = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+def to_geojson(df: DataFrame, parts: str, properties: Sequence[str], style: dict[str, str] | None = None) -> DataFrame:
+    """One JSON text for each row, a multi-polygon feature; to be written as lines."""
+    coordinates = F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
     extra = [F.lit(v).alias(k) for k, v in (style or {}).items()]
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties, *extra).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties, *extra).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
     return df.select(F.to_json(feature).alias("value"))
 
 
@@ -101,35 +106,57 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.npy").select("path", "content").mapInPandas(run, "name string, shape array<int>, data array<double>")
 
 
-def wkb_rings(wkb: bytes | None):
-    """Rings of a WKB polygon, or of the first polygon of a multi-polygon; None for anything else."""
-    if not wkb:
-        return None
-    order = "<" if wkb[0] else ">"
-    kind = struct.unpack_from(order + "I", wkb, 1)[0] & 0xFF
-    if kind == 6:
-        return wkb_rings(wkb[9:]) if struct.unpack_from(order + "I", wkb, 5)[0] else None
-    if kind != 3:
-        return None
-    count, at, out = struct.unpack_from(order + "I", wkb, 5)[0], 9, []
-    for _ in range(count):
-        n = struct.unpack_from(order + "I", wkb, at)[0]
-        values = struct.unpack_from(order + f"{2 * n}d", wkb, at + 4)
-        out.append([{"x": values[2 * i], "y": values[2 * i + 1]} for i in range(n)])
-        at += 4 + 16 * n
-    return out
+def _wkb_polygons(wkb: bytes, at: int) -> tuple[list | None, int]:
+    """Polygons of one geometry, and where it ends; None for kinds without area."""
+    order = "<" if wkb[at] else ">"
+    code = struct.unpack_from(order + "I", wkb, at + 1)[0]
+    at += 5 + (4 if code & 0x20000000 else 0)  # an id of the reference system
+    plain = code & 0x0FFFFFFF
+    axes = 2 + bool(code & 0x80000000) + bool(code & 0x40000000) + (0, 1, 1, 2)[plain // 1000 % 4]
+    kind, count = plain % 1000, struct.unpack_from(order + "I", wkb, at)[0]
+    at += 4
+    out: list = []
+    if kind == 3:
+        rings = []
+        for _ in range(count):
+            n = struct.unpack_from(order + "I", wkb, at)[0]
+            values = struct.unpack_from(order + f"{axes * n}d", wkb, at + 4)
+            rings.append([{"x": values[axes * i], "y": values[axes * i + 1]} for i in range(n)])
+            at += 4 + 8 * axes * n
+        return [rings] if rings else [], at
+    if kind in (6, 7):
+        for _ in range(count):
+            own, at = _wkb_polygons(wkb, at)
+            if own is None:
+                return (out or None), at
+            out += own
+        return out, at
+    return None, at
+
+
+def wkb_parts(wkb: bytes | None) -> list | None:
+    """All polygons of a WKB polygon, multi-polygon or collection, with or without Z and M (which are left out); None for anything else."""
+    return _wkb_polygons(wkb, 0)[0] if wkb else None
 
 
 def parse_wkb(wkb: Column) -> Column:
-    """As an Arrow function, for columns of GeoParquet files."""
+    """A column of parts, for columns of GeoParquet files."""
 
-    @F.pandas_udf(RINGS)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(wkb_rings)
+    @F.arrow_udf(PARTS)
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([wkb_parts(v) for v in s.to_pylist()], pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
 
     return run(wkb)
 
 
+def first_there(spark: SparkSession, paths: Sequence[str], read) -> DataFrame:
+    """``read`` of the first path that exists: a source with fallbacks."""
+    for path in paths:
+        if exists(spark, path):
+            return read(path)
+    raise FileNotFoundError(", ".join(paths))
+
+
 def tract_ids(df: DataFrame, candidates: Sequence[str] = ("GEOID", "GEOID10", "GEOID20", "GEO_ID")) -> DataFrame:
     """df with ``geoid``: the first id column that is there, without its prefix."""
     present = [c for c in df.columns if c in candidates or c.upper().startswith("GEOID")]
@@ -226,3 +253,55 @@ def read_shapefile(spark: SparkSession, path: str, fields: Sequence[str]) -> Dat
                 yield pd.DataFrame({**{f: [r.get(f) for r in rows] for f in fields}, "rings": polygons})
 
     return shapes.join(tables, "stem").select("shp", "dbf").mapInPandas(run, schema)
+
+
+class FeatherWriter(DataSourceArrowWriter):
+    """Each task writes one Arrow IPC file under a hidden name; the commit gives them their names."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> "FeatherPart":
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return FeatherPart(None)
+        system, folder = pyarrow.fs.FileSystem.from_uri(self.path)
+        system.create_dir(folder, recursive=True)
+        name = f"part-{uuid.uuid4().hex}"
+        with system.open_output_stream(f"{folder}/.{name}") as out:
+            pyarrow.feather.write_feather(pa.Table.from_batches(held), out, compression="zstd")
+        return FeatherPart(name)
+
+    def commit(self, messages: list) -> None:
+        system, folder = pyarrow.fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None and m.name:
+                system.move(f"{folder}/.{m.name}", f"{folder}/{m.name}.feather")
+
+    def abort(self, messages: list) -> None:
+        system, folder = pyarrow.fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None and m.name:
+                system.delete_file(f"{folder}/.{m.name}")
+
+
+@dataclass
+class FeatherPart(WriterCommitMessage):
+    name: str | None
+
+
+class FeatherSink(DataSource):
+    """``df.write.format("feather_files").mode("append").save(uri)``, for file systems that pyarrow knows (local, HDFS, S3, GCS)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "feather_files"
+
+    def writer(self, schema, overwrite: bool) -> FeatherWriter:
+        return FeatherWriter(self.options["path"])
+
+
+def write_feather(df: DataFrame, uri: str) -> None:
+    """Arrow IPC files, one for each partition with rows."""
+    df.sparkSession.dataSource.register(FeatherSink)
+    df.write.format("feather_files").mode("append").save(uri)

@@ -150,16 +150,65 @@ def test_tiles_from_chunks(spark):
     image = (np.arange(10 * 9 * 2) % 251).astype(np.uint8).reshape(10, 9, 2)
     chunks = [("d", r, c, *p.shape, p.tobytes()) for r in range(3) for c in range(3) for p in [np.ascontiguousarray(image[r * 4 : r * 4 + 4, c * 4 : c * 4 + 4])]]
     table = spark.createDataFrame(chunks, "dataset string, chunk_row long, chunk_col long, h int, w int, bands int, data binary")
-    windows = spark.createDataFrame([(1, "d", 2, 7, 1, 9), (2, "d", 0, 10, 0, 9), (3, "d", 5, 5, 1, 2)], "id int, dataset string, row_start int, row_stop int, col_start int, col_stop int")
+    windows = spark.createDataFrame([(1, "d", 2, 7, 1, 9), (2, "d", 0, 10, 0, 9), (3, "d", 5, 5, 1, 2), (4, "d", 20, 24, 30, 33), (5, "none", 0, 2, 0, 2)], "id int, dataset string, row_start int, row_stop int, col_start int, col_stop int")
     for stride in (1, 2):
         got = {r.id: np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.bands) for r in raster.assemble_tiles(windows, table, 4, "id", stride).collect()}
-        assert set(got) == {1, 2}
+        assert set(got) == {1, 2, 3, 4, 5} and got[3].size == 0
+        assert got[4].shape == (-(-4 // stride), -(-3 // stride), 2) and not got[4].any()  # no chunk there: zeros
+        assert got[5].shape == (-(-2 // stride), -(-2 // stride), 1) and not got[5].any()  # a dataset that is not there
         np.testing.assert_array_equal(got[1], image[2:7:stride, 1:9:stride])
         np.testing.assert_array_equal(got[2], image[::stride, ::stride])
-    row = table.limit(1).select(raster.not_blank(F.col("data")).alias("n"), raster.mask_low_bits(F.col("data")).alias("m"), raster.stretch(F.col("data"), F.lit(0.0), F.lit(100.0)).alias("s")).first()
+    row = table.limit(1).select(raster.not_blank(F.col("data")).alias("n"), raster.mask_low_bits(F.col("data")).alias("m"), raster.stretch(F.col("data"), F.col("bands"), 0.0, 100.0).alias("s")).first()
     assert row.n and all(b % 4 == 0 for b in row.m) and max(row.s) == 255
     top = raster.mosaic(table.unionByName(table.withColumn("dataset", F.lit("e"))).withColumn("p", (F.col("dataset") == "e").cast("int")), "p")
     assert {r.dataset for r in top.collect()} == {"e"} and top.count() == 9
+    tie = raster.mosaic(table.unionByName(table.withColumn("dataset", F.lit("c"))).withColumn("p", F.lit(1)), "p")
+    assert {r.dataset for r in tie.collect()} == {"c"}
+    back = table.select(raster.undelta_bytes(raster.delta_bytes(F.col("data"))).alias("b"), "data").collect()
+    assert all(r.b == r.data for r in back)
+    thin = {(r.chunk_row, r.chunk_col): np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 2) for r in raster.overview(table, 4, 3).collect()}
+    whole = np.concatenate([np.concatenate([thin[r, c] for c in range(3) if (r, c) in thin], axis=1) for r in range(3) if (r, 0) in thin])
+    np.testing.assert_array_equal(whole, image[::3, ::3])
+
+
+def test_stretch_by_band_and_overlaps(spark):
+    pixels = np.stack([np.arange(100), np.arange(100) // 2 + 50], axis=1).astype(np.uint8)
+    df = spark.createDataFrame([(bytearray(pixels.tobytes()), 2)], "data binary, bands int")
+    got = np.frombuffer(df.select(raster.stretch(F.col("data"), F.col("bands"), 2.0, 98.0).alias("s")).first().s, np.uint8).reshape(-1, 2)
+    for k in (0, 1):
+        lo, hi = np.percentile(pixels[:, k], [2, 98])
+        np.testing.assert_array_equal(got[:, k], np.clip((pixels[:, k] - lo) / (hi - lo) * 255, 0, 255).astype(np.uint8))
+    image = np.arange(80, dtype=np.uint8).reshape(8, 10)
+    tiles = [(r, c, float(x), float(100 - y), 5, 6, 1, bytearray(image[y : y + 5, x : x + 6].tobytes())) for r, y in enumerate((0, 3)) for c, x in enumerate((0, 4))]
+    out = {(t.tile_row, t.tile_col): np.frombuffer(t.data, np.uint8).reshape(t.h, t.w) for t in raster.crop_overlap(spark.createDataFrame(tiles, "tile_row int, tile_col int, x0 double, y0 double, h int, w int, bands int, data binary"), 1.0, -1.0).collect()}
+    np.testing.assert_array_equal(np.block([[out[0, 0], out[0, 1]], [out[1, 0], out[1, 1]]]), image)
+
+
+def test_linked_points_are_all_kept(spark):
+    catalog = spark.createDataFrame([("a", 0, 2010, 0.0, 0.0, 10.0, 10.0), ("b", 1, 2010, 5.0, 5.0, 10.0, 10.0)], "name string, position int, year int, minx double, miny double, maxx double, maxy double")
+    points = spark.createDataFrame([(1, 2010, 1.0, 1.0), (1, 2010, 1.0, 1.0), (2, 2010, 5.0, 5.0), (3, 2010, 99.0, 1.0), (4, 1999, 1.0, 1.0)], "id int, year int, x double, y double")
+    assert sorted((r.id, r.dataset or "") for r in raster.link_datasets(points, catalog, "x", "y", "year").collect()) == [(1, "a"), (1, "a"), (2, "b"), (3, ""), (4, "")]
+
+
+def test_random_point_in_a_sliver(spark):
+    sliver = [[{"x": x, "y": y} for x, y in ((0.0, 0.0), (1000.0, 1000.0), (1000.0, 1000.001), (0.0, 0.0))]]
+    df = spark.createDataFrame([(i, sliver) for i in range(20)], f"id int, rings {geometry.RINGS}")
+    p = geometry.random_point(F.col("rings"), F.col("id"), 3)
+    assert all(r.inside for r in df.select(geometry.point_in_rings(p["x"], p["y"], F.col("rings")).alias("inside")).collect())
+
+
+def test_bicubic_weights():
+    def kernel(d):
+        d = abs(d)
+        return 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0.0
+
+    for size, wanted in ((7, 13), (10, 4), (5, 5)):
+        index, weight = raster._cubic(size, wanted)
+        image = np.random.default_rng(1).uniform(size=size)
+        for k in range(wanted):
+            at = (k + 0.5) * size / wanted - 0.5
+            want = sum(image[min(max(i, 0), size - 1)] * kernel(at - i) for i in range(-3, size + 3))
+            assert (image[index[k]] * weight[k]).sum() == pytest.approx(want)
 
 
 def test_splits_keep_their_distance(spark):
@@ -279,8 +328,8 @@ def test_tile_names_scales_and_sizes(spark):
     tile = lambda v, b: spark.createDataFrame([(1, 2, 2, b, bytearray([v] * 4 * b))], "id int, h int, w int, bands int, data binary")
     out = raster.multi_scale([tile(5, 1), tile(7, 2)], "id").first()
     assert out.bands == 3 and list(out.data) == [5, 7, 7] * 4
-    grown = raster.resize_nearest(spark.createDataFrame([(1, 1, 2, 1, bytearray([1, 2]))], "id int, h int, w int, bands int, data binary"), 2, 4).first()
-    assert (grown.h, grown.w, list(grown.data)) == (2, 4, [1, 1, 2, 2] * 2)
+    grown = raster.resize_bicubic(spark.createDataFrame([(1, 1, 2, 1, bytearray([1, 2]))], "id int, h int, w int, bands int, data binary"), 2, 4).first()
+    assert (grown.h, grown.w) == (2, 4) and list(grown.data) == [1, 1, 2, 2] * 2
 
 
 def test_smoothed_parameters(spark):

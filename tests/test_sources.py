@@ -4,11 +4,12 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow.feather
+import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.operators import scoring
 from terrapanel.sources import files
-from terrapanel.sources.raster import ChunkSource
+from terrapanel.sources.raster import read_chunks, read_zarr
 from terrapanel.streaming.scoring import score_stream
 
 
@@ -53,9 +54,10 @@ def test_geojson_there_and_back(spark, tmp_path):
     (tmp_path / "x.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     df = files.read_geojson(spark, f"{tmp_path}/x.geojson", {"id": "int", "n": "string"})
     got = {r.id: r for r in df.collect()}
-    assert [[p.x, p.y] for p in got[1].rings[0]] == ring and [[p.x, p.y] for p in got[2].rings[0]] == ring and got[2].n is None
-    back = [json.loads(r.value) for r in files.to_geojson(df, "rings", ["id"], {"color": "red"}).collect()]
-    assert back[0]["geometry"]["coordinates"] == [ring] and back[0]["properties"] == {"id": 1, "color": "red"}
+    plain = lambda parts: [[[[p.x, p.y] for p in r] for r in rings] for rings in parts]
+    assert plain(got[1].parts) == [[ring]] and plain(got[2].parts) == [[ring], [ring]] and got[2].n is None
+    back = {b["properties"]["id"]: b for b in (json.loads(r.value) for r in files.to_geojson(df, "parts", ["id"], {"color": "red"}).collect())}
+    assert back[2]["geometry"] == {"type": "MultiPolygon", "coordinates": [[ring], [ring]]} and back[1]["properties"] == {"id": 1, "color": "red"}
 
 
 def test_binary_sources(spark, tmp_path):
@@ -67,12 +69,32 @@ def test_binary_sources(spark, tmp_path):
 
 
 def test_wkb(spark):
-    polygon = b"\x01" + struct.pack("<III", 3, 1, 3) + struct.pack("<6d", 0, 0, 1, 0, 0, 1)
-    multi = b"\x00" + struct.pack(">II", 6, 1) + b"\x00" + struct.pack(">III", 3, 1, 2) + struct.pack(">4d", 5, 6, 7, 8)
-    df = spark.createDataFrame([(1, bytearray(polygon)), (2, bytearray(multi)), (3, None), (4, bytearray(b"\x01" + struct.pack("<I", 1) + bytes(16)))], "id int, g binary")
-    got = {r.id: r.r for r in df.select("id", files.parse_wkb(F.col("g")).alias("r")).collect()}
-    assert [(p.x, p.y) for p in got[1][0]] == [(0, 0), (1, 0), (0, 1)] and [(p.x, p.y) for p in got[2][0]] == [(5, 6), (7, 8)]
-    assert got[3] is None and got[4] is None
+    polygon = lambda code, values, axes, tail=b"": b"\x01" + struct.pack("<I", code) + tail + struct.pack("<II", 1, len(values) // axes) + struct.pack(f"<{len(values)}d", *values)
+    flat, z = (0, 0, 1, 0, 0, 1), (0, 0, 9, 1, 0, 9, 0, 1, 9)
+    first, second = polygon(3, flat, 2), b"\x00" + struct.pack(">III", 3, 1, 2) + struct.pack(">4d", 5, 6, 7, 8)
+    multi = b"\x00" + struct.pack(">II", 6, 2) + first + second
+    cases = [first, multi, None, b"\x01" + struct.pack("<I", 1) + bytes(16), polygon(1003, z, 3), polygon(0x80000003, z, 3), polygon(2003, z, 3), polygon(3003, (0, 0, 9, 9, 1, 0, 9, 9, 0, 1, 9, 9), 4), polygon(0x20000003, flat, 2, struct.pack("<I", 4326))]
+    df = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in enumerate(cases)], "id int, g binary")
+    got = {r.id: r.p for r in df.select("id", files.parse_wkb(F.col("g")).alias("p")).collect()}
+    plain = lambda parts: [[[(p.x, p.y) for p in r] for r in rings] for rings in parts]
+    one = [[[(0, 0), (1, 0), (0, 1)]]]
+    assert plain(got[1]) == [*one, [[(5, 6), (7, 8)]]]  # both parts
+    assert got[2] is None and got[3] is None
+    assert all(plain(got[n]) == one for n in (0, 4, 5, 6, 7, 8))
+
+
+def test_feather_there_and_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, i / 2, "x" * i) for i in range(30)], "id long, v double, w string").repartition(3)
+    files.write_feather(df, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, files.read_feather(spark, f"{tmp_path}/out", "id long, v double, w string").collect())) == sorted(map(tuple, df.collect()))
+    files.write_feather(df.limit(0), f"file://{tmp_path}/none")
+
+
+def test_first_source_that_is_there(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/second")
+    assert files.first_there(spark, [f"{tmp_path}/first", f"{tmp_path}/second"], spark.read.parquet).count() == 3
+    with pytest.raises(FileNotFoundError):
+        files.first_there(spark, [f"{tmp_path}/first"], spark.read.parquet)
 
 
 def test_ids_chunks_and_absent_columns(spark):
@@ -93,9 +115,32 @@ def test_raster_chunks(spark, tmp_path):
     (folder / "grid.json").write_text(json.dumps({"height": 5, "width": 4, "bands": 1, "chunk": 4}))
     (folder / "0.0.bin").write_bytes(bytes(range(16)))
     (folder / "1.0.bin").write_bytes(bytes(4))
-    spark.dataSource.register(ChunkSource)
-    rows = spark.read.format("raster_chunks").option("root", str(tmp_path)).load().orderBy("chunk_row").collect()
+    rows = read_chunks(spark, str(tmp_path)).orderBy("chunk_row").collect()
     assert [(r.dataset, r.chunk_row, r.chunk_col, r.h, r.w, len(r.data)) for r in rows] == [("city", 0, 0, 4, 4, 16), ("city", 1, 0, 1, 4, 4)]
+    assert bytes(rows[0].data) == bytes(range(16)) and read_chunks(spark, str(tmp_path), ["other"]).count() == 0
+
+
+def test_zarr(spark, tmp_path):
+    import zlib
+
+    import zstandard
+
+    image = np.arange(2 * 5 * 7, dtype=np.uint8).reshape(2, 5, 7)
+    for name, codec, pack in (("plain", None, bytes), ("zstd", {"id": "zstd", "level": 1}, zstandard.compress), ("zlib", {"id": "zlib", "level": 1}, zlib.compress)):
+        folder = tmp_path / "all" / name
+        folder.mkdir(parents=True)
+        (folder / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [2, 5, 7], "chunks": [2, 4, 4], "dtype": "|u1", "order": "C", "compressor": codec, "filters": None, "fill_value": 0}))
+        for r in (0, 1):
+            for c in (0, 1):
+                own = np.zeros((2, 4, 4), np.uint8)
+                part = image[:, 4 * r : 4 * r + 4, 4 * c : 4 * c + 4]
+                own[:, : part.shape[1], : part.shape[2]] = part
+                (folder / f"0.{r}.{c}").write_bytes(pack(own.tobytes()))
+    rows = read_zarr(spark, f"{tmp_path}/all").collect()
+    assert len(rows) == 12 and {r.dataset for r in rows} == {"plain", "zstd", "zlib"}
+    for r in rows:
+        part = image[:, 4 * r.chunk_row : 4 * r.chunk_row + 4, 4 * r.chunk_col : 4 * r.chunk_col + 4]
+        assert (r.h, r.w, r.bands) == (*part.shape[1:], 2) and bytes(r.data) == np.moveaxis(part, 0, 2).tobytes()
 
 
 def test_stream_of_scores(spark, tmp_path):
