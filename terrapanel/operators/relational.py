@@ -101,3 +101,8 @@ def without_mode(df: DataFrame, value: str) -> DataFrame:
     """Rows whose value is not the most frequent one (of several, the lowest)."""
     mode = df.agg(F.mode(value, True).alias("__mode"))  # one row
     return df.crossJoin(F.broadcast(mode)).where(F.col(value) != F.col("__mode")).drop("__mode")
+
+
+def apply_groups(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
+    """One row for each group: the named aggregates.  A function of a group is best written so; its rows never meet in Python."""
+    return df.groupBy(*by).agg(*[c.alias(name) for name, c in aggregates.items()])

@@ -22,9 +22,13 @@ def register_scorer(name: str) -> Callable[[Scorer], Scorer]:
     return add
 
 
+def names() -> list[str]:
+    return sorted(_REGISTRY)
+
+
 def scorer(name: str) -> Scorer:
     if name not in _REGISTRY:
-        raise KeyError(f"no scorer {name!r}; there are {sorted(_REGISTRY)}")
+        raise KeyError(f"no scorer {name!r}; there are {names()}")
     return _REGISTRY[name]
 
 

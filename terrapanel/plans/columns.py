@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from terrapanel.functions import numeric
 from terrapanel.functions.special import two_sided_p
 from terrapanel.operators import relational
-from terrapanel.plans.registry import PANEL_SQL, panel, register, table
+from terrapanel.plans.registry import PANEL_SQL, panel, register, table, two_sided_p_sql
 
 
 @register("P1_prune", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -236,10 +236,10 @@ def sc_math(spark, d):
     )
 
 
-@register("SC_two_sided_p")
+@register("SC_two_sided_p", f"SELECT c_custkey, round({two_sided_p_sql('(c_acctbal / 4000)')}, 6) AS p FROM customer")
 def sc_p(spark, d):
-    """P-values of standardised balances (no error function in SQL)."""
-    return table(spark, d, "customer").select("c_custkey", two_sided_p(F.col("c_acctbal") / 4000).alias("p"))
+    """P-values of standardised balances."""
+    return table(spark, d, "customer").select("c_custkey", F.round(two_sided_p(F.col("c_acctbal") / 4000), 6).alias("p"))
 
 
 @register("SC_json_pack", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")

@@ -31,6 +31,10 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    return _ORACLE[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +68,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from terrapanel.plans import aggregates, columns, joins, sampling, spatial, statistics, windows  # noqa: F401
+    from terrapanel.plans import aggregates, columns, inout, joins, sampling, spatial, statistics, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

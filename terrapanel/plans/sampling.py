@@ -49,9 +49,9 @@ def o5(spark, d):
     return panel(spark, d).join(one.select(F.col("c_custkey").alias("unit_id")), "unit_id", "left_semi").select("unit_id", "year")
 
 
-@register("O6_weighted_choice")
+@register("O6_weighted_choice", f"SELECT p_partkey FROM part ORDER BY -ln((CAST(CAST('0x' || substr({_key(5, 'p_partkey')}, 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296) / p_retailprice, p_partkey LIMIT 20")
 def o6(spark, d):
-    """20 parts, by price, without replacement; a hash draw, so no SQL with equal digits."""
+    """20 parts, by price, without replacement."""
     return table(spark, d, "part").orderBy(seeded.weighted_key(F.col("p_retailprice"), 5, F.col("p_partkey")), "p_partkey").limit(20).select("p_partkey")
 
 

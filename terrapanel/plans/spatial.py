@@ -273,15 +273,24 @@ def g1(spark, d):
     return points(spark, d).select("vec_id", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"))
 
 
-@register("G1_conformal_conic")
+_CRS = geometry.ConformalConic(**geometry.LONG_ISLAND_FEET)
+
+
+@register(
+    "G1_conformal_conic",
+    f"""WITH {PTS_SQL}, q AS (SELECT vec_id, radians(x / 1000 - 74.3) AS lon, radians(y / 1000 + 40.2) AS lat FROM pts),
+        t AS (SELECT vec_id, lon, tan(pi() / 4 - lat / 2) / pow((1 - {_CRS.e} * sin(lat)) / (1 + {_CRS.e} * sin(lat)), {_CRS.e} / 2) AS t FROM q),
+        r AS (SELECT vec_id, {_CRS.scale} * pow(t, {_CRS.n}) AS rho, {_CRS.n} * (lon - ({_CRS.lon0})) AS theta FROM t)
+        SELECT vec_id, round(rho * sin(theta) + {_CRS.easting}, 2) AS fx, round({_CRS.rho0} - rho * cos(theta) + {_CRS.northing}, 2) AS fy, true AS inverts FROM r""",
+)
 def g1_conic(spark, d):
-    """Degrees to feet and back (no closed SQL form of the inverse)."""
-    crs = geometry.ConformalConic(**geometry.LONG_ISLAND_FEET)
+    """Degrees to feet and back."""
+    crs = _CRS
     p = points(spark, d).select("vec_id", (F.col("x") / 1000 - 74.3).alias("lon"), (F.col("y") / 1000 + 40.2).alias("lat"))
     fx, fy = crs.project(F.col("lon"), F.col("lat"))
     q = p.withColumns({"fx": fx, "fy": fy})
     lon, lat = crs.inverse(F.col("fx"), F.col("fy"))
-    return q.select("vec_id", F.round("fx", 2).alias("fx"), F.round("fy", 2).alias("fy"), F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))).alias("error"))
+    return q.select("vec_id", F.round("fx", 2).alias("fx"), F.round("fy", 2).alias("fy"), (F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))) < 1e-9).alias("inverts"))
 
 
 GRID = raster.Grid(0.0, 0.5, 2000, 1000.0, -0.5, 2000)
