@@ -46,6 +46,9 @@ WORD_BUCKETS, TRIGRAM_BUCKETS = 128, 128
 RIDGE = {"text": 20.0, "meta": 1.0}
 #: Bytes of a text whose trigrams are hashed in one step, to bound memory.
 BLOCK = 1 << 20
+#: Rows whose features are held at a time.
+ROWS = 256
+N_TEXT, N_META = 13 + WORD_BUCKETS + TRIGRAM_BUCKETS, SOURCE_BUCKETS + LANG_BUCKETS + 2
 
 SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-?")
 CAPITALS = bytes(range(65, 91))
@@ -68,7 +71,7 @@ def text_features(text: bytes) -> list[float]:
     words = text.split()
     n, size = len(words), len(text)
     if not n:
-        return [0.0] * (13 + WORD_BUCKETS + TRIGRAM_BUCKETS)
+        return [0.0] * N_TEXT
     counts = Counter(words)
     adjacent = sum(a == b for a, b in zip(words, words[1:], strict=False))
     symbols = size - len(text.translate(None, SYMBOLS))
@@ -97,7 +100,7 @@ def text_features(text: bytes) -> list[float]:
 
 
 def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    out = [0.0] * (SOURCE_BUCKETS + LANG_BUCKETS + 2)
+    out = [0.0] * N_META
     out[zlib.crc32(b"\0" if source is None else source.encode()) % SOURCE_BUCKETS] = 1.0
     out[SOURCE_BUCKETS + zlib.crc32(b"\0" if lang is None else lang.encode()) % LANG_BUCKETS] = 1.0
     out[-2] = float(n_chars is None)
@@ -192,23 +195,30 @@ def _prepared(docs: DataFrame, columns: tuple[str, str, str, str], *keys: str) -
     )
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text, source, lang, n = batch.columns[-4:]
-    content = np.array([text_features(t.as_py()) for t in text]).reshape(batch.num_rows, -1)
-    meta = np.array([meta_features(*x) for x in zip(source.to_pylist(), lang.to_pylist(), n.to_pylist(), strict=True)])
-    return content, meta.reshape(batch.num_rows, -1)
+def _features(batches):
+    """(rows of a batch, features of both views), a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
+            text, source, lang, n = rows.columns[-4:]
+            content, meta = np.empty((rows.num_rows, N_TEXT)), np.empty((rows.num_rows, N_META))
+            for i, t in enumerate(text):
+                content[i] = text_features(t.as_py())
+            for i, x in enumerate(zip(source.to_pylist(), lang.to_pylist(), n.to_pylist(), strict=True)):
+                meta[i] = meta_features(*x)
+            yield rows, content, meta
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
 
 
 def _sampled(rows: DataFrame) -> list:
     """(id, label, weight, features of both views) of a bounded sample, in the order of the ids."""
 
     def run(batches):
-        for batch in batches:
-            content, meta = _features(batch)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(content.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64()))],
-                names=["id", "y", "weight", "content", "meta"],
-            )
+        for own, content, meta in _features(batches):
+            yield pa.RecordBatch.from_arrays([*own.columns[:3], _lists(content), _lists(meta)], names=["id", "y", "weight", "content", "meta"])
 
     found = rows.mapInArrow(run, "id string, y int, weight double, content array<double>, meta array<double>").collect()
     return sorted(found, key=lambda r: (zlib.crc32((r.id or "").encode()), r.id or "", r.content))
@@ -233,13 +243,12 @@ def fit_quality(
     rest = rest.join(F.broadcast(chosen), F.col("__id") == F.col("id"), "left_anti")
     extra = _sampled(rest.select(F.col("__id").cast("string").alias("id"), F.lit(None).cast("int").alias("y"), F.lit(1.0).alias("weight"), *keyed.columns[1:]))
     shape = lambda rows, of, n: np.array([of(r) for r in rows]).reshape(-1, n)
-    n_text, n_meta = len(text_features(b"")), len(meta_features(None, None, None))
     return co_train(
-        shape(sample, lambda r: r.content, n_text),
-        shape(sample, lambda r: r.meta, n_meta),
+        shape(sample, lambda r: r.content, N_TEXT),
+        shape(sample, lambda r: r.meta, N_META),
         np.array([r.y for r in sample], float),
-        shape(extra, lambda r: r.content, n_text),
-        shape(extra, lambda r: r.meta, n_meta),
+        shape(extra, lambda r: r.content, N_TEXT),
+        shape(extra, lambda r: r.meta, N_META),
         weight=np.array([r.weight for r in sample], float),
     )
 
@@ -250,10 +259,9 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     names = [id_col, "score", "text_score", "meta_score"]
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                scores = shared.value.score(*_features(batch))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s, pa.float64()) for s in scores)], names=names)
+        for own, content, meta in _features(batches):
+            scores = shared.value.score(content, meta)
+            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(s, pa.float64()) for s in scores)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return _prepared(docs, columns, id_col).mapInArrow(run, f"`{id_col}` {kind}, score double, text_score double, meta_score double")
