@@ -71,7 +71,7 @@ def shapes(spark, d):
 
 _COMMON = "greatest(0, least(p.x1, r.x1) - greatest(p.x0, r.x0)) * greatest(0, least(p.y1, r.y1) - greatest(p.y0, r.y0))"
 _MEET = "SELECT DISTINCT p.id AS a, r.id AS b FROM closed p JOIN closed r ON p.id <> r.id AND p.x0 <= r.x1 AND r.x0 <= p.x1 AND p.y0 <= r.y1 AND r.y0 <= p.y1"
-_PAIRS = f"SELECT m.a, m.b, round(sum(p.sgn * r.sgn * {_COMMON}), 4) AS overlap FROM meet m JOIN signed p ON p.id = m.a JOIN signed r ON r.id = m.b GROUP BY 1, 2"
+_PAIRS = f"SELECT m.a, m.b, round(sum(p.sgn * r.sgn * {_COMMON}), 6) AS overlap FROM meet m JOIN signed p ON p.id = m.a JOIN signed r ON r.id = m.b GROUP BY 1, 2"
 
 
 def _overlaps(spark, d):
@@ -80,7 +80,7 @@ def _overlaps(spark, d):
     right = s.select(F.col("s_suppkey").alias("b"), F.col("parts").alias("pb"), *[F.col(c).alias(f"b_{c}") for c in BOX])
     exact = (F.col("a") != F.col("b")) & polygons.intersects(F.col("pa"), F.col("pb"))
     pairs = geometry.spatial_join(left, right, "a", "b", _cols("a_"), _cols("b_"), 100.0, exact)
-    return pairs.select("a", "b", F.round(polygons.intersection_area(F.col("pa"), F.col("pb")), 4).alias("overlap"))
+    return pairs.select("a", "b", F.round(polygons.intersection_area(F.col("pa"), F.col("pb")), 6).alias("overlap"))
 
 
 @register("J7_polygon_intersects", f"WITH {SHAPE_SQL}, meet AS ({_MEET}) {_PAIRS}")
