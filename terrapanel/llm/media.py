@@ -7,11 +7,14 @@ the other, so that memory stays bounded.
 
 Defined results: a null text counts as empty; media that are null or can't be
 read give null payload, size, feature and tensor; equal texts give equal media
-and features whatever stands beside them; an empty table gives an empty result.
+and features whatever stands beside them; a very long text becomes several
+images, so that memory is bounded by an image and the stored bytes; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 
@@ -133,6 +136,7 @@ _READ_FIELDS = [
     T.StructField("height", T.IntegerType()),
     T.StructField("width", T.IntegerType()),
     T.StructField("feature", T.StringType()),
+    T.StructField("rgb_sha256", T.StringType()),
     T.StructField("rgb", T.BinaryType()),
 ]
 
@@ -146,12 +150,13 @@ def _read_columns(media: list[bytes | None], tensors: bool) -> list[pa.Array]:
         size(0),
         size(1),
         pa.array(features_of(rgb), pa.string()),
+        pa.array([None if t is None else hashlib.sha256(np.ascontiguousarray(t)).hexdigest() for t in rgb], pa.string()),
         pa.array([t.tobytes() if tensors and t is not None else None for t in rgb], pa.binary()),
     ]
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", read_back: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes and media; with ``read_back`` also what decoding the stored bytes gives."""
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", read_back: bool = False, tensors: bool = True) -> DataFrame:
+    """One row per document: id, n_bytes and media; with ``read_back`` also what decoding the stored bytes gives, as in ``decode_media``."""
     fields = [docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), *(_READ_FIELDS if read_back else [])]
     names = [f.name for f in fields]
 
@@ -162,14 +167,16 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, z in _grouped(sizes, GROUP_BYTES):
                 media = _store([texts[n].as_py() for n in range(a, z)])
                 columns = [batch.column(0).slice(a, z - a), pa.array(sizes[a:z], pa.int64()), pa.array(media, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(_read_columns(media, True) if read_back else [])], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *(_read_columns(media, tensors) if read_back else [])], names=names)
 
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__raw"))
     return rows.mapInArrow(run, T.StructType(fields))
 
 
 def decode_media(rows: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
-    """rows with payload, height, width, feature and, unless ``tensors`` is false, rgb: height x width x 3 bytes.
+    """rows with payload, height, width, feature, rgb_sha256 and, unless ``tensors`` is false, rgb: height x width x 3 bytes.
+
+    ``rgb_sha256`` is the digest of these bytes, also where they aren't handed on.
 
     Columns of these names are replaced.
     """

@@ -142,7 +142,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_texts(_read(spark, sf_dir, "documents", "doc_id", "text"), read_back=True)
+    stored = store_texts(_read(spark, sf_dir, "documents", "doc_id", "text"), read_back=True, tensors=False)
     return stored.select(
         "doc_id",
         "n_bytes",
@@ -154,8 +154,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "feature",
         "height",
         "width",
-        F.length("rgb").cast("long").alias("rgb_bytes"),
-        F.sha2("rgb", 256).alias("rgb_sha256"),
+        "rgb_sha256",
     )
 
 

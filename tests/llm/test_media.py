@@ -110,6 +110,15 @@ def test_query_columns(spark):
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(r.text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
+def test_digests_of_tensors(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (3, "a" * 5000)], "doc_id long, text string")
+    full = {r.doc_id: r for r in store_texts(docs, read_back=True).collect()}
+    slim = {r.doc_id: r for r in store_texts(docs, read_back=True, tensors=False).collect()}
+    for i, r in full.items():
+        assert len(r.rgb) == r.height * r.width * 3 and r.rgb_sha256 == hashlib.sha256(r.rgb).hexdigest()
+        assert slim[i].rgb is None and slim[i].rgb_sha256 == r.rgb_sha256
+
+
 def test_long_payloads_are_several_images():
     raw = b"0123456789abcdef" * 100_000
     frames = frames_of(raw)
