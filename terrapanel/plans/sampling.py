@@ -68,6 +68,17 @@ def o7(spark, d):
     return splits.split_tracts(tracts(spark, d), "s_suppkey", "stratum", "area", 100.0, 50.0, 0.06, 11).select("s_suppkey", "type")
 
 
+@register("O7_moats", "SELECT CAST(0 AS BIGINT) AS n_close, true AS shares_reached")
+def o7_moats(spark, d):
+    """What the split promises: no training tract within the moat of a held-out one, and each stratum's test share reached."""
+    t = splits.split_tracts(tracts(spark, d), "s_suppkey", "stratum", "area", 100.0, 50.0, 0.06, 11)
+    kind = t.select("s_suppkey", "type")
+    near = splits.neighbours(t, "s_suppkey", 50.0)
+    close = near.join(kind.where("type = 'train'").select(F.col("s_suppkey").alias("a")), "a").join(kind.where("type IN ('test', 'val')").select(F.col("s_suppkey").alias("b")), "b")
+    shares = t.groupBy("stratum").agg(F.avg((F.col("type") == "test").cast("int")).alias("share")).agg((F.min("share") >= 0.06).alias("shares_reached"))
+    return close.agg(F.count("*").alias("n_close")).crossJoin(F.broadcast(shares))  # one row each
+
+
 @register("O9_bootstrap")
 def o9(spark, d):
     """Interval of the mean balance from 200 resamples."""
