@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,6 +19,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="terrapanel-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the file is served until the driver ends
     try:
         copy = shutil.copytree(package, os.path.join(folder, "code", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
         context.addPyFile(shutil.make_archive(os.path.join(folder, "terrapanel_package"), "zip", os.path.dirname(copy)))

@@ -188,3 +188,15 @@ def test_chunked_requests(spark):
         return [{}]
 
     assert rest.with_retry(flaky, 3, 0.5, waits.append) == [{}] and waits == [0.5, 1.0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from terrapanel.sources import scratch
+
+    assert scratch.folder(spark, "a") != scratch.folder(spark, "a")
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    assert scratch.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: "hdfs:///x/"))) == "hdfs:///x"
