@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from terrapanel.sources.scratch import folder
+
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.
-
-    Where that is unset, a new temporary folder is set if the session runs in
-    local mode (one machine, as in tests); on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-terrapanel-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 class Tables:
     """The intermediate tables of one run of an operator.
 
@@ -37,7 +20,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = folder(spark, name)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as Parquet in the shared folder, read back."""
