@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -74,3 +76,29 @@ def test_samples_are_bounded_and_fixed(spark):
     assert set(got) == {"a", "b"} and all(450 < n < 750 for n in got.values())
     assert by_label(rows, "y", "id", 500).agg(F.sum("id")).first() == by_label(rows.repartition(3), "y", "id", 500).agg(F.sum("id")).first()
     assert by_label(rows.limit(5), "y", "id", 500).count() == rows.limit(5).where("y is not null").count()
+
+
+def test_labels_and_scores_over_all_paths(spark):
+    """Each text's language and score, from every labelling of its words."""
+    model = fit_languages(spark.createDataFrame(corpus(), SCHEMA), "doc_id", "text", "lang")
+    texts = ["lorem", "zwischen lorem", "queso ñandu perro", "über, über 12 queso", "Lorem durch x lluvia!", "a b c d e f"]
+    got = {r.doc_id: r for r in label_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        plain = "".join(c.lower() if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c if c >= "\x80" or "a" <= c <= "z" else " " for c in text)
+        words = plain.encode().split()
+        score = [model.word_scores([w])[0] for w in words]
+        share = [0.0] * 3
+        total = 0.0
+        for path in itertools.product(range(3), repeat=len(words)):
+            weight = math.exp(model.begin[path[0]] + sum(s[y] for s, y in zip(score, path, strict=True)) + sum(model.transitions[a, b] for a, b in itertools.pairwise(path)))
+            total += weight
+            for y in path:
+                share[y] += weight / len(words)
+        best = max(range(3), key=lambda y: share[y])
+        assert got[i].lang_pred == model.labels[best] and abs(got[i].score - share[best] / total) < 1e-9
+
+
+def test_texts_that_switch_evenly_are_kept(spark):
+    model = fit_languages(spark.createDataFrame(corpus(), SCHEMA), "doc_id", "text", "lang")
+    text = " ".join(w for v in VOCABULARIES.values() for w in v * 3)
+    assert keep_known_languages(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).count() == 1

@@ -1,3 +1,4 @@
+import math
 import re
 
 from terrapanel.llm.licenses import BASE, SLACK, TEMPLATES, WORDINGS, RareWordIndex, scan_licenses, words_of
@@ -91,9 +92,20 @@ def licence_texts():
 def test_all_templates_by_brute_force(spark):
     texts = licence_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: {(s.label, s.start) for s in r.spans} for r in scan_licenses(docs).collect()}
+    found = {r.doc_id: r.spans for r in scan_licenses(docs).collect()}
     want = {i: every_place(t) for i, t in enumerate(texts)}
-    assert got == want
+    assert {i: {(s.label, s.start) for s in spans} for i, spans in found.items()} == want
+    # Scores: rarity counted over all texts, word by word.
+    words = [words_of((t or "").encode()) for t in texts]
+    idf = lambda w: math.log((2 + len(words)) / (1 + sum(w in own for own in words)))
+    by_label = {t.label: t for t in TEMPLATES}
+    for i, spans in found.items():
+        for s in spans:
+            whole = words_of(by_label[s.label].text.encode())
+            key = words_of(by_label[s.label].keys[0].encode())
+            begin = s.start - next(k for k in range(len(whole)) if whole[k : k + len(key)] == key)
+            there = sum(idf(w) for k, w in enumerate(whole) if 0 <= begin + k < len(words[i]) and words[i][begin + k] == w)
+            assert abs(s.score - there / sum(map(idf, whole))) < 1e-9
     assert {t.label for t in WORDINGS} <= {label for places in want.values() for label, _ in places}
 
 
