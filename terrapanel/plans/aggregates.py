@@ -213,11 +213,21 @@ def a25(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept"))
 
 
-@register("A26_polynomial")
+@register(
+    "A26_polynomial",
+    """WITH v AS (SELECT c_nationkey AS g, year(o_orderdate) - 1998.0::DOUBLE AS x, avg(o_totalprice) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+       a AS (SELECT *, avg(x) OVER w AS m1, avg(x * x) OVER w AS m2, avg(x * x * x) OVER w AS m3, avg(y) OVER w AS my, count(*) OVER w AS k FROM v WINDOW w AS (PARTITION BY g)),
+       b AS (SELECT *, x - m1 AS p1 FROM a), c AS (SELECT *, sum(x * x * p1) OVER w / sum(p1 * p1) OVER w AS q FROM b WINDOW w AS (PARTITION BY g)),
+       d AS (SELECT *, x * x - m2 - q * p1 AS p2, sum(x * x * x * p1) OVER w / sum(p1 * p1) OVER w AS c31 FROM c WINDOW w AS (PARTITION BY g)),
+       e AS (SELECT *, sum(x * x * x * p2) OVER w / sum(p2 * p2) OVER w AS c32 FROM d WINDOW w AS (PARTITION BY g)), f AS (SELECT *, x * x * x - m3 - c31 * p1 - c32 * p2 AS p3 FROM e),
+       h AS (SELECT g, any_value(k) AS k, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3, any_value(my) AS my, any_value(q) AS q, any_value(c31) AS c31, any_value(c32) AS c32,
+             sum(y * p1) / sum(p1 * p1) AS b1, sum(y * p2) / sum(p2 * p2) AS b2, sum(y * p3) / sum(p3 * p3) AS b3 FROM f GROUP BY 1)
+       SELECT g AS c_nationkey, CASE WHEN k >= 4 THEN [round(b3, 3), round(b2 - b3 * c32, 3), round(b1 - b2 * q + b3 * (c32 * q - c31), 3), round(my - b1 * m1 + b2 * (q * m1 - m2) + b3 * (c31 * m1 + c32 * m2 - c32 * q * m1 - m3), 3)] END AS coef FROM h""",
+)
 def a26(spark, d):
     """Cubic through a nation's yearly means (seven points)."""
     means = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").groupBy("c_nationkey", (F.year("o_orderdate") - 1998).alias("x")).agg(F.avg("o_totalprice").alias("y"))
-    return stats.polynomial_fit(means, ["c_nationkey"], "x", "y", 3)
+    return stats.polynomial_fit(means, ["c_nationkey"], "x", "y", 3).select("c_nationkey", F.transform("coef", lambda c: F.round(c, 3)).alias("coef"))
 
 
 @register("A27_id_lists", f"WITH {PANEL_SQL} SELECT unit_id, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS years FROM panel GROUP BY 1 HAVING count(*) >= 2")

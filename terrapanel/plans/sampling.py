@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions import seeded
 from terrapanel.operators import splits, stats
 from terrapanel.plans.registry import PANEL_SQL, panel, register, table
+from terrapanel.sources.scratch import folder
 
 
 def _key(seed: int, *keys: str) -> str:
@@ -71,7 +72,9 @@ def o7(spark, d):
 @register("O7_moats", "SELECT CAST(0 AS BIGINT) AS n_close, true AS shares_reached")
 def o7_moats(spark, d):
     """What the split promises: no training tract within the moat of a held-out one, and each stratum's test share reached."""
-    t = splits.split_tracts(tracts(spark, d), "s_suppkey", "stratum", "area", 100.0, 50.0, 0.06, 11)
+    path = folder(spark, "split")
+    splits.split_tracts(tracts(spark, d), "s_suppkey", "stratum", "area", 100.0, 50.0, 0.06, 11).write.parquet(path)
+    t = spark.read.parquet(path)
     kind = t.select("s_suppkey", "type")
     near = splits.neighbours(t, "s_suppkey", 50.0)
     close = near.join(kind.where("type = 'train'").select(F.col("s_suppkey").alias("a")), "a").join(kind.where("type IN ('test', 'val')").select(F.col("s_suppkey").alias("b")), "b")
