@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm.bpe import encode_texts
+from terrapanel.llm.conversation_repair import damage_turns, repair_conversations
 from terrapanel.llm.exact_dedup import exact_dedup
 from terrapanel.llm.language_id import fit_languages, label_languages
 from terrapanel.llm.licenses import scan_licenses
@@ -171,6 +172,89 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damage_turns(_read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return repair_conversations(turns).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256")
+    )
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT range(8) AS eight),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS label
+  FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(
+      list_transform(range(1, length(label) + 1), lambda i: CAST(ord(substr(label, CAST(i AS INT), 1)) AS BIGINT)),
+      lambda c, b: list_reduce(eight, lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)),
+      4294967295), 4294967295) % 20 AS kind
+  FROM named, bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS place, left(role, 1) AS initial,
+         coalesce(lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM placed GROUP BY conv_id
+), moves(before, after, letters, cost, initial) AS (
+  SELECT p.s, t.s, p.letters || CASE WHEN k.keep THEN 'K' ELSE 'R' END, p.cost + CASE WHEN k.keep THEN 0 ELSE 2 END, CASE WHEN k.keep THEN t.s END
+  FROM (VALUES ('e', 'u', '', 0), ('s', 'u', '', 0), ('a', 'u', '', 0), ('u', 'u', 'I', 2),
+               ('u', 'a', '', 0), ('e', 'a', 'I', 2), ('s', 'a', 'I', 2), ('a', 'a', 'I', 2)) AS p(s, t, letters, cost)
+  JOIN (VALUES ('u'), ('a')) AS t(s) ON t.s = p.t, (VALUES (true), (false)) AS k(keep)
+  UNION ALL VALUES ('e', 's', 'K', 0, 's')
+), fold AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, 'e' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit FROM counted
+  UNION ALL
+  SELECT conv_id, place, state, cost, audit FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+      SELECT f.conv_id, r.place, m.after AS state, f.cost + m.cost + CASE WHEN r.fault = 'truncated' THEN 1 ELSE 0 END AS cost, f.audit || m.letters AS audit
+      FROM fold f JOIN placed r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.place = f.place + 1
+      JOIN moves m ON m.before = f.state AND (m.initial IS NULL OR m.initial = r.initial) AND r.fault NOT IN ('blank', 'duplicate')
+      UNION ALL
+      SELECT f.conv_id, r.place, f.state, f.cost + 3, f.audit || 'D'
+      FROM fold f JOIN placed r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.place = f.place + 1
+    )
+  ) WHERE best = 1
+), ends AS (
+  SELECT f.conv_id, cost + CASE state WHEN 'u' THEN 2 ELSE 0 END AS cost, audit || CASE state WHEN 'u' THEN 'I' ELSE '' END AS audit
+  FROM fold f JOIN counted c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND f.place = c.n WHERE state <> 's'
+), best AS (
+  SELECT conv_id, cost, audit FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS nth FROM ends) WHERE nth = 1
+), letters AS (
+  SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS step FROM best
+), edits AS (
+  SELECT conv_id, step, substr(audit, CAST(step AS INT), 1) AS letter,
+         length(replace(left(audit, CAST(step AS INT)), 'I', '')) AS place, length(replace(left(audit, CAST(step AS INT)), 'D', '')) AS nth
+  FROM letters
+), kept AS (
+  SELECT e.*, r.role, r.text, max(CASE WHEN e.nth = 1 AND e.letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+  FROM edits e LEFT JOIN placed r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.place = e.place AND e.letter <> 'I'
+), lines AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY step) AS repaired
+  FROM kept WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -197,10 +281,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_repair": op11_conversation_repair,
         "pipeline": pipeline,
     }
     return {name: _bounded(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op11_conversation_repair": OP11_SQL}
