@@ -21,6 +21,7 @@ from terrapanel.llm.simhash import near_duplicates
 from terrapanel.llm.storage import bounded_batches
 from terrapanel.llm.toxicity import fit_toxicity, score_toxicity
 from terrapanel.llm.url_filter import filter_urls
+from terrapanel.llm.whitening import fit_whitening, identity_error, whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -255,6 +256,14 @@ LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    model = fit_whitening(vectors)
+    error = identity_error(vectors, model) if model else None
+    deviation = F.expr("try_cast(deviation AS bigint)").alias("deviation")
+    return whiten(vectors, model).select("vec_id", "component", "n", deviation, "whitened", "explained", F.lit(error).cast("double").alias("identity_error"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -282,6 +291,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_whitening": op12_whitening,
         "pipeline": pipeline,
     }
     return {name: _bounded(query) for name, query in found.items()}
