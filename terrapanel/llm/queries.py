@@ -16,6 +16,7 @@ from terrapanel.llm.licenses import scan_licenses
 from terrapanel.llm.media import store_texts
 from terrapanel.llm.mixing import Mix, count_words, mix_sources
 from terrapanel.llm.quality import fit_quality, score_quality
+from terrapanel.llm.quality_rules import apply_quality_rules
 from terrapanel.llm.samples import fold
 from terrapanel.llm.simhash import near_duplicates
 from terrapanel.llm.storage import bounded_batches
@@ -264,6 +265,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(vectors, model).select("vec_id", "component", "n", deviation, "whitened", "explained", F.lit(error).cast("double").alias("identity_error"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_quality_rules(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -292,6 +298,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_whitening": op12_whitening,
+        "op13_quality_rules": op13_quality_rules,
         "pipeline": pipeline,
     }
     return {name: _bounded(query) for name, query in found.items()}
