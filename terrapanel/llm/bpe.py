@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from terrapanel.llm.joins import by_place
+
 #: Entries of a worker's caches before the older half is given up.
 CACHE_ENTRIES = 150_000
 #: Bytes of the longest word that is remembered.
@@ -287,8 +289,8 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", decoded: bo
 
     The three columns replace columns of these names.
     """
-    carried = docs.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")])
-    source = carried.withColumn("__raw", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    carried = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "n_tokens", "decoded")])
+    source = by_place(carried, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
     names = [*carried.columns, "ids", "n_tokens", *["decoded"] * decoded]
 
     def run(batches):

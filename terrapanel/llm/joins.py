@@ -11,6 +11,19 @@ HOT_SHARES = 1024
 FILTER_BITS = 1 << 24
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with further underscores where a column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_place(df: DataFrame, *more: F.Column) -> DataFrame:
+    """df's columns as c0, c1, ..., for functions of batches that take columns of any name by their place, then further ones."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(df.columns)], *[c.alias(f"more{n}") for n, c in enumerate(more)])
+
+
 def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
     """``rows`` joined with ``table`` (one row a key) on ``key``; the ``count`` column is dropped.
 

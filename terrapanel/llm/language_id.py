@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.crf import Crf, FeatureSpace, Scores, in_groups, train, words_of
+from terrapanel.llm.joins import by_place
 from terrapanel.llm.samples import LONGEST_TEXT, MOST_LABELS, by_label, window_of
 
 UNKNOWN = "und"
@@ -140,7 +141,7 @@ def keep_known_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_
     """
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def keep(batches):
         scores = Scores(shared.value)
@@ -155,6 +156,6 @@ def keep_known_languages(docs: DataFrame, model: Crf | None, id_col: str = "doc_
                     known = size and marginals[at : at + size].max(axis=1).mean() >= least_confidence
                     wanted.append(bool(known) and has_letter(texts[first + n].as_py()))
                     at += size
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(wanted, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(wanted, pa.bool_()))
 
-    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(keep, docs.schema)
+    return by_place(docs, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).mapInArrow(keep, docs.schema)

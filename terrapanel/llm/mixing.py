@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrapanel.llm.joins import unused
 from terrapanel.llm.storage import Tables
 
 LEVELS = ("domain", "lang", "source")
@@ -135,12 +136,16 @@ def _with_leaf(rows: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFr
 
 
 def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs that are taken, once for each epoch, with all their columns and ``__epoch`` and ``__domain``."""
-    keyed = docs.withColumns(
-        {"__domain": domain, "__lang": F.col(lang_col), "__source": F.col(source_col), "__key": F.coalesce(F.col(id_col).cast("string"), F.lit(""))}
-    )
+    """The rows of docs that are taken, once for each epoch, with all their columns, then their domain and epoch.
+
+    The last two columns are ``__domain`` and ``__epoch``, with further
+    underscores where docs have such columns.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)])  # so no name of docs meets one of these
+    keyed = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), domain.alias("__domain"), F.col(f"`{lang_col}`").alias("__lang"), F.col(f"`{source_col}`").alias("__source"), key.alias("__key"))
     own, tables = ["__domain", "__lang", "__source"], Tables(docs.sparkSession, "mix")
-    slim = tables.write(keyed.select(*own, "__key", count_words(F.col(text_col)).alias("tokens")), "tokens")
+    slim = tables.write(keyed.select(*own, "__key", count_words(F.col("text")).alias("tokens")), "tokens")
     leaves = slim.groupBy(*[F.col(f"__{c}").alias(c) for c in LEVELS]).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, mix).where("tokens > 0 AND given > 0")
     whole = F.floor(F.col("given") / F.col("tokens") + F.lit(1e-12)).cast("int")
@@ -176,5 +181,6 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: F.Column, id_col: str = "doc_
         F.when(F.col("b.whole") > 0, F.sequence(F.lit(0), F.col("b.whole") - 1)).otherwise(F.array().cast("array<int>")),
         F.when(F.coalesce(in_last, F.lit(False)), F.array("b.whole")).otherwise(F.array().cast("array<int>")),
     )
-    chosen = _with_leaf(keyed, plan).select(*[F.col(f"s.`{c}`") for c in docs.columns], F.col("s.__domain"), epochs.alias("__epochs"))
-    return chosen.withColumn("__epoch", F.explode("__epochs")).drop("__epochs")
+    chosen = _with_leaf(keyed.drop("text"), plan).select("s.row", F.col("s.__domain"), F.explode(epochs).alias("epoch"))
+    own = [F.col(f"row.c{n}").alias(c) for n, c in enumerate(docs.columns)]
+    return chosen.select(*own, F.col("__domain").alias(unused(docs.columns, "__domain")), F.col("epoch").alias(unused(docs.columns, "__epoch")))

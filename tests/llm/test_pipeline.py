@@ -63,3 +63,32 @@ def test_run_on_nulls_and_on_an_empty_table(spark, tmp_path):
     assert {(r.doc_id, bytes(r.ids)) for r in cp.run(spark, f"{tmp_path}/clash").collect()} == plain
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
+CLASHES = ("__text", "__raw", "__domain", "__lang", "__source", "__key", "__epoch", "__epochs", "__id", "__salt", "text_", "row", "mark", "doc id", "a.b")
+
+
+def test_columns_of_any_name_are_carried_unchanged(spark):
+    """Each stage's output, column by column, with names that the stages use themselves."""
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    odd = docs.selectExpr(*[f"concat('{n}', doc_id) AS `{n}`" for n in CLASHES[:8]], "*", *[f"concat('{n}', doc_id) AS `{n}`" for n in CLASHES[8:]])
+    before = odd
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, before, path).cache()
+        assert after.columns == odd.columns and after.schema == odd.schema, name
+        rows = after.collect()
+        assert rows
+        for r in rows:
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES), name
+        before = after
+    (_, encode) = cp.STAGES[-1]
+    assert encode(spark, before, path).count() == before.count()
+
+
+def test_encoding_carries_columns_of_any_name(spark):
+    from terrapanel.llm.bpe import encode_texts
+
+    docs = spark.createDataFrame([("x", "one two", 1, "y"), ("z", None, 2, "w")], "`__raw` string, text string, `a.b` int, `__raw_` string")
+    got = encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert [tuple(r)[:4] for r in got] == [("x", "one two", 1, "y"), ("z", None, 2, "w")] and got[1].n_tokens == 0
