@@ -190,7 +190,7 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return halves
 
 
-def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a: tuple[str, ...], b: tuple[str, ...], cell: float, exact: Column | None = None) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a: tuple[str, ...], b: tuple[str, ...], cell: float, exact: Column | None = None, largest: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes intersect (and for which ``exact`` holds), as an equi-join on grid cells.
 
     a and b name the box columns minx, miny, maxx, maxy, which must differ
@@ -200,13 +200,15 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     there are, and two boxes meet at the coarser one of their levels.  There, a
     pair is emitted by one cell only: the one with the lower left corner of the
     common box.  So no pair has to be de-duplicated, the plan has no nested
-    loop, and a box much larger than ``cell`` makes a few rows.  Cells that
+    loop, and a box much larger than ``cell`` makes a few rows.  ``largest``: the
+    longest side of a box on either side, if it is known; else it is looked up.  Cells that
     hold very many boxes are split by the skew handling of the adaptive join.
     """
     ca, cb = ({k: F.col(c) for k, c in zip(("minx", "miny", "maxx", "maxy"), names, strict=True)} for names in (a, b))
     extent = lambda c: F.greatest(c["maxx"] - c["minx"], c["maxy"] - c["miny"], F.lit(0.0))
-    sizes = left.select(extent(ca).alias("s")).unionByName(right.select(extent(cb).alias("s")))
-    largest = sizes.agg(F.max("s")).first()[0] or 0.0
+    if largest is None:
+        sizes = left.select(extent(ca).alias("s")).unionByName(right.select(extent(cb).alias("s")))
+        largest = sizes.agg(F.max("s")).first()[0] or 0.0
     top = max(0, math.ceil(math.log2(largest / cell))) if largest > 0 else 0
 
     def cells(df: DataFrame, box: dict[str, Column], own: str) -> DataFrame:
@@ -224,6 +226,12 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return pairs if exact is None else pairs.where(exact)
 
 
+def mean_side(boxes: DataFrame, names: tuple[str, ...]) -> float:
+    """The mean longer side of boxes, as a cell for a join of them; 1 for none or for points."""
+    minx, miny, maxx, maxy = map(F.col, names)
+    return float(boxes.agg(F.avg(F.greatest(maxx - minx, maxy - miny))).first()[0] or 1.0)
+
+
 def max_overlap(pairs: DataFrame, base_id: str, other_id: str, overlap: str) -> DataFrame:
     """For each base the other one with the largest overlap; ties go to the smaller id."""
     best = F.max_by(F.struct(other_id, overlap), F.struct(F.col(overlap), F.col("__rank")))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrapanel.functions.curves import morton, steps
 from terrapanel.operators import polygons
 from terrapanel.sources.scratch import folder
 
@@ -273,21 +274,13 @@ def make_valid(parts: Column) -> Column:
     return polygons._mapped(parts, polygons.PARTS, polygons._PARTS, repaired)
 
 
-def _morton(x: Column, y: Column, bits: int = 16) -> Column:
-    """Interleaved bits of two numbers below 2^bits."""
-    out = F.lit(0).cast("long")
-    for k in range(bits):
-        bit = lambda c, k=k: F.shiftright(c, k).bitwiseAND(F.lit(1))
-        out = out + F.shiftleft(bit(x), 2 * k) + F.shiftleft(bit(y), 2 * k + 1)
-    return out
-
-
 def unite(df: DataFrame, by: list[str], parts: str) -> DataFrame:
     """Rows (by..., parts, n): the union of each group's polygons, n of them.
 
     A tree of partial unions: shapes that are near each other, by the Morton
     number of their box, are united FAN_IN at a time, each round's results once
-    more in cells that are 64 times as large, until one is left.  So no task
+    more in cells that are 64 times as large, until one is left (FAN_IN or fewer
+    are united at once).  So no task
     holds more than about twice FAN_IN shapes, and inner edges go early; a
     group's own result is one value.  NULL groups are groups; NULL shapes go.
     """
@@ -295,12 +288,13 @@ def unite(df: DataFrame, by: list[str], parts: str) -> DataFrame:
     box = polygons.bounds(F.col("parts"))
     rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col(f"`{parts}`").alias("parts")).where("parts IS NOT NULL")
     rows = rows.withColumns({"x": (box["minx"] + box["maxx"]) / 2, "y": (box["miny"] + box["maxy"]) / 2, "n": F.lit(1).cast("long")})
-    extent = rows.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("size")).first()
-    at = lambda c, low: F.coalesce(F.floor((F.col(c) - F.lit(low or 0.0)) / F.lit(extent["size"] or 1.0) * 65535), F.lit(0)).cast("long")
-    rows = rows.withColumn("cell", _morton(at("x", extent.x), at("y", extent.y))).drop("x", "y")
+    e = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))]).first()
+    side = max((e.high_x or 0.0) - (e.low_x or 0.0), (e.high_y or 0.0) - (e.low_y or 0.0))
+    rows = rows.withColumns({c: steps(F.col(c), e[f"low_{c}"] or 0.0, (e[f"low_{c}"] or 0.0) + side) for c in ("x", "y")})
+    rows = rows.withColumn("cell", morton(F.col("x"), F.col("y"))).drop("x", "y")
     rows = rows.withColumn("mark", F.xxhash64("cell", "parts"))
     base = folder(spark, "unite")
-    schema = T.StructType([*[rows.schema[k] for k in keys], rows.schema["cell"], *[T.StructField(c, T.LongType()) for c in ("mark", "n")], rows.schema["parts"]])
+    schema = T.StructType([*[rows.schema[k] for k in keys], rows.schema["cell"], *[T.StructField(c, T.LongType()) for c in ("mark", "n")], T.StructField("parts", T.DataType.fromDDL(polygons.PARTS))])
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.sort_by("mark")  # the same order each time
@@ -315,11 +309,11 @@ def unite(df: DataFrame, by: list[str], parts: str) -> DataFrame:
         rows = rows.select(*[F.col(f.name) for f in schema])
         rows.write.parquet(f"{base}/{level}")
         rows = spark.read.schema(schema).parquet(f"{base}/{level}")
-        total, groups = rows.count(), rows.select(*keys).distinct().count()
-        if level and total <= groups:
+        most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if level and most <= 1:
             break
-        # The first round unites each cell's own shapes; a cell of many is dealt out at random.
-        rows = rows.withColumn("cell", F.shiftright("cell", 6 if level else 0))
+        # The first round unites each cell's own shapes, the last one what is left; a cell of many is dealt out at random.
+        rows = rows.withColumn("cell", F.lit(0).cast("long") if most <= FAN_IN else F.shiftright("cell", 6 if level else 0))
         sizes = rows.groupBy(*keys, "cell").agg(F.count("*").alias("m"))
         same = F.lit(True)
         for k in [*keys, "cell"]:

@@ -90,6 +90,70 @@ def disjoint(a: Column, b: Column) -> Column:
     return ~intersects(a, b)
 
 
+def segment_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of pairs of segments, rows (ax, ay, bx, by); 0 where they have a point in common, within rounding."""
+    (a, b), (c, d) = (p[:, :2], p[:, 2:]), (q[:, :2], q[:, 2:])
+    u, v = b - a, d - c
+    cross = lambda x, y: x[:, 0] * y[:, 1] - x[:, 1] * y[:, 0]
+    turn = cross(u, v)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s, t = cross(c - a, v) / turn, cross(c - a, u) / turn
+    through = (turn != 0) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+
+    def from_line(point: np.ndarray, start: np.ndarray, way: np.ndarray) -> np.ndarray:
+        off, size = point - start, (way * way).sum(axis=1)
+        share = np.clip(np.divide((off * way).sum(axis=1), size, out=np.zeros(len(off)), where=size > 0), 0, 1)
+        return np.hypot(*(off - share[:, None] * way).T)
+
+    found = np.minimum.reduce([from_line(c, a, u), from_line(d, a, u), from_line(a, c, v), from_line(b, c, v)])
+    rounding = 1e-12 * np.maximum(np.abs(p).max(axis=1, initial=0), np.abs(q).max(axis=1, initial=0))
+    return np.where(through | (found <= rounding), 0.0, found)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, parts_a: str, parts_b: str, radius: float = 0.0) -> DataFrame:
+    """Rows (a, b, distance) of pairs of polygons that are within the radius of each other; 0 where they meet.
+
+    Edges are rows of a spatial join, so two long boundaries are met by many
+    tasks and only where they are near each other; a polygon that lies inside
+    another is found by its rings' corners.
+    """
+    names = ("minx", "miny", "maxx", "maxy")
+    box = lambda p: tuple(f"{p}_{c}" for c in names)
+
+    def edge_rows(df: DataFrame, own: str, parts: str, p: str) -> DataFrame:
+        rows = df.select(F.col(own).alias(p), F.explode(edges(F.col(parts))).alias("e"))
+        return rows.select(p, *[F.col(f"e.{end}.{k}").alias(f"{p}_{end}{k}") for end in ("a", "b") for k in ("x", "y")])
+
+    def boxed(rows: DataFrame, p: str, grow: float) -> DataFrame:
+        ends = lambda k: (F.col(f"{p}_a{k}"), F.col(f"{p}_b{k}"))
+        sides = (F.least(*ends("x")) - grow, F.least(*ends("y")) - grow, F.greatest(*ends("x")) + grow, F.greatest(*ends("y")) + grow)
+        return rows.withColumns(dict(zip(box(p), sides, strict=True)))
+
+    p, q = edge_rows(left, a, parts_a, "p"), edge_rows(right, b, parts_b, "q")
+    side = lambda n: F.greatest(F.abs(F.col(f"{n}_ax") - F.col(f"{n}_bx")), F.abs(F.col(f"{n}_ay") - F.col(f"{n}_by")))
+    sides = p.select(side("p").alias("s")).unionByName(q.select(side("q").alias("s"))).agg(F.avg("s"), F.max("s")).first()
+    cell, largest = max((sides[0] or 1.0) + 2 * radius, 1e-9), (sides[1] or 0.0) + 2 * radius
+    met = geometry.spatial_join(boxed(p, "p", radius), boxed(q, "q", 0.0), "p", "q", box("p"), box("q"), cell, largest=largest)
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(*c: pa.Array) -> pa.Array:
+        x = np.stack([v.to_numpy(zero_copy_only=False) for v in c], axis=1).astype(float)
+        return pa.array(segment_distances(x[:, :4], x[:, 4:]))
+
+    corners = [f"{n}_{end}{k}" for n in ("p", "q") for end in ("a", "b") for k in ("x", "y")]
+    by_edge = met.select(F.col("p").alias(a), F.col("q").alias(b), distance(*corners).alias("distance")).where(F.col("distance") <= radius)
+
+    def corners_in(points: DataFrame, own: str, parts: str, shapes: DataFrame, other: str, parts_other: str) -> DataFrame:
+        at = points.select(F.col(own).alias("p"), F.explode(_corner(F.col(parts))).alias("at")).select("p", "at.x", "at.y")
+        at = at.withColumns(dict(zip(box("p"), map(F.col, ("x", "y", "x", "y")), strict=True)))
+        around = shapes.select(F.col(other).alias("q"), F.col(parts_other).alias("shape"), *[c.alias(f"q_{n}") for n, c in bounds(F.col(parts_other)).items()])
+        inside = geometry.spatial_join(at, around, "p", "q", box("p"), box("q"), geometry.mean_side(around, box("q")), contains_point(F.col("shape"), F.col("x"), F.col("y")))
+        return inside.select(F.col("p").alias(own), F.col("q").alias(other), F.lit(0.0).alias("distance"))
+
+    by_corner = corners_in(left, a, parts_a, right, b, parts_b).unionByName(corners_in(right, b, parts_b, left, a, parts_a))
+    return by_edge.unionByName(by_corner).groupBy(a, b).agg(F.min("distance").alias("distance"))
+
+
 def within(common: Column, a: Column, tolerance: float = 1e-9) -> Column:
     """Whether a lies in the polygon with which it has the area ``common``; "contains" is the same the other way round."""
     own = area(a)
@@ -192,57 +256,10 @@ def _plain(ring: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in ring]
 
 
-def _loops(p: np.ndarray) -> list[np.ndarray]:
-    """A closed ring cut at the points where it crosses itself, into loops that don't."""
-    open_, out = [p], []
-    while open_:
-        p = open_.pop()
-        if len(p) < 4:
-            continue
-        a, b = p[:-1], p[1:]
-        d = b - a
-        cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-        off = a[None] - a[:, None]
-        turn = cross(d[:, None], d[None])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s, t = cross(off, d[None]) / turn, cross(off, d[:, None]) / turn
-        apart = np.triu(np.ones(turn.shape, bool), 2)
-        apart[0, -1] = False
-        hits = np.argwhere((turn != 0) & (s > 0) & (s < 1) & (t > 0) & (t < 1) & apart)
-        if not len(hits):
-            out.append(p)
-            continue
-        i, j = hits[0]
-        at = (a[i] + s[i, j] * d[i])[None]
-        open_ += [np.concatenate([at, p[i + 1 : j + 1], at]), np.concatenate([p[: i + 1], at, p[j + 1 :]])]
-    return out
-
-
 def _signed(p: np.ndarray) -> float:
     return float(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[:-1, 1], p[1:, 0])) / 2
 
 
-def valid(parts: Column) -> Column:
-    """Rings closed, cut where they cross themselves, without repeated points and loops of no area; each outer loop is a part."""
-
-    def one(value):
-        out = []
-        for rings in value:
-            loops = []
-            for r in rings:
-                p = np.array([(q["x"], q["y"]) for q in r], float).reshape(-1, 2)
-                p = p[np.r_[True, (p[1:] != p[:-1]).any(axis=1)]] if len(p) else p
-                p = np.concatenate([p, p[:1]]) if len(p) and (p[0] != p[-1]).any() else p
-                loops.append([q if _signed(q) > 0 else q[::-1] for q in _loops(p) if _signed(q)])
-            outer, holes = (loops[0] if loops else []), [h[::-1] for own in loops[1:] for h in own]
-            for o in outer:
-                inner = [h for h in holes if len(outer) == 1 or _inside(h[0], o)]
-                out.append([_plain(o), *map(_plain, inner)])
-        return out
-
-    return _mapped(parts, PARTS, _PARTS, one)
-
-
 def _inside(point: np.ndarray, ring: np.ndarray) -> bool:
     a, b = ring[:-1], ring[1:]
     spans = (a[:, 1] > point[1]) != (b[:, 1] > point[1])

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import last_label_wins
 from terrapanel.functions.seeded import order_key, weighted_key
-from terrapanel.operators.geometry import box_distance, spatial_join
+from terrapanel.operators.geometry import box_distance, mean_side, spatial_join
+from terrapanel.operators.polygons import near_pairs
+from terrapanel.sources.scratch import folder
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
-def neighbours(tracts: DataFrame, id_col: str, radius: float) -> DataFrame:
-    """Pairs (a, b) of tracts whose boxes are within the radius, each tract with itself included."""
+def neighbours(tracts: DataFrame, id_col: str, radius: float, parts: str | None = None) -> DataFrame:
+    """Pairs (a, b) of tracts that are within the radius of each other, each tract with itself included.
+
+    Distances are those of the polygons in the column ``parts``, or else of the boxes.
+    """
+    if parts is not None:
+        own = lambda name: tracts.select(F.col(id_col).alias(name), F.col(parts).alias(f"{name}_parts"))
+        return near_pairs(own("a"), own("b"), "a", "b", "a_parts", "b_parts", radius).select("a", "b")
     grown = tracts.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in BOX], *[(F.col(c) + (radius if c[:3] == "max" else -radius)).alias(f"g_{c}") for c in BOX])
     other = tracts.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
     near = box_distance({c: F.col(f"a_{c}") for c in BOX}, {c: F.col(f"b_{c}") for c in BOX}) <= radius
@@ -51,9 +59,17 @@ def label_tracts(tracts: DataFrame, id_col: str, test: DataFrame, val: DataFrame
     return own.withColumn("type", last_label_wins(rules, "train")).drop("__t", "__v", "__n")
 
 
-def split_tracts(tracts: DataFrame, id_col: str, stratum: str, weight: str, radius: float, moat: float, share: float, seed: int) -> DataFrame:
-    """Test clusters, then validation clusters away from them, then a moat around both; the rest is for training."""
-    pairs, wide = neighbours(tracts, id_col, radius), neighbours(tracts, id_col, moat)
+def split_tracts(tracts: DataFrame, id_col: str, stratum: str, weight: str, radius: float, moat: float, share: float, seed: int, parts: str | None = None) -> DataFrame:
+    """Test clusters, then validation clusters away from them, then a moat around both; the rest is for training.
+
+    The pairs of near tracts are used several times, so they are written once.
+    """
+    spark, base = tracts.sparkSession, folder(tracts.sparkSession, "neighbours")
+    found = []
+    for name, near in (("cluster", radius), ("moat", moat)):
+        neighbours(tracts, id_col, near, parts).write.parquet(f"{base}/{name}")
+        found.append(spark.read.parquet(f"{base}/{name}"))
+    pairs, wide = found
     test = hold_out(tracts, pairs, id_col, stratum, weight, share, seed)
     near_test = wide.join(test.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
     val = hold_out(tracts, pairs, id_col, stratum, weight, share, seed + 1, banned=near_test)
@@ -83,16 +99,10 @@ def box_hold_out(tracts: DataFrame, id_col: str, boxes: DataFrame, share: float,
     """
     own = tracts.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"t_{c}") for c in BOX])
     placed = boxes.withColumn("__order", order_key(seed, F.col("box_id")))
-    hits = spatial_join(own, placed.select("box_id", "__order", *[F.col(c).alias(f"b_{c}") for c in BOX]), "id", "box_id", tuple(f"t_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), _cell(boxes))
+    hits = spatial_join(own, placed.select("box_id", "__order", *[F.col(c).alias(f"b_{c}") for c in BOX]), "id", "box_id", tuple(f"t_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), mean_side(boxes, BOX))
     first = hits.groupBy("id").agg(F.min("__order").alias("__order"))
     gain = first.groupBy("__order").agg(F.count("*").alias("gain"))
     before = F.coalesce(F.sum("gain").over(W.orderBy("__order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # as many rows as boxes
     need = tracts.agg((F.count("*") * share).alias("need"))
     used = gain.withColumn("before", before).crossJoin(F.broadcast(need)).where("before < need").select("__order")
     return first.join(used, "__order", "left_semi").select("id")
-
-
-def _cell(boxes: DataFrame) -> float:
-    """A grid cell of about a box's size: the mean longer side."""
-    side = boxes.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
-    return float(side or 1.0)

@@ -63,20 +63,32 @@ def tracts(spark, d):
     return s.select("s_suppkey", x.alias("minx"), y.cast("double").alias("miny"), (x + 100.0).alias("maxx"), (y + 100.0).alias("maxy"), F.pmod("s_suppkey", F.lit(5)).alias("stratum"), F.lit(10000.0).alias("area"))
 
 
+def polygon_tracts(spark, d):
+    """The tracts as polygons that leave a margin of 10, a notch and a hole."""
+    at = lambda c, far: F.col(f"min{c}") + far
+    ring = lambda *points: F.array(*[F.struct(at("x", float(x)).alias("x"), at("y", float(y)).alias("y")) for x, y in [*points, points[0]]])
+    outer = ring((10, 10), (90, 10), (90, 50), (50, 50), (50, 90), (10, 90))
+    return tracts(spark, d).withColumn("parts", F.array(F.array(outer, ring((20, 20), (20, 30), (30, 30), (30, 20)))))
+
+
 @register("O7_cluster_holdout")
 def o7(spark, d):
     """Test and validation clusters with moats (an iterative choice, so no SQL)."""
-    return splits.split_tracts(tracts(spark, d), "s_suppkey", "stratum", "area", 100.0, 50.0, 0.06, 11).select("s_suppkey", "type")
+    return splits.split_tracts(polygon_tracts(spark, d), "s_suppkey", "stratum", "area", 25.0, 50.0, 0.06, 11, "parts").select("s_suppkey", "type")
 
 
 @register("O7_moats", "SELECT CAST(0 AS BIGINT) AS n_close, true AS shares_reached")
 def o7_moats(spark, d):
     """What the split promises: no training tract within the moat of a held-out one, and each stratum's test share reached."""
     path = folder(spark, "split")
-    splits.split_tracts(tracts(spark, d), "s_suppkey", "stratum", "area", 100.0, 50.0, 0.06, 11).write.parquet(path)
+    splits.split_tracts(polygon_tracts(spark, d), "s_suppkey", "stratum", "area", 25.0, 50.0, 0.06, 11, "parts").write.parquet(path)
     t = spark.read.parquet(path)
     kind = t.select("s_suppkey", "type")
-    near = splits.neighbours(t, "s_suppkey", 50.0)
+    # On the lattice, in closed form: 20 apart side by side, 28.3 along one diagonal, 63 along the other.
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 1), (1, 0), (0, -1), (-1, 0), (1, -1), (-1, 1)]])
+    cells = t.select("s_suppkey", (F.col("minx") / 100).cast("int").alias("cx"), (F.col("miny") / 100).cast("int").alias("cy"))
+    beside = cells.select(F.col("s_suppkey").alias("a"), "cx", "cy", F.explode(steps).alias("s")).select("a", (F.col("cx") + F.col("s.x")).alias("cx"), (F.col("cy") + F.col("s.y")).alias("cy"))
+    near = beside.join(cells.withColumnRenamed("s_suppkey", "b"), ["cx", "cy"]).select("a", "b")
     close = near.join(kind.where("type = 'train'").select(F.col("s_suppkey").alias("a")), "a").join(kind.where("type IN ('test', 'val')").select(F.col("s_suppkey").alias("b")), "b")
     shares = t.groupBy("stratum").agg(F.avg((F.col("type") == "test").cast("int")).alias("share")).agg((F.min("share") >= 0.06).alias("shares_reached"))
     return close.agg(F.count("*").alias("n_close")).crossJoin(F.broadcast(shares))  # one row each

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrapanel.operators import geometry, polygons, raster, scoring, splits
+from terrapanel.operators import geometry, overlay, polygons, raster, scoring, splits
 from terrapanel.plans.registry import register, table
 from terrapanel.plans.sampling import tracts
 
@@ -40,13 +40,6 @@ def j9(spark, d):
     return geometry.spatial_join(_point_boxes(points(spark, d)), boxes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0).select("vec_id", "s_suppkey")
 
 
-@register("J8_spatial_left", f"WITH {PTS_SQL}, {BOX_SQL} SELECT vec_id, CAST(count(s_suppkey) AS BIGINT) AS n_boxes FROM pts LEFT JOIN box ON x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy GROUP BY 1")
-def j8(spark, d):
-    p = points(spark, d)
-    hits = geometry.spatial_join(_point_boxes(p), boxes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0).groupBy("vec_id").agg(F.count("*").alias("n"))
-    return p.join(hits, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_boxes"))
-
-
 #: Polygons: each box without its upper right quarter and without a hole; every third one has a second part in that quarter.
 SHAPE_SQL = f"""{BOX_SQL}, q AS (SELECT *, maxx - minx AS w, maxy - miny AS h, (minx + maxx) / 2 AS midx, (miny + maxy) / 2 AS midy FROM box),
   signed AS (SELECT s_suppkey AS id, 1 AS sgn, minx AS x0, miny AS y0, maxx AS x1, midy AS y1 FROM q UNION ALL SELECT s_suppkey, 1, minx, midy, midx, maxy FROM q
@@ -76,10 +69,9 @@ _PAIRS = f"SELECT m.a, m.b, round(sum(p.sgn * r.sgn * {_COMMON}), 6) AS overlap
 
 def _overlaps(spark, d):
     s = shapes(spark, d)
-    left = s.select(F.col("s_suppkey").alias("a"), F.col("parts").alias("pa"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    right = s.select(F.col("s_suppkey").alias("b"), F.col("parts").alias("pb"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    exact = (F.col("a") != F.col("b")) & polygons.intersects(F.col("pa"), F.col("pb"))
-    pairs = geometry.spatial_join(left, right, "a", "b", _cols("a_"), _cols("b_"), 100.0, exact)
+    left, right = s.select(F.col("s_suppkey").alias("a"), F.col("parts").alias("pa")), s.select(F.col("s_suppkey").alias("b"), F.col("parts").alias("pb"))
+    met = polygons.near_pairs(left, right, "a", "b", "pa", "pb").where("a <> b").select("a", "b")
+    pairs = met.join(left, "a").join(right, "b")
     return pairs.select("a", "b", F.round(polygons.intersection_area(F.col("pa"), F.col("pb")), 6).alias("overlap"))
 
 
@@ -94,15 +86,27 @@ def j12(spark, d):
     return geometry.max_overlap(_overlaps(spark, d), "a", "b", "overlap")
 
 
-@register(
-    "J9_point_in_polygon",
-    f"WITH {PTS_SQL}, {SHAPE_SQL} SELECT vec_id, id AS s_suppkey FROM pts JOIN signed ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2 HAVING sum(sgn) > 0",
-)
-def j9_polygon(spark, d):
+def _in_shapes(spark, d):
+    """Points (vec_id) with the polygons (s_suppkey) that hold them."""
     exact = polygons.contains_point(F.col("parts"), F.col("x"), F.col("y"))
     return geometry.spatial_join(_point_boxes(points(spark, d)), shapes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0, exact).select("vec_id", "s_suppkey")
 
 
+_HELD = "held AS (SELECT vec_id, id FROM pts JOIN signed ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2 HAVING sum(sgn) > 0)"
+
+
+@register("J9_point_in_polygon", f"WITH {PTS_SQL}, {SHAPE_SQL}, {_HELD} SELECT vec_id, id AS s_suppkey FROM held")
+def j9_polygon(spark, d):
+    return _in_shapes(spark, d)
+
+
+@register("J8_spatial_left", f"WITH {PTS_SQL}, {SHAPE_SQL}, {_HELD} SELECT pts.vec_id, CAST(count(id) AS BIGINT) AS n_shapes FROM pts LEFT JOIN held ON held.vec_id = pts.vec_id GROUP BY 1")
+def j8(spark, d):
+    """Each point with the number of polygons that hold it, 0 for none."""
+    hits = _in_shapes(spark, d).groupBy("vec_id").agg(F.count("*").alias("n"))
+    return points(spark, d).join(hits, "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_shapes"))
+
+
 @register(
     "G9_predicates",
     f"""WITH {PTS_SQL}, {SHAPE_SQL}, tile AS (SELECT vec_id, x - 8 AS x0, y - 8 AS y0, x + 8 AS x1, y + 8 AS y1 FROM pts),
@@ -139,13 +143,59 @@ def g8(spark, d):
     )
 
 
-@register("G11_make_valid", f"WITH {BOX_SQL} SELECT s_suppkey, 2 AS n_parts, round((maxx - minx) * (maxy - miny) / 2, 4) AS area FROM box")
+@register(
+    "G8_overlay",
+    f"""WITH {SHAPE_SQL}, big AS (SELECT 120.0 AS x0, 120.0 AS y0, 480.0 AS x1, 480.0 AS y1), own AS (SELECT id, sum(sgn * (x1 - x0) * (y1 - y0)) AS area FROM signed GROUP BY 1),
+        cut AS (SELECT p.id, sum(p.sgn * {_COMMON}) AS common FROM signed p, big r GROUP BY 1)
+        SELECT own.id AS s_suppkey, round(area + 129600 - common, 4) AS union_area, round(common, 4) AS common_area, round(area - common, 4) AS difference_area, round(area + 129600 - 2 * common, 4) AS either_area FROM own JOIN cut ON cut.id = own.id""",
+)
+def g8_overlay(spark, d):
+    """Union, intersection and differences of polygons with a square, as geometry; their areas by inclusion and exclusion."""
+    square = polygons.as_parts(F.array(geometry.box_ring(*map(F.lit, (120.0, 120.0, 480.0, 480.0)))))
+    s = shapes(spark, d)
+    rules = {"union_area": "union", "common_area": "intersection", "difference_area": "difference", "either_area": "symmetric difference"}
+    return s.select("s_suppkey", *[F.round(polygons.area(overlay.overlay(F.col("parts"), square, how)), 4).alias(k) for k, how in rules.items()])
+
+
+@register(
+    "A18_unite",
+    f"""WITH {BOX_SQL}, b AS (SELECT s_suppkey % 7 AS g, * FROM box), xs AS (SELECT g, x, lead(x) OVER (PARTITION BY g ORDER BY x) AS x2 FROM (SELECT g, minx AS x FROM b UNION SELECT g, maxx FROM b)),
+        ys AS (SELECT g, y, lead(y) OVER (PARTITION BY g ORDER BY y) AS y2 FROM (SELECT g, miny AS y FROM b UNION SELECT g, maxy FROM b)),
+        cells AS (SELECT DISTINCT b.g, x, x2, y, y2 FROM b JOIN xs ON xs.g = b.g AND minx <= x AND x2 <= maxx JOIN ys ON ys.g = b.g AND miny <= y AND y2 <= maxy),
+        sides AS (SELECT g, sum((x2 - x) * (y2 - y)) AS area, sum(2 * (x2 - x) + 2 * (y2 - y)) AS around FROM cells GROUP BY 1),
+        inner_ AS (SELECT g, sum(l) AS l FROM (SELECT a.g, a.y2 - a.y AS l FROM cells a JOIN cells c ON a.g = c.g AND a.x2 = c.x AND a.y = c.y UNION ALL SELECT a.g, a.x2 - a.x FROM cells a JOIN cells c ON a.g = c.g AND a.y2 = c.y AND a.x = c.x) GROUP BY 1)
+        SELECT CAST(sides.g AS BIGINT) AS g, CAST((SELECT count(*) FROM b WHERE b.g = sides.g) AS BIGINT) AS n, round(area, 4) AS area, round(around - 2 * coalesce(l, 0), 4) AS perimeter FROM sides LEFT JOIN inner_ ON inner_.g = sides.g""",
+)
+def a18_unite(spark, d):
+    """Boxes that overlap, united by group: area and outline of the union."""
+    b = boxes(spark, d).select(F.pmod("s_suppkey", F.lit(7)).cast("long").alias("g"), polygons.as_parts(F.array(geometry.box_ring(*map(F.col, BOX)))).alias("shape"))
+    length = lambda e: F.sqrt(F.pow(e["a"]["x"] - e["b"]["x"], F.lit(2)) + F.pow(e["a"]["y"] - e["b"]["y"], F.lit(2)))
+    around = F.aggregate(F.transform(polygons.edges(F.col("parts")), length), F.lit(0.0), lambda x, y: x + y)
+    return overlay.unite(b, ["g"], "shape").select("g", "n", F.round(polygons.area(F.col("parts")), 4).alias("area"), F.round(around, 4).alias("perimeter"))
+
+
+@register(
+    "G11_make_valid",
+    f"""WITH {BOX_SQL}, q AS (SELECT s_suppkey, maxx - minx AS w, maxy - miny AS h FROM box)
+        SELECT s_suppkey, 2 AS bow_parts, CAST(w * h / 2 AS DOUBLE) AS bow_area, 1 AS open_rings, CAST(w * h AS DOUBLE) * 0.9375 AS open_area,
+               2 AS crossed_rings, CAST(w * h AS DOUBLE) * (0.875 + 0.0078125) AS crossed_area, 1 AS spike_parts, CAST(w * h AS DOUBLE) AS spike_area FROM q""",
+)
 def g11(spark, d):
-    """Rings that cross themselves once, cut into two triangles."""
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    bow = F.array(corner("minx", "miny"), corner("maxx", "maxy"), corner("maxx", "miny"), corner("minx", "maxy"))
-    b = boxes(spark, d).withColumn("parts", polygons.valid(F.array(F.array(bow))))
-    return b.select("s_suppkey", F.size("parts").alias("n_parts"), F.round(polygons.area(F.col("parts")), 4).alias("area"))
+    """A ring that crosses itself, a hole that leaves the outer ring, holes that cross, and an edge that goes out and back."""
+    b = boxes(spark, d)
+    at = lambda c, share: F.col(f"min{c}") + (F.col(f"max{c}") - F.col(f"min{c}")) * share
+    ring = lambda *points: F.array(*[F.struct(at("x", x).alias("x"), at("y", y).alias("y")) for x, y in [*points, points[0]]])
+    square = lambda x0, y0, x1, y1: ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+    whole = square(0.0, 0.0, 1.0, 1.0)
+    cases = {
+        "bow": [ring((0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0))],
+        "open": [whole, square(0.75, 0.25, 1.5, 0.5)],
+        "crossed": [whole, square(0.25, 0.25, 0.5, 0.5), square(0.375, 0.4375, 0.625, 0.6875), square(0.75, 0.75, 0.8125, 0.75)],
+        "spike": [ring((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (1.0, 1.75), (1.0, 1.0), (0.0, 1.0))],
+    }
+    made = b.select("s_suppkey", *[overlay.make_valid(F.array(F.array(*rings))).alias(k) for k, rings in cases.items()])
+    size = lambda k: F.round(polygons.area(F.col(k)), 7).alias(f"{k}_area")
+    return made.select("s_suppkey", F.size("bow").alias("bow_parts"), size("bow"), F.size(F.col("open")[0]).alias("open_rings"), size("open"), F.size(F.col("crossed")[0]).alias("crossed_rings"), size("crossed"), F.size("spike").alias("spike_parts"), size("spike"))
 
 
 @register("G12_square", f"WITH {BOX_SQL} SELECT s_suppkey, (minx + maxx) / 2 - greatest(maxx - minx, maxy - miny) / 2 AS minx, (miny + maxy) / 2 - greatest(maxx - minx, maxy - miny) / 2 AS miny, (minx + maxx) / 2 + greatest(maxx - minx, maxy - miny) / 2 AS maxx, (miny + maxy) / 2 + greatest(maxx - minx, maxy - miny) / 2 AS maxy FROM box")
@@ -195,12 +245,11 @@ def j23(spark, d):
     return b.orderBy(F.desc("area"), "s_suppkey").limit(3).select("s_suppkey", "area")
 
 
-@register("J10_held_out_flags", f"WITH {PTS_SQL}, {BOX_SQL} SELECT vec_id, coalesce(bool_or(s_suppkey % 2 = 0), false) AS in_even, coalesce(bool_or(s_suppkey % 2 = 1), false) AS in_odd FROM pts LEFT JOIN box ON x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy GROUP BY 1")
+@register("J10_held_out_flags", f"WITH {PTS_SQL}, {SHAPE_SQL}, {_HELD} SELECT pts.vec_id, coalesce(bool_or(id % 2 = 0), false) AS in_even, coalesce(bool_or(id % 2 = 1), false) AS in_odd FROM pts LEFT JOIN held ON held.vec_id = pts.vec_id GROUP BY 1")
 def j10(spark, d):
-    p = points(spark, d)
-    hits = geometry.spatial_join(_point_boxes(p), boxes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0)
-    flags = hits.groupBy("vec_id").agg(F.bool_or(F.col("s_suppkey") % 2 == 0).alias("e"), F.bool_or(F.col("s_suppkey") % 2 == 1).alias("o"))
-    return p.join(flags, "vec_id", "left").select("vec_id", F.coalesce("e", F.lit(False)).alias("in_even"), F.coalesce("o", F.lit(False)).alias("in_odd"))
+    """Whether a point lies in one of each of two sets of polygons."""
+    flags = _in_shapes(spark, d).groupBy("vec_id").agg(F.bool_or(F.col("s_suppkey") % 2 == 0).alias("e"), F.bool_or(F.col("s_suppkey") % 2 == 1).alias("o"))
+    return points(spark, d).join(flags, "vec_id", "left").select("vec_id", F.coalesce("e", F.lit(False)).alias("in_even"), F.coalesce("o", F.lit(False)).alias("in_odd"))
 
 
 @register("J11_change_detection", f"WITH {PTS_SQL} SELECT a.vec_id, CAST(min(b.year) AS INT) AS first_year, CAST(count(*) AS BIGINT) AS n_new FROM pts a JOIN pts b ON b.year > 2012 AND b.year <= 2018 AND abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40 GROUP BY 1")
@@ -222,11 +271,31 @@ def j13(spark, d):
     return raster.link_datasets(points(spark, d), catalog, "x", "y", "year").where("dataset IS NOT NULL").select("vec_id", "dataset")
 
 
-@register("J14_spatial_semi", f"WITH {PTS_SQL}, {BOX_SQL} SELECT vec_id FROM pts WHERE EXISTS (SELECT 1 FROM box WHERE x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy)")
+@register("J14_spatial_semi", f"WITH {PTS_SQL}, {SHAPE_SQL}, {_HELD} SELECT DISTINCT vec_id FROM held")
 def j14(spark, d):
-    p = points(spark, d)
-    hits = geometry.spatial_join(_point_boxes(p), boxes(spark, d), "vec_id", "s_suppkey", _cols("p_"), BOX, 100.0)
-    return p.join(hits.select("vec_id"), "vec_id", "left_semi").select("vec_id")
+    return points(spark, d).join(_in_shapes(spark, d), "vec_id", "left_semi").select("vec_id")
+
+
+@register(
+    "J14_clip",
+    f"""WITH {SHAPE_SQL}, land AS (SELECT 155.0 AS x0, 135.0 AS y0, 700.0 AS x1, 400.0 AS y1 UNION ALL SELECT 155.0, 400.0, 420.0, 805.0),
+        c AS (SELECT p.id, sum(p.sgn * {_COMMON}) AS area FROM signed p, land r GROUP BY 1),
+        b AS (SELECT s_suppkey AS id, count(*) AS hits, min(greatest(minx, x0)) AS minx, min(greatest(miny, y0)) AS miny, max(least(maxx, x1)) AS maxx, max(least(maxy, y1)) AS maxy FROM box JOIN land ON minx < x1 AND x0 < maxx AND miny < y1 AND y0 < maxy GROUP BY 1)
+        SELECT b.id AS s_suppkey, round(c.area, 4) AS area, b.minx, b.miny, b.maxx, b.maxy,
+               CASE WHEN hits = 2 AND b.maxx > 420 THEN 6 ELSE 4 END AS box_corners
+        FROM b JOIN c ON c.id = b.id WHERE c.area > 1e-9""",
+)
+def j14_clip(spark, d):
+    """Polygons and their boxes cut to an L-shaped land: what is left as geometry, measured."""
+    corners = [(155.0, 135.0), (700.0, 135.0), (700.0, 400.0), (420.0, 400.0), (420.0, 805.0), (155.0, 805.0)]
+    land = F.array(F.array(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [*corners, corners[0]]])))
+    near = {"minx": F.lit(155.0), "miny": F.lit(135.0), "maxx": F.lit(700.0), "maxy": F.lit(805.0)}
+    s = shapes(spark, d).where(geometry.boxes_intersect({c: F.col(c) for c in BOX}, near))
+    s = s.withColumn("left", overlay.overlay(F.col("parts"), land, "intersection"))
+    s = s.withColumn("box", overlay.overlay(polygons.as_parts(F.array(geometry.box_ring(*map(F.col, BOX)))), land, "intersection"))
+    s = s.where((F.size("left") > 0) & (F.size("box") == 1))
+    size = polygons.bounds(F.col("box"))
+    return s.select("s_suppkey", F.round(polygons.area(F.col("left")), 4).alias("area"), *[size[c].alias(c) for c in BOX], (F.size(F.col("box")[0][0]) - 1).alias("box_corners"))
 
 
 @register("J15_datasets_of_extent", f"WITH {BOX_SQL}, {CATALOG_SQL} SELECT s_suppkey, string_agg(name, ',' ORDER BY name) AS datasets FROM box JOIN cat ON box.minx <= cat.maxx AND cat.minx <= box.maxx AND box.miny <= cat.maxy AND cat.miny <= box.maxy GROUP BY 1")
@@ -250,9 +319,15 @@ def g5(spark, d):
     return b.select("s_suppkey", F.round(geometry.area(F.array("ring")), 4).alias("area"), F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"), F.round(far, 4).alias("far"))
 
 
-@register("G7_within_distance", f"WITH {BOX_SQL} SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM box a JOIN box b ON pow(greatest(0, a.minx - b.maxx, b.minx - a.maxx), 2) + pow(greatest(0, a.miny - b.maxy, b.miny - a.maxy), 2) <= 900")
+_APART = "sqrt(pow(greatest(0, p.x0 - r.x1, r.x0 - p.x1), 2) + pow(greatest(0, p.y0 - r.y1, r.y0 - p.y1), 2))"
+
+
+@register("G7_within_distance", f"WITH {SHAPE_SQL}, apart AS (SELECT p.id AS a, r.id AS b, min({_APART}) AS distance FROM closed p, closed r WHERE p.x0 - 30 <= r.x1 AND r.x0 - 30 <= p.x1 AND p.y0 - 30 <= r.y1 AND r.y0 - 30 <= p.y1 GROUP BY 1, 2) SELECT a, b, round(distance, 6) AS distance FROM apart WHERE distance <= 30")
 def g7(spark, d):
-    return splits.neighbours(boxes(spark, d), "s_suppkey", 30.0)
+    """Polygons with holes and several parts that are within 30 of each other, and how far apart they are."""
+    own = lambda name: shapes(spark, d).select(F.col("s_suppkey").alias(name), F.col("parts").alias(f"{name}_parts"))
+    near = polygons.near_pairs(own("a"), own("b"), "a", "b", "a_parts", "b_parts", 30.0)
+    return near.select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @register("G13_grown_boxes", f"WITH {BOX_SQL} SELECT s_suppkey, minx - 5 AS minx, miny - 5 AS miny, maxx + 5 AS maxx, maxy + 5 AS maxy FROM box")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrapanel.operators import geometry, panel, polygons, raster, relational, scoring, splits, stats
+from terrapanel.operators import geometry, panel, overlay, polygons, raster, relational, scoring, splits, stats
 
 SQUARE = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}, {"x": 0.0, "y": 0.0}]]
 L = [[{"x": x, "y": y} for x, y in ((0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0), (0.0, 0.0))]]
@@ -68,7 +68,7 @@ def test_valid_hull_and_simplify(spark):
     dotted = [[ring((0, 0), (1, 0.001), (2, 0), (2, 1), (2, 2), (0, 2), (0, 0), (0, 0))]]
     df = spark.createDataFrame([(1, bow), (2, dotted), (3, [HOLED]), (4, None), (5, [[ring((0, 0), (1, 1))]])], f"id int, p {polygons.PARTS}")
     p = F.col("p")
-    rows = {r.id: r for r in df.select("id", polygons.valid(p).alias("v"), polygons.simplify(p, 0.01).alias("s"), polygons.hull(p).alias("h"), polygons.area(polygons.valid(p)).alias("a")).collect()}
+    rows = {r.id: r for r in df.select("id", overlay.make_valid(p).alias("v"), polygons.simplify(p, 0.01).alias("s"), polygons.hull(p).alias("h"), polygons.area(overlay.make_valid(p)).alias("a")).collect()}
     assert len(rows[1].v) == 2 and rows[1].a == pytest.approx(2.0)
     assert [len(r) for r in rows[2].s[0]] == [5] and rows[2].a == pytest.approx(4 - 0.001)
     assert rows[3].a == 15.0 and len(rows[3].h) == 5
