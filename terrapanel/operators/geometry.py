@@ -162,15 +162,15 @@ def metres_per_unit(srid: int) -> float:
     return METRES_PER_UNIT[srid]
 
 
-def tile_half_width(radius_m: float, size: int, metres_per_pixel: float) -> tuple[int, float]:
-    """Whole stride N and the half width in metres that N * size pixels cover."""
-    n = max(1, round(2 * radius_m / metres_per_pixel / size))
+def half_widths(radius_m: Column, size: int, metres_per_pixel: float) -> tuple[Column, Column]:
+    """Whole stride N, at least 1, and the half width in metres that N * size pixels cover."""
+    n = F.greatest(F.lit(1), F.bround(radius_m * 2 / metres_per_pixel / size).cast("int"))
     return n, n * size * metres_per_pixel / 2
 
 
-def metres_to_pixels(metres: float, metres_per_pixel: float) -> int:
+def pixels(metres: Column, metres_per_pixel: float) -> Column:
     """Whole pixels, at least 1; halves are rounded to the even number."""
-    return max(1, round(metres / metres_per_pixel))
+    return F.greatest(F.lit(1), F.bround(metres / metres_per_pixel).cast("int"))
 
 
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

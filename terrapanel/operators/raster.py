@@ -10,12 +10,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapanel.functions.quantiles import group_quantiles
+from terrapanel.sources.chunk_store import ChunkStore
+from terrapanel.sources.scratch import folder
 
 
 class Grid(NamedTuple):
@@ -88,37 +91,187 @@ def link_datasets(points: DataFrame, catalog: DataFrame, x: str, y: str, year: s
     return points.join(extents, F.col(year) == F.col("__year"), "left").withColumn("dataset", last["name"]).drop("__year", "__extents")
 
 
-def assemble_tiles(windows: DataFrame, chunks: DataFrame, chunk: int, tile_id: str, stride: int = 1) -> DataFrame:
-    """Tiles from chunks: rows (tile_id, h, w, bands, data).
+#: Windows that are cut from one chunk in one task, and chunks that many windows touch at most, so that their table can be broadcast.
+WINDOWS_A_TASK, HOT_CHUNKS = 4096, 1 << 16
+#: Bytes of window lists that are broadcast to chunks; longer ones meet the chunks in a shuffle.
+LISTS_BYTES = 32 << 20
+#: Bytes of pieces after which a batch is handed on.
+PIECE_BYTES = 4 << 20
+
+_PIECES = "h int, w int, bands int, top int, left int, rows int, cols int, rank long, data binary"
+
+
+def _by_chunk(windows: DataFrame, chunk: int, tile_id: str) -> DataFrame:
+    """Rows (dataset, chunk_row, chunk_col, deal, windows): the windows of each chunk as a list, of about WINDOWS_A_TASK; of more, several lists."""
+    key = ["dataset", "chunk_row", "chunk_col"]
+    own = F.struct(F.col(f"`{tile_id}`").alias("id"), "row_start", "row_stop", "col_start", "col_stop", "rank")
+    ranked = windows if "rank" in windows.columns else windows.withColumn("rank", F.lit(0).cast("long"))
+    keyed = chunk_keys(ranked, chunk).select(*key, own.alias("window"))
+    most = max(WINDOWS_A_TASK, -(-keyed.count() // HOT_CHUNKS))
+    hot = keyed.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)  # HOT_CHUNKS at most
+    dealt = keyed.join(F.broadcast(hot), key, "left").withColumn("deal", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("window"), F.ceil(F.col("n") / most)).cast("int")))
+    return dealt.groupBy(*key, "deal").agg(F.collect_list("window").alias("windows"))
+
+
+def _cut(pixels: np.ndarray, y: int, x: int, window: dict, stride: int) -> tuple[int, int, np.ndarray] | None:
+    """The pixels of a chunk at (y, x) that a window takes with its stride, and their place in the tile."""
+    top, left = max(y, window["row_start"]), max(x, window["col_start"])
+    bottom, right = min(y + pixels.shape[0], window["row_stop"]), min(x + pixels.shape[1], window["col_stop"])
+    top, left = top + (window["row_start"] - top) % stride, left + (window["col_start"] - left) % stride
+    if top >= bottom or left >= right:
+        return None
+    piece = pixels[top - y : bottom - y : stride, left - x : right - x : stride]
+    return (top - window["row_start"]) // stride, (left - window["col_start"]) // stride, piece
+
+
+def _pieces(rows: DataFrame, chunk: int, tile_id: str, kind: str, stride: int, pixels_of) -> DataFrame:
+    """Pieces of tiles, cut where the chunk is: rows (tile_id, ..., data) from rows (dataset, chunk_row, chunk_col, windows, ...)."""
+    names = [tile_id, "h", "w", "bands", "top", "left", "rows", "cols", "rank", "data"]
+    types = [pa.int32()] * 7 + [pa.int64(), pa.binary()]
+
+    def run(batches):
+        read = pixels_of()
+        for batch in batches:
+            found, size = [], 0
+
+            def flush(found=found):
+                columns = list(zip(*found, strict=True))
+                own = batch.schema.field("windows").type.value_type.field("id").type  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [own, *types], strict=True)], names=names)
+
+            for n in range(batch.num_rows):
+                row = {c: batch.column(c)[n].as_py() for c in ("dataset", "chunk_row", "chunk_col", "windows")}
+                pixels = read(batch, n, row)
+                if pixels is None:
+                    continue
+                for window in row["windows"]:
+                    cut = _cut(pixels, row["chunk_row"] * chunk, row["chunk_col"] * chunk, window, stride)
+                    if cut is not None:
+                        top, left, piece = cut
+                        sides = [-(-(window[f"{k}_stop"] - window[f"{k}_start"]) // stride) for k in ("row", "col")]
+                        found.append((window["id"], *sides, pixels.shape[2], top, left, *piece.shape[:2], window["rank"], piece.tobytes()))
+                        size += piece.nbytes
+                    if size > PIECE_BYTES:
+                        yield flush()
+                        found.clear()
+                        size = 0
+            if found:
+                yield flush()
+
+    return rows.mapInArrow(run, f"`{tile_id}` {kind}, {_PIECES}")
+
+
+def _from_rows():
+    """Pixels of a row's own ``data``."""
+
+    def read(batch, n, row):
+        h, w, bands = (batch.column(c)[n].as_py() for c in ("h", "w", "bands"))
+        data = batch.column("data")[n]
+        return np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, bands) if data.is_valid else None
+
+    return read
+
+
+def tile_pieces(windows: DataFrame, chunks: DataFrame | ChunkStore, chunk: int, tile_id: str, stride: int = 1) -> DataFrame:
+    """What each chunk gives to each tile that touches it.
+
+    Windows travel to chunks, not chunks to tiles.  From a store, a task opens
+    the chunks of its own window lists, each of them once, and no others.  Chunk
+    rows of a table stay where they are scanned if the window lists are small
+    enough to be broadcast; else each row is shuffled once, however many tiles
+    touch it.
+    """
+    kind, lists = windows.schema[tile_id].dataType.simpleString(), _by_chunk(windows, chunk, tile_id)
+    if isinstance(chunks, ChunkStore):
+
+        def from_store():
+            files = chunks.reader()
+            return lambda batch, n, row: files.get(row["dataset"], row["chunk_row"], row["chunk_col"])
+
+        return _pieces(lists.drop("deal"), chunk, tile_id, kind, stride, from_store)
+    spark, base = chunks.sparkSession, folder(chunks.sparkSession, "windows")
+    lists.write.parquet(base)
+    lists = spark.read.schema(lists.schema).parquet(base)
+    small = lists.agg(F.coalesce(F.sum(F.size("windows") * 48 + 64), F.lit(0))).first()[0] <= LISTS_BYTES
+    own = chunks.select("dataset", "chunk_row", "chunk_col", "h", "w", "bands", "data")
+    met = own.join(F.broadcast(lists) if small else lists, ["dataset", "chunk_row", "chunk_col"])
+    return _pieces(met.drop("deal"), chunk, tile_id, kind, stride, _from_rows)
+
 
-    Windows and chunks meet by an equi-join on the chunk's key; each tile's
-    pieces, a bounded number, are pasted in one call.  Missing chunks leave 0,
-    also where a tile has none at all (its bands are then those of its dataset,
-    or 1); empty windows give empty tiles.
+def merged_pieces(pieces: DataFrame, frames: DataFrame, tile_id: str) -> DataFrame:
+    """Tiles (tile_id, h, w, bands, data) from their pieces, those of higher ``rank`` on top; 0 where there is none.
+
+    frames: a row for each tile, (tile_id, h, w, bands).
     """
-    keyed = chunk_keys(windows, chunk).select(tile_id, "dataset", "row_start", "row_stop", "col_start", "col_stop", "chunk_row", "chunk_col")
-    bands = chunks.groupBy("dataset").agg(F.max("bands").alias("__bands"))  # a row for each dataset
-    pieces = keyed.join(chunks.select("dataset", "chunk_row", "chunk_col", F.col("h").alias("__h"), F.col("w").alias("__w"), F.col("data").alias("__data")), ["dataset", "chunk_row", "chunk_col"], "left")
-    pieces = pieces.join(F.broadcast(bands), "dataset", "left").withColumn("__bands", F.coalesce("__bands", F.lit(1)))
+    nothing = [F.lit(0).cast(t).alias(c) for c, t in (("top", "int"), ("left", "int"), ("rows", "int"), ("cols", "int"), ("rank", "long"))]
+    both = pieces.unionByName(frames.select(tile_id, "h", "w", "bands", *nothing, F.lit(b"").alias("data")))
 
     def paste(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        h, w, depth = int(first.row_stop - first.row_start), int(first.col_stop - first.col_start), int(first["__bands"])
-        out = np.zeros((h, w, depth), np.uint8)
-        for row in pdf[pdf["__data"].notna()].to_dict("records"):
-            data = np.frombuffer(row["__data"], np.uint8).reshape(int(row["__h"]), int(row["__w"]), depth)
-            y, x = int(row["chunk_row"]) * chunk - int(row["row_start"]), int(row["chunk_col"]) * chunk - int(row["col_start"])
-            ya, xa, yb, xb = max(0, y), max(0, x), min(h, y + data.shape[0]), min(w, x + data.shape[1])
-            if yb > ya and xb > xa:
-                out[ya:yb, xa:xb] = data[ya - y : yb - y, xa - x : xb - x]
-        out = np.ascontiguousarray(out[::stride, ::stride])
-        return pd.DataFrame([{tile_id: first[tile_id], "h": out.shape[0], "w": out.shape[1], "bands": depth, "data": out.tobytes()}])
-
-    kind = windows.schema[tile_id].dataType.simpleString()
-    pasted = pieces.groupBy(tile_id).applyInPandas(paste, f"`{tile_id}` {kind}, h int, w int, bands int, data binary")
-    empty = windows.where("row_stop <= row_start OR col_stop <= col_start")
+        out = np.zeros((first.h, first.w, pdf.bands.max()), np.uint8)
+        for row in pdf[pdf.rows > 0].sort_values(["rank", "top", "left"]).itertuples():
+            piece = np.frombuffer(row.data, np.uint8).reshape(row.rows, row.cols, row.bands)
+            out[row.top : row.top + row.rows, row.left : row.left + row.cols, : row.bands] = piece
+        return pd.DataFrame([{tile_id: first[tile_id], "h": out.shape[0], "w": out.shape[1], "bands": out.shape[2], "data": out.tobytes()}])
+
+    kind = frames.schema[tile_id].dataType.simpleString()
+    return both.groupBy(tile_id).applyInPandas(paste, f"`{tile_id}` {kind}, h int, w int, bands int, data binary")
+
+
+def assemble_tiles(windows: DataFrame, chunks: DataFrame | ChunkStore, chunk: int, tile_id: str, stride: int = 1) -> DataFrame:
+    """Tiles from chunks: rows (tile_id, h, w, bands, data) of windows (tile_id, dataset, row_start, row_stop, col_start, col_stop).
+
+    Only pieces of tiles are shuffled (see ``tile_pieces``), cut and strided
+    already.  Missing chunks leave 0, also where a tile has none at all (its
+    bands are then those of its dataset, or 1); empty windows give empty tiles.
+    """
+    if isinstance(chunks, ChunkStore):
+        bands = windows.sparkSession.createDataFrame([(k, a.bands) for k, a in chunks.arrays.items()], "dataset string, bands int")
+    else:
+        bands = chunks.groupBy("dataset").agg(F.max("bands").alias("bands"))  # a row for each dataset
     size = lambda a, b: F.greatest(F.lit(0), F.ceil((F.col(a) - F.col(b)) / stride)).cast("int")
-    return pasted.unionByName(empty.select(tile_id, size("row_stop", "row_start").alias("h"), size("col_stop", "col_start").alias("w"), F.lit(1).alias("bands"), F.lit(b"").alias("data")))
+    frames = windows.join(bands, "dataset", "left").select(tile_id, size("row_stop", "row_start").alias("h"), size("col_stop", "col_start").alias("w"), F.coalesce("bands", F.lit(1)).alias("bands"))
+    return merged_pieces(tile_pieces(windows, chunks, chunk, tile_id, stride), frames, tile_id)
+
+
+def regrid(chunks: DataFrame, places: DataFrame, chunk: int, height: int, width: int) -> DataFrame:
+    """One raster of chunks from several that don't line up: rows (chunk_row, chunk_col, h, w, bands, data).
+
+    places: (dataset, row_offset, col_offset, priority), where a dataset's first
+    pixel lies in the new grid, of height x width pixels.  Each chunk is cut at
+    the borders of the new grid's chunks; of pixels that several datasets have,
+    the one of the highest priority (ties: the smaller name) stays, so overlaps
+    are cropped pixel by pixel.  Pixels that none has are 0; chunks without any
+    have no row.
+    """
+    order = F.row_number().over(W.orderBy(F.col("priority").asc(), F.col("dataset").desc())).cast("long")  # a row for each dataset
+    own = chunks.join(places.withColumn("rank", order), "dataset")
+    first = lambda k: (F.col(f"chunk_{k}") * chunk + F.col(f"{k}_offset")).cast("long")
+    size = {"row": height, "col": width}
+    here = own.select("h", "w", "bands", "data", "rank", first("row").alias("y"), first("col").alias("x"))
+
+    def run(batches):
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * 7, pa.int64(), pa.binary()]
+        names = ["chunk_row", "chunk_col", "h", "w", "bands", "top", "left", "rows", "cols", "rank", "data"]
+        for batch in batches:
+            for n in range(batch.num_rows):
+                h, w, bands, data, rank, y, x = (batch.column(c)[n].as_py() for c in ("h", "w", "bands", "data", "rank", "y", "x"))
+                pixels, found = np.frombuffer(data, np.uint8).reshape(h, w, bands), []
+                for r in range(max(0, y) // chunk, -(-min(height, y + h) // chunk)):
+                    for c in range(max(0, x) // chunk, -(-min(width, x + w) // chunk)):
+                        window = {"row_start": r * chunk, "row_stop": min(height, (r + 1) * chunk), "col_start": c * chunk, "col_stop": min(width, (c + 1) * chunk)}
+                        cut = _cut(pixels, y, x, window, 1)
+                        if cut is not None:
+                            top, left, piece = cut
+                            found.append((r, c, window["row_stop"] - r * chunk, window["col_stop"] - c * chunk, bands, top, left, *piece.shape[:2], rank, piece.tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+    pieces = here.mapInArrow(run, f"chunk_row long, chunk_col long, {_PIECES}")
+    pieces = pieces.withColumn("place", F.shiftleft("chunk_row", 31) + F.col("chunk_col"))
+    frames = pieces.select("place", "h", "w", "bands").distinct()
+    whole = merged_pieces(pieces.drop("chunk_row", "chunk_col"), frames, "place")
+    return whole.select(F.shiftright("place", 31).alias("chunk_row"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).alias("chunk_col"), "h", "w", "bands", "data")
 
 
 def not_blank(data: Column) -> Column:
@@ -161,13 +314,6 @@ def stretch(data: Column, bands: Column, low: float, high: float) -> Column:
     return run(data, bands)
 
 
-def mosaic(chunks: DataFrame, priority: str) -> DataFrame:
-    """One row for each chunk place, from the dataset with the highest priority (ties: smaller name)."""
-    rest = [c for c in chunks.columns if c not in ("chunk_row", "chunk_col")]
-    best = F.min_by(F.struct(*rest), F.struct(-F.col(priority), F.col("dataset")))
-    return chunks.groupBy("chunk_row", "chunk_col").agg(best.alias("b")).select("chunk_row", "chunk_col", "b.*")
-
-
 def crop_overlap(tiles: DataFrame, dx: float, dy: float) -> DataFrame:
     """Tiles (tile_row, tile_col, x0, y0, h, w, bands, data) without the pixels that the next ones to the right and below have as well.
 

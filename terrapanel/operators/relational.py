@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,6 +104,17 @@ def without_mode(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(mode)).where(F.col(value) != F.col("__mode")).drop("__mode")
 
 
-def apply_groups(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
-    """One row for each group: the named aggregates.  A function of a group is best written so; its rows never meet in Python."""
-    return df.groupBy(*by).agg(*[c.alias(name) for name, c in aggregates.items()])
+def apply_groups(df: DataFrame, by: list[str], f: Callable[[pd.DataFrame], dict | None], schema: str) -> DataFrame:
+    """One row (by..., schema) from ``f`` of each group's rows; none where it gives None.
+
+    A group meets in one task's memory, so groups must be small, as a unit's
+    years are; what built-in aggregates can say is better said by them.
+    """
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = f(rows)
+        return pd.DataFrame([] if found is None else [[*key, *[found[c] for c in names]]], columns=[*by, *names])
+
+    return df.groupBy(*by).applyInPandas(run, f"{kinds}, {schema}")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions import special
+from terrapanel.functions.quantiles import group_quantiles
 from terrapanel.operators import geometry, raster, relational, scoring, splits
-from terrapanel.plans import spatial, windows
-from terrapanel.plans.registry import PANEL_SQL, oracle_of, panel, register, table
-from terrapanel.plans.spatial import BOX, BOX_SQL, PTS_SQL, boxes, points
+from terrapanel.plans import spatial
+from terrapanel.plans.registry import PANEL_SQL, panel, register, table
+from terrapanel.plans.spatial import BOX, BOX_SQL, PTS_SQL, SHAPE_SQL, boxes, points
 from terrapanel.sources import files
+from terrapanel.sources.chunk_store import ChunkStore, read_store, write_store
 from terrapanel.sources.scratch import folder
 from terrapanel.streaming.scoring import score_stream
 
@@ -93,12 +96,13 @@ def k4(spark, d):
     return files.materialise(spark, path, build).agg(F.count("*").alias("n")).withColumn("builds", F.lit(len(built)))
 
 
-@register("K6_shards", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) / 100.0) AS BIGINT) AS files FROM customer")
+@register("K6_shards", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(100 AS BIGINT) AS most_rows FROM customer")
 def k6(spark, d):
+    """Shards of 100 rows at most, written by all tasks."""
     path = folder(spark, "shards")
-    files.materialise(spark, path, lambda: table(spark, d, "customer").coalesce(1), per_file=100)
-    rows = spark.read.parquet(path).select("_metadata.file_name")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("file_name").alias("files"))
+    files.materialise(spark, path, lambda: table(spark, d, "customer"), per_file=100)
+    rows = spark.read.parquet(path).groupBy("_metadata.file_name").agg(F.count("*").alias("m"))
+    return rows.agg(F.sum("m").alias("n"), F.max("m").alias("most_rows"))
 
 
 @register("K8_new_buildings", "SELECT CAST(year(o_orderdate) AS INT) AS built, o_orderkey FROM orders WHERE year(o_orderdate) > 1998 AND year(o_orderdate) <= 2000")
@@ -107,58 +111,100 @@ def k8(spark, d):
     return files.new_building_extract(own, "built", 1998, 2000, ["built", "o_orderkey"])
 
 
-@register("K9_parameters", """SELECT '{"a": 1, "b": [2, 3]}' AS value""")
+@register("K9_parameters", """SELECT '{"most": ' || max(c_custkey) || ', "rows": ' || count(*) || ', "segments": [' || (SELECT string_agg('"' || s || '"', ', ' ORDER BY s) FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)) || ']}' AS value FROM customer""")
 def k9(spark, d):
+    """What a run learned from its table, logged and read back."""
     path = folder(spark, "parameters")
-    files.log_parameters(spark, path, {"b": [2, 3], "a": 1})
+    c = table(spark, d, "customer").agg(F.max("c_custkey").alias("most"), F.count("*").alias("rows"), F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
+    files.log_parameters(spark, path, {k: v for k, v in c.first().asDict().items()})
     return spark.read.text(path)
 
 
-def _chunks(spark):
-    """Chunks of 100 x 100 pixels whose bytes are functions of their place."""
-    ids = spark.range(20).select(F.col("id").alias("chunk_row")).crossJoin(F.broadcast(spark.range(20).select(F.col("id").alias("chunk_col"))))
-    value = F.lpad(F.hex(F.pmod(F.col("chunk_row") * 20 + F.col("chunk_col"), F.lit(251))), 2, "0")
-    return ids.select("chunk_row", "chunk_col", F.lit("a").alias("dataset"), F.lit(100).alias("h"), F.lit(100).alias("w"), F.lit(1).alias("bands"), F.unhex(F.repeat(value, F.lit(10_000))).alias("data"))
+def _chunks(spark, d, side: int = 100):
+    """A raster 20 chunks wide, one chunk for each embedding: pixel (i, j) of a chunk shows entry 8 (i % 8) + j % 8."""
+    value = lambda k: F.lpad(F.hex(F.floor((F.col("embedding")[k].cast("double") + 1) * 100)), 2, "0")
+    lines = F.array(*[F.substring(F.repeat(F.concat(*[value(8 * i + j) for j in range(8)]), F.lit(-(-side // 8))), 1, 2 * side) for i in range(8)])
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.get(F.col("lines"), (i % 8).cast("int"))), ""))
+    e = table(spark, d, "embeddings").select("vec_id", lines.alias("lines"))
+    return e.select(F.lit("a").alias("dataset"), F.floor(F.col("vec_id") / 20).alias("chunk_row"), (F.col("vec_id") % 20).alias("chunk_col"), F.lit(side).alias("h"), F.lit(side).alias("w"), F.lit(1).alias("bands"), pixels.alias("data"))
+
+
+def _entry_sql(i: str, j: str) -> str:
+    return f"CAST(floor((CAST(embedding[CAST(({i}) % 8 * 8 + ({j}) % 8 + 1 AS INT)] AS DOUBLE) + 1) * 100) AS BIGINT)"
+
+
+def _chunk_sql(side: int, value: str, rows: str, cols: str) -> str:
+    """Digest of the chunk of an embedding, ``value`` of each pixel v, over the given rows i and columns j."""
+    pixel = value.replace("{v}", _entry_sql("i", "j"))
+    line = f"array_to_string(list_transform({cols}, lambda j: lpad(to_base(CAST({pixel} AS BIGINT), 16), 2, '0')), '')"
+    return f"sha256(unhex(array_to_string(list_transform({rows}, lambda i: {line}), '')))"
+
+
+_PLACE = "vec_id // 20 AS chunk_row, vec_id % 20 AS chunk_col"
 
 
 @register(
     "K10_overview",
-    """SELECT r AS chunk_row, c AS chunk_col, CAST(len(range((-r * 100) % 32 + CASE WHEN (-r * 100) % 32 < 0 THEN 32 ELSE 0 END, 100, 32)) AS INT) AS h, CAST(len(range((-c * 100) % 32 + CASE WHEN (-c * 100) % 32 < 0 THEN 32 ELSE 0 END, 100, 32)) AS INT) AS w
-       FROM generate_series(0, 19) a(r), generate_series(0, 19) b(c)""",
+    f"""WITH p AS (SELECT *, {_PLACE}, (3200 - vec_id // 20 * 100 % 32) % 32 AS top, (3200 - vec_id % 20 * 100 % 32) % 32 AS left_ FROM embeddings)
+        SELECT chunk_row, chunk_col, CAST(len(range(top, 100, 32)) AS INT) AS h, CAST(len(range(left_, 100, 32)) AS INT) AS w, {_chunk_sql(100, '{v}', 'range(top, 100, 32)', 'range(left_, 100, 32)')} AS sha FROM p""",
 )
 def k10(spark, d):
     """Every 32nd pixel of a raster, written and read back."""
     path = folder(spark, "overview")
-    raster.overview(_chunks(spark), 100, 32).write.parquet(path)
-    return spark.read.parquet(path).where("length(data) = h * w").select("chunk_row", "chunk_col", "h", "w")
+    raster.overview(_chunks(spark, d), 100, 32).write.parquet(path)
+    return spark.read.parquet(path).select("chunk_row", "chunk_col", "h", "w", F.sha2("data", 256).alias("sha"))
 
 
-@register("K5_delta", "SELECT r AS chunk_row, c AS chunk_col, 4 * ((r * 20 + c) % 251 // 4) AS first_byte, 10000 AS n FROM generate_series(0, 19) a(r), generate_series(0, 19) b(c)")
+@register("K5_delta", f"SELECT {_PLACE}, {_chunk_sql(100, '{v} // 4 * 4', 'range(0, 100)', 'range(0, 100)')} AS sha FROM embeddings")
 def k5(spark, d):
     """Low bits masked, bytes as differences, written compressed, read back and added up again."""
     path = folder(spark, "delta")
-    _chunks(spark).withColumn("data", raster.delta_bytes(raster.mask_low_bits("data"))).write.option("compression", "zstd").parquet(path)
+    _chunks(spark, d).withColumn("data", raster.delta_bytes(raster.mask_low_bits("data"))).write.option("compression", "zstd").parquet(path)
     back = spark.read.parquet(path).withColumn("data", raster.undelta_bytes("data"))
-    return back.select("chunk_row", "chunk_col", F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("long").alias("first_byte"), F.length("data").alias("n"))
+    return back.select("chunk_row", "chunk_col", F.sha2("data", 256).alias("sha"))
 
 
-@register("R9_stretch", "SELECT r AS chunk_row, c AS chunk_col, 0 AS darkest, 255 AS brightest FROM generate_series(0, 19) a(r), generate_series(0, 19) b(c)")
+@register(
+    "R9_stretch",
+    f"""WITH v AS (SELECT vec_id, unnest(list_transform(range(0, 10000), lambda k: {_entry_sql('k // 100', 'k % 100')})) AS v FROM embeddings),
+        q AS (SELECT vec_id, quantile_cont(CAST(v AS DOUBLE), 0.02) AS a, greatest(1.0, quantile_cont(CAST(v AS DOUBLE), 0.98) - quantile_cont(CAST(v AS DOUBLE), 0.02)) AS range_ FROM v GROUP BY 1)
+        SELECT {_PLACE.replace('vec_id', 'e.vec_id')}, {_chunk_sql(100, 'floor(greatest(0.0, least(255.0, ({v} - a) / range_ * 255)))', 'range(0, 100)', 'range(0, 100)')} AS sha FROM embeddings e JOIN q ON q.vec_id = e.vec_id""",
+)
 def r9(spark, d):
-    """Half of each chunk at its value, half 100 above; stretched, they become 0 and 255."""
-    low = F.pmod(F.col("chunk_row") * 20 + F.col("chunk_col"), F.lit(150))
-    half = lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(50))
-    rows = _chunks(spark).withColumn("data", F.unhex(F.concat(half(low), half(low + 100))))
-    rows = rows.withColumn("s", F.hex(raster.stretch(F.col("data"), F.col("bands"), 2.0, 98.0)))
-    at = lambda k: F.conv(F.substring("s", k, 2), 16, 10).cast("int")
-    return rows.select("chunk_row", "chunk_col", at(1).alias("darkest"), at(199).alias("brightest"))
+    """Each chunk between its percentiles 2 and 98, spread over all bytes."""
+    rows = _chunks(spark, d).withColumn("data", raster.stretch(F.col("data"), F.col("bands"), 2.0, 98.0))
+    return rows.select("chunk_row", "chunk_col", F.sha2("data", 256).alias("sha"))
 
 
-@register("R10_mosaic", "SELECT r AS chunk_row, c AS chunk_col, CASE WHEN c >= 10 THEN 'b' ELSE 'a' END AS dataset FROM generate_series(0, 19) a(r), generate_series(0, 19) b(c)")
+@register(
+    "R10_mosaic",
+    f"""WITH n AS (SELECT max(vec_id) // 20 + 1 AS rows_ FROM embeddings),
+        p AS (SELECT r, c, CASE WHEN r >= 37 AND c >= 17 THEN r - 37 ELSE r END AS sr, CASE WHEN r >= 37 AND c >= 17 THEN c - 17 ELSE c END AS sc FROM n, unnest(range(0, rows_ * 40)) a(r), unnest(range(0, 800)) b(c)),
+        v AS (SELECT r, c, {_entry_sql('sr % 40', 'sc % 40')} AS v FROM p JOIN embeddings ON vec_id = sr // 40 * 20 + sc // 40)
+        SELECT CAST(r // 40 AS BIGINT) AS chunk_row, CAST(c // 40 AS BIGINT) AS chunk_col, sha256(unhex(string_agg(lpad(to_base(v, 16), 2, '0'), '' ORDER BY r, c))) AS sha FROM v GROUP BY 1, 2""",
+)
 def r10(spark, d):
-    """Two datasets over one another: the one with the higher priority is on top."""
-    a = _chunks(spark).withColumn("priority", F.lit(1))
-    b = a.where("chunk_col >= 10").withColumns({"dataset": F.lit("b"), "priority": F.lit(2)})
-    return raster.mosaic(a.unionByName(b), "priority").select("chunk_row", "chunk_col", "dataset")
+    """Two rasters that don't line up, one 37 rows and 17 columns off and on top: one grid, overlaps cropped by pixel."""
+    chunks = _chunks(spark, d, 40)
+    height = (chunks.agg(F.max("chunk_row")).first()[0] + 1) * 40
+    places = spark.createDataFrame([("a", 0, 0, 1), ("b", 37, 17, 2)], "dataset string, row_offset int, col_offset int, priority int")
+    both = chunks.unionByName(chunks.withColumn("dataset", F.lit("b")))
+    return raster.regrid(both, places, 40, height, 800).select("chunk_row", "chunk_col", F.sha2("data", 256).alias("sha"))
+
+
+def _store(spark, d):
+    """The raster as a store of files, one for each chunk."""
+    root, chunks = folder(spark, "store"), _chunks(spark, d)
+    height = (chunks.agg(F.max("chunk_row")).first()[0] + 1) * 100
+    write_store(chunks, root, height, 2000, 1, 100)
+    return root
+
+
+@register("S9_chunk_store", f"SELECT {_PLACE}, 100 AS h, 100 AS w, {_chunk_sql(100, '{v}', 'range(0, 100)', 'range(0, 100)')} AS sha FROM embeddings WHERE vec_id // 20 BETWEEN 3 AND 11 AND vec_id % 20 BETWEEN 5 AND 16")
+def s9(spark, d):
+    """A block of chunks from a store of files; the others are not opened."""
+    rows = read_store(spark, _store(spark, d), ["a"], (3, 12), (5, 17))
+    return rows.select("chunk_row", "chunk_col", "h", "w", F.sha2("data", 256).alias("sha"))
 
 
 @register("R12_tile_matrix", "SELECT s_suppkey, CAST(s_suppkey // 10 AS INT) AS tile_row, CAST(s_suppkey % 10 AS INT) AS tile_col FROM supplier")
@@ -168,22 +214,48 @@ def r12(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", row.alias("tile_row"), col.alias("tile_col"))
 
 
-def _flat_tiles(spark, d, size: int):
-    value = F.lpad(F.hex(F.pmod("s_suppkey", F.lit(250))), 2, "0")
-    return table(spark, d, "supplier").select("s_suppkey", F.lit(size).alias("h"), F.lit(size).alias("w"), F.lit(1).alias("bands"), F.unhex(F.repeat(value, F.lit(size * size))).alias("data"))
+def _weight_sql(d: str) -> str:
+    """Cubic convolution with a = -0.75."""
+    return f"CASE WHEN {d} <= 1 THEN 1.25 * pow({d}, 3) - 2.25 * pow({d}, 2) + 1 ELSE -0.75 * (pow({d}, 3) - 5 * pow({d}, 2) + 8 * {d} - 4) END"
 
 
-@register("R13_resize", "SELECT s_suppkey, 7 AS h, 5 AS w, repeat(lpad(to_base(s_suppkey % 250, 16), 2, '0'), 35) AS pixels FROM supplier")
+def _taps_sql(wanted: int) -> str:
+    """Of each wanted pixel of 8, the four around it with their weights."""
+    return f"""SELECT o, least(7, greatest(0, CAST(floor(pos) AS INT) + k)) AS i, {_weight_sql('abs(pos - floor(pos) - k)')} AS weight
+               FROM (SELECT o, (o + 0.5::DOUBLE) * 8 / {wanted} - 0.5 AS pos FROM unnest(range(0, {wanted})) x(o)), unnest([-1, 0, 1, 2]) y(k)"""
+
+
+@register(
+    "R13_resize",
+    f"""WITH ty AS ({_taps_sql(13)}), tx AS ({_taps_sql(5)}),
+        v AS (SELECT vec_id, ty.o AS y, tx.o AS x, sum(ty.weight * tx.weight * {_entry_sql('ty.i', 'tx.i')}) AS v FROM embeddings, ty, tx GROUP BY 1, 2, 3)
+        SELECT vec_id, 13 AS h, 5 AS w, string_agg(lpad(to_base(CAST(least(255, greatest(0, round_even(round(v, 9), 0))) AS BIGINT), 16), 2, '0'), '' ORDER BY y, x) AS pixels FROM v GROUP BY 1""",
+)
 def r13(spark, d):
-    """Tiles of one colour keep it at another size."""
-    return raster.resize_bicubic(_flat_tiles(spark, d, 4), 7, 5).select("s_suppkey", "h", "w", F.hex("data").alias("pixels"))
+    """Tiles of 8 x 8 pixels at another size."""
+    tiles = _chunks(spark, d, 8).withColumn("vec_id", F.col("chunk_row") * 20 + F.col("chunk_col"))
+    return raster.resize_bicubic(tiles.select("vec_id", "h", "w", "bands", "data"), 13, 5).select("vec_id", "h", "w", F.hex("data").alias("pixels"))
+
+
+def _scaled_windows(spark, d, stride: int):
+    """Windows of 16 x 16 pixels, ``stride`` apart, around points that are far enough from the edge."""
+    w, inside = raster.point_window(spatial.GRID, F.col("x"), F.col("y"), 16 * stride)
+    _, widest = raster.point_window(spatial.GRID, F.col("x"), F.col("y"), 48)
+    return points(spark, d).where(inside & widest).select("vec_id", F.lit("a").alias("dataset"), *[c.alias(k) for k, c in w.items()])
 
 
-@register("R8_multi_scale", "SELECT s_suppkey, 2 AS bands, repeat(lpad(to_base(s_suppkey % 250, 16), 2, '0'), 32) AS pixels FROM supplier")
+@register(
+    "R8_multi_scale",
+    f"""WITH {PTS_SQL}, i AS (SELECT vec_id, CAST(round((1000 - y) / 0.5) AS INT) AS row_, CAST(round(x / 0.5) AS INT) AS col_ FROM pts),
+        k AS (SELECT * FROM i WHERE row_ >= 24 AND col_ >= 24 AND row_ + 24 <= 2000 AND col_ + 24 <= 2000),
+        p AS (SELECT vec_id AS id, y, x, s, row_ - 8 * s + y * s AS r, col_ - 8 * s + x * s AS c FROM k, unnest(range(0, 16)) a(y), unnest(range(0, 16)) b(x), unnest([1, 3]) z(s)),
+        v AS (SELECT id, y, x, s, {_entry_sql('r % 100', 'c % 100')} AS v FROM p JOIN embeddings ON vec_id = r // 100 * 20 + c // 100)
+        SELECT id AS vec_id, 2 AS bands, sha256(unhex(string_agg(lpad(to_base(v, 16), 2, '0'), '' ORDER BY y, x, s))) AS sha FROM v GROUP BY 1""",
+)
 def r8(spark, d):
-    """Windows of two strides, stacked on the band axis."""
-    out = raster.multi_scale([_flat_tiles(spark, d, 4), _flat_tiles(spark, d, 4)], "s_suppkey")
-    return out.select("s_suppkey", "bands", F.hex("data").alias("pixels"))
+    """Windows of two strides around the same points, stacked on the band axis."""
+    tiles = [raster.assemble_tiles(_scaled_windows(spark, d, k), _chunks(spark, d), 100, "vec_id", stride=k) for k in (1, 3)]
+    return raster.multi_scale(tiles, "vec_id").select("vec_id", "bands", F.sha2("data", 256).alias("sha"))
 
 
 @register(
@@ -198,15 +270,44 @@ def r18(spark, d):
     return boxes(spark, d).select("s_suppkey", *[c.alias(k) for k, c in found.items()])
 
 
+_TILE_SQL = f"""{PTS_SQL}, w AS ({spatial._WIN}), r AS (SELECT *, unnest(range(row_start, row_stop, 4)) AS r FROM w), p AS (SELECT vec_id AS id, r, unnest(range(col_start, col_stop, 4)) AS c FROM r),
+        v AS (SELECT id, r, c, {_entry_sql('r % 100', 'c % 100')} AS v FROM p JOIN embeddings ON vec_id = r // 100 * 20 + c // 100)"""
+
+
+def _tile_windows(spark, d):
+    return spatial.windows_of(spark, d).where("row_stop > row_start AND col_stop > col_start").withColumn("dataset", F.lit("a"))
+
+
+@register("R5_tile_pixels", f"WITH {_TILE_SQL} SELECT id AS vec_id, CAST(count(DISTINCT r) AS INT) AS h, CAST(count(DISTINCT c) AS INT) AS w, sha256(unhex(string_agg(lpad(to_base(v, 16), 2, '0'), '' ORDER BY r, c))) AS sha FROM v GROUP BY 1")
+def r5(spark, d):
+    """Tiles cut where the chunks are, every fourth pixel, and pasted."""
+    return raster.assemble_tiles(_tile_windows(spark, d), _chunks(spark, d), 100, "vec_id", stride=4).select("vec_id", "h", "w", F.sha2("data", 256).alias("sha"))
+
+
+@register("R5_store_tiles", f"WITH {_TILE_SQL} SELECT id AS vec_id, CAST(count(DISTINCT r) AS INT) AS h, CAST(count(DISTINCT c) AS INT) AS w, sha256(unhex(string_agg(lpad(to_base(v, 16), 2, '0'), '' ORDER BY r, c))) AS sha FROM v GROUP BY 1")
+def r5_store(spark, d):
+    """The same tiles from a store of files: each task opens the chunks of its windows, once each."""
+    tiles = raster.assemble_tiles(_tile_windows(spark, d), ChunkStore.open(_store(spark, d)), 100, "vec_id", stride=4)
+    return tiles.select("vec_id", "h", "w", F.sha2("data", 256).alias("sha"))
+
+
 @register(
-    "R5_tile_pixels",
-    f"""WITH {PTS_SQL}, w AS ({spatial._WIN}), r AS (SELECT *, unnest(range(row_start, row_stop, 4)) AS r FROM w), p AS (SELECT *, unnest(range(col_start, col_stop, 4)) AS c FROM r)
-        SELECT vec_id, CAST(count(DISTINCT r) AS INT) AS h, CAST(count(DISTINCT c) AS INT) AS w, sha256(unhex(string_agg(lpad(to_base((r // 100 * 20 + c // 100) % 251, 16), 2, '0'), '' ORDER BY r, c))) AS sha FROM p GROUP BY 1""",
+    "UM1_tile_scores",
+    f"""WITH {_TILE_SQL}, {BOX_SQL}, s AS (SELECT id, avg((v / 255.0 - 0.4) / 0.2) AS m FROM v GROUP BY 1), t AS (SELECT s.id, m + 0.01 * year AS score, x, y FROM s JOIN pts ON vec_id = s.id)
+        SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS score, true AS full_batches FROM t JOIN box ON x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy GROUP BY 1""",
 )
-def r5(spark, d):
-    """Tiles pasted from chunks, pixel by pixel."""
-    own = spatial.windows_of(spark, d).where("row_stop > row_start AND col_stop > col_start").withColumn("dataset", F.lit("a"))
-    return raster.assemble_tiles(own, _chunks(spark), 100, "vec_id", stride=4).select("vec_id", "h", "w", F.sha2("data", 256).alias("sha"))
+def um1_tiles(spark, d):
+    """Windows, tiles, normalised pixels, scores in batches of 32, means by box: the whole way of an image to its figure."""
+    tiles = raster.assemble_tiles(_tile_windows(spark, d), _chunks(spark, d), 100, "vec_id", stride=4).join(points(spark, d), "vec_id")
+    path = folder(spark, "scores")
+    scoring.score_tiles(tiles, ["year"], scoring.scorer("linear"), 32, 0.4, 0.2).write.parquet(path)
+    scored = spark.read.parquet(path)
+    # One batch of a task may be smaller, its last.
+    full = scored.groupBy("batch_rows").agg(F.count("*").alias("n")).agg(F.bool_and((F.col("batch_rows") == 32) & (F.col("n") % 32 == 0) | (F.col("batch_rows") < 32)).alias("full_batches"))
+    p = scored.withColumns({"p_minx": F.col("x"), "p_miny": F.col("y"), "p_maxx": F.col("x"), "p_maxy": F.col("y")})
+    hits = geometry.spatial_join(p, boxes(spark, d), "vec_id", "s_suppkey", ("p_minx", "p_miny", "p_maxx", "p_maxy"), BOX, 100.0)
+    found = hits.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.avg("predicted_value"), 6).alias("score"))
+    return found.crossJoin(F.broadcast(full))  # one row
 
 
 @register(
@@ -276,13 +377,54 @@ def u4f(spark, d):
     return own.select("c_custkey", F.round(F.expr("gb2_cdf(x, 2.5D, 1.2D, 0.9D, 50000D)"), 6).alias("u"))
 
 
-@register("U1f_group_apply", f"WITH {PANEL_SQL} SELECT year, CAST(count(*) AS BIGINT) AS n, round(max(value) - min(value), 4) AS spread FROM panel GROUP BY 1")
+@register("U1f_group_apply", f"WITH {PANEL_SQL} SELECT unit_id, CAST(count(*) AS BIGINT) AS n, round(regr_slope(value, year), 4) AS slope FROM panel GROUP BY 1 HAVING count(*) > 1")
 def u1f(spark, d):
-    """A function of each group, as built-in aggregates."""
-    return relational.apply_groups(panel(spark, d), ["year"], n=F.count("*"), spread=F.round(F.max("value") - F.min("value"), 4))
+    """A function of each unit's rows: the slope of a line through them; units of one year are left out by the function."""
+
+    def slope(rows):
+        x = rows["year"].to_numpy(float)
+        if len(x) < 2:
+            return None
+        dx = x - x.mean()
+        return {"n": len(x), "slope": round(float(dx @ rows["value"].to_numpy(float) / (dx @ dx)), 4)}
 
+    return relational.apply_groups(panel(spark, d), ["unit_id"], slope, "n long, slope double")
 
-# Operators that are part of other queries, under their own names.
-register("W11_sign_reversal", oracle_of("T6_structural_change"))(windows.t6)
-register("W20_learned_edges", oracle_of("W3_cut_stretched"))(windows.w3)
-register("G6_buffer_bounds", oracle_of("G14_point_tiles"))(spatial.g14)
+
+@register(
+    "W11_sign_reversal",
+    f"""WITH {PANEL_SQL}, d AS (SELECT unit_id, year, value - lag(value) OVER w AS d FROM panel WINDOW w AS (PARTITION BY unit_id ORDER BY year)),
+        e AS (SELECT *, lag(d) OVER (PARTITION BY unit_id ORDER BY year) AS before FROM d)
+        SELECT unit_id, CAST(count(*) FILTER (d * before < 0) AS BIGINT) AS reversals, coalesce(bool_or(d * before < 0), false) AS yo_yo FROM e GROUP BY 1""",
+)
+def w11(spark, d):
+    """Changes whose sign is the opposite of the change before."""
+    of = Window.partitionBy("unit_id").orderBy("year")
+    p = panel(spark, d).withColumn("d", F.col("value") - F.lag("value").over(of)).withColumn("turn", F.col("d") * F.lag("d").over(of) < 0)
+    return p.groupBy("unit_id").agg(F.count(F.when(F.col("turn"), 1)).alias("reversals"), F.coalesce(F.bool_or("turn"), F.lit(False)).alias("yo_yo"))
+
+
+@register(
+    "W20_learned_edges",
+    """WITH q AS (SELECT quantile_cont(c_acctbal, [0.2, 0.4, 0.6, 0.8]) AS e FROM customer WHERE c_custkey % 2 = 0)
+       SELECT c_custkey, CAST(list_sum(list_transform(e, lambda x: CAST(c_acctbal > x AS INT))) AS INT) AS bin FROM customer, q WHERE c_custkey % 2 = 1""",
+)
+def w20(spark, d):
+    """Edges learned from one half of the customers, the outer ones stretched, applied to the other half."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    edges = group_quantiles(c.where("c_custkey % 2 = 0"), "c_acctbal", [0.2, 0.4, 0.6, 0.8]).first()[0]
+    above = [(F.col("c_acctbal") > e).cast("int") for e in edges]
+    return c.where("c_custkey % 2 = 1").select("c_custkey", sum(above[1:], above[0]).alias("bin"))
+
+
+@register(
+    "G6_buffer_bounds",
+    f"""WITH {SHAPE_SQL}, m AS (SELECT id, sum(sgn * (x1 - x0) * (y1 - y0) * (x0 + x1) / 2) AS mx, sum(sgn * (x1 - x0) * (y1 - y0) * (y0 + y1) / 2) AS my, sum(sgn * (x1 - x0) * (y1 - y0)) AS a FROM signed WHERE id % 3 <> 0 AND sgn = 1 GROUP BY 1)
+        SELECT id AS s_suppkey, round(mx / a - 12.5, 6) AS minx, round(my / a - 12.5, 6) AS miny, round(mx / a + 12.5, 6) AS maxx, round(my / a + 12.5, 6) AS maxy FROM m""",
+)
+def g6(spark, d):
+    """Bounds of a circle around the centre of mass of each polygon's outer ring."""
+    s = spatial.shapes(spark, d).where("s_suppkey % 3 <> 0")
+    x, y = geometry.centroid(F.col("parts")[0][0])
+    at = {"minx": x - 12.5, "miny": y - 12.5, "maxx": x + 12.5, "maxy": y + 12.5}
+    return s.select("s_suppkey", *[F.round(c, 6).alias(k) for k, c in at.items()])

@@ -204,25 +204,27 @@ def g12(spark, d):
     return boxes(spark, d).select("s_suppkey", *[square[c].alias(c) for c in BOX])
 
 
-@register("G2_units", "SELECT srid, metres, round(radius * 1200.0 / 3937, 6) AS radius_m, round(radius, 6) AS radius FROM (SELECT unnest([6539, 3857]) AS srid, CAST(100 AS DOUBLE) AS metres, CAST(100 AS DOUBLE) * 3937 / 1200 AS radius)")
+@register("G2_units", "SELECT s_suppkey, round(m * 3937 / 1200, 6) AS feet, round(m, 6) AS metres FROM (SELECT s_suppkey, abs(s_acctbal) + 1 AS m FROM supplier)")
 def g2(spark, d):
     """Lengths in a system's unit, from metres and back."""
     foot = geometry.metres_per_unit(6539)
-    rows = spark.createDataFrame([(6539, 100.0), (3857, 100.0)], "srid int, metres double")
-    return rows.select("srid", "metres", F.round(F.col("metres") / foot * foot, 6).alias("radius_m"), F.round(F.col("metres") / foot, 6).alias("radius"))
+    m = F.abs("s_acctbal") + 1
+    return table(spark, d, "supplier").select("s_suppkey", F.round(m / foot, 6).alias("feet"), F.round(m / foot * foot, 6).alias("metres"))
 
 
-@register("G3_half_width", "SELECT radius, CAST(greatest(1, round_even(2 * radius / (0.5 * 1200 / 3937) / 224, 0)) AS INT) AS n, round(greatest(1, round_even(2 * radius / (0.5 * 1200 / 3937) / 224, 0)) * 224 * (0.5 * 1200 / 3937) / 2, 6) AS half FROM (SELECT CAST(unnest([10.0, 50.0, 100.0, 200.0]) AS DOUBLE) AS radius)")
+_RADII = "SELECT s_suppkey, (s_suppkey % 97 + 3) * 2.5::DOUBLE AS radius FROM supplier"
+
+
+@register("G3_half_width", f"SELECT s_suppkey, CAST(greatest(1, round_even(2 * radius / (0.5 * 1200 / 3937) / 224, 0)) AS INT) AS n, round(greatest(1, round_even(2 * radius / (0.5 * 1200 / 3937) / 224, 0)) * 224 * (0.5 * 1200 / 3937) / 2, 6) AS half FROM ({_RADII})")
 def g3(spark, d):
     """Whole strides and half widths for radii in metres, tiles of 224 pixels of half a foot."""
-    pixel = 0.5 * geometry.US_FOOT
-    rows = [(r, *geometry.tile_half_width(r, 224, pixel)) for r in (10.0, 50.0, 100.0, 200.0)]
-    return spark.createDataFrame(rows, "radius double, n int, half double").withColumn("half", F.round("half", 6))
+    n, half = geometry.half_widths((F.col("s_suppkey") % 97 + 3) * 2.5, 224, 0.5 * geometry.US_FOOT)
+    return table(spark, d, "supplier").select("s_suppkey", n.alias("n"), F.round(half, 6).alias("half"))
 
 
-@register("G4_pixels", "SELECT metres, CAST(greatest(1, round_even(metres / (0.5 * 1200 / 3937), 0)) AS INT) AS pixels FROM (SELECT CAST(unnest([0.01, 1.0, 100.0]) AS DOUBLE) AS metres)")
+@register("G4_pixels", f"SELECT s_suppkey, CAST(greatest(1, round_even(radius / 40 / (0.5 * 1200 / 3937), 0)) AS INT) AS pixels FROM ({_RADII})")
 def g4(spark, d):
-    return spark.createDataFrame([(m, geometry.metres_to_pixels(m, 0.5 * geometry.US_FOOT)) for m in (0.01, 1.0, 100.0)], "metres double, pixels int")
+    return table(spark, d, "supplier").select("s_suppkey", geometry.pixels((F.col("s_suppkey") % 97 + 3) * 2.5 / 40, 0.5 * geometry.US_FOOT).alias("pixels"))
 
 
 @register(
@@ -399,18 +401,6 @@ def r4(spark, d):
     return points(spark, d).select("vec_id", col.alias("col"), row.alias("row"))
 
 
-@register("R5_assemble_tiles")
-def r5(spark, d):
-    """Tiles pasted from chunks whose pixels are functions of their place; pixel sums for comparison."""
-    size = 100
-    ids = spark.range(20).select(F.col("id").alias("chunk_row")).crossJoin(F.broadcast(spark.range(20).select(F.col("id").alias("chunk_col"))))
-    value = F.lpad(F.hex(F.pmod(F.col("chunk_row") * 20 + F.col("chunk_col"), F.lit(251))), 2, "0")
-    chunks = ids.select("chunk_row", "chunk_col", F.lit("a").alias("dataset"), F.lit(size).alias("h"), F.lit(size).alias("w"), F.lit(1).alias("bands"), F.unhex(F.repeat(value, F.lit(size * size))).alias("data"))
-    windows = windows_of(spark, d).where("row_stop > row_start AND col_stop > col_start").withColumn("dataset", F.lit("a"))
-    tiles = raster.assemble_tiles(windows, chunks, size, "vec_id", stride=4)
-    return tiles.select("vec_id", "h", "w", F.sha2("data", 256).alias("sha"))
-
-
 @register("R6_locality", f"WITH {PTS_SQL} SELECT CAST(floor((1000 - y) / 50) AS BIGINT) AS chunk_row, CAST(floor(x / 50) AS BIGINT) AS chunk_col, CAST(count(*) AS BIGINT) AS n FROM pts GROUP BY 1, 2")
 def r6(spark, d):
     p = points(spark, d).select(F.floor((1000 - F.col("y")) / 50).alias("chunk_row"), F.floor(F.col("x") / 50).alias("chunk_col"))
