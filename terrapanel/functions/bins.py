@@ -3,21 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.functions.quantiles import group_quantiles
 
 
-def _shares(bins: int) -> Column:
-    return F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-
-
-def quantile_edges(c: str | Column, bins: int) -> Column:
-    """Aggregate: the bins + 1 linearly interpolated quantiles, repeated ones once; for groups that fit into a task."""
-    return F.array_distinct(F.percentile(c, _shares(bins)))
-
-
 def inner(edges: Column) -> Column:
     return F.slice(edges, F.lit(2), F.greatest(F.lit(0), F.size(edges) - 2))
 
@@ -43,12 +33,6 @@ def qcut(df: DataFrame, value: str, bins: int, by: list[str] | None = None, name
     return joined.withColumn(name, right_closed(F.col(value), F.col("__edges"))).drop("__edges")
 
 
-def qcut_window(df: DataFrame, value: str, bins: int, by: list[str], name: str = "bin") -> DataFrame:
-    """As qcut, by a window; for groups that are small."""
-    edges = F.percentile(value, _shares(bins)).over(W.partitionBy(*by))
-    return df.withColumn("__edges", F.array_distinct(edges)).withColumn(name, right_closed(F.col(value), F.col("__edges"))).drop("__edges")
-
-
 def cut_stretched(x: Column, edges: Column) -> Column:
     """Bins 1 .. n by given edges, right-closed, where the outer bins take what lies beyond."""
     return right_closed(x, edges) + 1

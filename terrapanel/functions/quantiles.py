@@ -2,10 +2,10 @@
 
 A window over a group sorts all of it in one task, and Spark's ``percentile``
 keeps a group's values in one task's memory.  Here a group's distinct values
-are counted first and dealt into buckets, between splitters of about equal
-rank; the buckets' counts, a bounded number, are added up, and values are
-sorted within their bucket only.  So the work of a hot group is spread over
-BUCKETS tasks, whatever the values' distribution.
+are counted first, dealt to tasks by ranges of (group, value), and written, slim
+and once; all that follows reads that table.  The parts' counts, as many as
+there are tasks and groups, are added up, and values are sorted within their
+part only.  So a hot group is spread over all tasks, whatever its distribution.
 """
 
 from __future__ import annotations
@@ -16,17 +16,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-#: Of the sketch that finds the splitters; results don't depend on it, only the buckets' sizes do.
-ACCURACY = 2000
+from terrapanel.sources.scratch import folder
 
+#: Bits of the rows' numbers within a task, as ``monotonically_increasing_id`` gives them.
+_IN_TASK = 33
 
-def with_bucket(df: DataFrame, value: str, by: Sequence[str], name: str = "__bucket") -> DataFrame:
-    """df with the number of its group's splitters that are not above the (non-null) value."""
-    shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
-    splitters = df.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(ACCURACY)).alias("__splitters"))
-    splitters = splitters.withColumn("__splitters", F.array_distinct("__splitters"))
-    return df.join(splitters, list(by)).withColumn(name, F.size(F.filter("__splitters", lambda s: s <= F.col(value)))).drop("__splitters")
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what several steps read, made once."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_parts(df: DataFrame, order: Sequence[str], part: str = "__part", place: str = "__at") -> DataFrame:
+    """df, written, in ranges of ``order``: with the number of a row's range, and its place within, in that order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    kept = written(dealt, "ranges")
+    return kept.withColumns({part: F.shiftright(place, _IN_TASK).cast("int"), place: F.col(place).bitwiseAND(F.lit((1 << _IN_TASK) - 1))})
 
 
 def ordered_counts(df: DataFrame, value: str, by: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -37,14 +45,14 @@ def ordered_counts(df: DataFrame, value: str, by: Sequence[str], weight: Column
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n")).where("__n > 0")
-    placed = with_bucket(counts, value, by)
-    sums = placed.groupBy(*by, "__bucket").agg(F.sum("__n").alias("__in_bucket"))
+    dealt = in_parts(counts, [*by, value])
+    sums = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__in_part"))
     of_group = W.partitionBy(*by)
-    # At most BUCKETS rows of each group.
-    sums = sums.withColumns({"__offset": F.sum("__in_bucket").over(of_group.orderBy("__bucket")) - F.col("__in_bucket"), "__total": F.sum("__in_bucket").over(of_group)})
-    inside = W.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = placed.withColumn("__upto", F.sum("__n").over(inside))
-    found = running.join(sums.drop("__in_bucket"), [*by, "__bucket"])
+    # As many rows of each group as there are tasks, at most.
+    sums = sums.withColumns({"__offset": F.sum("__in_part").over(of_group.orderBy("__part")) - F.col("__in_part"), "__total": F.sum("__in_part").over(of_group)})
+    inside = W.partitionBy(*by, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = dealt.withColumn("__upto", F.sum("__n").over(inside))
+    found = running.join(sums.drop("__in_part"), [*by, "__part"])
     return found.select(*by, value, "__n", (F.col("__offset") + F.col("__upto") - F.col("__n")).alias("__before"), "__total")
 
 

@@ -6,31 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrapanel.functions.quantiles import ordered_counts
-
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1 within groups, ties share the mean of their ranks; NULL for NULL."""
-    order = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    ties = W.partitionBy(*by, value)
-    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+from terrapanel.functions.quantiles import in_parts, ordered_counts
 
 
 def with_average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """df with the average rank from 1 within groups; ties share the mean of their ranks, NULL for NULL.
 
-    Ranks come from running counts of distinct values, which are sorted in
-    buckets (see ``ordered_counts``), and are joined back by value.
+    Ranks come from running counts of distinct values (see ``ordered_counts``)
+    and are joined back by value.
     """
     ranks = ordered_counts(df, value, by).select(*by, value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value], "left")
 
 
 def with_place(df: DataFrame, value: str, key: str, by: list[str], name: str) -> DataFrame:
-    """df with the place from 1 in the order of value, then key; rows without a value are left out."""
-    before = ordered_counts(df, value, by).select(*by, value, "__before")
-    ties = W.partitionBy(*by, value).orderBy(key)
-    return df.join(before, [*by, value]).withColumn(name, F.col("__before") + F.row_number().over(ties)).drop("__before")
+    """df with the place from 1 in the order of value, then key; rows without a value are left out.
+
+    Rows are dealt by ranges of (group, value, key) and numbered where they are,
+    so neither a large group nor one frequent value meets in one task.
+    """
+    dealt = in_parts(df.where(F.col(value).isNotNull()), [*by, value, key])
+    parts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__part")) - F.col("__n")
+    placed = dealt.join(parts.withColumn("__before", before).drop("__n"), [*by, "__part"])
+    return placed.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__before", "__first")
 
 
 def hazen(rank: Column, n: Column, margin: float = 1e-6) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,13 +144,19 @@ def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, parts_a: str,
     corners = [f"{n}_{end}{k}" for n in ("p", "q") for end in ("a", "b") for k in ("x", "y")]
     by_edge = met.select(F.col("p").alias(a), F.col("q").alias(b), distance(*corners).alias("distance")).where(F.col("distance") <= radius)
 
+    def boxed_shapes(df: DataFrame, own: str, parts: str) -> DataFrame:
+        return df.select(F.col(own).alias("q"), F.col(parts).alias("shape"), *[c.alias(f"q_{n}") for n, c in bounds(F.col(parts)).items()])
+
     def corners_in(points: DataFrame, own: str, parts: str, shapes: DataFrame, other: str, parts_other: str) -> DataFrame:
         at = points.select(F.col(own).alias("p"), F.explode(_corner(F.col(parts))).alias("at")).select("p", "at.x", "at.y")
         at = at.withColumns(dict(zip(box("p"), map(F.col, ("x", "y", "x", "y")), strict=True)))
-        around = shapes.select(F.col(other).alias("q"), F.col(parts_other).alias("shape"), *[c.alias(f"q_{n}") for n, c in bounds(F.col(parts_other)).items()])
-        inside = geometry.spatial_join(at, around, "p", "q", box("p"), box("q"), geometry.mean_side(around, box("q")), contains_point(F.col("shape"), F.col("x"), F.col("y")))
+        exact = contains_point(F.col("shape"), F.col("x"), F.col("y"))
+        inside = geometry.spatial_join(at, boxed_shapes(shapes, other, parts_other), "p", "q", box("p"), box("q"), shape_cell, exact, largest=largest_shape)
         return inside.select(F.col("p").alias(own), F.col("q").alias(other), F.lit(0.0).alias("distance"))
 
+    longer = F.greatest(F.col("q_maxx") - F.col("q_minx"), F.col("q_maxy") - F.col("q_miny")).alias("s")
+    whole = boxed_shapes(left, a, parts_a).select(longer).unionByName(boxed_shapes(right, b, parts_b).select(longer)).agg(F.avg("s"), F.max("s")).first()
+    shape_cell, largest_shape = max(whole[0] or 1.0, 1e-9), whole[1] or 0.0
     by_corner = corners_in(left, a, parts_a, right, b, parts_b).unionByName(corners_in(right, b, parts_b, left, a, parts_a))
     return by_edge.unionByName(by_corner).groupBy(a, b).agg(F.min("distance").alias("distance"))
 
@@ -160,21 +167,29 @@ def within(common: Column, a: Column, tolerance: float = 1e-9) -> Column:
     return (own > 0) & (common >= own * (1 - tolerance))
 
 
-def _triangles(parts) -> tuple[np.ndarray, np.ndarray]:
-    """Signs and counter-clockwise triangles that add up to the polygons."""
-    signs, found = [], []
-    for rings in parts:
-        for n, r in enumerate(rings):
-            p = np.array([(q["x"], q["y"]) for q in r], float).reshape(-1, 2)
-            if len(p) < 4:
-                continue
-            whole = float(np.dot(p[:-1, 0], p[1:, 1]) - np.dot(p[:-1, 1], p[1:, 0]))
-            t = np.stack([np.broadcast_to(p[0], (len(p) - 3, 2)), p[1:-2], p[2:-1]], axis=1)
-            s = (t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 1, 1] - t[:, 0, 1]) * (t[:, 2, 0] - t[:, 0, 0])
-            t = np.where((s < 0)[:, None, None], t[:, ::-1], t)[s != 0]
-            signs.append(np.sign(s[s != 0]) * np.sign(whole) * (1 if n == 0 else -1))
-            found.append(t)
-    return (np.concatenate(signs), np.concatenate(found)) if signs else (np.zeros(0), np.zeros((0, 3, 2)))
+def _triangles(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (ascending), signs and counter-clockwise triangles that add up to the rows' polygons, for all rows at once."""
+    size = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    polygon, n_rings = parts.flatten(), None
+    row_of_polygon = np.repeat(np.arange(len(parts)), size(parts))
+    n_rings = size(polygon)
+    rings = polygon.flatten()
+    row = np.repeat(row_of_polygon, n_rings)
+    hole = np.arange(len(rings)) != np.repeat(np.cumsum(n_rings) - n_rings, n_rings)
+    n_points = size(rings)
+    points = rings.flatten()
+    p = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1) if len(points) else np.zeros((0, 2))
+    count = np.maximum(n_points - 3, 0)
+    ring = np.repeat(np.arange(len(rings)), count)
+    first = (np.cumsum(n_points) - n_points)[ring]
+    at = first + 1 + np.arange(len(ring)) - np.repeat(np.cumsum(count) - count, count)
+    t = np.stack([p[first], p[at], p[at + 1]], axis=1) if len(ring) else np.zeros((0, 3, 2))
+    double = (t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 1, 1] - t[:, 0, 1]) * (t[:, 2, 0] - t[:, 0, 0])
+    whole = np.bincount(ring, double, len(rings))
+    sign = np.sign(double) * np.sign(whole[ring]) * np.where(hole[ring], -1, 1)
+    t = np.where((double < 0)[:, None, None], t[:, ::-1], t)
+    some = sign != 0
+    return row[ring][some], sign[some], t[some]
 
 
 def clipped_areas(triangles: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -204,27 +219,26 @@ def clipped_areas(triangles: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.abs(area_) / 2
 
 
-def common_areas(a: list, b: list) -> np.ndarray:
-    """Areas in common of pairs of polygons."""
-    out = np.zeros(len(a))
-    held, size = [], 0
-
-    def flush() -> None:
-        if held:
-            rows, signs, t, u = (np.concatenate(x) for x in zip(*held, strict=True))
-            np.add.at(out, rows, signs * clipped_areas(t, u))
-            held.clear()
-
-    for n, (x, y) in enumerate(zip(a, b, strict=True)):
-        (sx, tx), (sy, ty) = _triangles(x), _triangles(y)
-        low, high = np.maximum(tx.min(axis=1)[:, None], ty.min(axis=1)[None]), np.minimum(tx.max(axis=1)[:, None], ty.max(axis=1)[None])
-        i, j = np.nonzero((low < high).all(axis=2))  # the rest has no area in common
-        held.append((np.full(len(i), n), sx[i] * sy[j], tx[i], ty[j]))
-        size += len(i)
-        if size > TRIANGLE_PAIRS:
-            flush()
-            size = 0
-    flush()
+def common_areas(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Areas in common of pairs of polygons, columns of parts; 0 where one is NULL."""
+    n = len(a)
+    (row_a, sign_a, t), (row_b, sign_b, u) = _triangles(a), _triangles(b)
+    in_a, in_b = np.bincount(row_a, minlength=n), np.bincount(row_b, minlength=n)
+    from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    pairs = in_a * in_b
+    ends, out, at = np.cumsum(pairs), np.zeros(n), 0
+    boxes = [np.concatenate([x.min(axis=1), x.max(axis=1)], axis=1) if len(x) else np.zeros((0, 4)) for x in (t, u)]
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TRIANGLE_PAIRS)))
+        own = pairs[at:upto]
+        row = np.repeat(np.arange(at, upto), own)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+        i, j = from_a[row] + k // np.maximum(in_b[row], 1), from_b[row] + k % np.maximum(in_b[row], 1)
+        p, q = boxes[0][i], boxes[1][j]
+        near = (np.maximum(p[:, :2], q[:, :2]) < np.minimum(p[:, 2:], q[:, 2:])).all(axis=1)  # the rest has no area in common
+        row, i, j = row[near], i[near], j[near]
+        out += np.bincount(row, sign_a[i] * sign_b[j] * clipped_areas(t[i], u[j]), n)
+        at = upto
     return out
 
 
@@ -233,11 +247,8 @@ def intersection_area(a: Column, b: Column) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        pairs = [(n, p, q) for n, (p, q) in enumerate(zip(x.to_pylist(), y.to_pylist(), strict=True)) if p is not None and q is not None]
-        out: list = [None] * len(x)
-        for (n, *_), value in zip(pairs, common_areas([p for _, p, _ in pairs], [q for *_, q in pairs]), strict=True):
-            out[n] = float(value)
-        return pa.array(out, pa.float64())
+        missing = pc.or_(pc.is_null(x), pc.is_null(y)).to_numpy(zero_copy_only=False)
+        return pa.array(common_areas(x, y), pa.float64(), mask=missing)
 
     return run(a, b)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrapanel.functions.quantiles import ordered_counts, with_bucket
+from terrapanel.functions.quantiles import in_parts, ordered_counts, written
 from terrapanel.functions.seeded import uniform
 from terrapanel.functions.special import student_two_sided_p, two_sided_p
 
@@ -25,14 +25,16 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, weight:
     """
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__w", (F.lit(1) if weight is None else weight).cast("long")).where("__w > 0")
     own, keys = _grouped(own, by or [])
-    for c in (x, y):
-        ranks = ordered_counts(own, c, keys, F.col("__w")).select(*keys, c, (F.col("__before") + (F.col("__n") + 1) / 2).alias(f"__r_{c}"))
-        own = own.join(ranks, [*keys, c])
-    w, rx, ry = F.col("__w"), F.col(f"__r_{x}"), F.col(f"__r_{y}")
-    # Ranks average (n + 1) / 2; deviations from it keep the sums small.
-    mean = own.groupBy(*keys).agg(((F.sum("__w") + 1) / 2).alias("__mid"))
-    own = own.join(mean, keys)
-    dx, dy = rx - F.col("__mid"), ry - F.col("__mid")
+    kind = df.schema[x].dataType.simpleString() if df.schema[x].dataType == df.schema[y].dataType else "double"
+    own = written(own.groupBy(*keys, F.col(x).cast(kind).alias("__x"), F.col(y).cast(kind).alias("__y")).agg(F.sum("__w").alias("__w")), "pairs")
+    # Both columns' values are counted together, side by side.
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(k).alias("v")) for k in ("__x", "__y")])).alias("e")
+    counts = ordered_counts(own.select(*keys, "__w", each).select(*keys, "__w", "e.c", "e.v"), "v", [*keys, "c"], F.col("__w"))
+    for c in ("__x", "__y"):
+        # Ranks average (n + 1) / 2; deviations from it keep the sums small.
+        off = counts.where(F.col("c") == c).select(*keys, F.col("v").alias(c), (F.col("__before") + (F.col("__n") - F.col("__total")) / 2).alias(f"__d{c}"))
+        own = own.join(off, [*keys, c])
+    w, dx, dy = F.col("__w"), F.col("__d__x"), F.col("__d__y")
     rho = F.try_divide(F.sum(w * dx * dy), F.nullif(F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)), F.lit(0.0)))
     out = own.groupBy(*keys).agg(F.when(F.sum("__w") >= 3, rho).alias("rho"), F.sum("__w").alias("n"))
     n = F.col("n").cast("double")
@@ -48,17 +50,17 @@ def pair_counts(df: DataFrame, x: str, y: str, by: list[str] | None = None, weig
     different y agree in the bits above some bit and differ there.  So for each
     bit, rows with equal bits above it are swept in the order of x, counting
     ones and zeros so far: n log n rows in all, dealt out by bit, bits above
-    and bucket of x.  Also returned are the sums over tie groups that the
+    and range of x.  Also returned are the sums over tie groups that the
     variance of Kendall's statistic needs.
     """
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__w", (F.lit(1) if weight is None else weight).cast("long")).where("__w > 0")
     own, keys = _grouped(own, by or [])
-    own = own.groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.sum("__w").alias("__w"))
+    own = written(own.groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.sum("__w").alias("__w")), "pairs")
     places = ordered_counts(own, "__y", keys, F.col("__w"))
-    # The greatest place is below the size of the largest group.
-    bits = max(1, int(places.agg(F.max("__before")).first()[0] or 0).bit_length())
-    placed = with_bucket(own.join(places.select(*keys, "__y", "__before"), [*keys, "__y"]), "__x", keys)
-    rows = placed.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    own = in_parts(own.join(places.select(*keys, "__y", "__before", "__total"), [*keys, "__y"]), [*keys, "__x"], "__bucket").drop("__at")
+    # A group's places have as many bits as its size.
+    bits = F.length(F.bin(F.col("__total")))
+    rows = own.withColumn("__bit", F.explode(F.sequence(F.lit(0), bits - 1)))
     at = lambda n: F.call_function("shiftright", F.col("__before"), n)
     rows = rows.withColumn("__above", at(F.col("__bit") + 1)).withColumn("__one", F.pmod(at(F.col("__bit")), F.lit(2)))
     part = [*keys, "__bit", "__above"]

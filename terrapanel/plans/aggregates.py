@@ -89,10 +89,13 @@ def a12(spark, d):
     own = table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
     mean = own.groupBy("p").agg(F.avg("v").alias("mean"))
     far = own.join(mean, "p").withColumns({"far": F.abs(F.col("v") - F.col("mean")), "up": (F.col("v") - F.col("mean") > 0).cast("int")})
-    q = group_quantiles(own, "v", [0.25, 0.5, 0.75], ["p"], "q").join(group_quantiles(far, "far", [0.5], ["p"], "m"), "p")
+    # Values and their distances from the mean are counted side by side.
+    each = F.explode(F.array(F.struct(F.lit("v").alias("c"), F.col("v").alias("x")), F.struct(F.lit("far").alias("c"), F.col("far").alias("x")))).alias("e")
+    q = group_quantiles(far.select("p", each).select("p", "e.c", "e.x"), "x", [0.25, 0.5, 0.75], ["p", "c"], "q")
+    at = lambda c, k: F.max(F.when(F.col("c") == c, F.col("q")[k]))
+    q = q.groupBy("p").agg(F.round(at("v", 1), 6).alias("median"), F.round(at("far", 1), 6).alias("mad"), F.round(at("v", 2) - at("v", 0), 6).alias("iqr"))
     share = far.groupBy("p").agg(F.round(F.avg("up"), 6).alias("share_positive"))
-    value = lambda c: F.round(c, 6)
-    return q.join(share, "p").select("p", value(F.col("q")[1]).alias("median"), value(F.col("m")[0]).alias("mad"), value(F.col("q")[2] - F.col("q")[0]).alias("iqr"), "share_positive")
+    return q.join(share, "p")
 
 
 @register(

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_rules_hold_at_random_points(seed):
         well_formed(found[how])
         assert (in_parts(points, found[how]) == want).all(), how
     assert np.isclose(area(found["union"]) + area(found["intersection"]), area(a) + area(b), rtol=1e-9)
-    assert np.isclose(area(found["intersection"]), polygons.common_areas([a], [b])[0], rtol=1e-9, atol=1e-9)
+    assert np.isclose(area(found["intersection"]), polygons.common_areas(pa.array([a], polygons._PARTS), pa.array([b], polygons._PARTS))[0], rtol=1e-9, atol=1e-9)
 
 
 def test_many_shapes_at_once_and_shared_edges():
@@ -131,3 +132,27 @@ def test_columns_and_the_tree_of_unions(spark):
     two = spark.createDataFrame([(box(0, 0, 2, 2), box(1, 0, 3, 2)), (None, box(0, 0, 1, 1))], f"a {polygons.PARTS}, b {polygons.PARTS}")
     out = two.select(*[polygons.area(overlay.overlay(F.col("a"), F.col("b"), how)).alias(how.split()[0]) for how in overlay._RULES]).collect()
     assert tuple(out[0]) == (6.0, 2.0, 2.0, 4.0) and out[1].union is None
+
+
+def test_distances_of_polygons_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    shapes = [[[star(rng, rng.integers(4, 12), rng.uniform(0, 30, 2), 3)]] for _ in range(40)]
+    shapes += [box(0, 0, 30, 30), [[*box(40, 40, 50, 50)[0], ring((42, 42), (48, 42), (48, 48), (42, 48))]], box(44, 44, 46, 46), box(30, 0, 31, 5), box(53, 40, 54, 50)]
+    segments = [np.concatenate([np.hstack([r[:-1], r[1:]]) for rings in arrays(s) for r in rings]) for s in shapes]
+    want = {}
+    for i, p in enumerate(segments):
+        for j, q in enumerate(segments):
+            far = polygons.segment_distances(np.repeat(p, len(q), axis=0), np.tile(q, (len(p), 1))).min()
+            corner = lambda k, m: in_parts(np.array([arrays(shapes[k])[0][0][0]]), shapes[m])[0]
+            far = 0.0 if corner(i, j) or corner(j, i) else far
+            if far <= 4:
+                want[i, j] = far
+    df = spark.createDataFrame(list(enumerate(shapes)), f"id int, shape {polygons.PARTS}")
+    left, right = df.select(F.col("id").alias("a"), F.col("shape").alias("pa")), df.select(F.col("id").alias("b"), F.col("shape").alias("pb"))
+    got = {(r.a, r.b): r.distance for r in polygons.near_pairs(left, right, "a", "b", "pa", "pb", 4.0).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got[41, 42] == 2.0 and got[40, 43] == 0.0 and got[41, 44] == 3.0
+    touching = {(r.a, r.b) for r in polygons.near_pairs(left, right, "a", "b", "pa", "pb").collect()}
+    assert touching == {k for k, v in want.items() if v == 0}
+    assert polygons.near_pairs(left.limit(0), right.limit(0), "a", "b", "pa", "pb").count() == 0

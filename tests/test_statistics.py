@@ -49,11 +49,11 @@ def test_weighted_quantiles(spark):
 
 
 def test_no_window_sorts_raw_rows_of_a_group(spark):
-    """Every window is dealt out by a bucket as well, or runs over the buckets' sums."""
+    """Every window is dealt out by a part as well, or runs over the parts' sums."""
     df = spark.range(100).selectExpr("id", "id % 3 AS g", "rand() AS x")
     plan = with_place(df, "x", "id", ["g"], "place")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if line.lstrip("+- :").startswith("Window")]
-    assert windows and all("__bucket" in w or "x#" in w for w in windows)
+    assert windows and all("__part" in w for w in windows)
 
 
 def slow_counts(x, y, w=None):
