@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrapanel.functions import special
+from terrapanel.functions import ranks, special
+from terrapanel.functions.curves import morton
 from terrapanel.functions.quantiles import group_quantiles
 from terrapanel.operators import geometry, raster, relational, scoring, splits
 from terrapanel.plans import spatial
 from terrapanel.plans.registry import PANEL_SQL, panel, register, table
 from terrapanel.plans.spatial import BOX, BOX_SQL, PTS_SQL, SHAPE_SQL, boxes, points
-from terrapanel.sources import files
+from terrapanel.sources import curve_files, files
 from terrapanel.sources.chunk_store import ChunkStore, read_store, write_store
 from terrapanel.sources.scratch import folder
 from terrapanel.streaming.scoring import score_stream
@@ -207,6 +208,24 @@ def s9(spark, d):
     return rows.select("chunk_row", "chunk_col", "h", "w", F.sha2("data", 256).alias("sha"))
 
 
+@register("S14_curve_scan", f"WITH {PTS_SQL} SELECT vec_id, x, y FROM pts WHERE x BETWEEN 300 AND 600 AND y BETWEEN 250 AND 550")
+def s14_curve(spark, d):
+    """Points laid out along a curve; a box of them is read back by ranges of the curve."""
+    path = folder(spark, "curve")
+    curve_files.write_along_curve(points(spark, d).select("vec_id", "x", "y"), path, "x", "y")
+    return curve_files.read_box(spark, path, 300.0, 250.0, 600.0, 550.0)
+
+
+@register("R6_work_order", f"WITH {PTS_SQL} SELECT CAST(2 * floor((1000 - y) / 500) + floor(x / 500) AS BIGINT) AS quarter, CAST(count(*) AS BIGINT) AS n, true AS in_order FROM pts WHERE x BETWEEN 0 AND 999 AND y BETWEEN 1 AND 1000 GROUP BY 1")
+def r6_order(spark, d):
+    """Points in the order of their chunks' curve: each quarter of the raster is one stretch of the work."""
+    own = points(spark, d).where("x BETWEEN 0 AND 999 AND y BETWEEN 1 AND 1000")
+    row, col = F.floor((1000 - F.col("y")) * 65536 / 1000), F.floor(F.col("x") * 65536 / 1000)
+    keyed = own.withColumn("curve", morton(col, row)).withColumn("quarter", F.shiftrightunsigned("curve", 30))
+    placed = ranks.with_place(keyed.withColumn("all", F.lit(1)), "curve", "vec_id", ["all"], "place")
+    return placed.groupBy("quarter").agg(F.count("*").alias("n"), (F.max("place") - F.min("place") + 1 == F.count("*")).alias("in_order"))
+
+
 @register("R12_tile_matrix", "SELECT s_suppkey, CAST(s_suppkey // 10 AS INT) AS tile_row, CAST(s_suppkey % 10 AS INT) AS tile_col FROM supplier")
 def r12(spark, d):
     name = F.concat(F.lit("map_R"), F.floor(F.col("s_suppkey") / 10).cast("string"), F.lit("_C"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".tif"))

@@ -57,7 +57,7 @@ def test_qcut_matches_its_definition(spark, values, q):
     df = spark.createDataFrame([(float(v), 1) for v in values], "v double, g int")
     edges = sorted(set(np.quantile(values, np.linspace(0, 1, q + 1)).tolist()))
     want = sorted((float(v), sum(e < v for e in edges[1:-1])) for v in values)
-    for out in (bins.qcut(df, "v", q), bins.qcut(df, "v", q, ["g"]), bins.qcut_window(df, "v", q, ["g"])):
+    for out in (bins.qcut(df, "v", q), bins.qcut(df, "v", q, ["g"])):
         assert sorted((r.v, r.bin) for r in out.collect()) == want
 
 
