@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from terrapanel.functions import ranks, special
 from terrapanel.functions.curves import morton
 from terrapanel.functions.quantiles import group_quantiles
-from terrapanel.operators import geometry, raster, relational, scoring, splits
+from terrapanel.operators import geometry, polygons, raster, relational, scoring, splits
 from terrapanel.plans import spatial
 from terrapanel.plans.registry import PANEL_SQL, panel, register, table
 from terrapanel.plans.spatial import BOX, BOX_SQL, PTS_SQL, SHAPE_SQL, boxes, points
-from terrapanel.sources import curve_files, files
+from terrapanel.sources import curve_files, files, rest
 from terrapanel.sources.chunk_store import ChunkStore, read_store, write_store
 from terrapanel.sources.scratch import folder
 from terrapanel.streaming.scoring import score_stream
@@ -22,10 +22,6 @@ _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 _NATION_SCHEMA = "n_nationkey int, n_name string, n_regionkey int"
 
 
-def _uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
 @register("S1_parquet_scan", "SELECT c_custkey, c_acctbal FROM customer")
 def s1(spark, d):
     return files.read_parquet(spark, f"{d}/customer.parquet", ["c_custkey", "c_acctbal"])
@@ -35,7 +31,7 @@ def s1(spark, d):
 def s3(spark, d):
     """Also K2: written as Arrow files and read back."""
     path = folder(spark, "feather")
-    files.write_feather(table(spark, d, "nation").selectExpr("CAST(n_nationkey AS INT) n_nationkey", "n_name", "CAST(n_regionkey AS INT) n_regionkey"), _uri(path))
+    files.write_feather(table(spark, d, "nation").selectExpr("CAST(n_nationkey AS INT) n_nationkey", "n_name", "CAST(n_regionkey AS INT) n_regionkey"), files.hadoop_uri(spark, path))
     return files.read_feather(spark, path, _NATION_SCHEMA)
 
 
@@ -45,15 +41,54 @@ def s4(spark, d):
     x = F.col("n_nationkey") * 10.0
     square = lambda at: F.array(geometry.box_ring(at, F.lit(0.0), at + 0.5, F.lit(1.0)))
     shapes = table(spark, d, "nation").select("n_nationkey", "n_name", F.array(square(x), square(x + 5)).alias("parts"))
-    lines = files.to_geojson(shapes, "parts", ["n_nationkey", "n_name"], {"color": "red"})
     path = folder(spark, "geojson")
-    whole = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ","), F.lit("]}"))  # 25 features
-    lines.agg(whole.alias("value")).write.text(path)
+    files.write_geojson(shapes.repartition(3), path, "parts", ["n_nationkey", "n_name"], {"color": "red"})
     back = files.read_geojson(spark, path, {"n_nationkey": "int", "n_name": "string"})
     area = F.aggregate(F.transform("parts", geometry.area), F.lit(0.0), lambda a, b: a + b)
     return back.select("n_nationkey", "n_name", area.alias("area"), F.size("parts").alias("n_parts"))
 
 
+@register("S2_geoparquet", f"WITH {SHAPE_SQL}, a AS (SELECT id, sum(sgn * (x1 - x0) * (y1 - y0)) AS area FROM signed GROUP BY 1) SELECT id AS s_suppkey, 1 + CAST(id % 3 = 0 AS INT) AS n_parts, round(area, 6) AS area FROM a")
+def s2(spark, d):
+    """Polygons as WKB in Parquet, read back with all parts and holes."""
+    path = folder(spark, "geoparquet")
+    spatial.shapes(spark, d).select("s_suppkey", files.format_wkb(F.col("parts")).alias("geometry")).write.parquet(path)
+    back = spark.read.parquet(path).withColumn("parts", files.parse_wkb(F.col("geometry")))
+    return back.select("s_suppkey", F.size("parts").alias("n_parts"), F.round(polygons.area(F.col("parts")), 6).alias("area"))
+
+
+@register("S13_npy", "SELECT CAST(vec_id AS VARCHAR) AS name, 64 AS size, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 5) AS total FROM embeddings")
+def s13(spark, d):
+    """A file for each unit, read back as a source."""
+    path = folder(spark, "npy")
+    files.write_npy(table(spark, d, "embeddings"), files.hadoop_uri(spark, path), "vec_id", "embedding")
+    total = F.aggregate("data", F.lit(0.0), lambda a, b: a + b)
+    return files.read_npy(spark, path).select("name", F.col("shape")[0].alias("size"), F.round(total, 5).alias("total"))
+
+
+@register(
+    "S6_service",
+    """WITH v AS (SELECT c_nationkey, sum(c_acctbal) AS total FROM customer GROUP BY 1)
+       SELECT lpad(CAST(c_nationkey AS VARCHAR), 11, '0') AS geoid, round(total + 1, 3) AS v1, round(total + 100, 3) AS v100, true AS refused_is_null FROM v""",
+)
+def s6(spark, d):
+    """Also S7: 100 variables of a service in requests of 45 at most, one of them refused, each chunk's first request failing once."""
+    own = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("total"))
+    served = [(str(r.c_nationkey).zfill(11), r.total) for r in own.collect()]  # a row for each nation: what the service has
+    failed = set()
+
+    def fetch(vintage, codes):
+        if len(codes) > 45 or len(codes) > 1 and "v50" in codes or codes == ["v50"]:
+            raise rest.BadRequest(codes)
+        if len(codes) > 1 and tuple(codes) not in failed:
+            failed.add(tuple(codes))
+            raise OSError("again, please")
+        return [{"geoid": g, **{c: total + int(c[1:]) for c in codes}} for g, total in served]
+
+    rows = rest.read_vintage(spark, fetch, 2020, [f"v{k}" for k in range(1, 101)])
+    return rows.select("geoid", F.round(F.col("v1").cast("double"), 3).alias("v1"), F.round(F.col("v100").cast("double"), 3).alias("v100"), F.col("v50").isNull().alias("refused_is_null"))
+
+
 @register("S5_csv", _NATION)
 def s5(spark, d):
     """Also K3: appended in two batches, with headers."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.moments import excess_kurtosis, skew
 from terrapanel.functions.numeric import interpolate
 from terrapanel.functions.quantiles import group_quantiles
+from terrapanel.functions.seeded import uniform
 from terrapanel.operators import distributions, stats
 from terrapanel.plans.registry import PANEL_SQL, panel, register, student_two_sided_p_sql, table, two_sided_p_sql
 
@@ -138,7 +139,7 @@ STAGES, BATCH = ((1, 3), (2, 2), (3, 1)), 256
 @register(
     "T14_ranking_loss",
     f"""WITH {_TRACTS}, m AS (SELECT unit_id, max(n) >= 4 AS changed FROM panel GROUP BY 1), k AS (SELECT year, 1 + count(*) // {BATCH} AS batches FROM panel GROUP BY 1),
-        r AS (SELECT year, unit_id % batches AS batch, unit_id, tract, n, value / 100000 AS s, least(n, 5) AS lev FROM q JOIN k USING (year)), st(stage, least_diff) AS (VALUES {", ".join(map(str, STAGES))}),
+        r AS (SELECT year, CAST(floor((CAST(CAST('0x' || substr(md5('14|' || unit_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296 * batches) AS BIGINT) AS batch, unit_id, tract, n, value / 100000 AS s, least(n, 5) AS lev FROM q JOIN k USING (year)), st(stage, least_diff) AS (VALUES {", ".join(map(str, STAGES))}),
         c AS (SELECT a.year, a.batch, stage, count(*) AS n_pairs, avg({_SOFT.format('sign(b.n - a.n) * (b.s - a.s)')}) AS cross_part FROM r a JOIN r b ON a.year = b.year AND a.batch = b.batch AND a.unit_id < b.unit_id AND a.tract <> b.tract JOIN st ON abs(a.lev - b.lev) >= least_diff GROUP BY 1, 2, 3),
         w AS (SELECT r.year, r.batch, avg(CASE WHEN NOT changed THEN pow(t.value / 100000 - r.s, 2) END) AS stable, avg(CASE WHEN changed THEN {_SOFT.format('sign(t.n - r.n) * (t.value / 100000 - r.s)')} END) AS change FROM r JOIN panel t ON t.unit_id = r.unit_id AND t.year = r.year + 1 JOIN m ON m.unit_id = r.unit_id GROUP BY 1, 2),
         v AS (SELECT year, batch, pow(stddev_samp(s) - 1, 2) AS spread FROM r GROUP BY 1, 2),
@@ -149,7 +150,7 @@ def t14(spark, d):
     """The loss of an anchor year's batches in the three stages of its curriculum, with twins from the next year."""
     p = _tracts(spark, d)
     batches = p.groupBy("year").agg((1 + F.floor(F.count("*") / BATCH)).alias("batches"))
-    rows = p.join(F.broadcast(batches), "year").withColumn("batch", F.col("unit_id") % F.col("batches")).withColumns({"score": F.col("value") / 100000, "level": F.least("n", F.lit(5))})
+    rows = p.join(F.broadcast(batches), "year").withColumn("batch", F.floor(uniform(14, F.col("unit_id")) * F.col("batches"))).withColumns({"score": F.col("value") / 100000, "level": F.least("n", F.lit(5))})
     changed = p.groupBy("unit_id").agg((F.max("n") >= 4).alias("changed"))
     later = p.select("unit_id", (F.col("year") - 1).alias("year"), (F.col("value") / 100000).alias("score"), "n").join(changed, "unit_id")
     twins = later.join(rows.select("year", "batch", "unit_id"), ["year", "unit_id"])

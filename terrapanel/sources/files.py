@@ -72,6 +72,30 @@ def to_geojson(df: DataFrame, parts: str, properties: Sequence[str], style: dict
     return df.select(F.to_json(feature).alias("value"))
 
 
+def write_geojson(df: DataFrame, path: str, parts: str, properties: Sequence[str], style: dict[str, str] | None = None) -> None:
+    """A folder of feature collections, one file for each partition; features pass through one at a time."""
+
+    def collection(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+        first = True
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield line([('{"type": "FeatureCollection", "features": [' if first and not n else ",") + t for n, t in enumerate(texts)])
+                first = False
+        if not first:
+            yield line(["]}"])
+
+    to_geojson(df, parts, properties, style).mapInArrow(collection, "value string").write.text(path)
+
+
+def hadoop_uri(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark would take for it, as pyarrow reads it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def trajectories_json(df: DataFrame, unit: str, year: str, value: str) -> DataFrame:
     """A row for each unit: its values by year as one compact JSON object."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(year).cast("string").alias("k"), F.col(value).alias("v"))))
@@ -106,6 +130,43 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.npy").select("path", "content").mapInPandas(run, "name string, shape array<int>, data array<double>")
 
 
+def write_npy(df: DataFrame, uri: str, name: str, values: str) -> None:
+    """A NumPy file for each row, ``<name>.npy`` under a folder that pyarrow's file systems reach, with the row's array as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = pyarrow.fs.FileSystem.from_uri(uri)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for own, array in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                with system.open_output_stream(f"{folder}/{own}.npy") as out:
+                    np.save(out, np.array(array, float))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    df.select(F.col(name).cast("string"), F.col(values)).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def wkb_of(parts: list | None) -> bytes | None:
+    """The WKB of a multi-polygon, rings as they are."""
+    if parts is None:
+        return None
+    out = [struct.pack("<BII", 1, 6, len(parts))]
+    for rings in parts:
+        out.append(struct.pack("<BII", 1, 3, len(rings)))
+        for r in rings:
+            out.append(struct.pack(f"<I{2 * len(r)}d", len(r), *[v for q in r for v in (q["x"], q["y"])]))
+    return b"".join(out)
+
+
+def format_wkb(parts: Column) -> Column:
+    """A column of parts as WKB, for columns of GeoParquet files."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(shapes: pa.Array) -> pa.Array:
+        return pa.array([wkb_of(v) for v in shapes.to_pylist()], pa.binary())
+
+    return run(parts)
+
+
 def _wkb_polygons(wkb: bytes, at: int) -> tuple[list | None, int]:
     """Polygons of one geometry, and where it ends; None for kinds without area."""
     order = "<" if wkb[at] else ">"
@@ -262,14 +323,22 @@ class FeatherWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> "FeatherPart":
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return FeatherPart(None)
+        name = writer = None
         system, folder = pyarrow.fs.FileSystem.from_uri(self.path)
-        system.create_dir(folder, recursive=True)
-        name = f"part-{uuid.uuid4().hex}"
-        with system.open_output_stream(f"{folder}/.{name}") as out:
-            pyarrow.feather.write_feather(pa.Table.from_batches(held), out, compression="zstd")
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if writer is None:
+                    name = f"part-{uuid.uuid4().hex}"
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(f"{folder}/.{name}")
+                    writer = pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(batch)  # one batch is held at a time
+        finally:
+            if writer is not None:
+                writer.close()
+                out.close()
         return FeatherPart(name)
 
     def commit(self, messages: list) -> None:
