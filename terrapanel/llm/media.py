@@ -8,7 +8,7 @@ the other, so that memory stays bounded.
 Defined results: a null text counts as empty; media that are null or can't be
 read give null payload, size, feature and tensor; equal texts give equal media
 and features whatever stands beside them; a very long text becomes several
-images, so that memory is bounded by an image and the stored bytes; an empty
+images, which are held together, so memory is about eight times the text; an empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
 
