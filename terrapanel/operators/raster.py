@@ -206,16 +206,17 @@ def merged_pieces(pieces: DataFrame, frames: DataFrame, tile_id: str) -> DataFra
     nothing = [F.lit(0).cast(t).alias(c) for c, t in (("top", "int"), ("left", "int"), ("rows", "int"), ("cols", "int"), ("rank", "long"))]
     both = pieces.unionByName(frames.select(tile_id, "h", "w", "bands", *nothing, F.lit(b"").alias("data")))
 
-    def paste(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        out = np.zeros((first.h, first.w, pdf.bands.max()), np.uint8)
-        for row in pdf[pdf.rows > 0].sort_values(["rank", "top", "left"]).itertuples():
-            piece = np.frombuffer(row.data, np.uint8).reshape(row.rows, row.cols, row.bands)
-            out[row.top : row.top + row.rows, row.left : row.left + row.cols, : row.bands] = piece
-        return pd.DataFrame([{tile_id: first[tile_id], "h": out.shape[0], "w": out.shape[1], "bands": out.shape[2], "data": out.tobytes()}])
+    def paste(table: pa.Table) -> pa.Table:
+        h, w, bands, top, left, rows, cols, rank = (table.column(c).to_pylist() for c in ("h", "w", "bands", "top", "left", "rows", "cols", "rank"))
+        out, data = np.zeros((h[0], w[0], max(bands)), np.uint8), table.column("data")
+        for n in sorted((n for n in range(len(rows)) if rows[n] > 0), key=lambda n: (rank[n], top[n], left[n])):
+            piece = np.frombuffer(data[n].as_buffer(), np.uint8).reshape(rows[n], cols[n], bands[n])
+            out[top[n] : top[n] + rows[n], left[n] : left[n] + cols[n], : bands[n]] = piece
+        sides = {c: pa.array([v], pa.int32()) for c, v in zip(("h", "w", "bands"), out.shape, strict=True)}
+        return pa.table({tile_id: table.column(tile_id).slice(0, 1), **sides, "data": pa.array([out.tobytes()], pa.binary())})
 
     kind = frames.schema[tile_id].dataType.simpleString()
-    return both.groupBy(tile_id).applyInPandas(paste, f"`{tile_id}` {kind}, h int, w int, bands int, data binary")
+    return both.groupBy(tile_id).applyInArrow(paste, f"`{tile_id}` {kind}, h int, w int, bands int, data binary")
 
 
 def assemble_tiles(windows: DataFrame, chunks: DataFrame | ChunkStore, chunk: int, tile_id: str, stride: int = 1) -> DataFrame:

@@ -159,9 +159,9 @@ def k9(spark, d):
 def _chunks(spark, d, side: int = 100):
     """A raster 20 chunks wide, one chunk for each embedding: pixel (i, j) of a chunk shows entry 8 (i % 8) + j % 8."""
     value = lambda k: F.lpad(F.hex(F.floor((F.col("embedding")[k].cast("double") + 1) * 100)), 2, "0")
-    lines = F.array(*[F.substring(F.repeat(F.concat(*[value(8 * i + j) for j in range(8)]), F.lit(-(-side // 8))), 1, 2 * side) for i in range(8)])
-    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.get(F.col("lines"), (i % 8).cast("int"))), ""))
-    e = table(spark, d, "embeddings").select("vec_id", lines.alias("lines"))
+    lines = F.concat(*[F.substring(F.repeat(F.concat(*[value(8 * i + j) for j in range(8)]), F.lit(-(-side // 8))), 1, 2 * side) for i in range(8)])
+    pixels = F.unhex(F.substring(F.repeat(lines, F.lit(-(-side // 8))), 1, 2 * side * side))
+    e = table(spark, d, "embeddings")
     return e.select(F.lit("a").alias("dataset"), F.floor(F.col("vec_id") / 20).alias("chunk_row"), (F.col("vec_id") % 20).alias("chunk_col"), F.lit(side).alias("h"), F.lit(side).alias("w"), F.lit(1).alias("bands"), pixels.alias("data"))
 
 
