@@ -282,6 +282,17 @@ def not_blank(data: Column) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def mask_low_bits(data: pd.Series) -> pd.Series:
+def masked_pixels(data: Column, bands: Column) -> Column:
+    """The other bands' bytes of the pixels whose first band isn't 0, in their order."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(data: pa.Array, bands: pa.Array) -> pa.Array:
+        rows = (np.frombuffer(d.as_buffer(), np.uint8).reshape(-1, b.as_py()) for d, b in zip(data, bands, strict=True))
+        return pa.array([x[x[:, 0] > 0, 1:].tobytes() for x in rows], pa.binary())
+
+    return run(data, bands)
+
+
     """Bytes without their two lowest bits, for better compression."""
     return data.map(lambda b: None if b is None else (np.frombuffer(b, np.uint8) & 0xFC).tobytes())
 
