@@ -64,10 +64,17 @@ def squareness(df: DataFrame, lower: float = 0.005, upper: float = 0.995, slack:
     return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high")).withColumn("square", (F.col("low") >= 1 - slack) & (F.col("high") <= 1 + slack))
 
 
-def chunk_keys(df: DataFrame, size: int) -> DataFrame:
-    """A row for each chunk (chunk_row, chunk_col) that a window touches."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size))
-    some = df.where("row_stop > row_start AND col_stop > col_start")
+def chunk_keys(df: DataFrame, size: int, empty: bool = False) -> DataFrame:
+    """A row for each chunk (chunk_row, chunk_col) that a window touches.
+
+    ``empty``: a window without pixels that begins and ends at index 0, as one
+    beside the raster does when it is cut to it, touches the chunk there.
+    """
+    last = lambda b: F.floor((F.col(b) - 1) / size)
+    stop = (lambda a, b: F.when((F.col(a) == 0) & (F.col(b) == 0), F.lit(0).cast("long")).otherwise(last(b))) if empty else lambda a, b: last(b)
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), stop(a, b))
+    there = lambda a, b: (F.col(b) > F.col(a)) | (F.lit(empty) & (F.col(a) == 0) & (F.col(b) == 0))
+    some = df.where(there("row_start", "row_stop") & there("col_start", "col_stop"))
     return some.withColumn("chunk_row", F.explode(span("row_start", "row_stop"))).withColumn("chunk_col", F.explode(span("col_start", "col_stop")))
 
 
