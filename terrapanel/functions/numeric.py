@@ -83,3 +83,14 @@ def last_label_wins(rules: Sequence[tuple[Column, str]], default: str | None = N
     for mask, label in rules:
         out = F.when(F.coalesce(mask, F.lit(False)), F.lit(label)).otherwise(out)
     return out
+
+
+def exact_mean(value: Column) -> Column:
+    """Aggregate: the mean of doubles, the same whatever order they are added in, so that equal groups tie.
+
+    Values are added up as decimals of 12 places; beyond 10^15, or where one is
+    not finite, it is the plain mean.
+    """
+    fits = F.abs(value) < F.lit(1e15)
+    total = F.sum(F.when(fits, value).cast("decimal(38,12)")).cast("double")
+    return F.when(F.count(F.when(~fits, 1)) > 0, F.avg(value)).otherwise(F.try_divide(total, F.count(value)))
