@@ -18,12 +18,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.feather
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from terrapanel.functions.numeric import normalise
+from terrapanel.functions.quantiles import in_parts
 
 PARTS = "array<array<array<struct<x: double, y: double>>>>"
 RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
@@ -254,6 +255,18 @@ def materialise(spark: SparkSession, path: str, build, partition_by: Sequence[st
     return spark.read.parquet(path)
 
 
+def in_shards(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
+    """df dealt to tasks in whole shards of so many rows in the given order; only the last shard has fewer, and it comes last in its task.
+
+    Written with as many rows a file, there is one file for each shard.
+    """
+    dealt = in_parts(df, order)
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each task
+    parts = parts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    numbered = dealt.join(F.broadcast(parts), "__part").withColumn("__shard", F.floor((F.col("__before") + F.col("__at")) / rows))
+    return numbered.repartition("__shard").sortWithinPartitions("__shard").drop("__part", "__at", "__before", "__shard")
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """One distributed write, with a header in each file."""
     df.write.mode("append").option("header", True).csv(path)
