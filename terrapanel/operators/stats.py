@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.quantiles import in_parts, ordered_counts, written
 from terrapanel.functions.seeded import uniform
 from terrapanel.functions.special import student_two_sided_p, two_sided_p
+from terrapanel.operators import resamples
 
 
 def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -201,10 +202,6 @@ def temporal_consistency(df: DataFrame, unit: str, year: str, truth: str, score:
     )
 
 
-#: The largest number of draws that a hash of 32 bits can give; P(more) is below 2**-32.
-MOST_DRAWS = 13
-
-
 def resampled(df: DataFrame, keys: list[str], replicates: int, seed: int = 0) -> DataFrame:
     """df once for each replicate that draws it, with ``replicate`` and ``draws`` (Poisson with mean 1, from 1 on).
 
@@ -213,19 +210,20 @@ def resampled(df: DataFrame, keys: list[str], replicates: int, seed: int = 0) ->
     """
     reps = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
     drawn = df.withColumn("replicate", reps).withColumn("__u", uniform(seed, F.col("replicate"), *map(F.col, keys)))
-    counts = F.lit(0)
-    total, term = np.exp(-1.0), np.exp(-1.0)
-    for k in range(1, MOST_DRAWS + 1):  # by inversion
-        counts = counts + (F.col("__u") > F.lit(float(total))).cast("int")
-        term /= k
-        total += term
-    return drawn.withColumn("draws", counts).drop("__u").where("draws > 0")
+    bounds = resamples.draw_bounds()
+    # The first bound decides who is drawn; a condition on all of them would be pushed down with a hash in each.
+    drawn = drawn.where(F.col("__u") > bounds[0])
+    counts = sum([(F.col("__u") > b).cast("int") for b in bounds[1:]], F.lit(1))  # by inversion
+    return drawn.withColumn("draws", counts).drop("__u")
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Means of a value in resamples: rows (replicate, mean)."""
-    drawn = resampled(df.select(*keys, value), keys, replicates, seed)
-    return drawn.groupBy("replicate").agg(F.try_divide(F.sum(F.col(value) * F.col("draws")), F.sum("draws")).alias("mean"))
+    """Means of a value in resamples: rows (replicate, mean).
+
+    Tasks add up their rows' draws for all replicates; rows are not repeated.
+    """
+    sums = resamples.mean_sums(df, keys, value, replicates, seed).groupBy("replicate").agg(F.sum("total").alias("total"), F.sum("known").alias("known"), F.sum("draws").alias("draws"))
+    return sums.where("draws > 0").select("replicate", F.when(F.col("known") > 0, F.try_divide("total", "draws")).alias("mean"))
 
 
 def percentile_interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:

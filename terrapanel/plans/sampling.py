@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import seeded
 from terrapanel.operators import splits, stats
-from terrapanel.plans.registry import PANEL_SQL, panel, register, table
+from terrapanel.plans.registry import PANEL_SQL, panel, register, spread, table
 from terrapanel.sources.scratch import folder
 
 
@@ -97,7 +97,8 @@ def o7_moats(spark, d):
 @register("O9_bootstrap")
 def o9(spark, d):
     """Interval of the mean balance from 200 resamples."""
-    reps = stats.bootstrap_mean(table(spark, d, "customer"), ["c_custkey"], "c_acctbal", 200, 1)
+    own = spread(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    reps = stats.bootstrap_mean(own, ["c_custkey"], "c_acctbal", 200, 1)
     return stats.percentile_interval(reps, "mean")
 
 
