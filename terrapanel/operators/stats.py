@@ -235,10 +235,8 @@ def percentile_interval(df: DataFrame, value: str, level: float = 0.95) -> DataF
 
 def rank_intervals(df: DataFrame, keys: list[str], x: str, y: str, replicates: int, seed: int = 0) -> DataFrame:
     """Bootstrap intervals of both rank correlations: rows (statistic, low, high, median, n)."""
-    drawn = resampled(df.select(*keys, x, y), keys, replicates, seed)
-    w = F.col("draws")
-    rho = percentile_interval(spearman(drawn, x, y, ["replicate"], w), "rho").withColumn("statistic", F.lit("spearman"))
-    tau = percentile_interval(kendall(drawn, x, y, ["replicate"], w), "tau").withColumn("statistic", F.lit("kendall"))
+    found = written(resamples.rank_correlations(df, keys, x, y, replicates, seed), "correlations")  # a row a replicate
+    rho, tau = (percentile_interval(found, c).withColumn("statistic", F.lit(name)) for c, name in (("rho", "spearman"), ("tau", "kendall")))
     return rho.unionByName(tau).select("statistic", "low", "high", "median", "n")
 
 
