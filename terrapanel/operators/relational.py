@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -108,13 +109,53 @@ def apply_groups(df: DataFrame, by: list[str], f: Callable[[pd.DataFrame], dict
     """One row (by..., schema) from ``f`` of each group's rows; none where it gives None.
 
     A group meets in one task's memory, so groups must be small, as a unit's
-    years are; what built-in aggregates can say is better said by them.
+    years are; what built-in aggregates can say is better said by them.  Rows
+    come sorted by group, and ``f`` is called on slices of Arrow batches, as a
+    batch and a frame for each group cost far more than ``f``.
     """
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    kinds = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), schema])
     names = [f.name for f in T.StructType.fromDDL(schema)]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = f(rows)
-        return pd.DataFrame([] if found is None else [[*key, *[found[c] for c in names]]], columns=[*by, *names])
-
-    return df.groupBy(*by).applyInPandas(run, f"{kinds}, {schema}")
+    columns, marks = df.columns, [(f"__key{n}", f"__null{n}") for n in range(len(by))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            own, out = pdf[columns], []
+            keys = [np.where(pdf[null], None, pdf[key].astype(object))[starts] for key, null in marks]
+            for n, (at, upto) in enumerate(zip(starts, [*starts[1:], len(pdf)], strict=True)):
+                rows = own.iloc[at:upto]
+                rows.index = pd.RangeIndex(upto - at)
+                if (value := f(rows)) is not None:
+                    out.append([*(k[n] for k in keys), *[value[c] for c in names]])
+            values = zip(*out, strict=True) if out else [()] * (len(by) + len(names))
+            return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip([*by, *names], values, strict=True)})
+
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            new[0] = True
+            for key, null in marks:
+                k, none, missing = pdf[key].to_numpy(), pdf[key].isna().to_numpy(), pdf[null].to_numpy()
+                other = (k[1:] != k[:-1]) & ~(none[1:] & none[:-1])
+                new[1:] |= (other & ~missing[1:]) | (missing[1:] != missing[:-1])
+            starts = np.flatnonzero(new)
+            # The last group may go on in the next batch.
+            if len(starts) > 1:
+                yield found(pdf.iloc[: starts[-1]], starts[:-1])
+            rest = pdf.iloc[starts[-1] :]
+        if rest is not None:
+            yield found(rest, np.zeros(1, np.int64))
+
+    def key(c: str) -> Column:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return F.col(c) + F.lit(0).cast(kind)  # one zero
+        # Whole numbers stay such beside a NULL.
+        return F.coalesce(F.col(c), F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else F.col(c)
+
+    marked = df.withColumns({name: c for n, own in enumerate(by) for name, c in ((f"__key{n}", key(own)), (f"__null{n}", F.col(own).isNull()))})
+    order = [c for key_, null in marks for c in (null, key_)]
+    dealt = marked.repartition(*order).sortWithinPartitions(*order) if order else marked.coalesce(1)
+    return dealt.mapInPandas(run, kinds)
