@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import ranks
 from terrapanel.functions.numeric import interpolate
-from terrapanel.functions.quantiles import group_quantiles, ordered_counts
+from terrapanel.functions.quantiles import group_quantiles, ordered_counts, written
 from terrapanel.functions.special import fit_gb2, gb2_ppf_udf, gb2_slopes
 from terrapanel.operators.stats import resampled
 
@@ -60,6 +60,10 @@ def fit_gb2_by(df: DataFrame, value: str, by: Sequence[str], weight: Column | No
     Groups of fewer than five positive values have NULL parameters.
     """
     by, weight = list(by), F.lit(1) if weight is None else weight
+    if steps:
+        # Each step reads all rows, so what they come from is computed once.
+        df = written(df.where(F.col(value) > 0).groupBy(*by, value).agg(F.sum(weight).alias("__weight")), "fitted")
+        weight = F.col("__weight")
     start = _started(df, value, by, weight)
     if not steps:
         return start.select(*by, *[F.nanvl(F.col(k), F.lit(None).cast("double")).alias(k) for k in (*PARAMETERS, "nll")])
