@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.functions.numeric import last_label_wins
+from terrapanel.functions.quantiles import ordered_counts, written
 from terrapanel.functions.seeded import order_key, weighted_key
 from terrapanel.operators.geometry import box_distance, mean_side, spatial_join
 from terrapanel.operators.polygons import near_pairs
@@ -98,11 +99,13 @@ def box_hold_out(tracts: DataFrame, id_col: str, boxes: DataFrame, share: float,
     box that touches it, so one running sum over the boxes tells where to stop.
     """
     own = tracts.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"t_{c}") for c in BOX])
-    placed = boxes.withColumn("__order", order_key(seed, F.col("box_id")))
-    hits = spatial_join(own, placed.select("box_id", "__order", *[F.col(c).alias(f"b_{c}") for c in BOX]), "id", "box_id", tuple(f"t_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), mean_side(boxes, BOX))
-    first = hits.groupBy("id").agg(F.min("__order").alias("__order"))
-    gain = first.groupBy("__order").agg(F.count("*").alias("gain"))
-    before = F.coalesce(F.sum("gain").over(W.orderBy("__order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # as many rows as boxes
+    # Of equal boxes only the first can be a tract's first; places are numbers, whose minimum needs no sort of all hits.
+    ordered = boxes.groupBy(*BOX).agg(F.min(order_key(seed, F.col("box_id"))).alias("__order"), F.lit(1).alias("__all"))
+    ordered = written(ordered, "boxes")
+    places = ordered_counts(ordered, "__order", ["__all"]).select("__order", F.col("__before").alias("__place"))
+    placed = ordered.join(places, "__order").select("__place", *[F.col(c).alias(f"b_{c}") for c in BOX])
+    hits = spatial_join(own, placed, "id", "__place", tuple(f"t_{c}" for c in BOX), tuple(f"b_{c}" for c in BOX), mean_side(ordered, BOX))
+    first = written(hits.groupBy("id").agg(F.min("__place").alias("__place")).withColumn("__all", F.lit(1)), "first-boxes")
     need = tracts.agg((F.count("*") * share).alias("need"))
-    used = gain.withColumn("before", before).crossJoin(F.broadcast(need)).where("before < need").select("__order")
-    return first.join(used, "__order", "left_semi").select("id")
+    used = ordered_counts(first, "__place", ["__all"]).crossJoin(F.broadcast(need)).where(F.col("__before") < F.col("need")).select("__place")
+    return first.join(used, "__place", "left_semi").select("id")
