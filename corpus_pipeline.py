@@ -60,9 +60,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the ids of each document, packed as little-endian unsigned 32-bit integers."""
+    """doc_id, source, the ids of each document, packed as little-endian unsigned 32-bit integers, n_tokens and the decoded text."""
     bounded_batches(spark)
-    return encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), decoded=False).drop("text")
+    return encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY)).drop("text")
 
 
 STAGES = [
