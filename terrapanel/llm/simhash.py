@@ -143,14 +143,14 @@ def _prints(words: int) -> dict[str, F.Column]:
 
 def _bucket_links(nodes: DataFrame, segments: tuple[Segment, ...], max_distance: int, steps: tuple[int, ...] = STEPS_AHEAD, words: int = 1) -> DataFrame:
     """Distinct links of each fingerprint to some of the next ones in its buckets, where their first words are near."""
-    prints = _prints(words)
-    rows = None
+    prints, places = _prints(words), []
     for k, segment in enumerate(segments):
         # Rows of a bucket come in the order of the word's bits beside the segment, turned round.
         above = F.shiftrightunsigned(_word(segment), segment.shift + segment.width) if segment.shift + segment.width < 64 else F.lit(0).cast("long")
         below = F.shiftleft(_word(segment), 64 - segment.shift) if segment.shift else F.lit(0).cast("long")
-        own = nodes.select("node", *[c.alias(name) for name, c in prints.items()], _value(k, segment).alias("value"), below.bitwiseOR(above).alias("turned"))
-        rows = own if rows is None else rows.unionByName(own)
+        places.append(F.struct(_value(k, segment).alias("value"), below.bitwiseOR(above).alias("turned")))
+    # One scan for all segments: the driver plans, compiles and keeps one stage, not one for each.
+    rows = nodes.select("node", *[c.alias(name) for name, c in prints.items()], F.inline(F.array(*places)))
     # Four bits of the turned fingerprint salt the bucket: a hot one is spread over 16 tasks.
     order = W.partitionBy("value", F.pmod("turned", F.lit(16))).orderBy("turned", "node")
     ahead = {f"next{n}_{c}": F.lead(c, n).over(order) for n in steps for c in ("node", *prints)}
