@@ -22,7 +22,7 @@ other columns are ignored, or kept where rows are dropped, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from typing import NamedTuple
 
@@ -232,6 +232,8 @@ ROWS_A_TASK = 400_000
 PAIRS_A_STEP = 1 << 20
 #: Candidates between two components, of one bucket and one neighbour, that are tried at first.
 FIRST_TRIED = 2
+#: Nodes with a shingle, up to which it counts as rare; a node's rare shingles give at most that many candidates each.
+RARE = 128
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -251,19 +253,20 @@ def joined_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def covered(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
-    """The share of words that stand in common shingles, in whichever of the two texts it is smaller."""
+def words_in(x: np.ndarray, y: np.ndarray, size: int = SHINGLE) -> float:
+    """The share of words of the text with shingles x that stand in shingles of y."""
+    if not len(x):
+        return float(not len(y))
+    change = np.zeros(len(x) + size, np.int64)
+    there = np.flatnonzero(np.isin(x, y))
+    change[there] += 1
+    np.add.at(change, there + size, -1)
+    return float(np.count_nonzero(np.cumsum(change)[: len(x) + size - 1]) / (len(x) + size - 1))
 
-    def share(x: np.ndarray, y: np.ndarray) -> float:
-        if not len(x):
-            return float(not len(y))
-        change = np.zeros(len(x) + size, np.int64)
-        there = np.flatnonzero(np.isin(x, y))
-        change[there] += 1
-        np.add.at(change, there + size, -1)
-        return float(np.count_nonzero(np.cumsum(change)[: len(x) + size - 1]) / (len(x) + size - 1))
 
-    return min(share(a, b), share(b, a))
+def covered(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
+    """The share of words that stand in common shingles, in whichever of the two texts it is smaller."""
+    return min(words_in(a, b, size), words_in(b, a, size))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -273,7 +276,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
+def distinct_in(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of x's distinct shingles that are in y."""
+    own = np.unique(x)
+    return np.count_nonzero(np.isin(own, y)) / len(own) if len(own) else float(not len(y))
+
+
 MEASURES = {"covered": covered, "jaccard": jaccard}
+#: With the shingles that a text has in common with any of several others: no less than the measure with each of them.
+BOUNDS = {"covered": words_in, "jaccard": distinct_in}
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -302,17 +313,22 @@ def _word_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _marked(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, mark long, node long, fp long, more array<long>")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, measure: str, tables: Tables) -> DataFrame:
-    """The pairs (a, b) whose whole fingerprints are near and whose shingles have the similarity, by the shingles themselves."""
-    pairs = tables.write(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = nodes.join(wanted, "node").select("node", "mark", F.concat(F.array("fp"), "more").alias("words"))
-    alike = MEASURES[measure]
+def _sequences(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, root, sequence): the node's whole fingerprint, then its shingles' hashes."""
 
     def hashes(batches):
         for batch in batches:
-            own = [np.concatenate([w.values.to_numpy(), shingle_hashes(t.as_py()).view(np.int64)]) for w, t in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "sequence"])
+            own = [np.concatenate([w.values.to_numpy(), shingle_hashes(t.as_py()).view(np.int64)]) for w, t in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], names=["node", "root", "sequence"])
+
+    chosen = nodes.select("node", "root", "mark", F.concat(F.array("fp"), "more").alias("words"))
+    texts = _marked(docs, id_col, text_col).select("mark", "text").join(chosen, "mark").dropDuplicates(["node"]).select("node", "root", "words", "text")
+    return texts.mapInArrow(hashes, "node long, root long, sequence array<long>")
+
+
+def _similar(pairs: DataFrame, sequences: DataFrame, similarity: float, measure: str) -> DataFrame:
+    """The pairs (a, b) whose whole fingerprints are near and whose shingles have the similarity, by the shingles themselves."""
+    alike = MEASURES[measure]
 
     def verify(batches):
         for batch in batches:
@@ -323,14 +339,55 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
                 keep.append(bool(near) and alike(x[WORDS:], y[WORDS:]) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = _marked(docs, id_col, text_col).select("mark", "text").join(chosen, "mark").dropDuplicates(["node"]).select("node", "words", "text")
-    # The whole fingerprint, then the shingles' hashes.
-    sequences = tables.write(texts.mapInArrow(hashes, "node long, sequence array<long>"), "sequences")
     of = lambda side: sequences.select(F.col("node").alias(side), F.col("sequence").alias(f"{side}_sequence"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sequence", "b_sequence")
     return both.mapInArrow(verify, "a long, b long")
 
 
+def _shingle_rows(sequences: DataFrame) -> DataFrame:
+    """Rows (node, root, shingle), each shingle of a text once."""
+    own = F.array_distinct(F.slice("sequence", WORDS + 1, F.size("sequence")))
+    return sequences.select("node", "root", F.explode(own).alias("shingle"))
+
+
+def _shared(sequences: DataFrame) -> DataFrame:
+    """Rows (shingle, n, often) for the shingles of nodes of different roots; n nodes have it."""
+    found = _shingle_rows(sequences).groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return found.where("least < most").select("shingle", "n", (F.col("n") > RARE).alias("often"))
+
+
+def _linkable(sequences: DataFrame, shared: DataFrame, similarity: float, measure: str) -> DataFrame:
+    """Rows (node, free) of the nodes that may have the similarity with one of another root: with all of these together they have it.
+
+    A node that hasn't needs no comparison with each of a large group of which
+    it may be a candidate.  A free one has the similarity with them even by the
+    shingles alone that many have; one that is not has a rare one in common
+    with each that it is linked to.  Shingles are counted, not paired.
+    """
+    bound = BOUNDS[measure]
+
+    def decide(batches):
+        for batch in batches:
+            own, every, often = ([v.values.to_numpy(zero_copy_only=False) for v in batch.column(k)] for k in (1, 2, 3))
+            keep = [bound(x[WORDS:], y) >= similarity for x, y in zip(own, every, strict=True)]
+            free = [bound(x[WORDS:], y) >= similarity for x, y in zip(own, often, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(free, pa.bool_())], names=["node", "free"]).filter(pa.array(keep, pa.bool_()))
+
+    total = sequences.agg(F.sum(F.size("sequence"))).first()[0] or 0
+    common = join_hot(_shingle_rows(sequences).select("node", "shingle"), shared, "shingle", total)
+    common = common.groupBy("node").agg(F.collect_list("shingle").alias("every"), F.collect_list(F.when(F.col("often"), F.col("shingle"))).alias("often"))
+    return sequences.join(common, "node").select("node", "sequence", "every", "often").mapInArrow(decide, "node long, free boolean")
+
+
+def _rare_pairs(sequences: DataFrame, shared: DataFrame, nodes: DataFrame, segments: tuple[Segment, ...]) -> DataFrame:
+    """The candidates (a, b) of ``_half_links`` that have a rare shingle in common and of which one is not free."""
+    rows = _shingle_rows(sequences).join(shared.where(~F.col("often")).select("shingle"), "shingle").join(nodes.select("node", "free", "fp", "more"), "node")
+    both = rows.where(~F.col("free")).alias("p").join(rows.alias("t"), (F.col("p.shingle") == F.col("t.shingle")) & (F.col("p.root") != F.col("t.root")))
+    flipped = [F.col("p.fp").bitwiseXOR(F.col("t.fp")).alias("fp"), F.zip_with("p.more", "t.more", lambda x, y: x.bitwiseXOR(y)).alias("more")]
+    pairs = both.select(F.greatest("p.node", "t.node").alias("a"), F.least("p.node", "t.node").alias("b"), *flipped)
+    return pairs.where(F.least(*[F.bit_count(_value(0, s)) for s in segments]) <= 1).select("a", "b").distinct()
+
+
 def _flip_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray, width: int, tried: int | None):
     """Arrays (a, b) of the nodes of different roots whose halves are equal and whose rests differ in one bit at most.
 
@@ -382,12 +439,12 @@ def _flip_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.
             done = stop
 
 
-def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | None, halves: DataFrame | None = None) -> DataFrame:
-    """Distinct candidates (a, b) of different components whose value agrees in some segment up to one bit.
+def _half_rows(nodes: DataFrame, segments: tuple[Segment, ...], halves: DataFrame | None = None) -> tuple[DataFrame, Callable]:
+    """The nodes for each half of each segment, dealt out by it, and a function that gives a task's arrays for ``_flip_pairs``.
 
-    One half of the segment then agrees as a whole.  Rows are dealt out by
-    each half, and the other half's flips are made where the rows are, so
-    flips are never shuffled.  With ``halves``, only these are looked into.
+    One half of a segment agrees as a whole if its value agrees up to one bit.
+    The other half's flips are made where the rows are, so flips are never
+    shuffled.  With ``halves``, only these are looked into.
     """
     parts = []
     for k, segment in enumerate(segments):
@@ -399,20 +456,46 @@ def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | No
     tasks, prints = 1 + nodes.count() * len(parts) // ROWS_A_TASK, _prints(WORDS)
     rows = nodes.select(F.explode(F.array(*parts)).alias("key"), "node", "root", *[c.alias(name) for name, c in prints.items()]).withColumn("half", F.shiftright("key", 16))
     rows = rows if halves is None else rows.join(halves, "half", "left_semi")
-    rows = rows.repartition(tasks, "half")
     widest, names = max(s.width - s.width // 2 for s in segments), ["key", "node", "root", *prints]
 
-    def run(batches):
+    def arrays(batches):
         held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            columns = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names]
-            for a, b in _flip_pairs(*columns[:3], np.stack(columns[3:]), widest, tried):
+        if not held:
+            return None
+        table = pa.Table.from_batches(held)
+        columns = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+        return *columns[:3], np.stack(columns[3:]), widest
+
+    return rows.repartition(tasks, "half"), arrays
+
+
+def _half_links(nodes: DataFrame, segments: tuple[Segment, ...], tried: int | None, halves: DataFrame | None = None) -> DataFrame:
+    """Distinct candidates (a, b) of different components whose value agrees in some segment up to one bit."""
+    rows, arrays = _half_rows(nodes, segments, halves)
+
+    def run(batches):
+        if held := arrays(batches):
+            for a, b in _flip_pairs(*held, tried):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _half_nodes(nodes: DataFrame, segments: tuple[Segment, ...]) -> DataFrame:
+    """The nodes of the candidates that ``_half_links`` gives; each comes once from a task, however many candidates it is in."""
+    rows, arrays = _half_rows(nodes, segments)
+
+    def run(batches):
+        if held := arrays(batches):
+            found = np.zeros(0, np.int64)
+            for a, b in _flip_pairs(*held, None):
+                if len(a):
+                    found = np.unique(np.concatenate([found, a, b]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+
+    return rows.mapInArrow(run, "node long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, measure: str = "covered") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near copies, with all their columns.
 
@@ -428,27 +511,42 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = tables.write(_word_prints(docs, id_col, text_col), "word-prints")
     nodes = tables.write(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("mark").alias("mark")), "nodes")
 
-    def exact(pairs: DataFrame, name: str) -> DataFrame:
-        found = tables.write(_similar(pairs, nodes, docs, id_col, text_col, similarity, measure, tables), name)
-        tables.remove("candidates", "sequences")
-        return found
-
-    first = exact(_bucket_links(nodes, PRINT_SEGMENTS, FIRST_DISTANCE, (1,), FIRST_WORDS), "neighbours")
+    candidates = tables.write(_bucket_links(nodes, PRINT_SEGMENTS, FIRST_DISTANCE, (1,), FIRST_WORDS), "candidates")
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    own = nodes.withColumn("root", F.col("node")).join(wanted, "node")
+    sequences = tables.write(_sequences(own, docs, id_col, text_col), "sequences")
+    first = tables.write(_similar(candidates, sequences, similarity, measure), "neighbours")
     labelled = tables.write(_labelled(nodes, first), "labelled")
+    # From here on a component is a star, whatever links have made it: their number does not follow that of its links.
+    stars = labelled.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    # Nodes that no other component's texts together could link are not compared with each of them.
+    met = tables.write(_half_nodes(labelled, PRINT_SEGMENTS), "met")
+    sequences = tables.write(_sequences(labelled.join(met, "node"), docs, id_col, text_col), "met-sequences")
+    shared = tables.write(_shared(sequences), "shared")
+    linkable = tables.write(labelled.join(_linkable(sequences, shared, similarity, measure).select("node"), "node", "left_semi"), "linkable")
     # Two groups that have not met may have very many candidates between them.  The nearest ones are tried first; what
-    # is left of them is tried all, but by then most such groups have been joined.
-    probed = tables.write(_half_links(labelled, PRINT_SEGMENTS, FIRST_TRIED), "probed")
-    links = first.unionByName(exact(probed.where("a <> b"), "nearest"))
+    # is left of them is tried all, but by then most such groups have been joined.  Of what is left, a node that is not
+    # free has few partners, found by its rare shingles.
+    probed = tables.write(_half_links(linkable, PRINT_SEGMENTS, FIRST_TRIED), "probed")
+    links = stars.unionByName(tables.write(_similar(probed.where("a <> b"), sequences, similarity, measure), "nearest"))
     later = tables.write(probed.where("a = b").select(F.col("a").alias("half")), "later")
-    if later.count():
-        joined = tables.write(_labelled(nodes, links), "joined")
-        links = links.unionByName(exact(_half_links(joined, PRINT_SEGMENTS, None, later), "others"))
     roots = connected_components(links)
+    if later.count():
+        joined = tables.write(linkable.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
+        # The components have grown, so more nodes have nothing in common with another one.
+        sequences = sequences.drop("root").join(joined.select("node", "root"), "node")
+        shared = tables.write(_shared(sequences), "shared-still")
+        apart = tables.write(joined.join(_linkable(sequences, shared, similarity, measure), "node"), "apart")
+        pairs = _half_links(apart.where("free"), PRINT_SEGMENTS, None, later).unionByName(_rare_pairs(sequences, shared, apart, PRINT_SEGMENTS))
+        pairs = tables.write(pairs, "left")
+        more = tables.write(_similar(pairs, sequences, similarity, measure), "others")
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = rows.join(roots, "node", "left").where("doc_id IS NOT NULL")
     placed = tables.write(placed.select("doc_id", "mark", F.coalesce("root", "node").alias("root")), "placed")
     who = F.struct("doc_id", "mark")
     least = tables.write(placed.groupBy("root").agg(F.min(who).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
     gone = join_hot(placed, least, "root", placed.count()).where(who != F.col("least")).select("doc_id", "mark").distinct()
     gone = tables.write(gone, "gone")
-    tables.remove("word-prints", "nodes", "neighbours", "labelled", "probed", "nearest", "later", "joined", "others", "placed", "least")
+    tables.remove("word-prints", "nodes", "candidates", "sequences", "neighbours", "labelled", "met", "met-sequences", "shared", "shared-still", "linkable")
+    tables.remove("probed", "nearest", "later", "joined", "apart", "left", "others", "placed", "least")
     return without(docs, gone, id_col, text_col)

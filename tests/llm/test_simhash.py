@@ -229,6 +229,52 @@ def test_few_pairs_of_two_groups_are_tried_at_first():
     assert [a for a, b in some if a == b] == [0]  # the half that is to be looked into again
 
 
+def test_links_and_candidates_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Pipeline: texts that are near a large group by fingerprint, but no copies, aren't compared with all of it; its links are given once."""
+    from terrapanel.llm import simhash
+
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed(n, name):
+        words = list(base)
+        for k in rng.sample(range(150), n):
+            words[k] = f"{name}-{k}"
+        return " ".join(words)
+
+    texts = [changed(2, f"near{i}") for i in range(100)] + [changed(22, f"far{i}") for i in range(40)]
+    pairs, links = [], []
+    write, components = Tables.write, simhash.connected_components
+    monkeypatch.setattr(Tables, "write", lambda self, df, name: (got := write(self, df, name), df.columns == ["a", "b"] and pairs.append(got.count()))[0])
+    monkeypatch.setattr(simhash, "connected_components", lambda df, *a: links.append(df.distinct().count()) or components(df, *a))
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    words = [t.split() for t in texts]
+    alone = {i for i in range(100, 140) if all(slow_covered(words[i], words[j]) < 0.8 for j in range(140) if j != i)}
+    assert len(alone) > 30 and alone <= kept and len([i for i in kept if i < 100]) <= 2
+    # The first two tables are neighbours in buckets: some a segment for each text.
+    assert sum(links[1:]) <= 2 * len(texts) and sum(pairs[2:]) <= len(texts), (links, pairs)
+
+
+def test_rare_shingles_and_halves_give_every_link(spark, monkeypatch):
+    """The texts that stay are the same, whether shingles are rare or not."""
+    from terrapanel.llm import simhash
+
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts, edits = [], [(k, f"e{k}-{n}") for k in range(0, 120, 6) for n in range(2)]
+    for _ in range(150):
+        words = list(base)
+        for k, w in rng.sample(edits, 10):
+            words[k] = w
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for rare in (0, 5, 1000):
+        monkeypatch.setattr(simhash, "RARE", rare)
+        found.append({r.doc_id for r in drop_near_duplicates(docs).collect()})
+    assert found[0] == found[1] == found[2] and 1 < len(found[0]) < len(texts)
+
+
 def test_columns_of_any_names_are_carried(spark):
     rows = [(1, "a b c d e f g", "x", 1.0), (2, "a  b c d e f g", "y", 2.0), (None, "a b c d e f g", "z", 3.0), (3, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string, mark double").withColumn("g", docs_name()).withColumn("fp.x", docs_name())
