@@ -88,9 +88,17 @@ def last_label_wins(rules: Sequence[tuple[Column, str]], default: str | None = N
 def exact_mean(value: Column) -> Column:
     """Aggregate: the mean of doubles, the same whatever order they are added in, so that equal groups tie.
 
-    Values are added up as decimals of 12 places; beyond 10^15, or where one is
-    not finite, it is the plain mean.
+    Their digits to the base 2^26, which are whole numbers, are added up by
+    place down to 2^-78, and the sum is rounded once.
+    Beyond 10^15, or where one is not finite, it is the plain mean.
     """
-    fits = F.abs(value) < F.lit(1e15)
-    total = F.sum(F.when(fits, value).cast("decimal(38,12)")).cast("double")
-    return F.when(F.count(F.when(~fits, 1)) > 0, F.avg(value)).otherwise(F.try_divide(total, F.count(value)))
+    base, fits = 2.0**26, F.abs(value) < F.lit(1e15)
+    places = [F.sum(F.when(fits, (value * F.lit(base**k)) % F.lit(base)).cast("long")) for k in range(-1, 4)]
+    whole = lambda c: c.cast("decimal(38,0)")
+    total = whole(places[0])
+    for place in places[1:4]:
+        total = (total * F.lit(int(base)).cast("decimal(9,0)")).cast("decimal(38,0)") + whole(place)
+    parts = [place.cast("double") * F.lit(base**-k) for k, place in zip(range(-1, 4), places, strict=True)]
+    rough = parts[0] + parts[1] + parts[2] + parts[3]
+    exact = F.when(F.abs(rough) < F.lit(1e22), total.cast("double") * F.lit(base**-2)).otherwise(rough) + parts[4]
+    return F.when(F.count(F.when(~fits, 1)) > 0, F.avg(value)).otherwise(F.try_divide(exact, F.count(value)))
